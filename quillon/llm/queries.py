@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, quality, tokencount
+from quillon.llm import chat, packing, quality, tokencount
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -33,7 +33,11 @@ def op6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op6_quality_rules, op6_ablation)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
