@@ -28,6 +28,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def computed_once(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """``df.select(*cols)`` behind a generator of one row a row, through which no filter is pushed: a
+    filter on a costly column would otherwise be computed from copies of its expression, even inside lambdas."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def residue(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -35,7 +35,7 @@ END_ID = 0
 SMALL_SHARE = 8
 GROUPS = 192
 #: Salts a length is ranked in: one for so many pieces.
-PIECES_PER_SALT = 200_000
+PIECES_PER_SALT = 5_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, text_of, words
+from quillon.llm.common import SPACE, computed_once, text_of, words
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("w", words(c("text"))).withColumn("l", F.filter(F.split(c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     d = d.withColumn("g", F.transform(F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))))
-    return d.select(
+    return computed_once(
+        d,
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
