@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, packing, quality, tokencount
+from quillon.llm import chat, decontaminate, packing, pii, quality, tokencount
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -41,7 +41,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate)}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

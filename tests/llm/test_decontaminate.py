@@ -37,13 +37,13 @@ def test_scan_finds_what_brute_force_finds():
         x = list(norm(random.choice(items)[1]))
         a = random.randrange(max(1, len(x) - 80))
         x = x[a : a + 80]
-        for _ in range(random.randint(0, 12)):
+        for _ in range(random.randint(0, 6)):
             k = random.randrange(len(x))
             x[k : k + 1] = random.choice([[], [random.choice(letters)], [x[k], random.choice(letters)]])
         texts.append("".join(random.choices(letters, k=random.randint(0, 60))) + "".join(x) + "".join(random.choices(letters, k=random.randint(0, 60))))
     got = {(i, item) for i, item, *_ in d.scan_texts(p, list(range(len(texts))), texts)}
     want = {(i, p.item[k]) for i, t in enumerate(texts) for k, c in enumerate(p.code) if least_edits("".join(map(chr, c)), norm(t)) <= p.budget[k]}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 15
 
 
 def test_planted_and_clean(spark, sf_dir):
