@@ -177,8 +177,9 @@ class Passages:
             far, last = np.full((n, 1), 10**6), len(code) - 1
             for i in range(size):
                 where = base + (j + i)
-                step = cost + (code[np.clip(where, 0, last)] != passage[:, i : i + 1])  # on the diagonal
-                step[(where < 0) | (where > last)] = 10**6
+                there = code[np.clip(where, 0, last)]
+                step = cost + (there != passage[:, i : i + 1])  # on the diagonal
+                step[(where < 0) | (where > last) | (there == GAP)] = 10**6  # not into another text
                 up = np.concatenate([cost[:, 1:] + 1, far], 1)  # a letter of the passage left out
                 take = up < step
                 best = np.where(take, up, step)
@@ -240,7 +241,7 @@ def scan_texts(passages: Passages, ids: list, texts: list[str]) -> list[tuple]:
     for s in range(0, len(code), SCAN):
         begin = max(0, s - overlap)
         for p, first, last, edits in passages.scan(code[begin : s + SCAN]):
-            doc = int(np.searchsorted(starts, begin + first, "right")) - 1
+            doc = int(np.searchsorted(starts, begin + last - 1, "right")) - 1
             place = (edits, begin + first, begin + last, int(passages.size[p]))
             key = (doc, passages.item[p])
             if key not in best or place < best[key]:
