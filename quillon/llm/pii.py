@@ -38,6 +38,10 @@ MARK = "\x01"
 MIN_VALUES = 3
 MIN_CONFIDENCE = 0.5
 ROUNDS = 3
+#: One in so many documents is looked at first, to drop patterns that are too common to be trusted.
+FIRST_LOOK = 16
+MOST_BITS = 22
+PROBES = (0, 11, 22, 33)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -133,15 +137,43 @@ def _known_patterns(edges: DataFrame, known: DataFrame, totals: DataFrame) -> Da
     return scored.select("pattern", (F.col("known") / F.col("total")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
 
 
+def _among(patterns: DataFrame):
+    """A test that all given patterns and about one in 5000 others pass: a Bloom filter of their hashes, of ``MOST_BITS`` address bits at most."""
+    bits = 1 << max(10, min(MOST_BITS, (32 * patterns.count()).bit_length()))
+    places = [F.pmod(F.shiftright("pattern", k), F.lit(bits)) for k in PROBES]
+    masks = patterns.select(F.explode(F.array(*places)).alias("b")).groupBy((F.col("b") / 64).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).collect()
+    held = [0] * (bits // 64)
+    for r in masks:
+        held[r["i"]] = r["m"]
+    table = F.from_json(F.lit(str(held)), "array<bigint>")
+
+    def test(p: Column) -> Column:
+        at = [F.pmod(F.shiftright(p, k), F.lit(bits)) for k in PROBES]
+        hits = [F.getbit(F.get(table, (x / 64).cast("int")), (x % 64).cast("int")) == 1 for x in at]
+        return hits[0] & hits[1] & hits[2] & hits[3]
+
+    return test
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each pattern occurs in the texts, whatever word follows."""
+    among = _among(patterns)
+    w = texts.select(_contexts(F.col("text")).alias("w"))
+    places = w.select(F.explode(F.filter(F.transform("w", lambda w, i: _pattern(F.col("w"), i)), among)).alias("pattern"))
+    return places.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern")
+
+
 def bootstrap(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Values found by trusted patterns and by no seed, with their score."""
     rows = scan.select(F.explode("instances").alias("x")).select("x.value", "x.pattern", "x.seed")
     edges = written(rows.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     seeds = edges.where("seed").select("value").distinct()
-    wanted = edges.groupBy("pattern").agg(F.count("*").alias("v")).where(F.col("v") >= MIN_VALUES).select("pattern")
-    texts = text_of(docs, id_col, text_col).select(_contexts(F.col("text")).alias("w"))
-    places = texts.select(F.explode(F.transform("w", lambda w, i: _pattern(F.col("w"), i))).alias("pattern"))
-    totals = written(places.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("total")), "totals")
+    wanted = edges.groupBy("pattern").agg(F.count("*").alias("v"), F.sum("n").alias("most")).where(F.col("v") >= MIN_VALUES)
+    texts = text_of(docs, id_col, text_col)
+    # occurrences in some documents bound those in all from below: what is below the confidence with them is so for good
+    some = occurrences(texts.where(F.pmod(F.xxhash64("text"), F.lit(FIRST_LOOK)) == 0), wanted)
+    hopeful = written(wanted.join(some, "pattern", "left").where(F.col("most") >= MIN_CONFIDENCE * F.coalesce("total", F.lit(0))).select("pattern"), "hopeful")
+    totals = written(occurrences(texts, hopeful), "totals")
     known, found = seeds, None
     for _ in range(rounds):
         trusted = _known_patterns(edges, known, totals)
