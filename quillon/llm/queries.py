@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, packing, pii, quality, tokencount
+from quillon.llm import chat, decontaminate, neardup, packing, pii, quality, tokencount
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 #: The texts of the added conversation hold the template's own control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,7 +49,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
