@@ -18,8 +18,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word in bytes ``raw`` and the place where it starts.
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word in bytes ``raw``, and where it starts and ends.
 
     Bytes are read as 8-byte numbers from the start of a word on, masked at its end; a word's numbers
     are mixed one after another."""
@@ -39,7 +39,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out[live] = mix(out[live] * np.uint64(3) + value + np.uint64(k + 1) * STEP)
         live, k = live[left > 8], k + 8
     with np.errstate(over="ignore"):
-        return mix(out + (end - start).astype(np.uint64)), start
+        return mix(out + (end - start).astype(np.uint64)), start, end
 
 
 def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     size = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
     ends = np.cumsum(size)
-    h, at = word_hashes(raw)
+    h, at, _ = word_hashes(raw)
     doc = np.searchsorted(ends, at, "right")
     many = np.bincount(doc, minlength=len(data))
     first = np.cumsum(many) - many
