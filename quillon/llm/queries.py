@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, neardup, packing, pii, quality, tokencount
+from quillon.llm import chat, decontaminate, lm, neardup, packing, pii, quality, tokencount, toxicity
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -28,6 +28,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(given.unionByName(added))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_exclaim", "failures")
@@ -49,7 +53,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op5_toxicity, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data, op10_lm_score)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
