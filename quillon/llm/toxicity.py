@@ -120,7 +120,7 @@ def text_segments(model_table: np.ndarray, texts: list[str]):
     parts, doc, start, end = parts_of(texts)
     s = word_scores(model_table, parts)
     many = np.bincount(doc, minlength=len(texts))
-    mass = np.bincount(doc, np.maximum(s, 0), minlength=len(texts))
+    mass = np.bincount(doc, np.maximum(s, 0), minlength=len(texts)).astype(float)
     first = np.cumsum(many) - many
     # neighbours of one sign act as one
     sign = s > 0
