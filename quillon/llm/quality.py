@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, computed_once, text_of, words
+from quillon.llm.common import SPACE, computed_once, words
 
 
 @dataclass(frozen=True)
@@ -74,15 +74,16 @@ def _repeat_words(windows: Column) -> Column:
     return bind(by_hash, lambda s: bind(places(s), covered))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the measurements that the rules are made of."""
-    d = text_of(docs, id_col, text_col)
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id`` and the measurements that the rules are made of; with ``carry`` the whole row as ``row``."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")] if carry else []))
     d = d.withColumn("w", words(c("text"))).withColumn("l", F.filter(F.split(c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     d = d.withColumn("g", F.transform(F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))))
     return computed_once(
         d,
         "doc_id",
+        *(["row"] if carry else []),
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         _less(c("text"), r"[#*$%&|<>]").alias("n_symbols"),
@@ -94,10 +95,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measurements and ``failures``, a bit for each rule that the document fails."""
     bits = [F.when(r.fails(), F.lit(1 << r.bit)).otherwise(0) for r in RULES]
-    return measure(docs, id_col, text_col).withColumn("failures", sum(bits[1:], bits[0]).cast("long"))
+    return measure(docs, id_col, text_col, carry).withColumn("failures", sum(bits[1:], bits[0]).cast("long"))
 
 
 def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -106,6 +107,11 @@ def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
     return book.withColumn("base_failed", base).withColumn("kept", ~base & (c("failures").bitwiseAND(F.lit(mask_of(version))) == 0))
 
 
+def clean(docs: DataFrame, version: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with all their columns."""
+    return apply_policy(ledger(docs, id_col, text_col, carry=True), version).where("kept").select("row.*")
+
+
 def ablation(book: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a policy: how many documents fail it, fail it alone, and are kept without it.
 
