@@ -69,19 +69,26 @@ def concept_overlap(a: Column, b: Column) -> Column:
     return score * F.when(F.exists(known, lambda p: p["critical"] & ~p["same"]), vocab.CRITICAL_FACTOR).otherwise(1.0)
 
 
-def title_similarity(a: Column, b: Column, idf: Column | None = None, embed: Callable[[Column, Column], Column] | None = None, tax: Taxonomy = DEFAULT) -> Column:
-    """``embed`` takes the place of the lexical signals."""
-    if embed is not None:
-        return F.round(embed(a, b), 4)
-    lexical = 0.62 * token_cosine(a, b, idf, tax) + 0.38 * trigram_cosine(a, b)
-    con = concept_overlap(concepts(a, tax), concepts(b, tax))
-    return F.when((a != "") & (b != ""), F.round(F.coalesce(0.62 * lexical + 0.38 * con, lexical), 4))
-
-
-def description_similarity(a: Column, b: Column, idf: Column | None = None, tax: Taxonomy = DEFAULT) -> Column:
-    lexical = 0.7 * token_cosine(a, b, idf, tax) + 0.3 * trigram_cosine(a, b)
-    con = concept_overlap(concepts(a, tax), concepts(b, tax))
-    return F.when((a != "") & (b != ""), F.round(F.coalesce(0.6 * con + 0.4 * lexical, lexical), 4))
+def text_profile(s: Column, tax: Taxonomy = DEFAULT) -> Column:
+    """What similarity needs of a text, so that it is derived once a text and not once a pair."""
+    return F.struct(semantic_tokens(s, tax).alias("tokens"), trigrams(s).alias("trigrams"), concepts(s, tax).alias("concepts"), (F.coalesce(s, F.lit("")) != "").alias("some"))
+
+
+def _mixed(a: Column, b: Column, idf: Column | None, token_share: float, lexical_share: float) -> Column:
+    weight = None if idf is None else lambda w: F.coalesce(F.try_element_at(idf, w), F.lit(1.0))
+    lexical = token_share * _cosine(a["tokens"], b["tokens"], weight) + (1 - token_share) * _cosine(a["trigrams"], b["trigrams"])
+    con = concept_overlap(a["concepts"], b["concepts"])
+    return F.when(a["some"] & b["some"], F.round(F.coalesce(lexical_share * lexical + (1 - lexical_share) * con, lexical), 4))
+
+
+def title_similarity(a: Column, b: Column, idf: Column | None = None) -> Column:
+    """Of two profiles of titles: words lead, concepts support."""
+    return _mixed(a, b, idf, 0.62, 0.62)
+
+
+def description_similarity(a: Column, b: Column, idf: Column | None = None) -> Column:
+    """Of two profiles of descriptions: concepts lead."""
+    return _mixed(a, b, idf, 0.7, 0.4)
 
 
 def vector_cosine(a: Column, b: Column) -> Column:

@@ -7,7 +7,6 @@ that matches wins, and stay inside the JVM.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -59,7 +58,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def brand_score(a: Column, b: Column, tax: Taxonomy = DEFAULT) -> Column:
-    x, y = brand(a, tax), brand(b, tax)
+    return brand_agreement(brand(a, tax), brand(b, tax))
+
+
+def brand_agreement(x: Column, y: Column) -> Column:
+    """Of two canonical brands."""
     j = jaccard(F.split(x, " "), F.split(y, " "))
     return (
         F.when((x == "") | (y == ""), 0.0)
@@ -151,8 +154,12 @@ def weak_codes(text: Column) -> Column:
 
 
 def model_score(a: Column, b: Column) -> Column:
+    """Of two texts; see ``code_score``."""
+    return code_score(strong_codes(a), strong_codes(b), weak_codes(a), weak_codes(b))
+
+
+def code_score(sa: Column, sb: Column, wa: Column, wb: Column) -> Column:
     """1: a strong code is shared; 0: both have strong ones and share none; weak ones say less; null: nothing to go by."""
-    sa, sb, wa, wb = strong_codes(a), strong_codes(b), weak_codes(a), weak_codes(b)
     return (
         F.when(F.arrays_overlap(sa, sb), 1.0)
         .when((F.size(sa) > 0) & (F.size(sb) > 0), 0.0)
@@ -161,8 +168,7 @@ def model_score(a: Column, b: Column) -> Column:
     )
 
 
-def model_conflict(a: Column, b: Column) -> Column:
-    sa, sb = strong_codes(a), strong_codes(b)
+def code_conflict(sa: Column, sb: Column) -> Column:
     return (F.size(sa) > 0) & (F.size(sb) > 0) & ~F.arrays_overlap(sa, sb)
 
 
@@ -276,21 +282,15 @@ def age_text(seconds: Column) -> Column:
     )
 
 
-def queries(brand_: Column, title: Column, colour: Column, gender_: Column, article: Column | None = None, tax: Taxonomy = DEFAULT) -> tuple[Column, Column]:
-    """(shared, specific) search strings of a product; they become blocking keys."""
-    b = normalize(brand_)
-    g = F.coalesce(gender_, gender(F.concat_ws(" ", brand_, title)))
-    g = F.when(g == "unisex", "").otherwise(F.coalesce(g, F.lit("")))
-    kind = garment(strip_brand(title, brand_), article, tax)
-    kind = F.when(kind == "tshirt", "t-shirt").when(kind == "polo", "polo t-shirt").otherwise(F.coalesce(kind, F.lit("")))
-    c = F.coalesce(last_colour_word(colour), F.lit(""))
-    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " ")
-    extra = F.array_join(F.slice(distinctive(title, brand_), 1, 2), " ")
+def queries(brand_: Column, gender_: Column, kind: Column, colour: Column, pattern_: Column, extra: Column) -> tuple[Column, Column]:
+    """(shared, specific) search strings of a product's derived facts; they become blocking keys.
+
+    The brand is the canonical one, so that spellings of a brand meet."""
+    g = F.when(gender_ == "unisex", "").otherwise(F.coalesce(gender_, F.lit("")))
+    k = F.coalesce(F.try_element_at(literal_map({"tshirt": "t-shirt", "polo": "polo t-shirt"}), kind), kind, F.lit(""))
+    c, p = F.coalesce(colour, F.lit("")), F.coalesce(pattern_, F.lit(""))
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
     clean = lambda a: F.filter(F.array_distinct(a), lambda q: q != "")
-    shared = clean(F.array(joined(b, g, kind), joined(b, g, kind, c)))
-    specific = clean(F.array(joined(b, g, kind, extra), joined(b, g, kind, F.coalesce(pattern(title), F.lit("")), c)))
+    shared = clean(F.array(joined(brand_, g, k), joined(brand_, g, k, c)))
+    specific = clean(F.array(joined(brand_, g, k, F.array_join(F.slice(extra, 1, 2), " ")), joined(brand_, g, k, p, c)))
     return shared, F.array_except(specific, shared)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

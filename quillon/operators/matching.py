@@ -16,98 +16,101 @@ from quillon.functions import attributes as att
 from quillon.functions import decision as dec
 from quillon.functions import similarity as sim
 from quillon.functions import text as t
+from quillon.functions.plan import computed_once
 from quillon.functions.vocab import DEFAULT, EngineConfig, Taxonomy
 
-LISTING = "id string, platform string, brand string, title string, color string, mrp double, price double, gender string, articleType string, sizes array<string>, query_ord int, rank_in_query int"
 
+def profiled(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """Products with ``f``, all that pairs are compared by, derived once a product: its canonical brand, gender, garment,
+    fit, colour family and words, model codes, title profile and search keys."""
+    c, given = F.col, [F.col(f"`{n}`") for n in products.columns]
+    # in steps: what a later step uses several times is a column by then
+    one = computed_once(products, F.struct(*given).alias("p"), t.normalize(c("title")).alias("title"), t.brand(c("brand"), tax).alias("brand"), t.strip_brand(c("title"), c("brand")).alias("bare"), t.distinctive(c("title"), c("brand")).alias("extra"))
+    said = F.coalesce(c("p.gender"), t.gender(F.concat_ws(" ", "brand", "title")))
+    facts = {
+        "gender": said, "garment": t.garment(c("bare"), c("p.articleType"), tax), "fit": t.fit(c("title"), tax), "pattern": t.pattern(c("title")), "family": F.coalesce(t.colour_family(c("p.color"), tax), t.colour_family(c("title"), tax)),
+        "colour": t.last_colour_word(c("p.color")), "any_colour": t.last_colour_word(c("p.color"), c("title")), "strong": t.strong_codes(c("title")), "weak": t.weak_codes(c("title")), "profile": sim.text_profile(c("title"), tax),
+    }
+    two = computed_once(one, "p", "brand", "extra", *[v.alias(n) for n, v in facts.items()])
+    shared, specific = t.queries(c("brand"), c("gender"), c("garment"), c("colour"), c("pattern"), c("extra"))
+    f = F.struct("brand", *[n for n in facts if n != "profile"], c("profile").alias("title"), shared.alias("shared"), specific.alias("specific"))
+    return computed_once(two, "p.*", f.alias("f"))
 
-def enriched(anchors: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
-    """Anchors with the gender and garment that they say themselves."""
-    said = F.coalesce("gender", t.gender(F.concat_ws(" ", "brand", "title")))
-    return anchors.withColumn("gender", said).withColumn("garment", t.garment(t.strip_brand(F.col("title"), F.col("brand")), F.col("articleType"), tax))
-
-
-def blocked(anchors: DataFrame, listings: DataFrame, tax: Taxonomy = DEFAULT, specific: bool = False) -> DataFrame:
-    """(anchor_id, platform, listing, query_ord, rank): listings that share a search key with an anchor, first one kept."""
-    pick = 1 if specific else 0
-
-    def keys(df: DataFrame) -> DataFrame:
-        q = t.queries(F.col("brand"), F.col("title"), F.col("color"), F.col("gender"), F.col("articleType"), tax)[pick]
-        return df.select(F.struct("*").alias("row"), F.posexplode(q).alias("query_ord", "key"))
 
-    a = keys(anchors).select("row", "query_ord", "key")
-    c = keys(listings).select(F.col("row").alias("listing"), "key")
-    pairs = a.join(c, "key").select(F.col("row.id").alias("anchor_id"), "row", "listing", "query_ord")
+def blocked(anchors: DataFrame, listings: DataFrame, key: str = "shared") -> DataFrame:
+    """(anchor_id, row, listing, query_ord) of profiled products that share a search key of a kind, the first one kept."""
+    keys = lambda df: df.select(F.struct("*").alias("row"), F.posexplode(f"f.{key}").alias("query_ord", "key"))
+    pairs = keys(anchors).join(keys(listings).select(F.col("row").alias("listing"), "key"), "key").select(F.col("row.id").alias("anchor_id"), "row", "listing", "query_ord")
     first = Window.partitionBy("anchor_id", "listing.platform", "listing.id").orderBy("query_ord", "listing.rank_in_query")
     return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
-def gates(a: Column, c: Column, tax: Taxonomy = DEFAULT) -> Column:
-    """Only a proven contradiction fails a gate; null on either side passes."""
-    said = lambda x: F.coalesce(x["gender"], t.gender(F.concat_ws(" ", x["brand"], x["title"])))
-    kind = lambda x: t.garment(t.strip_brand(x["title"], x["brand"]), x["articleType"], tax)
-    family = lambda x: F.coalesce(t.colour_family(x["color"], tax), t.colour_family(x["title"], tax))
-    brand = t.brand_score(a["brand"], c["brand"], tax)
-    same = lambda x, y: F.coalesce(x == y, F.lit(True))
-    fa, fc = family(a), family(c)
-    multi = F.coalesce((fa == "multi"), F.lit(False)) | F.coalesce((fc == "multi"), F.lit(False))
-    garment_ok, fit_ok, gender_ok = same(kind(a), kind(c)), same(t.fit(a["title"], tax), t.fit(c["title"], tax)), t.gender_compatible(said(a), said(c))
+def gates(a: Column, c: Column) -> Column:
+    """Of two profiles. Only a proven contradiction fails a gate; null on either side passes."""
+    brand = t.brand_agreement(a["brand"], c["brand"])
+    same = lambda n: F.coalesce(a[n] == c[n], F.lit(True))
+    multi = F.coalesce(a["family"] == "multi", F.lit(False)) | F.coalesce(c["family"] == "multi", F.lit(False))
+    gender_ok = t.gender_compatible(a["gender"], c["gender"])
     return F.struct(
-        brand.alias("brand"), (brand >= 0.8).alias("brandOk"), gender_ok.alias("genderOk"), garment_ok.alias("garmentOk"), fit_ok.alias("fitOk"),
-        ((brand >= 0.8) & gender_ok & garment_ok & fit_ok).alias("pass"), multi.alias("colorMulti"),
-        (F.coalesce(fa != fc, F.lit(False)) & ~multi).alias("colorConflict"), (F.coalesce(fa == fc, F.lit(False)) & ~multi).alias("colorAgree"),
+        brand.alias("brand"), (brand >= 0.8).alias("brandOk"), gender_ok.alias("genderOk"), same("garment").alias("garmentOk"), same("fit").alias("fitOk"),
+        ((brand >= 0.8) & gender_ok & same("garment") & same("fit")).alias("pass"), multi.alias("colorMulti"),
+        (F.coalesce(a["family"] != c["family"], F.lit(False)) & ~multi).alias("colorConflict"), (F.coalesce(a["family"] == c["family"], F.lit(False)) & ~multi).alias("colorAgree"),
     )
 
 
-def candidates(anchors: DataFrame, listings: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
-    """Gated pairs; anchors without a survivor are searched again by their specific keys."""
-    gated = lambda pairs: pairs.withColumn("gate", gates(F.col("row"), F.col("listing"), tax))
-    shared = gated(blocked(anchors, listings, tax))
+def candidates(anchors: DataFrame, listings: DataFrame) -> DataFrame:
+    """Gated pairs of profiled products; anchors without a survivor are searched again by their specific keys."""
+    gated = lambda pairs: computed_once(pairs, *pairs.columns, gates(F.col("row.f"), F.col("listing.f")).alias("gate"))
+    shared = gated(blocked(anchors, listings))
     settled = shared.where("gate.pass").select(F.col("anchor_id").alias("id")).distinct()
-    again = gated(blocked(anchors.join(settled, "id", "left_anti"), listings, tax, specific=True))
-    return shared.unionByName(again)
+    return shared.unionByName(gated(blocked(anchors.join(settled, "id", "left_anti"), listings, "specific")))
 
 
-def evidence(pairs: DataFrame, idf: Column | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
-    """Pairs with the cheap score: list price, title, model codes and brand."""
+def _signals(idf: Column | None) -> dict[str, Column]:
     a, c = F.col("row"), F.col("listing")
-    signals = {"mrp": dec.mrp_evidence(a["mrp"], c["mrp"]), "title": sim.title_similarity(a["title"], c["title"], idf, tax=tax), "model": t.model_score(a["title"], c["title"]), "brand": F.col("gate.brand")}
-    affinity = t.colour_affinity(a["color"], c["color"], c["title"])
-    return pairs.withColumn("cheap", dec.blend(signals)).withColumn("affinity", affinity)
+    x, y = a["f"], c["f"]
+    return {"mrp": dec.mrp_evidence(a["mrp"], c["mrp"]), "title": sim.title_similarity(x["title"], y["title"], idf), "model": t.code_score(x["strong"], y["strong"], x["weak"], y["weak"]), "brand": F.col("gate.brand")}
+
+
+def evidence(pairs: DataFrame, idf: Column | None = None) -> DataFrame:
+    """Surviving pairs with the cheap score: list price, title, model codes and brand."""
+    affinity = F.coalesce((F.col("row.f.colour") == F.col("listing.f.any_colour")).cast("int"), F.lit(0))
+    passed = pairs.where("gate.pass")
+    signals = F.struct(*[v.alias(n) for n, v in _signals(idf).items()])
+    return computed_once(passed, *passed.columns, signals.alias("signals"), affinity.alias("affinity")).withColumn("cheap", dec.blend({n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")}))
 
 
 def finalists(scored: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """The best ``scan`` survivors of each anchor and platform, with ``rank`` and ``batch``."""
     order = (F.coalesce(F.col("cheap.score"), F.lit(0.0)) + 0.1 * F.col("affinity")).desc()
     w = Window.partitionBy("anchor_id", "listing.platform").orderBy(order, "query_ord", "listing.rank_in_query", "listing.id")
-    ranked = scored.where("gate.pass").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config.scan)
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config.scan)
     return ranked.withColumn("batch", F.ceil(F.col("rank") / config.enrich).cast("int"))
 
 
 def judged(final: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), idf: Column | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
     """Finalists with full evidence and their reason of rejection; a later batch counts only if all earlier ones were rejected.
 
-    ``details``: (platform, id, description, attributes, countryOfOrigin, lab, dhash), anchors under the platform 'anchor'."""
-    a, c = F.col("row"), F.col("listing")
-    if details is not None:
-        own = details.where("platform = 'anchor'").select(F.col("id").alias("anchor_id"), F.struct("*").alias("da"))
-        theirs = details.select(F.col("platform").alias("_p"), F.col("id").alias("_i"), F.struct("*").alias("dc"))
-        final = final.join(own, "anchor_id", "left").join(theirs, (F.col("listing.platform") == F.col("_p")) & (F.col("listing.id") == F.col("_i")), "left").drop("_p", "_i")
-        describe = lambda x, d: att.canonical(x["title"], x["color"], d["attributes"], d["description"], d["countryOfOrigin"], tax)
-        final = final.withColumn("am", att.agreement(describe(a, F.col("da")), describe(c, F.col("dc"))))
-        final = final.withColumn("image", sim.image_similarity(F.col("da.lab"), F.col("dc.lab"), F.col("da.dhash"), F.col("dc.dhash")))
-        said = sim.description_similarity(F.col("da.description"), F.col("dc.description"), idf, tax)
+    ``details``: (platform, id, title, color, description, attributes, countryOfOrigin, lab, dhash), anchors under the platform 'anchor'."""
+    x, y = F.col("row.f"), F.col("listing.f")
+    if details is None:
+        none = "struct<am:struct<score:double,compared:int>,image:struct<score:double,deltaE:double,confirmed:boolean,rejected:boolean>,description:double>"
+        final = final.withColumn("more", F.lit(None).cast(none))
     else:
-        final = final.withColumn("am", F.lit(None).cast("struct<score:double,compared:int>"))
-        final = final.withColumn("image", F.lit(None).cast("struct<score:double,deltaE:double,confirmed:boolean,rejected:boolean>"))
-        said = F.lit(None).cast("double")
-    signals = {
-        "mrp": dec.mrp_evidence(a["mrp"], c["mrp"]), "attributes": F.col("am.score"), "title": sim.title_similarity(a["title"], c["title"], idf, tax=tax), "image": F.col("image.score"),
-        "model": t.model_score(a["title"], c["title"]), "description": said, "brand": F.col("gate.brand"),
-    }
-    full = final.withColumn("full", dec.blend(signals, {"attributes": dec.attribute_scale(F.col("am.compared"))}))
-    out = dec.rejection(F.col("gate.colorMulti"), F.col("image.deltaE"), F.col("image.rejected"), F.col("gate.colorAgree"), F.col("gate.colorConflict"), t.model_conflict(a["title"], c["title"]), config)
-    full = full.withColumn("rejected", out).withColumn("proven", F.coalesce(F.col("gate.colorAgree"), F.lit(False)) & F.arrays_overlap(*[F.array_union(t.strong_codes(x["title"]), t.weak_codes(x["title"])) for x in (a, c)]))
+        c = F.col
+        known = computed_once(details, "platform", "id", "lab", "dhash", att.canonical(c("title"), c("color"), c("attributes"), c("description"), c("countryOfOrigin"), tax).alias("attrs"), sim.text_profile(c("description"), tax).alias("text"))
+        own = known.where("platform = 'anchor'").select(c("id").alias("anchor_id"), F.struct("*").alias("da"))
+        theirs = known.select(c("platform").alias("_p"), c("id").alias("_i"), F.struct("*").alias("dc"))
+        final = final.join(own, "anchor_id", "left").join(theirs, (c("listing.platform") == c("_p")) & (c("listing.id") == c("_i")), "left").drop("_p", "_i")
+        more = F.struct(
+            att.agreement(c("da.attrs"), c("dc.attrs")).alias("am"), sim.image_similarity(c("da.lab"), c("dc.lab"), c("da.dhash"), c("dc.dhash")).alias("image"),
+            sim.description_similarity(c("da.text"), c("dc.text"), idf).alias("description"),
+        )
+        final = computed_once(final, *[n for n in final.columns if n not in ("da", "dc")], more.alias("more"))
+    signals = {n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")} | {"attributes": F.col("more.am.score"), "image": F.col("more.image.score"), "description": F.col("more.description")}
+    out = dec.rejection(F.col("gate.colorMulti"), F.col("more.image.deltaE"), F.col("more.image.rejected"), F.col("gate.colorAgree"), F.col("gate.colorConflict"), t.code_conflict(x["strong"], y["strong"]), config)
+    shared = F.arrays_overlap(F.array_union(x["strong"], x["weak"]), F.array_union(y["strong"], y["weak"]))
+    full = computed_once(final, *final.columns, dec.blend(signals, {"attributes": dec.attribute_scale(F.col("more.am.compared"))}).alias("full"), out.alias("rejected"), (F.col("gate.colorAgree") & shared).alias("proven"))
     return batches(full)
 
 
@@ -136,7 +139,7 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     seen = searched.groupBy("anchor_id", F.col("listing.platform").alias("platform")).agg(F.count("*").alias("scanned"), F.count_if("gate.pass").alias("survivors"))
     flat = scored.select(
         "anchor_id", F.col("listing.platform").alias("platform"), F.col("listing.id").alias("id"), F.col("listing.price").alias("price"), F.col("listing.mrp").alias("mrp"), F.col("row.mrp").alias("anchor_mrp"),
-        F.col("full.score").alias("score"), F.col("image.score").alias("image"), "rank", "rejected", "proven", F.col("gate.colorConflict").alias("conflict"),
+        F.col("full.score").alias("score"), F.col("more.image.score").alias("image"), "rank", "rejected", "proven", F.col("gate.colorConflict").alias("conflict"),
     )
     viable = rivals(flat.where("rejected is null"), config)
     best = viable.groupBy("anchor_id", "platform").agg(
@@ -166,9 +169,8 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
 
 def match(anchors: DataFrame, listings: DataFrame, platforms: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), tax: Taxonomy = DEFAULT) -> DataFrame:
     """The whole chain, for all anchors at once."""
-    ready = enriched(anchors, tax).drop("garment")
-    searched = candidates(ready, listings, tax)
-    return decisions(anchors, platforms, searched, judged(finalists(evidence(searched, tax=tax), config), details, config, tax=tax), config)
+    searched = candidates(profiled(anchors, tax), profiled(listings, tax))
+    return decisions(anchors, platforms, searched, judged(finalists(evidence(searched), config), details, config, tax=tax), config)
 
 
 def idf_table(titles: DataFrame, column: str = "title", tax: Taxonomy = DEFAULT) -> DataFrame:

@@ -27,5 +27,5 @@ def saved(comparisons: DataFrame, as_of: Column, ttl_hours: float) -> DataFrame:
     """For each anchor's (anchor_id, platform, status, price, score, matched_at): best platform, matches, age and freshness."""
     ok = F.col("status") == "matched"
     g = comparisons.groupBy("anchor_id").agg(F.count_if(ok).alias("matched"), F.max_by(F.when(ok, F.col("platform")), F.when(ok, F.struct("score", "platform"))).alias("best_platform"), F.min(F.when(ok, F.col("price"))).alias("best_price"), F.max("matched_at").alias("matched_at"))
-    age = (as_of.cast("double") - F.col("matched_at").cast("double")) / 3600
+    age = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
     return g.withColumn("age_hours", F.round(age, 4)).withColumn("fresh", (age >= 0) & (age < ttl_hours))

@@ -354,12 +354,10 @@ def colour_distance(spark, sf_dir):
 
 # ---- evidence and decisions
 
-_MRP = [(0.0, 899.0), (5.0, 2.0), (7.0, 60.0), (3.0, 230.0)]
-
 
 @query("""WITH v AS (SELECT p_partkey, p_retailprice AS a, CASE p_size % 5 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice * 1.015 WHEN 2 THEN p_retailprice * 1.08 WHEN 3 THEN p_retailprice * 0.8 ELSE NULL END AS b FROM part),
 r AS (SELECT *, round(a) AS x, round(b) AS y FROM v)
-SELECT p_partkey, CASE WHEN x = y THEN 1.0 WHEN abs(x - y) / greatest(x, y) <= 0.02 THEN 0.9 WHEN abs(x - y) / greatest(x, y) <= 0.1 THEN 0.55 WHEN abs(x - y) / greatest(x, y) <= 0.25 THEN 0.25 WHEN y IS NOT NULL THEN 0.0 END AS evidence FROM r""")
+SELECT p_partkey, CAST(CASE WHEN x = y THEN 1.0 WHEN abs(x - y) / greatest(x, y) <= 0.02 THEN 0.9 WHEN abs(x - y) / greatest(x, y) <= 0.1 THEN 0.55 WHEN abs(x - y) / greatest(x, y) <= 0.25 THEN 0.25 WHEN y IS NOT NULL THEN 0.0 END AS DOUBLE) AS evidence FROM r""")
 def mrp_evidence(spark, sf_dir):
     m = F.col("p_size") % 5
     p = F.col("p_retailprice")
@@ -371,13 +369,13 @@ _SIGNALS = {"mrp": ("l_tax", 3), "attributes": ("l_discount", 4), "title": ("l_t
 
 
 @query("WITH v AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {k} <> 0 THEN least(1, {c} * 10) END AS {n}" for n, (c, k) in _SIGNALS.items()) + ", l_quantity FROM lineitem), w AS (SELECT *, "
-       + " + ".join(f"CASE WHEN {n} IS NOT NULL THEN {vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 50)' if n == 'attributes' else ''} ELSE 0 END" for n in _SIGNALS) + " AS den, "
-       + " + ".join(f"coalesce({n} * {vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 50)' if n == 'attributes' else ''}, 0)" for n in _SIGNALS) + " AS num FROM v) SELECT l_orderkey, l_linenumber, round(CASE WHEN den > 0 THEN num / den END, 3) AS score, round(den, 3) AS coverage FROM w")
+       + " + ".join(f"CASE WHEN {n} IS NOT NULL THEN {vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 10 / 5)' if n == 'attributes' else ''} ELSE 0 END" for n in _SIGNALS) + " AS den, "
+       + " + ".join(f"coalesce({n} * ({vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 10 / 5)' if n == 'attributes' else ''}), 0)" for n in _SIGNALS) + " AS num FROM v) SELECT l_orderkey, l_linenumber, round(CASE WHEN den > 0 THEN num / den END, 4) AS score, round(den, 3) AS coverage FROM w")
 def blend_renormalised(spark, sf_dir):
     on = F.col("l_orderkey") + F.col("l_linenumber")
     signals = {n: F.when(on % k != 0, F.least(F.lit(1.0), F.col(c) * 10)) for n, (c, k) in _SIGNALS.items()}
     b = dec.blend(signals, {"attributes": dec.attribute_scale(F.col("l_quantity") / 10)})
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", F.round("b.score", 3).alias("score"), "b.coverage")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.score", "b.coverage")
 
 
 _SCORED = "s AS (SELECT l_partkey AS anchor_id, l_suppkey % 2 AS platform, l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS price, round(1 - l_discount * 4 - l_tax / 2, 4) AS score, l_quantity FROM lineitem), ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, platform ORDER BY score DESC, id, price) AS rank FROM s)"
@@ -407,13 +405,13 @@ def ambiguity_rivals(spark, sf_dir):
 
 ANCHORS = [
     ("A1", "Levis", "Men 541 Athletic Tapered Jeans", "Blue", 1899.0, 1310.0, "men", None), ("A2", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1500.0, None, None),
-    ("A3", "Puma", "Women Running Shoes", "Red", 4999.0, 3000.0, None, None), ("A4", "Zara", "Women Floral Dress", "Green", 2999.0, 2500.0, None, None), ("A5", "Nike", "Men Graphic Tee", "White", 999.0, 800.0, None, None),
+    ("A3", "Puma", "Women Regular Running Shoes", "Red", 4999.0, 3000.0, None, None), ("A4", "Zara", "Women Floral Dress", "Green", 2999.0, 2500.0, None, None), ("A5", "Nike", "Men Graphic Tee", "White", 999.0, 800.0, None, None),
 ]
 LISTINGS = [
     ("L1", "p0", "Levi's", "Men 541 Athletic Tapered Fit Jeans", "Blue", 1899.0, 1250.0, "men", None, 0, 0), ("L2", "p0", "Levis", "Men 511 Slim Jeans", "Blue", 1899.0, 1100.0, "men", None, 0, 1),
     ("L1b", "p1", "Levis", "Men 541 Athletic Tapered Jeans", "Brown", 1899.0, 1250.0, "men", None, 0, 0), ("L3", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1450.0, "men", None, 0, 0),
-    ("L4", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1700.0, "men", None, 0, 1), ("L5", "p1", "Nike", "Men Solid Polo T-shirt", "Black", 3999.0, 1700.0, "men", None, 0, 1),
-    ("L6", "p0", "Puma", "Women Running Shoes", "Red", 4999.0, 2900.0, "girls", None, 0, 0), ("L7", "p1", "Puma", "Women Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L8", "p0", "Nike", "Men Graphic Tee", "White", 1010.0, 700.0, "men", None, 0, 0),
+    ("L4", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1700.0, "men", None, 0, 1), ("L5", "p1", "Nike", "Men Solid Polo T-shirt", "Black", 2200.0, 1700.0, "men", None, 0, 1),
+    ("L6", "p0", "Puma", "Women Slim Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L7", "p1", "Puma", "Women Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L8", "p0", "Nike", "Men Graphic Tee", "White", 1010.0, 700.0, "men", None, 0, 0),
 ]
 DECIDED = [
     ("A1", "p0", "matched", None, "L1"), ("A1", "p1", "color_mismatch", None, None), ("A2", "p0", "ambiguous", None, None), ("A2", "p1", "no_match", "mrp_mismatch", None), ("A3", "p0", "no_match", "hard_gate", None),
@@ -517,7 +515,7 @@ def latest_upsert(spark, sf_dir):
 
 @query()
 def token_bucket(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("ts").cast("double") / 600).alias("at"), (F.col("event_type") != "error").alias("ok"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("ts").cast("timestamp").cast("double") / 600).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return state.token_buckets(e)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 
 def age_hours(at: Column, as_of: Column) -> Column:
-    return (as_of.cast("double") - at.cast("double")) / 3600
+    return (as_of.cast("timestamp").cast("double") - at.cast("timestamp").cast("double")) / 3600
 
 
 def fresh(at: Column, as_of: Column, ttl_hours: float) -> Column:
