@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import text_of, written
 from quillon.llm.shingles import STEP, mix, shingle_sets
-from quillon.llm.tokencount import chunks
+from quillon.llm.tokencount import column_chunks
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
@@ -91,9 +91,9 @@ def _map_texts(docs: DataFrame, schema: str, make) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in chunks(texts, 1 << 19):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(ids[a:b], texts[a:b])], names)
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in column_chunks(texts, 1 << 19):
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in make(ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist())], names)
 
     return docs.mapInArrow(run, schema)
 

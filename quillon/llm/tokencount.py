@@ -171,6 +171,18 @@ def chunks(texts: list[str], limit: int = CHUNK_BYTES):
         yield start, len(texts)
 
 
+def column_chunks(column, limit: int = CHUNK_BYTES):
+    """Like ``chunks`` for an Arrow column of texts, by bytes, without making Python strings of it."""
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(total):
+        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + limit)) + 1
+        yield start, min(end, len(total))
+        start = end
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row."""
 
