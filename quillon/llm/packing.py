@@ -33,7 +33,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Shares of the capacity: lengths above 1/8 are large. Groups of large pieces.
 SMALL_SHARE = 8
-GROUPS = 192
+GROUPS = 1024
 #: Salts a length is ranked in: one for so many pieces.
 PIECES_PER_SALT = 5_000
 
