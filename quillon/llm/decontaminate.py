@@ -29,7 +29,7 @@ from quillon.llm.common import text_of
 from quillon.llm.tokencount import chunks
 
 Q = 9
-PASSAGE = 200
+PASSAGE = 110
 EDIT_RATE = 0.1
 LEAST_SHARED = 12
 BLOCK_LETTERS = 4_000_000
