@@ -29,3 +29,27 @@ def saved(comparisons: DataFrame, as_of: Column, ttl_hours: float) -> DataFrame:
     g = comparisons.groupBy("anchor_id").agg(F.count_if(ok).alias("matched"), F.max_by(F.when(ok, F.col("platform")), F.when(ok, F.struct("score", "platform"))).alias("best_platform"), F.min(F.when(ok, F.col("price"))).alias("best_price"), F.max("matched_at").alias("matched_at"))
     age = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
     return g.withColumn("age_hours", F.round(age, 4)).withColumn("fresh", (age >= 0) & (age < ttl_hours))
+
+
+def colour_verdict(delta_e: Column) -> Column:
+    """Of a colour distance between two images."""
+    return F.when(delta_e.isNull(), "na").when(delta_e <= 15, "best").when(delta_e <= 26, "moderate").otherwise("low")
+
+
+def size_sentence(sizes: Column) -> Column:
+    """'In stock: S, M. Sold out: L' of an array of (size, available); null without sizes."""
+    named = lambda ok: F.array_join(F.transform(F.filter(sizes, lambda s: F.coalesce(s["available"], F.lit(False)) == ok), lambda s: s["size"]), ", ")
+    part = lambda label, ok: F.when(named(ok) != "", F.concat(F.lit(label), named(ok)))
+    return F.when(F.size(sizes) > 0, F.concat_ws(". ", part("In stock: ", True), part("Sold out: ", False)))
+
+
+def summary(market: DataFrame, own: str) -> DataFrame:
+    """What to do about each position, in words."""
+    gap, price = F.abs("gap").cast("bigint").cast("string"), F.col("best_rival").cast("bigint").cast("string")
+    text = (
+        F.when(F.col("gap") > 0, F.concat(F.lit("Undercut by "), gap, F.lit(": match "), price, F.lit(" on "), "cheapest_rival"))
+        .when(F.col("gap") < 0, F.concat(F.lit("Cheapest by "), gap, F.lit(": room to raise the price")))
+        .when(F.col("gap") == 0, "At parity: hold the price")
+        .otherwise("No rival price: nothing to compare")
+    )
+    return market.withColumn("action", text)

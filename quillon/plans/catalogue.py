@@ -15,9 +15,9 @@ from quillon.functions import similarity as sim
 from quillon.functions import text as t
 from quillon.functions import vocab
 from quillon.functions.vocab import DEFAULT
-from quillon.operators import audit, imports, matching, position, reports, sizechart
+from quillon.operators import audit, images, imports, matching, position, reports, sizechart
 from quillon.sources import landed
-from quillon.streaming import state
+from quillon.streaming import pacing, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -569,3 +569,44 @@ def sales_by_region(spark, sf_dir):
     o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("c_mktsegment").alias("segments"))
+
+
+@query(POSITIONS + """SELECT p_partkey, CASE WHEN gap > 0 THEN 'Undercut by ' || CAST(gap AS BIGINT) || ': match ' || CAST(best_rival AS BIGINT) || ' on ' || cheapest_rival
+  WHEN gap < 0 THEN 'Cheapest by ' || CAST(-gap AS BIGINT) || ': room to raise the price' WHEN gap = 0 THEN 'At parity: hold the price' ELSE 'No rival price: nothing to compare' END AS action FROM positions""")
+def decision_summary(spark, sf_dir):
+    return reports.summary(positions(spark, sf_dir), OWN).select("p_partkey", "action")
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id AS key, max(ts) OVER (PARTITION BY user_id) AS last FROM events) SELECT p_partkey, last IS NOT NULL AS compared, last FROM part LEFT JOIN c ON key = p_partkey""")
+def catalog_summaries(spark, sf_dir):
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("p_partkey")).agg(F.max("ts").alias("last"))
+    return table(spark, sf_dir, "part").select("p_partkey").join(last, "p_partkey", "left").select("p_partkey", F.col("last").isNotNull().alias("compared"), "last")
+
+
+@query("""WITH e AS (SELECT user_id, epoch(ts) AS t, event_type = 'error' AS slow, event_id FROM events), w AS (SELECT *, max(CASE WHEN slow THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM e)
+SELECT event_id, CASE WHEN t < last + 7200 THEN 'open' WHEN last IS NOT NULL AND (prev < last + 7200 OR prev = last) THEN 'probe' ELSE 'closed' END AS circuit FROM w""")
+def circuit_breaker(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") == "error").alias("slow"))
+    return pacing.breaker(e, "user_id", "at", F.col("slow"), 7200).select("event_id", "circuit")
+
+
+@query("""WITH w AS (SELECT l_partkey AS k, count(*) AS wanted FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), t AS (SELECT l_partkey AS k, count(*) AS tries, bool_or(l_quantity > 48) AS done FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1)
+SELECT k, wanted, coalesce(tries, 0) AS tries FROM w LEFT JOIN t USING (k) WHERE NOT coalesce(done, false) AND coalesce(tries, 0) < 3""")
+def work_queue(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey"))
+    tried = rows.where("l_returnflag = 'R' and l_linestatus = 'F'").withColumn("ok", F.col("l_quantity") > 48)
+    return pacing.work_queue(rows.where("l_returnflag <> 'R'"), tried, "k")
+
+
+@query("""WITH s AS (SELECT l_partkey AS id, list_distinct(list(CAST(l_linenumber AS VARCHAR))) AS sizes FROM lineitem GROUP BY 1), x AS (SELECT unnest(sizes) AS size, p_brand <> 'Brand#2' AS ok FROM s JOIN part ON id = p_partkey)
+SELECT size, count(*) FILTER (ok) AS n FROM x GROUP BY size""")
+def size_facets(spark, sf_dir):
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("sizes"))
+    return position.size_facet(table(spark, sf_dir, "part").join(sizes, "p_partkey"), "sizes", F.col("p_brand") != "Brand#2")
+
+
+@query("""WITH v AS (SELECT r.i * 10 + s.j AS id, r.i AS x, s.j AS y FROM range(9) r(i), range(8) s(j)), p AS (SELECT x, y, (x * 37 + y * 91) % 256 AS v FROM v), d AS (SELECT a.x, a.y, a.v > b.v AS bit FROM p a JOIN p b ON b.x = a.x + 1 AND b.y = a.y)
+SELECT 1 AS image_id, bit_or(CASE WHEN bit THEN CASE WHEN y * 8 + x = 0 THEN -9223372036854775808 ELSE 1::BIGINT << CAST(63 - (y * 8 + x) AS INT) END ELSE 0 END) AS dhash FROM d""")
+def difference_hash(spark, sf_dir):
+    grey = spark.range(72).select(F.lit(1).alias("image_id"), (F.col("id") % 9).alias("x"), F.floor(F.col("id") / 9).alias("y"))
+    return images.difference_hash(grey.withColumn("v", (F.col("x") * 37 + F.col("y") * 91) % 256))

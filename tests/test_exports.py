@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillon.operators import exports, sizechart
+from quillon.operators import exports, images, reports, sizechart
 from quillon.sources import charts
 from quillon.streaming import pacing
 
@@ -48,3 +48,16 @@ def test_breaker_and_queue(spark):
     wanted = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("d",)], "k string")
     tried = spark.createDataFrame([("a", True), ("c", False), ("c", False), ("c", False), ("d", False)], "k string, ok boolean")
     assert [(r["k"], r["wanted"], r["tries"]) for r in pacing.work_queue(wanted, tried, "k").collect()] == [("b", 2, 0), ("d", 1, 1)]
+
+
+def test_image_colours(spark):
+    rows = [(1, x, y, *((200, 30, 40) if 5 <= x < 15 and 5 <= y < 15 else (250, 250, 250))) for x in range(20) for y in range(20)] + [(2, x, y, 9, 9, 9) for x in range(10) for y in range(10)]
+    got = images.colours(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")).collect()
+    assert [(r["image_id"], r["rgb"], r["dominant"], r["sampled"]) for r in got] == [(1, [200, 30, 40], 100, 100)]
+    assert spark.range(1).select(images.region(F.lit("jeans")), images.region(F.lit(None).cast("string"))).first() == ("bottom", "object")
+
+
+def test_report_texts(spark):
+    d = spark.createDataFrame([([("S", True), ("M", None), ("L", False)],), ([],), (None,)], "s array<struct<size:string,available:boolean>>")
+    assert [r[0] for r in d.select(reports.size_sentence(F.col("s"))).collect()] == ["In stock: S. Sold out: M, L", None, None]
+    assert [r[0] for r in spark.createDataFrame([(5.0,), (20.0,), (30.0,), (None,)], "d double").select(reports.colour_verdict(F.col("d"))).collect()] == ["best", "moderate", "low", "na"]
