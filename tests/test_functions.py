@@ -11,6 +11,7 @@ from quillon.functions import attributes as att
 from quillon.functions import decision as dec
 from quillon.functions import similarity as sim
 from quillon.functions import text as t
+from quillon.functions.plan import computed_once
 from quillon.functions.vocab import DEFAULT, EngineConfig
 
 
@@ -81,7 +82,7 @@ def test_attribute_agreement_counts_only_what_both_say(spark):
     rows = [("Slim jeans", {"Fit": "Slim Fit", "Fabric": "98% Cotton 2% Elastane"}, "Slim Fit jeans", {"Fit": "Slim", "Material": "100% cotton"}), ("a", None, "b", None)]
     d = spark.createDataFrame(rows, "ta string, aa map<string,string>, tb string, ab map<string,string>")
     side = lambda n: att.canonical(F.col(f"t{n}"), F.lit(None).cast("string"), F.col(f"a{n}"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    first, second = [r[0] for r in d.select(side("a").alias("a"), side("b").alias("b")).select(att.agreement(F.col("a"), F.col("b"))).collect()]
+    first, second = [r[0] for r in computed_once(d, side("a").alias("a"), side("b").alias("b")).select(att.agreement(F.col("a"), F.col("b"))).collect()]
     fields = {f["key"]: f["agreement"] for f in first["fields"]}
     assert fields["fit"] == 1 and fields["material"] == 1 and fields["stretch"] == 0 and fields["rise"] is None
     assert first["compared"] == 3 and second["score"] is None and second["compared"] == 0
@@ -93,8 +94,9 @@ def test_similarity_properties(spark):
     for f in (sim.token_cosine, sim.trigram_cosine, lambda a, b: t.jaccard(t.words(a), t.words(b))):
         got = dict(zip(pairs, values(spark, both(f), *pairs), strict=True))
         assert all(got[a, b] == got[b, a] and 0 <= got[a, b] <= 1 for a, b in pairs) and all(got[a, a] == 1 for a, _ in pairs)
-    title = lambda a, b: sim.title_similarity(sim.text_profile(a), sim.text_profile(b))
-    men, women = values(spark, title, pairs[0], pairs[1])
+    titles = spark.createDataFrame([pairs[0], pairs[1]], "a string, b string")
+    profiles = computed_once(titles, sim.text_profile(F.col("a")).alias("a"), sim.text_profile(F.col("b")).alias("b"))
+    men, women = [r[0] for r in profiles.select(sim.title_similarity(F.col("a"), F.col("b"))).collect()]
     assert men > 0.99 and women < 0.65
 
 
