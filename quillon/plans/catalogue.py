@@ -329,7 +329,7 @@ def trigram_cosine(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM p) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 5""")
 def embedding_cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return matching.nearest(e, e.where("vec_id % 20 = 0"), 5)
@@ -389,7 +389,7 @@ def _scored(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_SCORED}, t AS (SELECT *, CAST(ceil(rank / 5.0) AS INT) AS batch, l_quantity < 35 AS rejected FROM ranked WHERE rank <= 10), f AS (SELECT *, min(batch) FILTER (NOT rejected) OVER (PARTITION BY anchor_id, platform) AS first FROM t)
-SELECT anchor_id, platform, id, rank, batch FROM f WHERE first IS NULL OR batch <= first""")
+SELECT anchor_id, platform, id, CAST(rank AS INTEGER) AS rank, batch FROM f WHERE first IS NULL OR batch <= first""")
 def rank_topk_batches(spark, sf_dir):
     ten = _scored(spark, sf_dir).where("rank <= 10").withColumn("batch", F.ceil(F.col("rank") / 5).cast("int")).withColumn("rejected", F.when(F.col("l_quantity") < 35, "color"))
     kept = matching.batches(ten.withColumn("listing", F.struct("platform")))
