@@ -68,3 +68,21 @@ def strict_rejection(score: Column, mrp_a: Column, mrp_b: Column, proven: Column
     most = F.when(F.coalesce(proven, F.lit(False)), config.mrp_tolerance_proven).otherwise(config.mrp_tolerance)
     out = F.when(score.isNull() | (score < config.min_score), "low_confidence")
     return out.when(gap > most, "mrp_mismatch").when(score < config.strict_score, "below_strict_tier") if config.strict else out
+
+
+def all_or_nothing(brand: Column, gender_ok: Column, garment_ok: Column, mrp_ok: Column, fit_ok: Column, fit_same: Column, pattern_ok: Column, pattern_same: Column, title: Column, colour_same: Column) -> Column:
+    """(score, ditto) of the older scorer: a candidate is the same product only if every check holds; others keep 0.4 of the score.
+
+    ``garment_ok`` needs both sides known; ``*_same`` and ``colour_same`` are null where a side is unknown."""
+    f = lambda c: F.coalesce(c, F.lit(False))
+    ditto = (brand >= 0.8) & f(gender_ok) & f(garment_ok) & f(mrp_ok) & f(fit_ok) & f(pattern_ok)
+    half = lambda same: F.when(f(same), 1.0).otherwise(0.5)
+    hue = F.when(colour_same, 1.0).when(~colour_same, 0.3).otherwise(0.6)
+    raw = 0.30 * brand + 0.24 * f(mrp_ok).cast("int") + 0.14 * f(garment_ok).cast("int") + 0.10 * half(fit_same) + 0.08 * half(pattern_same) + 0.08 * title + 0.06 * hue
+    return F.struct(F.round(F.when(ditto, raw).otherwise(raw * 0.4), 4).alias("score"), ditto.alias("ditto"))
+
+
+def cheapest(prices: dict[str, Column]) -> Column:
+    """The platform with the least price; ties go to the first, missing prices never win."""
+    least = F.least(*prices.values()) if len(prices) > 1 else next(iter(prices.values()))
+    return F.coalesce(*[F.when(p == least, F.lit(n)) for n, p in prices.items()])

@@ -294,3 +294,26 @@ def queries(brand_: Column, gender_: Column, kind: Column, colour: Column, patte
     shared = clean(F.array(joined(brand_, g, k), joined(brand_, g, k, c)))
     specific = clean(F.array(joined(brand_, g, k, F.array_join(F.slice(extra, 1, 2), " ")), joined(brand_, g, k, p, c)))
     return shared, F.array_except(specific, shared)
+
+
+def garment_from_path(path: Column, tax: Taxonomy = DEFAULT) -> Column:
+    """From a breadcrumb, deepest part first."""
+    return F.get(F.filter(F.transform(F.reverse(path), lambda p: garment(p, tax=tax)), lambda g: g.isNotNull()), F.lit(0))
+
+
+def gender_from_detail(stated: Column, path: Column) -> Column:
+    """From a stated gender, else from the breadcrumb's first part that has one."""
+    return F.coalesce(gender(stated), F.get(F.filter(F.transform(path, gender), lambda g: g.isNotNull()), F.lit(0)))
+
+
+def small_rendition(url: Column) -> Column:
+    """An image link to a small rendition, where the link shows its size; others stay as they are."""
+    # The renditions that the image hosts offer, by how their links show the size.
+    shapes = ((r"/\d{3,4}Wx\d{3,4}H/", "/158Wx198H/"), (r"_\d{3,4}Wx\d{3,4}H_", "_158Wx198H_"), (r"-\d{3,4}Wx\d{3,4}H-", "-286Wx359H-"))
+    params = ((r"([,(/])h_\d{3,4}", "$1h_256"), (r"([,(/])w_\d{3,4}", "$1w_192"), (r"([,(/])q_\d{2,3}", "$1q_60"), (r"dpr_\d", "dpr_1"))
+    for pattern_, by in shapes:
+        url = F.regexp_replace(url, pattern_, by)
+    changed = url
+    for pattern_, by in params:
+        changed = F.regexp_replace(changed, pattern_, by)
+    return F.when(url.contains("myntassets.com"), changed).otherwise(url)

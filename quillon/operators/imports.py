@@ -46,3 +46,25 @@ def parsed_csv(lines: DataFrame) -> DataFrame:
     take = lambda i: F.regexp_extract_all("line", F.lit(cell), F.lit(i))
     both = F.zip_with(take(1), take(2), lambda q, p: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p)))
     return lines.where(F.trim("line") != "").select("row", both.alias("cells"))
+
+
+def problem(filename: str, size: int, found: int, most: int) -> str | None:
+    """Why an upload is refused, null if it isn't; from its name, its size and how many products it names."""
+    if not size:
+        return "empty_upload"
+    if filename.rsplit(".", 1)[-1].lower() not in ("xlsx", "xlsm", "csv"):
+        return "unsupported_format"
+    return "no_links_found" if not found else "too_many_rows" if found > most else None
+
+
+def summary(found: DataFrame, distinct: DataFrame, hosts: dict[str, str] = HOSTS) -> DataFrame:
+    """What a dry run tells: rows with a product, products, repeated rows, and hints for each rival."""
+    rows_ = found.agg(F.count("*").alias("rows"))
+    items_ = distinct.agg(F.count("*").alias("products"), *[F.count(h).alias(f"hints_{h}") for h in hosts])
+    return rows_.join(F.broadcast(items_)).withColumn("repeated", F.col("rows") - F.col("products"))
+
+
+def template(spark, own: str = "https://shop.example/x/p-mp000000000000001", rival: str = "https://www.myntra.com/x/1") -> DataFrame:
+    """An example sheet: a link with a rival's link, a link alone, and a bare id."""
+    rows_ = [(1, own, rival, None, "with a rival's link, whose agreement is reported"), (2, own[:-1] + "2", None, None, "a link alone"), (3, "MP000000000000003", None, None, "a bare id")]
+    return spark.createDataFrame(rows_, "n int, product string, myntra string, ajio string, note string")

@@ -79,3 +79,14 @@ def page_fields(pages: DataFrame) -> DataFrame:
     part = lambda p: F.try_parse_url(F.col("url"), F.lit(p))
     body = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
     return pages.select("page_id", F.lower(part("HOST")).alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), t.plain(body).alias("text"))
+
+
+def resolved(ids: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
+    """Each id with the row of the first source that has it (as ``found``) and that source's place; null without one."""
+    out = ids
+    for i, source in enumerate(sources):
+        one = first_by(source, [key], key).select(key, F.struct("*").alias(f"_s{i}"))
+        out = out.join(one, key, "left")
+    names = [f"_s{i}" for i in range(len(sources))]
+    where = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)])
+    return out.withColumns({"found": F.coalesce(*names), "source": where}).drop(*names)

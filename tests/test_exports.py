@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillon.operators import exports, images, reports, sizechart
-from quillon.sources import charts
+from quillon.functions import decision as dec
+from quillon.functions import text as t
+from quillon.operators import exports, images, imports, reports, sizechart
+from quillon.sources import charts, landed
 from quillon.streaming import pacing
 
 ANCHOR = "id string, brand string, title string, category string, gender string, price double, fresh boolean"
@@ -61,3 +63,35 @@ def test_report_texts(spark):
     d = spark.createDataFrame([([("S", True), ("M", None), ("L", False)],), ([],), (None,)], "s array<struct<size:string,available:boolean>>")
     assert [r[0] for r in d.select(reports.size_sentence(F.col("s"))).collect()] == ["In stock: S. Sold out: M, L", None, None]
     assert [r[0] for r in spark.createDataFrame([(5.0,), (20.0,), (30.0,), (None,)], "d double").select(reports.colour_verdict(F.col("d"))).collect()] == ["best", "moderate", "low", "na"]
+
+
+def test_details_and_renditions(spark):
+    d = spark.createDataFrame([(None, ["Men's Clothing", "Casual", "T-shirts & Polos"]), ("Women", None)], "g string, p array<string>")
+    assert [tuple(r) for r in d.select(t.garment_from_path(F.col("p")), t.gender_from_detail(F.col("g"), F.col("p"))).collect()] == [("tshirt", "men"), (None, "women")]
+    links = ["https://x.example/a/437Wx649H/b.jpg", "https://y.example/-473Wx593H-z.jpg", "https://assets.myntassets.com/h_720,q_90,w_540/v1/dpr_2.jpg", "plain", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in links], "u string").select(t.small_rendition(F.col("u"))).collect()]
+    assert got == ["https://x.example/a/158Wx198H/b.jpg", "https://y.example/-286Wx359H-z.jpg", "https://assets.myntassets.com/h_256,q_90,w_192/v1/dpr_1.jpg".replace("q_90", "q_60"), "plain", None]
+
+
+def test_older_scorer_and_cheapest(spark):
+    lit = F.lit
+    yes, no, unknown = lit(True), lit(False), lit(None).cast("boolean")
+    row = spark.range(1).select(
+        dec.all_or_nothing(lit(1.0), yes, yes, yes, yes, unknown, yes, unknown, lit(1.0), unknown).alias("a"), dec.all_or_nothing(lit(1.0), yes, yes, no, yes, yes, yes, yes, lit(1.0), yes).alias("b"),
+        dec.cheapest({"p": lit(None).cast("double"), "q": lit(2.0), "r": lit(2.0)}).alias("c")).first()
+    assert tuple(row["a"]) == (0.886, True) and tuple(row["b"]) == (0.304, False) and row["c"] == "q"
+
+
+def test_import_checks(spark):
+    assert [imports.problem(*x) for x in (("a.csv", 0, 0, 9), ("a.txt", 1, 1, 9), ("a.CSV", 1, 0, 9), ("a.xlsx", 1, 10, 9), ("a.xlsm", 1, 9, 9))] == ["empty_upload", "unsupported_format", "no_links_found", "too_many_rows", None]
+    sheet = imports.template(spark)
+    cells = sheet.select(F.lit("s").alias("sheet"), F.col("n").alias("row"), F.posexplode(F.array("product", "myntra", "ajio", "note")).alias("col", "text"))
+    found = imports.rows(cells)
+    assert imports.summary(found, imports.items(found)).first().asDict() == {"rows": 3, "products": 3, "hints_myntra": 1, "hints_ajio": 0, "hints_nykaa": 0, "repeated": 0}
+
+
+def test_lookups_fall_back(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    first, second = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "a")], [(1, "b"), (2, "c")]))
+    got = {r["id"]: (r["found"] and r["found"]["v"], r["source"]) for r in landed.resolved(ids, "id", first, second).collect()}
+    assert got == {1: ("a", 0), 2: ("c", 1), 3: (None, None)}
