@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, lm, neardup, packing, pii, quality, tokencount, toxicity
+from quillon.llm import chat, decontaminate, lm, neardup, packing, pii, quality, tokencount, toxicity, warc
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -28,6 +28,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(given.unionByName(added))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a response, and the two records derived from it as they stand in a file."""
+    derived = warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep=["page_id"])
+    return derived.select("page_id", "record_type", "record_id", "refers_to", "source_payload_digest", "digest_check", warc.rendered(derived).alias("record"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,7 +63,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op5_toxicity, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op4_warc_derivatives, op5_toxicity, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data, op10_lm_score)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -75,7 +81,43 @@ f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
   + 64 * (word_chars > 25 * n_words)::INT + 128 * (100 * n_exclaim > 50 * n_words)::INT AS BIGINT) AS failures FROM m)
 """
 
+
+
+def _identifier(name: str) -> str:
+    """SQL of ``warc.identifier``."""
+    h = f"sha1({name})"
+    return f"('<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32] || '>')"
+
+
+def _decoded(text: str) -> str:
+    """SQL that decodes the entities that ``pages`` uses, which HTML takes without their semicolon too; the operator knows all of them."""
+    for entity, code in (("copy", 169), ("middot", 183), ("nbsp", 160), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+        text = f"regexp_replace({text}, '&{entity};?', chr({code}), 'g')"
+    return text
+
+
+_BREAKS = "|".join(sorted(warc.BREAKS, key=len, reverse=True))
+_WARC = rf"""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\x00-\x1F\x7F]+', ' ', 'g') AS uri, coalesce(html, '') AS body, chr(13) || chr(10) AS nl FROM pages),
+s AS (SELECT *, 'sha256:' || sha256(body) AS pd, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(body) || nl || nl || body AS block,
+  regexp_replace(regexp_replace(body, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)', '', 'g'), '(?is)<title\b.*?(</title\s*>|\z)', chr(10), 'g') AS shown FROM p),
+i AS (SELECT *, {_identifier("concat_ws('|', 'response', page_id, pd, uri)")} AS rid, CASE WHEN uri <> '' THEN 'WARC-Target-URI: ' || uri || nl ELSE '' END AS target,
+  trim(regexp_replace({_decoded("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)")}, '[ \t\n\f\r]+', ' ', 'g')) AS title,
+  list_transform(regexp_extract_all(shown, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: 'Outlink: ' || {_decoded("x")} || nl) AS links,
+  string_split(regexp_replace({_decoded(rf"regexp_replace(regexp_replace(regexp_replace(shown, '[ \t\n\f\r]+', ' ', 'g'), '(?i)</?({_BREAKS})([ /][^>]*)?(>|\z)', chr(10), 'g'), '<[!?/a-zA-Z][^>]*(>|\z)', '', 'g')")}, ' {{2,}}', ' ', 'g'), chr(10)) AS lines FROM s),
+j AS (SELECT *, {_identifier("'metadata|' || rid")} AS mid, {_identifier("'conversion|' || rid")} AS cid, array_to_string(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM i),
+k AS (SELECT *, 'Source-WARC-Type: response' || nl || 'Source-WARC-Record-ID: ' || rid || nl || 'Source-WARC-Date: {warc.UNDATED}' || nl || CASE WHEN uri <> '' THEN 'Source-' || target ELSE '' END
+  || 'Source-WARC-Payload-Digest: ' || pd || nl || 'Source-WARC-Block-Digest: sha256:' || sha256(block) || nl || 'Source-Content-Type: application/http; msgtype=response' || nl || 'Source-Content-Length: ' || strlen(block) || nl
+  || 'HTTP-Status: HTTP/1.1 200 OK' || nl || 'HTTP-Header-Content-Type: text/html; charset=utf-8' || nl || 'HTTP-Header-Content-Length: ' || strlen(body) || nl || 'Payload-Digest-Check: match' || nl || 'Charset: utf-8' || nl
+  || CASE WHEN title <> '' THEN 'Title: ' || title || nl ELSE '' END || 'Conversion-Record-ID: ' || cid || nl || array_to_string(links, '') AS fields FROM j),
+r AS (SELECT page_id, 'metadata' AS record_type, mid AS record_id, rid AS refers_to, pd, fields AS data, 'application/warc-fields' AS media, target, nl FROM k
+  UNION ALL SELECT page_id, 'conversion', cid, rid, pd, text, 'text/plain; charset=utf-8', target, nl FROM k)
+SELECT page_id, record_type, record_id, refers_to, pd AS source_payload_digest, 'match' AS digest_check,
+  'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Date: {warc.UNDATED}' || nl || 'WARC-Refers-To: ' || refers_to || nl || target
+  || 'WARC-Block-Digest: sha256:' || sha256(data) || nl || 'Content-Type: ' || media || nl || 'Content-Length: ' || strlen(data) || nl || nl || data AS record FROM r"""
+
 ORACLES = {
+    "op4_warc_derivatives": _WARC,
     "op3_chat_format": r"""
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
