@@ -1,16 +1,16 @@
 """Scoring texts by an n-gram model whose counts lie in a log-frequency Bloom filter.
 
-1. Tasks count the distinct words and bigrams of chunks of training texts and deal them over hash parts as packed sorted
-   arrays; each part sums its own. Nothing is a row for each token.
-2. Words with the highest counts, ``MOST_HELD`` at most, are broadcast with their exact counts. If the vocabulary is larger, a text's
-   other words are looked up by a join of (text, word) rows with the counts: so every token gets its exact count
-   and the broadcast stays bounded.
-3. Bigram counts are quantised to levels (thresholds grow by ``BASE``) and each bigram is put into the
+1. Texts are written once with a chunk number. Tasks count the distinct words of chunks of training texts and deal them
+   over hash parts as packed sorted arrays; each part sums its own. Nothing is a row for each token.
+2. Words with the highest counts, ``MOST_HELD`` at most, are broadcast with their exact counts.
+3. Each chunk, of whatever texts, deals its distinct bigrams and the words that aren't held over hash parts in the same
+   way, with their counts in training texts. A part sums them and sends each chunk the counts of those it has asked for;
+   so every token gets its count, whatever the size of the corpus, and no broadcast grows with it.
+4. Bigram counts are quantised to levels (thresholds grow by ``BASE``) and each bigram is put into the
    filter once for each level that it reaches; so probing level after level, until one is
-   missing, gives the count back. Each part builds its own segment of the filter. The filter has
-   at most ``MOST_BITS`` bits, ``BITS`` for each entry: the least count that is held is the smallest with which all its
-   entries fit. It is broadcast within that bound. Words that aren't held lie in a filter of their own.
-4. P(word | before) = WEIGHT * count(before word) / count(before) + (1 - WEIGHT) * P(word); a word's own probability is
+   missing, gives the count back. Each part builds and probes its own segment of the filter, with ``BITS`` bits for each
+   entry. Every bigram of the training texts is in it. Counts of words are exact.
+5. P(word | before) = WEIGHT * count(before word) / count(before) + (1 - WEIGHT) * P(word); a word's own probability is
    (c + 0.5) / (N + 0.5 (V + 1)).
 
 Training texts: those whose crc32(id as text) mod 5 isn't 1. Tokens: words in lower case (A-Z), then one end.
@@ -21,6 +21,8 @@ rows count and are scored each for itself; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,6 @@ CHUNK = 2 << 20
 BASE = 1.5
 BITS = 12
 PROBES = 6
-MOST_BITS = 1 << 27
-MOST_LEAST = 64
 WEIGHT = 0.3
 END = np.uint64(0x51ED270B7A3F4C15)
 WORDS, PAIRS = 0, 1
@@ -102,30 +102,52 @@ def large(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-def count_chunks(docs: DataFrame, parts: int) -> DataFrame:
-    """Distinct words and pairs of every chunk of training texts (doc_id, text), by part."""
+def chunked(texts: DataFrame) -> DataFrame:
+    """Texts with the number of their chunk and whether they are training texts. Numbers are drawn, so this is to be written before use."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             column = batch.column("text")
             for a, b in column_chunks(column, CHUNK):
-                tokens, many = token_hashes(column.slice(a, b - a).to_pylist())
-                rows = []
-                for kind, all_keys in ((WORDS, tokens), (PAIRS, pair_hashes(tokens, many)[0])):
-                    keys, counts = np.unique(all_keys, return_counts=True)
-                    at = np.searchsorted(part_of(keys, parts, kind), np.arange(parts + 1))
-                    rows += [(kind, p, j - i, packed(keys[i:j]), small(counts[i:j])) for p, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if j > i]
+                chunk = int.from_bytes(os.urandom(8), "little") >> 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "train", "text"))], ["chunk", "doc_id", "train", "text"])
+
+    return texts.select("doc_id", (residue("doc_id", 5) != 1).alias("train"), "text").mapInArrow(run, "chunk long, doc_id long, train boolean, text string")
+
+
+def runs(chunk: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where the same chunk goes on."""
+    at = [*np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)]).tolist(), len(chunk)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def dealt(keys: np.ndarray, counts: np.ndarray, parts: int, kind: int) -> list[tuple]:
+    """(kind, part, n, keys, counts) of sorted keys."""
+    at = np.searchsorted(part_of(keys, parts, kind), np.arange(parts + 1)).tolist()
+    return [(kind, p, j - i, packed(keys[i:j]), small(counts[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+
+
+def count_chunks(chunks: DataFrame, parts: int) -> DataFrame:
+    """Distinct words of every chunk of training texts, by part."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            for a, b in column_chunks(batch.column("text"), CHUNK):
+                tokens, _ = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
+                rows = dealt(*np.unique(tokens, return_counts=True), parts, WORDS)
                 for i in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["kind", "part", "n", "keys", "counts"])
 
-    return docs.select("text").mapInArrow(run, "kind int, part int, n long, keys binary, counts binary")
+    return chunks.where("train").select("text").mapInArrow(run, "kind int, part int, n long, keys binary, counts binary")
 
 
 def sum_parts(rows: DataFrame) -> DataFrame:
-    """``kind, part, n, keys, counts`` summed; ``total``; ``entries`` and ``least``: for each least count, how many filter entries and keys there are."""
+    """``kind, part, n, keys, counts`` summed; ``total``; ``least``: for each power of two, how many keys have such a count."""
 
     def run(group):
         import pyarrow as pa
@@ -137,13 +159,76 @@ def sum_parts(rows: DataFrame) -> DataFrame:
         every, given = every[order], given[order]
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         keys, counts = every[first], np.add.reduceat(given, first)
-        entries = [int(np.searchsorted(levels(k), counts[counts >= k], "right").sum()) for k in range(1, MOST_LEAST + 1)]
         least = [int((counts >= 1 << k).sum()) for k in range(40)]
-        row = [[group.column("kind")[0].as_py()], [group.column("part")[0].as_py()], [len(keys)], [packed(keys)], [small(counts)], [int(counts.sum())], [entries], [least]]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["kind", "part", "n", "keys", "counts", "total", "entries", "least"])
+        row = [[group.column("kind")[0].as_py()], [group.column("part")[0].as_py()], [len(keys)], [packed(keys)], [small(counts)], [int(counts.sum())], [least]]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["kind", "part", "n", "keys", "counts", "total", "least"])
+
+    return rows.groupBy("kind", "part").applyInArrow(run, "kind int, part int, n long, keys binary, counts binary, total long, least array<long>")
+
+
+def asked(chunks: DataFrame, parts: int, held, words_too: bool) -> DataFrame:
+    """Distinct bigrams of every chunk, and with ``words_too`` its words that aren't held, with their counts in its training texts, by part."""
 
-    return rows.groupBy("kind", "part").applyInArrow(run, "kind int, part int, n long, keys binary, counts binary, total long, entries array<long>, least array<long>")
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            for a, b in runs(chunk):
+                tokens, many = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
+                train = np.repeat(batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False), many)
+                rows = []
+                for kind, all_keys in ((PAIRS, pair_hashes(tokens, many)[0]), *([(WORDS, tokens)] if words_too else [])):
+                    keys, where = np.unique(all_keys, return_inverse=True)
+                    counts = np.bincount(where[train], minlength=len(keys))
+                    if kind == WORDS:
+                        other = ~located(keys, held.value[0])[0]
+                        keys, counts = keys[other], counts[other]
+                    rows += [(int(chunk[a]), *r) for r in dealt(keys, counts, parts, kind)]
+                for i in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["chunk", "kind", "part", "n", "keys", "counts"])
+
+    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk long, kind int, part int, n long, keys binary, counts binary")
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """For each chunk and part the levels of the chunk's bigrams, or counts of its words, in the order of their hashes."""
+
+    def run(group):
+        import pyarrow as pa
+
+        kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
+        n = group.column("n").to_pylist()
+        every = np.concatenate([unpacked(x, k) for x, k in zip(group.column("keys").to_pylist(), n, strict=True)])
+        given = np.concatenate([large(x, k) for x, k in zip(group.column("counts").to_pylist(), n, strict=True)])
+        keys, where = np.unique(every, return_inverse=True)
+        counts = np.bincount(where, given).astype(np.int64)
+        if kind == PAIRS:
+            seen = counts > 0
+            counts = Filter({0: segment(keys[seen], counts[seen], 1).tobytes()}, 1, 1).levels(keys)
+        counts = counts[where]
+        first = np.cumsum(n) - n
+        own: dict[int, list] = {}
+        for c, i, k in zip(group.column("chunk").to_pylist(), first.tolist(), n, strict=True):
+            own.setdefault(c, []).append(slice(i, i + k))
+        rows = []
+        for c, places in own.items():
+            got = counts[places[0]]
+            if len(places) > 1:  # the chunk was read in pieces
+                got = np.concatenate([counts[p] for p in places])[np.unique(np.concatenate([every[p] for p in places]), return_index=True)[1]]
+            rows.append((c, kind, part, len(got), small(got)))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "kind", "part", "n", "counts"])
+
+    return requests.groupBy("kind", "part").applyInArrow(run, "chunk long, kind int, part int, n long, counts binary")
+
+
+def located(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where."""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    return (known[at] == keys if len(known) else np.zeros(len(keys), bool)), at
 
 
 def addresses(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
@@ -181,8 +266,8 @@ class Filter:
         self.bytes = np.concatenate(held)
         self.parts, self.kind, self.values = n_parts, kind, level_values(least)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of keys, by probing level after level."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of keys, by probing one after another."""
         out = np.zeros(len(keys), np.int64)
         part = part_of(keys, self.parts, self.kind)
         live = np.arange(len(keys))
@@ -195,31 +280,15 @@ class Filter:
                 ok[still] = (self.bytes[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
             live = live[ok]
             out[live] = level
-        return self.values[out]
-
+        return out
 
-def build_filter(summed: DataFrame, parts: int, kind: int, below: int = 1 << 40) -> Filter:
-    """The filter of all keys of a kind with a count under ``below``, within ``MOST_BITS``."""
-    own = summed.where(F.col("kind") == kind)
-    sums = [r["n"] for r in own.select(F.posexplode("entries").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()]
-    least = next((k for k, n in enumerate(sums, 1) if n * BITS <= MOST_BITS), MOST_LEAST)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            made = []
-            for n, k, c in zip(batch.column("n").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = unpacked(k, n), large(c, n)
-                made.append(segment(keys[counts < below], counts[counts < below], least).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(made, pa.binary())], ["part", "bits"])
-
-    rows = own.select("part", "n", "keys", "counts").mapInArrow(run, "part int, bits binary").collect()  # MOST_BITS at most
-    return Filter({r["part"]: bytes(r["bits"]) for r in rows}, parts, least, kind)
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts of keys."""
+        return self.values[self.levels(keys)]
 
 
-def _unpacked_words(summed: DataFrame, low: int, high: int) -> DataFrame:
-    """``word, c`` with counts from ``low`` to below ``high``."""
+def _unpacked_words(summed: DataFrame, low: int) -> DataFrame:
+    """``word, c`` with counts from ``low`` on."""
 
     def run(batches):
         import pyarrow as pa
@@ -227,73 +296,61 @@ def _unpacked_words(summed: DataFrame, low: int, high: int) -> DataFrame:
         for batch in batches:
             for n, k, c in zip(batch.column("n").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 keys, counts = unpacked(k, n), large(c, n)
-                keep = (counts >= low) & (counts < high)
+                keep = counts >= low
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["word", "c"])
 
-    return summed.where(F.col("kind") == WORDS).select("n", "keys", "counts").mapInArrow(run, "word long, c long")
+    return summed.select("n", "keys", "counts").mapInArrow(run, "word long, c long")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_held: int = MOST_HELD) -> DataFrame:
     """A row for each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
     parts = max(12, 2 * docs.rdd.getNumPartitions())
-    texts = text_of(docs, id_col, text_col)
-    summed = written(sum_parts(count_chunks(texts.where(residue("doc_id", 5) != 1), parts)), "counts")
-    words = summed.where(F.col("kind") == WORDS)
+    chunks = written(chunked(text_of(docs, id_col, text_col)), "chunks")
+    words = written(sum_parts(count_chunks(chunks, parts)), "counts")
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sizes = [r["n"] for r in words.select(F.posexplode("least").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()]
     low = next((1 << k for k, m in enumerate(sizes) if m <= most_held), 1)
-    held = _unpacked_words(summed, low, 1 << 40).toArrow()  # most_held rows at most
+    held = _unpacked_words(words, low).toArrow()  # most_held rows at most
     keys, counts = held.column("word").to_numpy().view(np.uint64), held.column("c").to_numpy().astype(np.uint32)
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((keys[order], counts[order], build_filter(summed, parts, PAIRS), build_filter(summed, parts, WORDS, low) if low > 1 else None))
+    model = spark.sparkContext.broadcast((keys[order], counts[order]))
     log_total = float(np.log10(n + 0.5 * (v + 1)))
 
-    def run(batches):
+    def run(texts, answers):
         import pyarrow as pa
 
-        known, exact, pairs, others = model.value
-        for batch in batches:
-            ids, key, column = batch.column("doc_id"), batch.column("key"), batch.column("text")
-            for a, b in column_chunks(column, CHUNK):
-                tokens, many = token_hashes(column.slice(a, b - a).to_pylist())
-                first = np.cumsum(many) - many
-                distinct, number = np.unique(np.r_[tokens, END], return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
-                found = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-                c = np.where(found, exact[at].astype(np.int64) if len(known) else 0, 0)
-                near = c.astype(float)  # what the model takes for counts
-                if others is not None:
-                    near[~found] = np.minimum(others.counts(distinct[~found]), low)
-                own = (near + 0.5) / 10.0**log_total
-                number, end = number[:-1], number[-1]
-                keyed, _ = pair_hashes(tokens, many)
-                pair, where = np.unique(keyed, return_inverse=True)
-                joint = pairs.counts(pair)[where]
-                before = np.r_[end, number[:-1]][: len(number)]
-                before[first] = end  # each training text has one
-                whole = np.maximum(near[before], 1)
-                p = WEIGHT * np.minimum(joint, whole) / whole + (1 - WEIGHT) * own[number]
-                total = lambda x, first=first: np.add.reduceat(x, first)
-                base = np.where(found, np.log10(c + 0.5), 0.0 if others is not None else np.log10(0.5))
-                rest = np.flatnonzero(~found[number]) if others is not None else np.zeros(0, np.int64)
-                owner = np.searchsorted(first, rest, "right") - 1
-                offsets = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rest].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), key.slice(a, b - a), pa.array(many), pa.array(total((c > 0).astype(np.int64)[number])), pa.array(total(base[number])), pa.array(total(np.log10(p))), rare],
-                    ["doc_id", "key", "n_tokens", "n_known", "base", "score", "rare"],
-                )
-
-    schema = "doc_id long, key long, n_tokens long, n_known long, base double, score double, rare array<long>"
-    rows = texts.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
-    if low > 1:
-        rows = written(rows, "scored")
-        once = rows.where(F.size("rare") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("rare").alias("word"))
-        counted = once.groupBy("doc_id", "key", "word").agg(F.count("*").alias("k")).join(_unpacked_words(summed, 1, low), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        more = counted.groupBy("doc_id", "key").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
-        more = more.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-        rows = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
-        rows = rows.withColumn("base", F.col("base") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("also", F.lit(0)))
-    base = F.col("base") - F.col("n_tokens") * F.lit(log_total)
-    return rows.select("doc_id", (residue("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        known, exact = model.value
+        answers = answers.sort_by("part")
+
+        def sent(kind: int, many: int) -> np.ndarray:
+            got = [large(x, k) for q, k, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "counts")), strict=True) if q == kind]
+            out = np.concatenate([np.zeros(0, np.int64), *got])
+            if len(out) != many:
+                raise ValueError(f"{len(out)} counts for {many} keys of kind {kind}")
+            return out
+
+        tokens, many = token_hashes(texts.column("text").to_pylist())
+        first = np.cumsum(many) - many
+        distinct, number = np.unique(tokens, return_inverse=True)
+        found, at = located(distinct, known)
+        c = np.where(found, exact[at].astype(np.int64) if len(known) else 0, 0)
+        if low > 1:
+            c[~found] = sent(WORDS, int((~found).sum()))
+        own = (c + 0.5) / 10.0**log_total
+        end = int(np.searchsorted(distinct, END))
+        pair, where = np.unique(pair_hashes(tokens, many)[0], return_inverse=True)
+        joint = level_values(1)[sent(PAIRS, len(pair))][where]
+        before = np.r_[end, number[:-1]]
+        before[first] = end  # each training text has one
+        whole = np.maximum(c[before], 1)
+        p = WEIGHT * np.minimum(joint, whole) / whole + (1 - WEIGHT) * own[number]
+        total = lambda x: np.add.reduceat(x, first)
+        base = total(np.log10(c + 0.5)[number]) - many * log_total
+        columns = [texts.column("doc_id"), texts.column("train"), pa.array(many), pa.array(total((c > 0).astype(np.int64)[number])), pa.array(base), pa.array(total(np.log10(p)))]
+        return pa.table(columns, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    answers = answered(asked(chunks, parts, model, low > 1))
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

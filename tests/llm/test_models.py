@@ -111,3 +111,20 @@ def test_filter_holds_counts():
 
 def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_bounds(spark, sf_dir, monkeypatch):
+    """Neither a bound on the filter's bits nor on the words held changes a score."""
+    frame = table(spark, sf_dir, "documents")
+    want = Counter(map(tuple, lm.score(frame).collect()))
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 14, raising=False)  # there is no such bound any more
+    monkeypatch.setattr(lm, "CHUNK", 1 << 14)
+    assert Counter(map(tuple, lm.score(frame).collect())) == want
+    assert Counter(map(tuple, lm.score(frame, most_held=300).collect())) == want
+
+
+def test_lm_chunk_read_in_pieces(spark):
+    keys = [np.array(x, np.uint64) for x in ([3, 9, 20], [9, 40], [3, 40])]
+    rows = [(c, lm.WORDS, 0, len(k), lm.packed(k), lm.small(np.ones(len(k), int))) for c, k in zip((1, 1, 2), keys, strict=True)]
+    got = lm.answered(spark.createDataFrame(rows, "chunk long, kind int, part int, n long, keys binary, counts binary")).collect()
+    assert {r["chunk"]: lm.large(r["counts"], r["n"]).tolist() for r in got} == {1: [2, 2, 1, 2], 2: [2, 2]}
