@@ -1,14 +1,16 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared letter by letter after lower-casing and turning each run of other characters into
-one space. Benchmark items are cut into passages of ``PASSAGE`` letters, each overlapping the next by half
-(the last ends with the item). A passage of m letters that occurs with at most e edits shares at least
+one space. Benchmark items are cut into passages of ``PASSAGE`` and of ``SHORT`` letters, each beginning as many letters
+after the one before as its edit budget (the last ends with the item); so a verbatim quote of ``SHORT`` letters and the
+budget of such a passage, less one, holds a passage wherever it begins. A passage of m letters that occurs with at most e edits shares at least
 m + 1 - q(e + 1) q-grams with the place where it occurs, on diagonals at most e apart. So q-grams that
 a text shares with passages are counted in bands of 2e diagonals, each overlapping the next by e; bands
 that reach the bound are kept, and aligned with the passage inside the band.
 The edit budget is ``EDIT_RATE`` of a passage, lowered for short ones so that the bound stays at
 ``LEAST_SHARED``; passages under q + ``LEAST_SHARED`` letters must occur as they are, and items with
-fewer than q letters are not searched for.
+fewer than q letters are not searched for. Places of an item's passages that overlap are one region; every region is
+a row, with the most edits of its passages and the letters of the longest.
 
 The benchmark is the stated query set: it goes to the workers in blocks of about ``BLOCK_LETTERS``, each
 against all documents, so that no broadcast grows with it. Documents are neither shuffled nor gathered.
@@ -30,9 +32,10 @@ from quillon.llm.tokencount import chunks
 
 Q = 9
 PASSAGE = 110
+SHORT = 55
 EDIT_RATE = 0.1
 LEAST_SHARED = 12
-BLOCK_LETTERS = 4_000_000
+BLOCK_LETTERS = 250_000
 SCAN = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE, GAP = 32, 0
@@ -83,36 +86,65 @@ def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
         return (out ^ (out >> np.uint64(29))) * PRIME
 
 
+def budgets(size: np.ndarray, q: int, rate: float) -> np.ndarray:
+    """Edits that passages of such sizes may have."""
+    return np.maximum(0, np.minimum((size * rate).astype(np.int64), (size + 1 - LEAST_SHARED) // q - 1))
+
+
+def spread(values: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value as often as ``many`` says, and the places from ``first`` on."""
+    out = np.repeat(values, many)
+    return out, np.repeat(first, many) + np.arange(len(out)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some sorted ones."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 class Passages:
     """The index of a block of the benchmark."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE, passage: int = PASSAGE):
         self.q = q
-        self.code, self.item, grams, owner, place = [], [], [], [], []
+        self.code, self.item, grams, owner, place, letter, item_of, spot, n = [], [], [], [], [], [], [], [], 0
         for item_id, text in items:
             code, _ = letters(text or "")
             code = code[1:] if len(code) and code[0] == SPACE else code
             code = code[:-1] if len(code) and code[-1] == SPACE else code
             if len(code) < q:
                 continue
-            starts = sorted({*range(0, max(1, len(code) - passage + 1), passage // 2), max(0, len(code) - passage)})
-            for s in starts:
-                cut = code[s : s + passage]
-                h = gram_hashes(cut, q)
-                grams.append(h)
-                owner.append(np.full(len(h), len(self.code)))
-                place.append(np.arange(len(h)))
-                self.code.append(cut)
-                self.item.append(item_id)
+            every = gram_hashes(code, q)
+            grams.append(every)
+            item_of.append(np.full(len(every), len(item_of)))
+            spot.append(np.arange(len(every)))
+            for size in sorted({min(len(code), passage), min(len(code), passage, SHORT)} if len(code) > SHORT else {min(len(code), passage)}):
+                stride = max(1, int(budgets(np.array([size]), q, rate)[0]))
+                for s in sorted({*range(0, len(code) - size + 1, stride), len(code) - size}):
+                    owner.append(np.full(size - q + 1, len(self.code)))
+                    place.append(np.arange(size - q + 1))
+                    letter.append(n + s + place[-1])
+                    self.code.append(code[s : s + size])
+                    self.item.append(item_id)
+            n += len(every)
         self.size = np.array([len(x) for x in self.code], np.int64)
-        self.budget = np.maximum(0, np.minimum((self.size * rate).astype(np.int64), (self.size + 1 - LEAST_SHARED) // q - 1))
+        self.budget = budgets(self.size, q, rate)
         self.need = np.maximum(1, self.size + 1 - q * (self.budget + 1))
         if not self.code:
             return
         h = np.concatenate(grams)
         order = np.argsort(h, kind="stable")
         self.grams, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
-        self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
+        self.letter = order  # of the items' q-grams one after another
+        self.item_of, self.spot = np.concatenate(item_of), np.concatenate(spot)
+        letter = np.concatenate(letter)
+        order = np.argsort(letter, kind="stable")
+        self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]  # the passages of each letter
+        self.held = np.bincount(letter, minlength=n)
+        self.held_from = np.cumsum(self.held) - self.held
+        self.longest = int(self.spot.max()) + 1
         self.seen = np.zeros(1 << MAP_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - MAP_BITS)] = True
         self.span = int((self.size + self.budget).max()) + passage  # diagonals and bands moved up by it stay above zero
@@ -137,9 +169,22 @@ class Passages:
         hit, row = hit[stay], row[stay]
         if not len(hit):
             return []
-        many = self.many[row]
-        at = np.repeat(hit, many)
-        k = np.repeat(self.first[row], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        at, k = spread(hit, self.first[row], self.many[row])
+        letter = self.letter[k]
+        # a passage that is near enough has all it needs in a band of its item's diagonals
+        wide = max(1, int(self.budget.max()))
+        band = (at - self.spot[letter] + self.longest) // wide + 1
+        both = np.sort(np.concatenate([band << 32 | letter, (band - 1) << 32 | letter]))
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        both = np.sort((both >> 32) << 32 | self.item_of[both & 0xFFFFFFFF])
+        begin = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        full = both[begin][np.diff(np.r_[begin, len(both)]) >= self.least]
+        item = self.item_of[letter]
+        stay = among(band << 32 | item, full) | among((band - 1) << 32 | item, full)
+        at, letter = at[stay], letter[stay]
+        if not len(at):
+            return []
+        at, k = spread(at, self.held_from[letter], self.held[letter])
         owner, place = self.owner[k], self.place[k]
         diagonal = at - place
         out, exact = [], []
@@ -196,7 +241,7 @@ class Passages:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The best place of each item in each document that holds one: ``start`` and ``end`` are code points of the text."""
+    """The regions of each document that hold passages of an item: ``start`` and ``end`` are code points of the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
@@ -228,7 +273,7 @@ def _scan(docs: DataFrame, items, q: int, rate: float, id_col: str, text_col: st
 
 
 def scan_texts(passages: Passages, ids: list, texts: list[str]) -> list[tuple]:
-    """(doc_id, item_id, start, end, edits, passage letters): the best place of an item in each text."""
+    """(doc_id, item_id, start, end, edits, passage letters): the regions of an item in each text."""
     out: list[tuple] = []
     found = [letters(t) for t in texts]
     sizes = np.array([len(c) + 1 for c, _ in found])
@@ -236,20 +281,29 @@ def scan_texts(passages: Passages, ids: list, texts: list[str]) -> list[tuple]:
     code = np.full(int(sizes.sum()), GAP, np.uint32)
     for s, (c, _) in zip(starts, found, strict=True):
         code[s : s + len(c)] = c
-    best: dict[tuple[int, int], tuple] = {}
+    places: dict[tuple[int, int], set] = {}
     overlap = 2 * getattr(passages, "span", 0) + passages.q
     for s in range(0, len(code), SCAN):
         begin = max(0, s - overlap)
         for p, first, last, edits in passages.scan(code[begin : s + SCAN]):
             doc = int(np.searchsorted(starts, begin + last - 1, "right")) - 1
-            place = (edits, begin + first, begin + last, int(passages.size[p]))
-            key = (doc, passages.item[p])
-            if key not in best or place < best[key]:
-                best[key] = place
-    for (doc, item), (edits, first, last, size) in sorted(best.items(), key=lambda x: x[0]):
+            places.setdefault((doc, passages.item[p]), set()).add((begin + first, begin + last, edits, int(passages.size[p])))
+    for (doc, item), some in sorted(places.items(), key=lambda x: x[0]):
         at = found[doc][1]
-        a, b = int(min(max(0, first - starts[doc]), len(at) - 1)), int(min(last - starts[doc], len(at)))
-        out.append((ids[doc], item, int(at[a]), int(at[max(a, b - 1)]) + 1, edits, size))
+        for first, last, edits, size in regions(some):
+            a, b = int(min(max(0, first - starts[doc]), len(at) - 1)), int(min(last - starts[doc], len(at)))
+            out.append((ids[doc], item, int(at[a]), int(at[max(a, b - 1)]) + 1, edits, size))
+    return out
+
+
+def regions(places: set[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Places (start, end, edits, letters) with those that overlap as one: the most edits, the most letters."""
+    out: list[list[int]] = []
+    for first, last, edits, size in sorted(places):
+        if out and first < out[-1][1]:
+            out[-1][1:] = [max(out[-1][1], last), max(out[-1][2], edits), max(out[-1][3], size)]
+        else:
+            out.append([first, last, edits, size])
     return out
 
 

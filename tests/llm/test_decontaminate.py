@@ -74,3 +74,30 @@ def test_long_texts_are_scanned_in_overlapping_parts(monkeypatch):
     for at in (0, 900, 985, 1000, 1500):
         text = "x1 " * (at // 3) + "the quick brown fox jumps over the lazy dog, and runs away from the angry farmer's wife" + " y2" * 500
         assert len(d.scan_texts(p, [5], [text])) == 1
+
+
+def test_excerpts_of_all_offsets_and_regions():
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9)))
+    item, other = (norm(" ".join(word() for _ in range(60)))[:224] for _ in range(2))
+    p = d.Passages([(1, item), (2, other)])
+    filler = " ".join(word() for _ in range(30))
+    excerpts = [item[a : a + 60] for a in range(len(item) - 59)]
+    got = {i for i, k, *_ in d.scan_texts(p, list(range(len(excerpts))), [f"{filler} {x} {filler}" for x in excerpts]) if k == 1}
+    assert got == set(range(len(excerpts)))
+    rows = d.scan_texts(p, [0], [f"{item[20:90]} {filler} {filler} {item[100:170]} {filler}"])
+    assert len(rows) == 2 and rows[0][3] < rows[1][2]
+
+
+def test_items_with_changed_words():
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9)))
+    items, texts = [], []
+    for i in range(200):
+        w = [word() for _ in range(37)]
+        items.append((i, " ".join(w)))
+        for k in random.sample(range(37), 4):
+            w[k] = word()
+        texts.append(" ".join([word() for _ in range(20)] + w + [word() for _ in range(20)]))
+    got = {(i, k) for i, k, *_ in d.scan_texts(d.Passages(items), list(range(200)), texts)}
+    assert all(i == k for i, k in got) and len(got) >= 196
