@@ -4,17 +4,26 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers, each kind
 The patterns are written so that each run of characters is tried from its start alone; so long runs take
 linear time and match as the plain patterns do.
 
-Bootstrapping: each identifier-like word (six characters or more, with a digit or @) is an instance; the
-two words before it are its lexical pattern. Words of base spans are the seeds. In each round a pattern's
-confidence is the share of all its occurrences in the corpus (whatever follows) that known instances
-follow; patterns with ``MIN_VALUES`` distinct known values and ``MIN_CONFIDENCE`` are trusted, and an
-instance is known if 1 - prod(1 - confidence) over its trusted patterns reaches ``MIN_CONFIDENCE``. An
-instance that a round made known is marked wherever it occurs. Patterns and instances are rows,
-joined and aggregated; nothing is collected. Counts are taken over all documents; a common pattern or value
-is counted by partial aggregation.
+Bootstrapping:
+
+1. Seeds are all base spans, each as a whole, and secrets: quoted values of assignments (``name = "value"``) that look like a key,
+   hexadecimal of 32 digits or more or 20 characters or more with three digits, capitals and small letters each. Secrets are
+   spans of the kind ``secret`` themselves.
+2. Instances are the seeds, other assigned quoted values of 8 characters or more, and words of six
+   characters or more with a digit or @. The one, two or three tokens before an instance are its lexical patterns; tokens are words
+   and single marks of punctuation, within ``REACH`` code points.
+3. In each round a pattern's confidence is the share of all its occurrences in the corpus (whatever follows) that
+   known instances follow; patterns with ``MIN_VALUES`` distinct known values and ``MIN_CONFIDENCE`` are trusted, and an
+   instance is known if 1 - prod(1 - confidence) over its trusted patterns reaches ``MIN_CONFIDENCE``. Rounds end when
+   nothing new is known. An instance whose value is known is marked wherever it occurs, as ``other`` where it is no seed.
+
+Patterns and instances are rows, joined and aggregated. Occurrences are counted only of patterns with enough known values, found in the texts
+through a Bloom filter of ``PATTERNS_A_PASS`` patterns at most; more patterns are counted in several passes.
+Counts are taken over all documents; a common pattern or value is counted by partial aggregation.
 
 Defined cases: null texts are empty; null ids stay; repeated rows give the same spans again;
-an empty table gives no rows; other columns are ignored. Positions are code points, end exclusive.
+an empty table gives no rows; other columns are ignored; very long texts are searched whole, in time that is linear in their length
+(quadratic, with a small factor, in the number of matches in one text). Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -31,34 +40,54 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-ADDED = "other"
+#: Kinds that the method adds.
+SECRET, OTHER = "secret", "other"
+#: A quoted value behind a name and = or :, with that sign and the opening quote.
+ASSIGNED = r"""[=:](?<=[A-Za-z0-9_.-]\x20{0,3}[=:])\x20{0,3}["'][A-Za-z0-9+/_=.@%-]{8,}+(?=["'])"""
+OPENING = r"""^[=:]\x20*["']"""
+HEX_KEY = r"^(?=[0-9A-Fa-f]*+$)(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9]).{32,}"
+MIXED_KEY = r"^(?=[A-Za-z0-9+/_=-]{20,}+$)(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Z]*+[A-Z]){3})(?=(?:[^a-z]*+[a-z]){3})"
 WORDLIKE = "A-Za-z0-9._%+@/-"
 INSTANCE = rf"(?<![{WORDLIKE}])(?=[A-Za-z._%+/-]*+[0-9@])[{WORDLIKE}]{{6,}}+"
-MARK = "\x01"
+#: Marks that are tokens of their own.
+MARKS = r"""["'`=:<>()\[\]{},;]"""
+REACH = 96
+WINDOWS = 3
 MIN_VALUES = 3
 MIN_CONFIDENCE = 0.5
 ROUNDS = 3
 #: One in so many documents is looked at first, to drop patterns that are too common to be trusted.
 FIRST_LOOK = 16
-MOST_BITS = 22
+PATTERNS_A_PASS = 1 << 21
+BITS_A_PATTERN = 32
 PROBES = (0, 11, 22, 33)
+SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
+FOUND = "array<struct<start:int,end:int,value:string,before:string,whole:boolean>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern: array of (start, end, value). The text between them tells where they are."""
+    """Matches of a pattern: array of (start, end, value, before, whole). The text between them tells where they are.
+
+    ``before``: what lies between the last match and this one, its last ``REACH`` code points; ``whole``: its first token isn't cut."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     steps = F.filter(pairs, lambda x: x["value"].isNotNull())  # behind the last match there is a gap alone
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    state = F.struct(F.lit(0).alias("at"), _none(FOUND).alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        whole = (F.char_length(x["gap"]) <= REACH) & ((acc["at"] == 0) | x["gap"].rlike(r"^\s"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.substring(x["gap"], -REACH, REACH).alias("before"), whole.alias("whole"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(steps, state, put, lambda acc: acc["out"])
 
 
+def _none(kind: str) -> Column:
+    """An empty array."""
+    return F.from_json(F.lit("[]"), kind)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -80,20 +109,20 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans: array of (start, order, kind, end), sorted by start, then kind."""
+def base_found(text: Column) -> Column:
+    """All base matches: array of (start, place, kind, end, value, before, whole), sorted by start, then kind."""
     needs = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9]"), "phone": text.contains("+")}
 
     def part(place: int, kind: str, pattern: str) -> Column:
         ok = F.filter(located(text, pattern), lambda x: _valid(kind, x["value"]))
-        spans = F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-        return F.when(needs[kind], spans).otherwise(_no_spans())
+        found = F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["whole"].alias("whole")))
+        return F.when(needs[kind], found).otherwise(_none(SPAN[:-2] + ",value:string,before:string,whole:boolean>>"))
 
     return F.array_sort(F.concat(*[part(i, k, p) for i, (k, p) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))]))
 
 
-def _no_spans() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<start:int,place:int,kind:string,end:int>>")
+def _spans(found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
 def shown(spans: Column) -> Column:
@@ -101,105 +130,149 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(text: Column) -> Column:
-    """The words of a text with each identifier-like one as a mark, in lower case."""
-    return words(F.lower(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), INSTANCE, f" {MARK} ")))
+def assigned(text: Column) -> Column:
+    """The quoted values of assignments, like ``located``."""
 
+    def inner(x: Column) -> Column:
+        value = F.regexp_replace(x["value"], OPENING, "")
+        opening = F.regexp_extract(x["value"], OPENING, 0)
+        return F.struct((x["start"] + F.char_length(opening)).alias("start"), x["end"].alias("end"), value.alias("value"), F.concat(x["before"], opening).alias("before"), x["whole"].alias("whole"))
 
-def _pattern(w: Column, i: Column) -> Column:
-    """The two words before place ``i``; nothing before the first."""
-    return F.xxhash64(F.coalesce(F.get(w, i - 2), F.lit("")), F.coalesce(F.get(w, i - 1), F.lit("")))
+    return F.when(text.rlike(r"""[=:]\x20{0,3}["']"""), F.transform(located(text, ASSIGNED), inner)).otherwise(_none(FOUND))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: ``doc_id``, a key of its text, base spans, and instances (start, end, value, pattern, known)."""
-    d = text_of(docs, id_col, text_col).withColumn("has", F.col("text").rlike("[0-9@]"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
-    d = d.select("doc_id", "text", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), F.when(F.col("has"), located(F.col("text"), INSTANCE)).otherwise(none).alias("found"), F.when(F.col("has"), _contexts(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("w"))
-    marks = F.filter(F.transform("w", lambda w, i: F.when(w == MARK, i)), lambda i: i.isNotNull())
-    d = d.withColumn("patterns", F.transform(marks, lambda i: _pattern(F.col("w"), i)))
-
-    def instance(x: Column, k: Column) -> Column:
-        value = F.regexp_replace(x["value"], r"[._%+/-]+$", "")
-        end = x["start"] + F.char_length(value)
-        seed = F.exists("base", lambda b: (b["start"] == x["start"]) & (b["end"] >= end))
-        inside = F.exists("base", lambda b: (b["start"] < end) & (x["start"] < b["end"]) & (b["start"] != x["start"]))
-        return F.struct(x["start"].alias("start"), end.alias("end"), value.alias("value"), F.get("patterns", k).alias("pattern"), seed.alias("seed"), inside.alias("inside"))
-
-    instances = F.filter(F.transform("found", instance), lambda x: ~x["inside"])
-    return computed_once(d, "doc_id", "key", "base", instances.alias("instances"))
-
-
-def _known_patterns(edges: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame:
-    """Trusted patterns and their confidence, given known values."""
-    hits = edges.join(known, "value").groupBy("pattern").agg(F.sum("n").alias("known"), F.count("*").alias("distinct_values"))
-    scored = hits.where(F.col("distinct_values") >= MIN_VALUES).join(totals, "pattern")
-    return scored.select("pattern", (F.col("known") / F.col("total")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
-
-
-def _among(patterns: DataFrame):
-    """A test that all given patterns and about one in 5000 others pass: a Bloom filter of their hashes, of ``MOST_BITS`` address bits at most."""
-    bits = 1 << max(10, min(MOST_BITS, (32 * patterns.count()).bit_length()))
-    places = [F.pmod(F.shiftright("pattern", k), F.lit(bits)) for k in PROBES]
-    masks = patterns.select(F.explode(F.array(*places)).alias("b")).groupBy((F.col("b") / 64).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).collect()
-    held = [0] * (bits // 64)
-    for r in masks:
-        held[r["i"]] = r["m"]
-    table = F.from_json(F.lit(str(held)), "array<bigint>")
+def tokens(text: Column) -> Column:
+    """Words and marks in order, in lower case."""
+    return words(F.regexp_replace(F.lower(text), f"({MARKS})", " $1 "))
 
-    def test(p: Column) -> Column:
-        at = [F.pmod(F.shiftright(p, k), F.lit(bits)) for k in PROBES]
-        hits = [F.getbit(F.get(table, (x / 64).cast("int")), (x % 64).cast("int")) == 1 for x in at]
-        return hits[0] & hits[1] & hits[2] & hits[3]
 
-    return test
+def _window(t: Column, last: Column, k: int) -> Column:
+    """The hash of ``k`` tokens up to place ``last``, the last first; null where there are fewer."""
+    return F.when(last >= k - 1, F.xxhash64(F.lit(k), *[F.get(t, last - i) for i in range(k)]))
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern occurs in the texts, whatever word follows."""
-    among = _among(patterns)
-    w = texts.select(_contexts(F.col("text")).alias("w"))
-    places = w.select(F.explode(F.filter(F.transform("w", lambda w, i: _pattern(F.col("w"), i)), among)).alias("pattern"))
-    return places.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern")
+def _patterns(x: Column) -> Column:
+    """The patterns of a located instance, each with a word at least; none if it begins inside a token."""
+    begins = x["before"].rlike(rf"(?:\s|{MARKS})$")
+    wordy = lambda t, k: F.exists(F.slice(t, F.greatest(F.size(t) - k + 1, F.lit(1)), k), lambda w: ~w.rlike(rf"^{MARKS}$"))
+    of = lambda t: F.array_compact(F.array(*[F.when(wordy(t, k), _window(t, F.size(t) - 1, k)) for k in range(1, WINDOWS + 1)]))
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    all_ = bind(tokens(x["before"]), lambda t: of(F.when(x["whole"], t).otherwise(F.slice(t, 2, REACH))))
+    return F.when(begins, all_).otherwise(F.array().cast("array<bigint>"))
+
+
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: ``doc_id``, a key of its text, ``base`` and ``secrets`` spans, and ``instances`` (start, end, value, patterns, seed)."""
+    d = text_of(docs, id_col, text_col)
+    text = F.col("text")
+    d = d.select(
+        "doc_id",
+        F.xxhash64("text").alias("key"),
+        base_found(text).alias("base"),
+        assigned(text).alias("assigned"),
+        F.when(text.rlike("[0-9@]"), located(text, INSTANCE)).otherwise(_none(FOUND)).alias("found"),
+    )
+    over = lambda name: lambda x: F.exists(name, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    is_key = lambda x: x["value"].rlike(HEX_KEY) | x["value"].rlike(MIXED_KEY)
+    secret = F.transform(F.filter("assigned", is_key), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("place"), F.lit(SECRET).alias("kind"), x["end"].alias("end")))
+
+    def instance(x: Column, seed: Column) -> Column:
+        value = F.when(seed, x["value"]).otherwise(F.regexp_replace(x["value"], r"[._%+/-]+$", ""))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.char_length(value)).alias("end"), value.alias("value"), _patterns(x).alias("patterns"), seed.alias("seed"))
+
+    wordlike = F.filter("found", lambda x: ~over("base")(x) & ~over("assigned")(x))
+    instances = F.concat(
+        F.transform("base", lambda x: instance(x, F.lit(True))),
+        F.transform(F.filter("assigned", lambda x: is_key(x) | ~over("base")(x)), lambda x: instance(x, is_key(x))),
+        F.transform(wordlike, lambda x: instance(x, F.lit(False))),
+    )
+    return computed_once(d, "doc_id", "key", _spans(F.col("base")).alias("base"), secret.alias("secrets"), instances.alias("instances"))
+
+
+def _among(patterns: DataFrame, count: int) -> Column:
+    """A test of ``pattern`` that all given ones and about one in 5000 others pass: a Bloom filter of their hashes.
+
+    Its bits are one value of at most ``PATTERNS_A_PASS * BITS_A_PATTERN`` bits (8 MB), which Spark sends with the stage."""
+    bits = 1 << max(10, (BITS_A_PATTERN * count - 1).bit_length())
+    places = [F.pmod(F.shiftright("pattern", k), F.lit(bits)) for k in PROBES]
+    masks = patterns.select(F.explode(F.array(*places)).alias("b")).groupBy((F.col("b") / 64).cast("long").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m"))
+    every = patterns.sparkSession.range(bits // 64).join(masks, "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
+    table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("bits")).scalar()
+    hits = [F.getbit(F.get(table, (x / 64).cast("int")), (x % 64).cast("int")) == 1 for x in places]
+    return hits[0] & hits[1] & hits[2] & hits[3]
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame, count: int) -> DataFrame:
+    """How often each of ``count`` patterns occurs in the texts, whatever follows: ``pattern, total``."""
+    t = texts.select(tokens(F.col("text")).alias("t0"))
+    late = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), "t0").alias(f"t{k}") for k in range(WINDOWS)]  # each token beside those before it
+    rows = t.select(F.inline(F.arrays_zip(*late))).toDF(*[f"t{k}" for k in range(WINDOWS)]).where("t0 is not null")
+    ended = [F.when(F.col(f"t{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[f"t{i}" for i in range(k)])) for k in range(1, WINDOWS + 1)]
+    places = rows.select(F.explode(F.array(*ended)).alias("pattern"))
+    passes = -(-count // PATTERNS_A_PASS)
+    out = None
+    for k in range(passes):
+        mine = patterns.select("pattern").where(F.pmod(F.hash("pattern"), F.lit(passes)) == k)
+        some = places.where(_among(mine, min(count, PATTERNS_A_PASS))).groupBy("pattern").agg(F.count("*").alias("total")).join(mine, "pattern")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def counted(texts: DataFrame, patterns: DataFrame) -> DataFrame | None:
+    """``pattern, total`` of the given patterns (pattern, known) that can still be trusted.
+
+    Occurrences in some documents bound those in all from below: what is below the confidence with them is so for good."""
+    n = patterns.count()
+    if not n:
+        return None
+    some = occurrences(texts.where(F.pmod(F.xxhash64("text"), F.lit(FIRST_LOOK)) == 0), patterns, n)
+    hopeful = written(patterns.join(some, "pattern", "left").where(F.col("known") >= MIN_CONFIDENCE * F.coalesce("total", F.lit(0))).select("pattern"), "hopeful")
+    n = hopeful.count()
+    return written(occurrences(texts, hopeful, n), "totals") if n else None
 
 
 def bootstrap(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Values found by trusted patterns and by no seed, with their score."""
-    rows = scan.select(F.explode("instances").alias("x")).select("x.value", "x.pattern", "x.seed")
-    edges = written(rows.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    seeds = edges.where("seed").select("value").distinct()
-    wanted = edges.groupBy("pattern").agg(F.count("*").alias("v"), F.sum("n").alias("most")).where(F.col("v") >= MIN_VALUES)
+    """All known values: those of seeds and those that trusted patterns lead to."""
+    rows = scan.select(F.explode("instances").alias("x")).select("x.value", "x.patterns", "x.seed")
+    seeds = written(rows.where("seed").select("value").distinct(), "seeds")
+    edges = written(rows.select("value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count("*").alias("n")), "edges")
     texts = text_of(docs, id_col, text_col)
-    # occurrences in some documents bound those in all from below: what is below the confidence with them is so for good
-    some = occurrences(texts.where(F.pmod(F.xxhash64("text"), F.lit(FIRST_LOOK)) == 0), wanted)
-    hopeful = written(wanted.join(some, "pattern", "left").where(F.col("most") >= MIN_CONFIDENCE * F.coalesce("total", F.lit(0))).select("pattern"), "hopeful")
-    totals = written(occurrences(texts, hopeful), "totals")
-    known, found = seeds, None
+    known, totals, before = seeds, None, 0
     for _ in range(rounds):
-        trusted = _known_patterns(edges, known, totals)
-        # log1p of minus one for a confidence of 1 is minus infinity, and so the score 1
+        hits = edges.join(known, "value").groupBy("pattern").agg(F.sum("n").alias("known"), F.count("*").alias("v")).where(F.col("v") >= MIN_VALUES)
+        hits = written(hits, "hits")
+        more = counted(texts, hits if totals is None else hits.join(totals, "pattern", "left_anti"))
+        totals = more if totals is None else totals if more is None else totals.unionByName(more)
+        if totals is None:
+            break
+        trusted = hits.join(totals, "pattern").select("pattern", (F.col("known") / F.col("total")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        # the logarithm of 1 less a confidence of 1 would be minus infinity, and so the score 1
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12))))
         scores = edges.join(trusted, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= MIN_CONFIDENCE)
-        found = written(scores.join(seeds, "value", "left_anti"), "instances")
-        known = seeds.unionByName(found.select("value"))
-    return found
+        found = written(scores.select("value").join(seeds, "value", "left_anti"), "instances")
+        known = seeds.unionByName(found)
+        now = found.count()
+        if now == before:  # known values only grow, so nothing changes any more
+            break
+        before = now
+    return known
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``key``, ``base`` and ``added`` spans."""
     scan = written(scanned(docs, id_col, text_col), "scan")
-    new = bootstrap(docs, scan, rounds, text_col, id_col)
+    known = bootstrap(docs, scan, rounds, text_col, id_col)
     at = scan.select("doc_id", "key", F.explode("instances").alias("x")).where("not x.seed").select("doc_id", "key", "x.start", "x.end", "x.value")
-    spans = at.join(new, "value").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("place"), F.lit(ADDED).alias("kind"), "end")).alias("added"))
+    spans = at.join(known, "value").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) + 1).alias("place"), F.lit(OTHER).alias("kind"), "end")).alias("others"))
     spans = spans.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    joined = scan.select("doc_id", "key", "base").join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
-    return joined.select("doc_id", "key", "base", F.coalesce("added", _no_spans()).alias("added"))
+    joined = scan.select("doc_id", "key", "base", "secrets").join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    return joined.select("doc_id", "key", "base", F.concat("secrets", F.coalesce("others", _none(SPAN))).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts of base spans, the digest of them and all spans as text."""
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_other"))
+    """Counts of base spans, the digest of them and all spans as text; ``n_secret``, ``n_other``: counts of the added ones."""
+    count = lambda kind, of="base": F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), count(SECRET, "added"), count(OTHER, "added"))
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,11 +59,66 @@ def test_contexts_lead_to_unseen_identifiers(spark):
     assert got[22]["spans"] == "" and all(got[50 + i]["n_other"] == 0 for i in range(9))
 
 
+def spans(got, kind):
+    """The marked texts of a kind by document."""
+    return {i: [text[int(a) : int(b)] for k, a, b in (x.split(":") for x in r.split(",") if r) if k == kind] for i, text, r in got}
+
+
+def found(spark, rows, **more):
+    by_id = dict(rows)
+    return [(r["doc_id"], by_id[r["doc_id"]], r["spans"]) for r in pii.report(pii.find(docs(spark, rows), **more)).collect()]
+
+
+KEYS = ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "F3EF4D6B2755A36D7D9C25BD72C4D5F6", "sk_9dKq2LmX07pRtVwYzB31", "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"]
+
+
+def test_secrets_and_what_their_contexts_lead_to(spark):
+    rows = [(i, f'words before token = "{k}" and words behind') for i, k in enumerate(KEYS)]
+    rows += [(10, 'see token = "hunter-two-tree" too'), (11, "hunter-two-tree again, and 04dbebab91ab85687d33eeaaf9ac699e1188f962 bare")]
+    rows += [(12, 'class = "main-container-wrapper" id = "release-2024-notes" href="https://a.example/x1234567890"'), (13, "def f(x): return x['some_key_name_1'] == \"abcdefgh\"")]
+    rows += [(14, 'a "quoted word" and a 2024-10-11T00 stamp'), (15, "0" * 40), (16, 'n = "' + "a" * 40 + '"')]
+    got = found(spark, rows)
+    secret, other = spans(got, "secret"), spans(got, "other")
+    assert [secret[i] for i in range(4)] == [[k] for k in KEYS] and not any(secret[i] for i in range(10, 17))
+    assert other[10] == ["hunter-two-tree"] and other[11] == [KEYS[0]]  # a word without digit or @ is no instance outside quotes
+    assert not any(other[i] for i in (0, 1, 2, 3, 12, 13, 14, 15, 16))
+
+
+def test_phones_and_cards_with_spaces_are_seeds(spark):
+    rows = [(i, f"please call phone: +1 (974) 555-34{i}6 soon") for i in range(5)] + [(10 + i, f"paid by card number 4111 1111 1111 {c} today") for i, c in enumerate(("1111", "1129", "1137"))]
+    assert all(r for _, _, r in found(spark, rows))
+    rows += [(20, "please call phone: ext.5512-9 soon"), (21, "paid by card number AB99-12-77 today"), (22, "phone calls and card number games of 1999-2000")]
+    got = found(spark, rows)
+    assert spans(got, "other") == {**{i: [] for i, *_ in rows}, 20: ["ext.5512-9"], 21: ["AB99-12-77"]}
+
+
+def test_counting_in_several_passes(spark, monkeypatch):
+    rows = [(i, f"{'x ' * (i % 3)}alpha beta{i % 7} gamma = {i}") for i in range(60)]
+    texts = pii.text_of(docs(spark, rows))
+    want = Counter()
+    for _, t in rows:
+        w = pii_tokens(t)
+        want.update(tuple(w[i - k : i]) for k in (1, 2, 3) for i in range(k, len(w) + 1))
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(" ".join(k), len(k)) for k in want], "words string, k int")
+    t = F.split("words", " ")
+    keys = keys.select("words", F.coalesce(*[F.when(F.col("k") == k, pii._window(t, F.lit(k - 1), k)) for k in (1, 2, 3)]).alias("pattern"))
+    for most in (1 << 21, 10):
+        monkeypatch.setattr(pii, "PATTERNS_A_PASS", most)
+        got = pii.occurrences(texts, keys.select("pattern"), keys.count()).join(keys, "pattern").collect()
+        assert {tuple(r["words"].split()): r["total"] for r in got} == want
+
+
+def pii_tokens(text):
+    return re.sub(pii.MARKS, r" \g<0> ", text.lower()).split()
+
+
 def test_redaction_keeps_the_rest(spark):
-    frame = clashing(docs(spark, [(1, "mail a.b@c.de now, 10.0.0.1!"), (1, "mail a.b@c.de now, 10.0.0.1!"), (2, None), (None, "x@y.zz"), (3, "clean 😀 text")]))
+    frame = clashing(docs(spark, [(1, "mail a.b@c.de now, 10.0.0.1!"), (1, "mail a.b@c.de now, 10.0.0.1!"), (2, None), (None, "x@y.zz"), (3, "clean 😀 text"), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')]))
     out = pii.redact(frame)
     assert out.columns == frame.columns
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "<email>"), (1, "mail <email> now, <ip>!"), (1, "mail <email> now, <ip>!"), (2, ""), (3, "clean 😀 text")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "<email>"), (1, "mail <email> now, <ip>!"), (1, "mail <email> now, <ip>!"), (2, ""), (3, "clean 😀 text"), (4, 'token = "<secret>"')]
 
 
 def test_empty(spark):
