@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,15 @@ def residue(id_col: str, mod: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-    return shared.rstrip("/")
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, as in tests: a temporary one in local mode, an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (shared or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")).rstrip("/")
+
+
+#: Scratch tables that this process wrote and has not deleted.
+_tables: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,4 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _tables:
+            _tables.remove(path)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Deletes at its end the scratch tables written inside; what was made of them must have been written or collected by then."""
+    before = len(_tables)
+    yield
+    discard(spark, _tables[before:])

@@ -6,18 +6,19 @@
    drawn to zero by ``DOUBT`` standard deviations; a word scores as its most telling part does, less a drift.
 2. A linear-time scan gives all maximal scoring segments of a text. With lambda the positive root of
    E[exp(lambda s)] = 1 over the words of other documents, and K from their documents' best segments
-   (Gumbel moments), a segment of score S in n words has the expectation K n exp(-lambda S); passages
-   expected less than ``MOST_EXPECTED`` times are significant.
-3. Half of the training documents are described by the log-odds of the other half, so that the calibration
-   sees texts as new as those it is for. A document's best normalised score and the sum over its significant passages become a probability by
-   logistic regression.
+   (Gumbel moments), a segment of score S in n words has the expectation E = K n exp(-lambda S) and the p-value 1 - exp(-E);
+   passages expected less than ``MOST_EXPECTED`` times are significant.
+3. A document's evidence is -log p of its best segment and the sum of -log p over all its other segments that are expected
+   less than ``EVIDENCE_EXPECTED`` times. With the text's length, they become a probability by logistic regression. Half of the
+   training documents are described by the log-odds of the other half, so that the calibration sees texts as new as those it is for.
 
 Training takes at most about ``MOST_TRAINING`` labelled rows (by a hash of the id); scoring covers every text.
-Only texts are inputs of a score.
+Only texts are inputs of a score. Segments stay in their tasks; of each training text four numbers come to the driver.
 
 Defined cases: null and empty texts have no segments and score as such; null ids count as held in training
 folds by the empty text; repeated rows are scored alike; without labels of both kinds the score is the share
-of toxic ones (0 without any); empty tables give no rows; other columns are ignored.
+of toxic ones (0 without any); empty tables give no rows; other columns are ignored; very long texts are scanned whole, in time and memory
+linear in their length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import residue, text_of
+from quillon.llm.common import residue, text_of, written
 from quillon.llm.shingles import LOWER, STEP, mix, word_hashes
 from quillon.llm.tokencount import chunks
 
@@ -39,17 +40,18 @@ DOUBT = 1.28
 DRIFT = 0.2
 MOST_TRAINING = 200_000
 MOST_EXPECTED = 0.01
+EVIDENCE_EXPECTED = 1.0
 CHUNK = 1 << 19
 
 
 @dataclass
 class Model:
-    """``table``: a score for each bucket; ``lam``, ``k``: extreme-value parameters; ``weights`` of (1, best, sum, log n, density)."""
+    """``table``: a score for each bucket; ``lam``, ``k``: extreme-value parameters; ``weights`` of (1, best, others, log n)."""
 
     table: np.ndarray
     lam: float = 1.0
     k: float = 0.1
-    weights: tuple[float, ...] = (0.0,) * 5
+    weights: tuple[float, ...] = (0.0,) * 4
     share: float = 0.0
 
 
@@ -116,11 +118,10 @@ def segments_of(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def text_segments(model_table: np.ndarray, texts: list[str]):
-    """For each text: its number of words, the sum of their positive scores, and its maximal segments (first word, end word, score); the words' scores and places."""
+    """For each text: its number of words and its maximal segments (first word, end word, score); the words' scores and places."""
     parts, doc, start, end = parts_of(texts)
     s = word_scores(model_table, parts)
     many = np.bincount(doc, minlength=len(texts))
-    mass = np.bincount(doc, np.maximum(s, 0), minlength=len(texts)).astype(float)
     first = np.cumsum(many) - many
     # neighbours of one sign act as one
     sign = s > 0
@@ -134,17 +135,24 @@ def text_segments(model_table: np.ndarray, texts: list[str]):
         a, b = bounds[d], bounds[d + 1]
         found = segments_of(run[a:b].tolist()) if (run[a:b] > 0).any() else []
         out.append([(int(edge[a + x] - first[d]), int(ends[a + y - 1] - first[d]), score) for x, y, score in found])
-    return many, mass, out, s, doc, first, start, end
+    return many, out, s, doc, first, start, end
 
 
-def features(many: np.ndarray, mass: np.ndarray, found: list, lam: float, k: float) -> np.ndarray:
-    """(1, best normalised score, sum over significant passages, log of words, density) of each text."""
-    n = np.maximum(1, many)
-    room = np.log(k * n)
-    best = np.array([max((x[2] for x in f), default=0.0) for f in found])
-    significant = -np.log(MOST_EXPECTED)
-    total = np.array([sum(v for x in f if (v := lam * x[2] - r) > significant) for f, r in zip(found, room, strict=True)])
-    return np.stack([np.ones(len(n)), np.clip(lam * best - room, -20, 20), np.log1p(total), np.log(n), np.log1p(100 * mass / n)], 1)
+def evidence(score: np.ndarray | float, many: int, lam: float, k: float) -> np.ndarray:
+    """-log p of segments of the given scores in a text of ``many`` words."""
+    expected = np.exp(-np.clip(lam * np.asarray(score) - np.log(k * max(1, many)), -30, 700))
+    return -np.log(-np.expm1(-expected))
+
+
+def features(many: np.ndarray, found: list, lam: float, k: float) -> np.ndarray:
+    """(1, log of 1 + the best segment's evidence, the same of the others' sum, log of words) of each text."""
+    out = np.ones((len(many), 4))
+    least = -np.log(-np.expm1(-EVIDENCE_EXPECTED))  # -log p of what is expected so often
+    for row, n, segments in zip(out, many, found, strict=True):
+        each = np.sort(evidence(np.array([x[2] for x in segments]), n, lam, k))[::-1]
+        rest = each[1:]
+        row[1:] = np.log1p(each[:1].sum()), np.log1p(rest[rest > least].sum()), np.log(max(1, n))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -181,39 +189,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = log_odds(total[1] + total[3], total[0] + total[2])
     shared = spark.sparkContext.broadcast([log_odds(total[3], total[2]), log_odds(total[1], total[0])])  # of the other half
 
-    def describe(batches):
-        import pyarrow as pa
-        import pyarrow.compute
-
-        for batch in batches:
-            for half in (0, 1):
-                mine = batch.filter(pa.compute.equal(batch.column("half"), half))
-                texts, y = mine.column("text").to_pylist(), mine.column("y").to_numpy()
-                for a, b in chunks(texts, CHUNK):
-                    many, mass, segments, scores, doc = text_segments(shared.value[half], texts[a:b])[:5]
-                    top = [sorted((x[2] for x in f), reverse=True)[:50] for f in segments]
-                    # e^(lambda s) is averaged over the words of other documents: a histogram of scores, with a chunk's first row
-                    level = np.clip(np.round(scores[(y[a:b] == 0)[doc]] * 20), -200, 400).astype(int) + 200
-                    hists = [np.bincount(level, minlength=601).tolist(), *([] for _ in range(b - a - 1))]
-                    yield pa.RecordBatch.from_arrays([pa.array(y[a:b], pa.int32()), pa.array(many), pa.array(mass), pa.array(top, pa.list_(pa.float64())), pa.array(hists, pa.list_(pa.int64()))], ["y", "many", "mass", "top", "hist"])
-
-    seen = rows.mapInArrow(describe, "y int, many long, mass double, top array<double>, hist array<long>")
+    def described(make, schema: str) -> DataFrame:
+        """``make(texts, y, table)`` gives the columns of ``schema`` for a chunk of one half's rows."""
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def run(batches):
+            import pyarrow as pa
+            import pyarrow.compute
+
+            for batch in batches:
+                for half in (0, 1):
+                    mine = batch.filter(pa.compute.equal(batch.column("half"), half))
+                    texts, y = mine.column("text").to_pylist(), mine.column("y").to_numpy()
+                    for a, b in chunks(texts, CHUNK):
+                        columns = make(texts[a:b], y[a:b], shared.value[half])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        return rows.mapInArrow(run, schema)
+
+    def calibrating(texts, y, table):
+        many, segments, scores, doc = text_segments(table, texts)[:4]
+        # e^(lambda s) is averaged over the words of other documents: a histogram of scores, with a chunk's first row
+        level = np.clip(np.round(scores[(y == 0)[doc]] * 20), -200, 400).astype(int) + 200
+        hists = [np.bincount(level, minlength=601).tolist(), *([] for _ in range(len(y) - 1))]
+        calm = (y == 0) & (many > 0)
+        best = np.array([max((x[2] for x in f), default=0.0) for f in segments])
+        return y.astype(np.int32), np.where(calm, best, 0.0), np.where(calm, np.log(np.maximum(1, many)), 0.0), calm.astype(np.int64), hists
+
+    seen = described(calibrating, "y int, best double, logn double, calm long, hist array<long>")
+    seen = written(seen, "calibration")  # read twice
+    share, kinds, best, logn, calm = seen.agg(F.avg("y"), F.count_distinct("y"), F.sum("best"), F.sum("logn"), F.sum("calm")).first()
+    model = Model(table, share=float(share or 0.0))
+    if kinds < 2:
+        return model
     hist = np.zeros(601)
-    shown = seen.select(F.posexplode("hist").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
-    got = seen.select("y", "many", "mass", "top").toArrow()  # bounded by the training bound
-    for r in shown.collect():
+    for r in seen.select(F.posexplode("hist").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect():
         hist[r["b"]] = r["n"]
-    y, many, mass = got.column("y").to_numpy(), got.column("many").to_numpy(), got.column("mass").to_numpy()
-    segments = [[(0, 0, s) for s in t] for t in got.column("top").to_pylist()]
-    model = Model(table, share=float(y.mean()) if len(y) else 0.0)
-    if not len(y) or y.min() == y.max():
-        return model
-    model.lam = positive_root(hist, (np.arange(601) - 200) / 20)
-    calm = (y == 0) & (many > 0)
-    best = np.array([max((x[2] for x in f), default=0.0) for f in segments])
-    if calm.any():
-        model.k = float(np.exp(np.clip((model.lam * best[calm] - np.log(many[calm])).mean() - 0.5772, -20, 5)))
-    model.weights = tuple(logistic(features(many, mass, segments, model.lam, model.k), y).tolist())
+    model.lam = lam = positive_root(hist, (np.arange(601) - 200) / 20)
+    if calm:
+        model.k = float(np.exp(np.clip((lam * best - logn) / calm - 0.5772, -20, 5)))
+    k = model.k
+
+    def featured(texts, y, table):
+        x = features(*text_segments(table, texts)[:2], lam, k)
+        return y.astype(np.int32), x[:, 1], x[:, 2], x[:, 3]
+
+    got = described(featured, "y int, best double, others double, logn double").toArrow()  # bounded by the training bound
+    x = np.stack([np.ones(got.num_rows), *(got.column(c).to_numpy() for c in ("best", "others", "logn"))], 1)
+    model.weights = tuple(logistic(x, got.column("y").to_numpy()).tolist())
     return model
 
 
@@ -252,8 +275,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in chunks(texts, CHUNK):
-                many, mass, found, *_ = text_segments(table.value, texts[a:b])
-                x = features(many, mass, found, lam, k)
+                many, found, *_ = text_segments(table.value, texts[a:b])
+                x = features(many, found, lam, k)
                 p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) if weights.any() else np.full(b - a, share)
                 n = [sum(lam * s[2] - np.log(k * max(1, m)) > -np.log(MOST_EXPECTED) for s in f) for f, m in zip(found, many, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(p), pa.array(n, pa.int64()), pa.array(x[:, 1])], ["doc_id", "score", "n_passages", "best"])
@@ -273,7 +296,7 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for a, b in chunks(texts, CHUNK):
-                many, _, found, _, _, first, start, end = text_segments(table.value, texts[a:b])
+                many, found, _, _, first, start, end = text_segments(table.value, texts[a:b])
                 for d, f in enumerate(found):
                     data = texts[a + d].encode("utf-8", "replace") if f else b""
                     for x, y, s in f:

@@ -47,13 +47,71 @@ def test_toxicity_held_out(spark):
     held = [(r["score"], known[r["doc_id"]]) for r in toxicity.score(few, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert sum((s >= 0.5) == (y == 1) for s, y in held) / len(held) > 0.94
     toxic, other = sorted(s for s, y in held if y), sorted(s for s, y in held if not y)
-    assert sum(np.searchsorted(other, t) for t in toxic) / (len(toxic) * len(other)) > 0.93
+    assert sum(np.searchsorted(other, t) for t in toxic) / (len(toxic) * len(other)) > 0.955
+    assert model.weights[1] > 0 and model.weights[2] > 0  # more evidence, more toxic
     text = {r["doc_id"]: r["text"] for r in few.collect()}
     for r in toxicity.passages(few, model).limit(50).collect():
         assert r["passage"] in text[r["doc_id"]].lower() or r["passage"] in text[r["doc_id"]]
         assert len(r["passage"].encode().split()) == r["end"] - r["start"]
 
 
+def plain_toxicity(rows, labels):
+    """Scores of (id, text) rows by the definition, with words and prefixes themselves in place of buckets."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    parts = lambda w: [w, *(("prefix", k, w[:k]) for k in toxicity.PREFIXES if len(w) > k)]
+    split = lambda t: t.encode().translate(LOW).split()
+
+    def table(which):
+        n = [Counter(), Counter()]
+        for i, t in which:
+            n[labels[i]].update(p for w in split(t) for p in parts(w))
+        total = [sum(c.values()) for c in n]
+        out = {}
+        for p in n[0] | n[1]:
+            prior = toxicity.PRIOR * (n[0][p] + n[1][p]) / sum(total)
+            a, b = n[1][p] + prior, n[0][p] + prior
+            delta = math.log(a / (total[1] + toxicity.PRIOR - a)) - math.log(b / (total[0] + toxicity.PRIOR - b))
+            out[p] = math.copysign(max(0.0, abs(delta) - toxicity.DOUBT * math.sqrt(1 / a + 1 / b)), delta)
+        return out
+
+    words = lambda t, of: [max((of.get(p, 0.0) for p in parts(w)), key=abs) - toxicity.DRIFT for w in split(t)]
+    train = [(i, t) for i, t in rows if i in labels and fold(i)]
+    halves = [[r for r in train if (fold(r[0]) > 2) == bool(h)] for h in (0, 1)]
+    seen = [(labels[i], words(t, of)) for h, of in ((0, table(halves[1])), (1, table(halves[0]))) for i, t in halves[h]]
+    levels = [min(20.0, max(-10.0, round(x * 20) / 20)) for y, s in seen if not y for x in s]
+    low, high = 1e-4, 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(math.exp(mid * x) for x in levels) > len(levels) else (mid, high)
+    calm = [(max((x for *_, x in plain_segments(s)), default=0.0), len(s)) for y, s in seen if not y and s]
+    k = math.exp(sum(low * b - math.log(n) for b, n in calm) / len(calm) - 0.5772)
+
+    def features(s):
+        e = sorted((k * max(1, len(s)) * math.exp(-low * x) for *_, x in plain_segments(s)))
+        p = [-math.log(1 - math.exp(-x)) for x in e]
+        return [1.0, math.log1p(sum(p[:1])), math.log1p(sum(v for v, x in zip(p[1:], e[1:], strict=True) if x < toxicity.EVIDENCE_EXPECTED)), math.log(max(1, len(s)))]
+
+    x, y = np.array([features(s) for _, s in seen]), np.array([v for v, _ in seen])
+    w = np.zeros(4)
+    for _ in range(2000):  # plain gradient steps scaled by the curvature
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.lstsq((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), x.T @ (y - p) - 0.01 * w, rcond=None)[0] * 0.5
+    all_ = table(train)
+    return {i: float(1 / (1 + np.exp(-np.dot(features(words(t, all_)), w)))) for i, t in rows}, w
+
+
+def test_toxicity_against_plain_code(spark):
+    rng = random.Random(3)
+    calm, foul = [f"word{i}x" for i in range(30)], ["vile", "nastyish", "horrid", "loathsome"]
+    rows = [(i, " ".join(rng.choices(calm, k=rng.randint(0, 12)) + (rng.choices(foul, k=2) if i % 3 == 0 else []) + rng.choices(calm, k=4))) for i in range(240)]
+    labels = {i: int(i % 3 == 0) ^ (rng.random() < 0.05) for i, _ in rows[:200]}
+    want, weights = plain_toxicity(rows, labels)
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    assert model.weights == pytest.approx(weights.tolist(), rel=2e-3, abs=2e-3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert got == pytest.approx(want, abs=2e-3)
+
+
 def test_toxicity_awkward(spark):
     frame = clashing(docs(spark, AWKWARD))
     labels = spark.createDataFrame([(i, None if i == 4 else i % 2) for i in range(1, 30)], "doc_id long, toxic int")
@@ -92,7 +150,7 @@ def test_lm_base_is_exact(spark, sf_dir, size, held):
         p = [lm.WEIGHT * min(quantised(pairs[a, b]), max(count[a], 1)) / max(count[a], 1) + (1 - lm.WEIGHT) * o for a, b, o in zip([None, *w], w, own, strict=False)]
         near += any(r["doc_id"] == i and r["n_tokens"] == len(w) and abs(r["score"] - sum(map(math.log10, p))) <= 0.02 * abs(r["score"]) for r in found)
     assert got == want
-    assert held == 500 or near >= 0.95 * len(rows)  # the filter takes about one probe chain in a thousand for more than it is
+    assert near >= 0.95 * len(rows)  # the filter takes about one probe chain in a thousand for more than it is
 
 
 def test_filter_holds_counts():
