@@ -3,16 +3,19 @@
 1. Texts become token ids inside tasks; longer ones are cut, the odd piece first. Only
    (document, piece, start, length, checksum) is kept, written once to the shared folder.
 2. Lengths lie between 1 and the capacity, so their histogram is all that the plan needs; it has at
-   most ``capacity`` rows, whatever the input. Large lengths are dealt into groups of equal cardinality
-   and rounded up to their group's largest; configurations of these few sizes are chosen by dynamic
-   programming and used as often as the counts allow; the actual lengths are put back; small pieces
+   most ``capacity`` rows, whatever the input. Large lengths are dealt into ``GROUPS`` groups of equal cardinality
+   and rounded up to their group's largest. How often each configuration of these few sizes is to be used is a linear
+   program, solved by column generation: a knapsack over the groups' dual prices finds the next configuration, until none
+   would save anything. Whole uses are taken (at most one use for each group is lost to rounding down). Actual
+   lengths are put into their places, the longest left up to the place's size, and into a configuration's last place the longest left that
+   fits, so that what rounding wasted is used. What is over, then the small pieces, longest first,
    go where they leave the least room (best fit). The plan holds runs: "pieces of length L with ranks
    r to r+n go to sequences s to s+n at offset o". Its size follows the lengths, not the documents.
 3. Pieces are ranked within their length. Lengths are split over salts, each ranked for itself, and
    the salts' counts give each its first rank: a length that a third of all pieces share is no hot key.
 
 Defined cases: a null or empty text is its end token alone; null ids and repeated rows are packed as
-any other; an empty table gives no rows; other columns are ignored.
+any other; an empty table gives no rows; other columns are ignored; very long texts are cut, none of their ids is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Shares of the capacity: lengths above 1/8 are large. Groups of large pieces.
 SMALL_SHARE = 8
-GROUPS = 1024
+GROUPS = 48
+MOST_PIVOTS = 5_000
 #: Salts a length is ranked in: one for so many pieces.
 PIECES_PER_SALT = 5_000
 
@@ -73,53 +77,60 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return text_of(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """(groups used, once for each piece; how often) for descending sizes, until all counts are used.
-
-    The largest size left is put in, and dynamic programming finds the sizes that fill the rest best;
-    the configuration is used until one of its sizes runs out."""
-    counts, out = list(counts), []
-    for first in range(len(sizes)):
-        while counts[first]:
-            room = capacity - sizes[first]
-            # fill[r]: which size reached the sum r last, -1: not reached
-            last = np.full(room + 1, -1)
-            reached = np.zeros(room + 1, bool)
-            reached[0] = True
-            for j in range(first, len(sizes)):
-                s, most = sizes[j], counts[j] - (j == first)
-                if s > room or not most:
-                    continue
-                for _ in range(min(most, room // s)):
-                    new = np.zeros(room + 1, bool)
-                    new[s:] = reached[: room + 1 - s]
-                    new &= ~reached
-                    if not new.any():
-                        break
-                    last[new] = j
-                    reached |= new
-                if reached[room]:
-                    break
-            at, used = int(np.flatnonzero(reached)[-1]), [first]
-            while at:
-                used.append(int(last[at]))
-                at -= sizes[last[at]]
-            used = _affordable(used, counts)
-            many = {j: used.count(j) for j in used}
-            times = min(counts[j] // n for j, n in many.items())
-            for j, n in many.items():
-                counts[j] -= n * times
-            out.append((used, times))
-    return out
-
-
-def _affordable(used: list[int], counts: list[int]) -> list[int]:
-    """``used`` without repeats beyond what a size has left."""
-    out: list[int] = []
-    for j in used:
-        if out.count(j) < counts[j]:
-            out.append(j)
-    return out
+def best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of sizes within the capacity that is worth most: (worth, number of each size)."""
+    at = np.arange(capacity + 1)[:, None] - sizes  # the room left by a piece of each size
+    worth, with_ = np.full(capacity + 1, -1.0), np.zeros((capacity + 1, 1))
+    while (with_.max(1) > worth).any():  # one more piece each time
+        worth = np.maximum(worth, with_.max(1))
+        with_ = np.where(at >= 0, np.maximum(worth[at], 0) + prices, 0.0)
+    used, room = np.zeros(len(sizes), np.int64), capacity
+    while with_[room].max() > 0:
+        j = int(with_[room].argmax())
+        used[j] += 1
+        room = int(at[room, j])
+    return float(worth[capacity]), used
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(number of each size, whole uses) by the fewest sequences, in fractions, that hold ``counts`` of ``sizes``.
+
+    The simplex method over configurations: the basis begins with one configuration of each size alone."""
+    if not sizes:
+        return []
+    size, want, m = np.array(sizes), np.array(counts, float), len(sizes)
+    basis = np.diag(capacity // size).astype(float)
+    inverse = np.diag(1 / (capacity // size))
+    uses = inverse @ want
+    for _ in range(MOST_PIVOTS):
+        prices = inverse.sum(0)  # each configuration costs one sequence
+        worth, used = best_configuration(size, np.maximum(prices, 0), capacity)
+        if worth <= 1 + 1e-7:
+            break
+        step = inverse @ used
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-12, uses / step, np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = used
+        pivot = inverse[out] / step[out]
+        inverse -= np.outer(step, pivot)
+        inverse[out] = pivot
+        uses = inverse @ want
+    return [(basis[:, j].astype(np.int64), n) for j, x in enumerate(uses) if (n := int(x + 1e-6)) > 0]
+
+
+def grouped(counts: np.ndarray, groups: int) -> tuple[list[int], list[int]]:
+    """Sizes, descending, and numbers of pieces of at most ``groups`` groups of equal cardinality, each as long as its longest piece."""
+    total, done = int(counts.sum()), 0
+    sizes: dict[int, list[int]] = {}  # by group: longest, pieces
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:  # the groups' borders lie at equal shares of the pieces
+            group = done * groups // total
+            take = min(n, -(-(group + 1) * total // groups) - done)
+            sizes.setdefault(group, [length, 0])[1] += take
+            n, done = n - take, done + take
+    return [x for x, _ in sizes.values()], [n for _, n in sizes.values()]
 
 
 class _Plan:
@@ -158,52 +169,46 @@ class _Plan:
             rank, n, room = rank + take, n - take, max(length, room - length)
 
 
+    def fill(self, sizes: list[int], times: int, left: np.ndarray, taken: np.ndarray) -> None:
+        """At most ``times`` new sequences with places of the given sizes, longest first.
+
+        ``left``, ``taken``: how many pieces of each length are over and how many have been placed, which is the next one's rank."""
+        while times:
+            chosen: list[int] = []
+            room = self.capacity
+            for k, size in enumerate(sizes):
+                free = left[: (size if k < len(sizes) - 1 else room) + 1].copy()
+                for x in chosen:
+                    if x < len(free):
+                        free[x] -= 1
+                if len(at := np.flatnonzero(free)):
+                    chosen.append(int(at[-1]))
+                    room -= chosen[-1]
+            if not chosen:
+                return
+            need = {x: chosen.count(x) for x in chosen}
+            span = min(times, *(int(left[x]) // n for x, n in need.items()))  # as far as the same lengths are there
+            first, room = self.new(span), self.capacity
+            for x in chosen:
+                self.place(x, int(taken[x]), span, first, room)
+                left[x], taken[x], room = left[x] - span, taken[x] + span, room - x
+            self.leave(first, span, room)
+            times -= span
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
     """Runs for ``counts[length]`` pieces, and the number of sequences."""
     p = _Plan(capacity)
     if n := int(counts[capacity]):
         p.place(capacity, 0, n, p.new(n), capacity)
     small = capacity // SMALL_SHARE
-    large = [(length, int(counts[length])) for length in range(capacity - 1, small, -1) if counts[length]]
-    total, done = sum(n for _, n in large), 0
-    queues: list[list[list[int]]] = []  # by group: runs of length, first rank, n
-    for length, n in large:
-        rank = 0
-        while rank < n:  # the groups' borders lie at equal shares of the pieces
-            group = done * groups // total
-            take = min(n - rank, -(-(group + 1) * total // groups) - done)
-            if not queues or queues[-1][0] != group:
-                queues.append([group, []])
-            queues[-1][1].append([length, rank, take])
-            rank, done = rank + take, done + take
-    queues = [q for _, q in queues]
-    for used, times in configurations([q[0][0] for q in queues], [sum(x[2] for x in q) for q in queues], capacity):
-        first = p.new(times)
-        while times:  # as far as the actual length of every place stays the same
-            taken: list[list[int]] = []
-            need = {j: used.count(j) for j in used}
-            span = min([times, *(queues[j][0][2] // n for j, n in need.items())])
-            if span:
-                for j in used:
-                    length, rank, _ = run = queues[j][0]
-                    taken.append([length, rank, span])
-                    run[1], run[2] = rank + span, run[2] - span
-                    if not run[2]:
-                        queues[j].pop(0)
-            else:  # one sequence whose places differ in length
-                span = 1
-                for j in used:
-                    length, rank, _ = run = queues[j][0]
-                    taken.append([length, rank, 1])
-                    run[1], run[2] = rank + 1, run[2] - 1
-                    if not run[2]:
-                        queues[j].pop(0)
-            room = capacity
-            for length, rank, n in taken:
-                p.place(length, rank, n, first, room)
-                room -= length
-            p.leave(first, span, room)
-            first, times = first + span, times - span
+    left, taken = np.array(counts, np.int64), np.zeros(len(counts), np.int64)
+    left[[*range(small + 1), capacity]] = 0
+    sizes, many = grouped(left, groups)
+    for used, times in sorted(configurations(sizes, many, capacity), key=lambda x: x[0].tolist(), reverse=True):
+        p.fill([size for size, k in zip(sizes, used.tolist(), strict=True) for _ in range(k)], times, left, taken)
+    for length in np.flatnonzero(left)[::-1].tolist():
+        p.best_fit(length, int(taken[length]), int(left[length]))
     for length in range(small, 0, -1):
         if counts[length]:
             p.best_fit(length, 0, int(counts[length]))
