@@ -11,12 +11,13 @@ most ``CACHE_WORDS`` short entries a worker, which changes the speed alone. Rows
 no shuffle, nothing broadcast but the vocabulary's path.
 
 Defined cases: null text has no bytes and no tokens; null ids, repeated rows and empty tables pass
-through row by row; other columns are ignored.
+through row by row; other columns are ignored; very long texts are counted whole, in memory linear in their length.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -64,6 +65,10 @@ class Vocabulary:
         special = [t["content"] for t in data["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(SPLIT)
+        # a few unassigned code points are letters to the regular expressions here and not to the library's
+        odd = "".join(c for c in map(chr, range(0x30000, 0x40000)) if unicodedata.category(c) == "Cn" and regex.match(r"\p{L}", c))
+        self.odd = re.compile(f"[{odd}]") if odd else None
+        self.split_odd = regex.compile("(?V1)" + SPLIT.replace(r"[\p{L}]", rf"[\p{{L}}--[{odd}]]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{N}}[\p{{L}}--[{odd}]]]"))
         self.cache: dict[str, int] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -114,9 +119,12 @@ class Vocabulary:
                 specials = len(pieces) - 1
             found: list[str] = []
             for piece in pieces:
+                by = split
                 if not piece.isascii():
                     piece = unicodedata.normalize("NFC", piece)
-                found += split(lower(piece))
+                    if self.odd and self.odd.search(piece):
+                        by = self.split_odd.findall
+                found += by(lower(piece))
             parts.append((specials, found))
             missing.update(found)
         missing.difference_update(cache)

@@ -52,7 +52,7 @@ def test_token_counts_are_the_librarys(spark, sf_dir):
     path = vocabulary_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     random.seed(3)
-    parts = ["a", "aa", "Σ", "İ", "ﬁ", "e\u0301", "\u0085", "\u200b", " ", "\n", "'s", "<|endoftext|>", "<|end", "12", "Ⅷ", "漢", "😀", "ß", "!!", "\u0300", "각", "the"]
+    parts = ["a", "aa", "Σ", "İ", "ﬁ", "e\u0301", "\u0085", "\u200b", " ", "\n", "'s", "<|endoftext|>", "<|end", "12", "Ⅷ", "漢", "😀", "ß", "!!", "\u0300", "각", "the", *map(chr, (0x32808, 0x3285C, 0x32988, 0x3D808, 0x3F988))]
     rows = AWKWARD + [(100 + i, "".join(random.choices(parts, k=12))) for i in range(300)] + [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     got = tokencount.count_tokens(clashing(docs(spark, rows)), path).collect()
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
@@ -69,6 +69,7 @@ def test_chat_round_trip(spark):
     roles = ["user", "assistant", "system", "odd\nrole", "\\n", "<|im_start|>", None, ""]
     rows = [(c, random.choice([None, 0, 1, 1, 2]), random.choice(roles), "".join(x or "" for x in random.choices(TRICKY, k=3)), "v", "t") for c in [None, *range(60)] for _ in range(5)]
     rows += [(500, i, r, t, "v", "t") for i, (r, t) in enumerate([("user", None), ("assistant", "yes")])]
+    rows += [(501, 0, "user", "long <|" * 20_000, "v", "t"), (501, 1, "assistant", "\\<|" * 40_000, "v", "t")]
     got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, CONV)).collect()}
     turns: dict = {}
     for c, turn, role, text, *_ in rows:
