@@ -11,7 +11,7 @@ Control strings can't occur in a text: a backslash is doubled and ``<|`` becomes
 Defined cases: null text and null role count as empty; a null ``conv_id`` is a conversation of its
 own; turns are ordered by (turn, role, text), null turns first, so ties and repeated rows give one
 result; an empty table gives no rows; other columns are ignored. Conversations whose turns break the
-machine's order are still formatted, with ``valid`` false and their number of breaks.
+machine's order are still formatted, with ``valid`` false and their number of breaks. Very long texts are formatted whole.
 
 The rows of one conversation meet in one task, since its sample is one string, of which the digests
 are taken; nothing else is gathered.
@@ -89,7 +89,7 @@ def formatted(samples: DataFrame) -> DataFrame:
 
 
 def read_back(samples: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Turns (role, text) parsed out of ``formatted``, and the text under the loss mask."""
+    """Turns (role, text) and the text under the loss mask, both parsed out of ``formatted``; of the segments only their loss flags are used."""
     parts = F.slice(F.split("formatted", r"\Q" + template.turn_start + r"\E", -1), 2, 2_000_000_000)
     role_end = lambda p: F.locate(template.after_role, p)
     tail, gap = len(template.turn_end), len(template.after_role)
@@ -97,8 +97,9 @@ def read_back(samples: DataFrame, template: Template = CHATML) -> DataFrame:
         unescape_role(F.substring(p, F.lit(1), role_end(p) - 1)).alias("role"),
         unescape(F.substring(p, role_end(p) + gap, F.char_length(p) - role_end(p) - gap + 1 - tail)).alias("text"),
     )
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return samples.withColumn("turns", F.transform(parts, turn)).withColumn("loss_text", loss)
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])  # a turn's segments are its head, text and tail
+    under = F.filter(F.arrays_zip(F.col("turns.text").alias("text"), flags.alias("loss")), lambda x: x["loss"])
+    return samples.withColumn("turns", F.transform(parts, turn)).withColumn("loss_text", F.array_join(F.transform(under, lambda x: x["text"]), ""))
 
 
 def digests(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
