@@ -16,11 +16,13 @@ some centres and some members inside tasks; only confirmed links leave a task, a
 in the first bucket that it shares. No cap is needed, and no link is lost.
 
 Intermediate tables are Parquet in the shared folder. Hot buckets: their least member and their number are
-partial aggregates, and members meet their centre in a plain join, whose large partitions Spark splits.
+partial aggregates, and members meet what belongs to their bucket in a sort-merge join of two tables, whose large partitions
+Spark splits (it splits no others: see ``by_bucket``). Components are found once; later links are looked at between
+components only.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and kept; rows with the same id are
 one document (its largest set counts); rows with a null id take no part in links and are kept with a null
-component; an empty table gives no rows; other columns are ignored.
+component; an empty table gives no rows; other columns are ignored; very long texts count with all their shingles.
 """
 
 from __future__ import annotations
@@ -167,21 +169,38 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` of known components and further links between their ids or new ones."""
+    ends = links.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
+    new = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(known, "id", "left_anti")
+    every = known.unionByName(fresh.select("id", F.col("id").alias("component")))
+    new = new.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return written(every.join(new, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "components")
+
+
+def by_bucket(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of buckets with a bucket's ``facts`` (a row for each bucket), in which a bucket may hold a third of all members.
+
+    Spark splits a large partition only where both sides of a sort-merge join are shuffled for it; so the facts are a table."""
+    return members.join(written(facts, "buckets").hint("merge"), "bucket")
+
+
 def _open(members: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
     """Members (id, n, bucket) of buckets with several components, with ``component`` and ``degree``."""
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     tagged = members.join(known, "id", "left").join(degree, "id", "left")
-    tagged = tagged.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    tagged = written(tagged.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "tagged")
     several = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return written(tagged.join(several, "bucket", "left_semi"), "open")
+    return written(by_bucket(tagged, several), "open")
 
 
-def _star(members: DataFrame, centre: Column, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's centre (the least of a struct with an ``id``) with the other members, and those members."""
-    heads = members.groupBy("bucket").agg(F.min(centre).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc"))
-    met = members.join(heads, "bucket").where("id <> centre")
+def _star(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members with their bucket's centre (``centre, cn, cc``: its id, set size and component)."""
     close = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (F.col("component") != F.col("cc"))
-    return met.where(close).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), met.drop("centre", "cn", "cc")
+    return met.where(close).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +208,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     whole = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("k"))
     whole = whole.select("bucket", F.col("top.component").alias("main"), F.ceil(F.col("k") / SLICE).alias("slices"), F.ceil((F.col("k") - F.col("top.k")) / BLOCK).alias("blocks")).where("blocks > 0")
-    rows = members.join(whole, "bucket")
+    rows = by_bucket(members, whole)
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     as_member = rows.select("bucket", "id", "component", F.lit(False).alias("head"), deal(F.col("slices"), 1).alias("slice"), each(F.col("blocks")).alias("block"))
@@ -260,21 +279,23 @@ def _compare(group, percent: int) -> tuple[list[int], list[int]]:
 def class_links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """``id, component`` of the representatives (doc_id, n_shingles, bands) that are linked with another."""
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = written(rows.join(shared, "bucket").withColumn("component", F.col("id")), "members")
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("many")).where("many > 1")
+    members = by_bucket(rows, heads.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")))
+    members = written(members, "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     full = shingle_table(docs.join(wanted, "doc_id", "left_semi"), shingle)
     sets = written(full.join(reps, "doc_id").where(F.size("shingles") == F.col("n_shingles")).select("doc_id", "shingles", "bands"), "sets")
-    pairs, members = _star(members, F.struct("id", "n", "component"), percent)
-    links = written(confirmed(pairs, sets, percent), "confirmed")
-    known = components(links)
-    apart = _open(members.drop("component"), known, links)
-    pairs, members = _star(apart, F.struct((-F.col("degree")).alias("degree"), "id", "n", "component"), percent)
-    links = written(links.unionByName(confirmed(pairs, sets, percent)), "confirmed")
-    known = components(links)
-    apart = _open(members.drop("component", "degree"), known, links)
-    more = written(_blocks(apart, sets, percent), "blocks")
-    return components(links.unionByName(more))
+    members = members.where("id <> centre")
+    links = written(confirmed(_star(members.withColumns({"component": F.col("id"), "cc": F.col("centre")}), percent), sets, percent), "confirmed")
+    known = written(components(links), "components")
+    apart = _open(members.select("bucket", "id", "n"), known, links)
+    heads = apart.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "id", "n", "component")).alias("c"))
+    met = by_bucket(apart, heads.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc")))
+    met = written(met.where("id <> centre"), "met")
+    more = written(confirmed(_star(met, percent), sets, percent), "confirmed")
+    known = merged(known, more)
+    apart = _open(met.select("bucket", "id", "n"), known, links.unionByName(more))
+    return merged(known, written(_blocks(apart, sets, percent), "blocks"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
