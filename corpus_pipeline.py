@@ -2,7 +2,12 @@
 
 Each stage takes what the one before kept, as a table read back from Parquet, and all but the last return the
 columns of documents. Rules that reject a document, near duplicates and benchmark leaks remove whole
-documents; personal data is replaced inside the text, which otherwise stays as it is.
+documents; personal data (with secrets in quoted assignments) is replaced inside the text, which otherwise stays as it is.
+
+Defined cases: a null or empty text fails the quality rules and goes; a null id is a document of its own, never a
+near duplicate; repeated rows (of one id) are judged alike, so all or none of them stay; very long texts go through every stage whole; an
+empty table gives an empty result; further columns, also ones with names that an operator uses, stay as they are up to the last
+stage, which returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, neardup, packing, pii, quality
-from quillon.llm.common import scratch_dir, table
+from quillon.llm.common import discard, passing, scratch_dir, table
 from quillon.llm.vocabularies import vocabulary_path
 
 
@@ -53,10 +58,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; every stage's result is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; every stage's result is written to the shared folder, and what it no longer needs deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}-{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
