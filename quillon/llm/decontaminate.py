@@ -21,6 +21,7 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -254,11 +255,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDI
     return found
 
 
+#: A worker's index of the last block of items that it saw, by a key of the block.
+_kept: dict[str, Passages] = {}
+
+
+def _index(key: str, items: list, q: int, rate: float) -> Passages:
+    """The index of a block's passages, built once in each worker."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Passages(items, q, rate)
+    return _kept[key]
+
+
 def _scan(docs: DataFrame, items, q: int, rate: float, id_col: str, text_col: str) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def run(batches):
         import pyarrow as pa
 
-        passages = Passages(items.value, q, rate)
+        passages = _index(key, items.value, q, rate)
         for batch in batches:
             rows: list[tuple] = []
             if passages.code and batch.num_rows:

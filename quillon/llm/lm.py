@@ -16,7 +16,8 @@
 Training texts: those whose crc32(id as text) mod 5 isn't 1. Tokens: words in lower case (A-Z), then one end.
 
 Defined cases: a null or empty text is its end alone; a null id counts as an empty text for the folds; repeated
-rows count and are scored each for itself; an empty table gives no rows; other columns are ignored.
+rows count and are scored each for itself; an empty table gives no rows; other columns are ignored; a very long text is a chunk of
+its own and scored whole.
 """
 
 from __future__ import annotations

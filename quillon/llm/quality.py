@@ -6,7 +6,8 @@ ablation never reads the texts again.
 
 Defined cases: a null text counts as empty (no words: ``too_few_words`` fails); a null ``doc_id``
 stays a row with a null id; repeated rows are measured each for itself; an empty table gives an empty
-ledger; columns other than the id and the text are ignored, whatever their names.
+ledger; columns other than the id and the text are ignored, whatever their names; very long texts are measured whole, in
+one row's memory.
 """
 
 from __future__ import annotations
