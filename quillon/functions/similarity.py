@@ -17,6 +17,9 @@ from quillon.functions import vocab
 from quillon.functions.vocab import DEFAULT, Taxonomy
 
 
+Weight = Callable[[Column], Column]
+
+
 def semantic_tokens(s: Column, tax: Taxonomy = DEFAULT) -> Column:
     same = t.literal_map(tax.synonyms)
     kept = F.filter(t.words(s), lambda w: (F.length(w) > 1) & ~w.isin(*vocab.SEMANTIC_STOP))
@@ -69,26 +72,39 @@ def concept_overlap(a: Column, b: Column) -> Column:
     return score * F.when(F.exists(known, lambda p: p["critical"] & ~p["same"]), vocab.CRITICAL_FACTOR).otherwise(1.0)
 
 
+def bag(items: Column) -> Column:
+    """(counts, norm2) of an array's items: what a cosine needs of one side."""
+    count = lambda x: F.size(F.filter(items, lambda y: y == x)).cast("double")
+    counts = F.map_from_entries(F.transform(F.array_distinct(items), lambda x: F.struct(x, count(x))))
+    return F.struct(counts.alias("counts"), F.aggregate(F.array_distinct(items), F.lit(0.0), lambda s, x: s + F.pow(count(x), 2)).alias("norm2"))
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """Of two bags; 0 if either is empty."""
+    both = F.array_intersect(F.map_keys(a["counts"]), F.map_keys(b["counts"]))
+    dot = F.aggregate(both, F.lit(0.0), lambda s, x: s + F.try_element_at(a["counts"], x) * F.try_element_at(b["counts"], x))
+    return F.coalesce(F.try_divide(dot, F.sqrt(a["norm2"] * b["norm2"])), F.lit(0.0))
+
+
 def text_profile(s: Column, tax: Taxonomy = DEFAULT) -> Column:
     """What similarity needs of a text, so that it is derived once a text and not once a pair."""
-    return F.struct(semantic_tokens(s, tax).alias("tokens"), trigrams(s).alias("trigrams"), concepts(s, tax).alias("concepts"), (F.coalesce(s, F.lit("")) != "").alias("some"))
+    return F.struct(semantic_tokens(s, tax).alias("tokens"), bag(trigrams(s)).alias("trigrams"), concepts(s, tax).alias("concepts"), (F.coalesce(s, F.lit("")) != "").alias("some"))
 
 
-def _mixed(a: Column, b: Column, idf: Column | None, token_share: float, lexical_share: float) -> Column:
-    weight = None if idf is None else lambda w: F.coalesce(F.try_element_at(idf, w), F.lit(1.0))
-    lexical = token_share * _cosine(a["tokens"], b["tokens"], weight) + (1 - token_share) * _cosine(a["trigrams"], b["trigrams"])
+def _mixed(a: Column, b: Column, weight: Weight | None, token_share: float, lexical_share: float) -> Column:
+    lexical = token_share * _cosine(a["tokens"], b["tokens"], weight) + (1 - token_share) * bag_cosine(a["trigrams"], b["trigrams"])
     con = concept_overlap(a["concepts"], b["concepts"])
     return F.when(a["some"] & b["some"], F.round(F.coalesce(lexical_share * lexical + (1 - lexical_share) * con, lexical), 4))
 
 
-def title_similarity(a: Column, b: Column, idf: Column | None = None) -> Column:
-    """Of two profiles of titles: words lead, concepts support."""
-    return _mixed(a, b, idf, 0.62, 0.62)
+def title_similarity(a: Column, b: Column, weight: Weight | None = None) -> Column:
+    """Of two profiles of titles: words lead, concepts support. ``weight``: of a token; 1 without it."""
+    return _mixed(a, b, weight, 0.62, 0.62)
 
 
-def description_similarity(a: Column, b: Column, idf: Column | None = None) -> Column:
+def description_similarity(a: Column, b: Column, weight: Weight | None = None) -> Column:
     """Of two profiles of descriptions: concepts lead."""
-    return _mixed(a, b, idf, 0.7, 0.4)
+    return _mixed(a, b, weight, 0.7, 0.4)
 
 
 def vector_cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as t
+
 
 def verdict(decided: Column, truth: Column) -> Column:
     return F.when(decided & truth, "TP").when(decided & ~truth, "FP").when(~decided & truth, "FN").when(~decided & ~truth, "TN")
@@ -12,7 +14,7 @@ def verdict(decided: Column, truth: Column) -> Column:
 
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
     """Counts and rates of a ``verdict`` column, for each group."""
-    n = {v: F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("TP", "FP", "FN", "TN")}
+    n = {v: F.count_if(F.col("verdict").isin(v, f"{v}_MISSED_BETTER")).alias(v.lower()) for v in ("TP", "FP", "FN", "TN")}
     rate = lambda a, b: F.round(F.try_divide(a, b), 6)
     c = F.col
     return rows.groupBy(*by).agg(*n.values()).withColumns({
@@ -20,9 +22,66 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
     })
 
 
-def contradictions(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys under which several values occur, with the values."""
-    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"), F.count("*").alias("n")).where(F.size("values") > 1)
+def contradictions(rows: DataFrame, key: str, value: str, claimed: Column | None = None) -> DataFrame:
+    """Keys under which several values occur, or whose values lack the one that the key itself claims, with the values."""
+    held = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"), F.count("*").alias("n"))
+    wrong = F.size("values") > 1
+    if claimed is not None:
+        wrong = wrong | ~F.coalesce(F.array_contains("values", claimed), F.lit(False))
+    return held.where(wrong)
+
+
+def identity(a: Column, c: Column, a_mrp: Column, c_mrp: Column) -> Column:
+    """(strict, standard) of two profiles (``matching.profiled``) and their list prices: whether they are the same product by a checklist.
+
+    Strict: brand, garment and colour family are known and the same, the fit doesn't differ, list prices are equal in whole units.
+    Standard: the colour may be unknown, list prices may be 5 % apart."""
+    f = lambda x: F.coalesce(x, F.lit(False))
+    brand = f(t.brand_agreement(a["brand"], c["brand"]) >= 0.85) | f(a["brand"] == c["brand"])
+    same = brand & f(a["garment"] == c["garment"]) & F.coalesce(a["fit"] == c["fit"], F.lit(True))
+    near = f(F.abs(a_mrp - c_mrp) / F.greatest(a_mrp, c_mrp) <= 0.05)
+    strict = same & f(a["family"] == c["family"]) & f(F.round(a_mrp) == F.round(c_mrp))
+    return F.struct(strict.alias("strict"), (same & ~f(a["family"] != c["family"]) & near).alias("standard"))
+
+
+def pooled(decided: DataFrame, pool: DataFrame) -> DataFrame:
+    """The verdict on each (anchor_id, platform) by each checklist: against an independent pool, once an entry, whatever searches found it.
+
+    ``decided``: (anchor_id, platform, status, listing_id); ``pool``: (anchor_id, platform, id, strict, standard). What was blocked
+    or failed has no verdict. A match that isn't the product is worse where the pool holds it."""
+    own = pool.groupBy("anchor_id", "platform", "id").agg(F.bool_or("strict").alias("strict"), F.bool_or("standard").alias("standard"))
+    found = own.join(decided.select("anchor_id", "platform", "listing_id"), ["anchor_id", "platform"], "left")
+    mine = F.col("id") == F.col("listing_id")
+    sums = found.groupBy("anchor_id", "platform").agg(F.count("*").alias("pool_size"), *[x for n in ("strict", "standard") for x in (F.count_if(n).alias(f"n_{n}"), F.bool_or(mine & F.col(n)).alias(f"is_{n}"))])
+    rows = decided.join(sums, ["anchor_id", "platform"], "left")
+    hit = F.col("status") == "matched"
+
+    def judged(n: str) -> Column:
+        there = F.coalesce(f"n_{n}", F.lit(0)) > 0
+        return (
+            F.when(F.col("status").isin("blocked", "error"), "BLOCKED")
+            .when(hit & F.coalesce(f"is_{n}", F.lit(False)), "TP")
+            .when(hit, F.when(there, "FP_MISSED_BETTER").otherwise("FP"))
+            .otherwise(F.when(there, "FN").otherwise("TN"))
+            .alias(f"verdict_{n}")
+        )
+
+    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return rows.select("anchor_id", "platform", "status", zero("pool_size"), zero("n_strict"), zero("n_standard"), judged("strict"), judged("standard"))
+
+
+def tiers(decided: DataFrame) -> DataFrame:
+    """How many decisions each platform, status and tier has, and their share of the platform's."""
+    total = decided.groupBy("platform").agg(F.count("*").alias("of"))
+    n = decided.groupBy("platform", "status", "matchType").agg(F.count("*").alias("n")).join(total, "platform")
+    return n.select("platform", "status", "matchType", "n", F.round(F.col("n") / F.col("of"), 6).alias("share"))
+
+
+def gender_leaks(matches: DataFrame) -> DataFrame:
+    """For each platform, of its matches (platform, anchor_gender, listing_gender) how many were checked and how many cross genders."""
+    a, c = F.col("anchor_gender"), F.col("listing_gender")
+    leak = F.coalesce((a != c) & (a != "unisex") & (c != "unisex"), F.lit(False))
+    return matches.groupBy("platform").agg(F.count("*").alias("checked"), F.count_if(leak).alias("leaks"))
 
 
 def unknown(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -37,6 +37,22 @@ def profiled(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
     return computed_once(two, "p.*", f.alias("f"))
 
 
+def weighted(rows: DataFrame, weights: DataFrame, at: str = "f.title", into: str = "w") -> DataFrame:
+    """Rows with ``into``, a map of the weights of the tokens of their profile at ``at``: no vocabulary is collected.
+
+    ``weights``: (token, idf, unseen) of ``idf_table``; a token that it lacks weighs ``unseen``. Equal token lists are looked up once."""
+    tokens = F.col(f"{at}.tokens")
+    each = rows.select(tokens.alias("_tokens")).distinct().select("_tokens", F.explode(F.array_distinct("_tokens")).alias("token"))
+    unseen = F.coalesce(weights.agg(F.max("unseen")).scalar(), F.lit(1.0))
+    known = each.join(weights.select("token", "idf"), "token", "left").groupBy("_tokens").agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("idf", unseen)))).alias(into))
+    return rows.join(known, tokens == F.col("_tokens"), "left").drop("_tokens")
+
+
+def weight_in(x: Column, y: Column) -> Callable[[Column], Column]:
+    """The weight of a token of either of two products, by their maps ``w``."""
+    return lambda token: F.coalesce(F.try_element_at(x, token), F.try_element_at(y, token), F.lit(1.0))
+
+
 def blocked(anchors: DataFrame, listings: DataFrame, key: str = "shared") -> DataFrame:
     """(anchor_id, row, listing, query_ord) of profiled products that share a search key of a kind, the first one kept."""
     keys = lambda df: df.select(F.struct("*").alias("row"), F.posexplode(f"f.{key}").alias("query_ord", "key"))
@@ -66,17 +82,19 @@ def candidates(anchors: DataFrame, listings: DataFrame) -> DataFrame:
     return shared.unionByName(gated(blocked(anchors.join(settled, "id", "left_anti"), listings, "specific")))
 
 
-def _signals(idf: Column | None) -> dict[str, Column]:
+def _signals(trained: bool) -> dict[str, Column]:
     a, c = F.col("row"), F.col("listing")
     x, y = a["f"], c["f"]
+    idf = weight_in(a["w"], c["w"]) if trained else None
     return {"mrp": dec.mrp_evidence(a["mrp"], c["mrp"]), "title": sim.title_similarity(x["title"], y["title"], idf), "model": t.code_score(x["strong"], y["strong"], x["weak"], y["weak"]), "brand": F.col("gate.brand")}
 
 
-def evidence(pairs: DataFrame, idf: Column | None = None) -> DataFrame:
-    """Surviving pairs with the cheap score: list price, title, model codes and brand."""
+def evidence(pairs: DataFrame) -> DataFrame:
+    """Surviving pairs with the cheap score: list price, title, model codes and brand; titles by the weights that ``weighted`` added, if it did."""
     affinity = F.coalesce((F.col("row.f.colour") == F.col("listing.f.any_colour")).cast("int"), F.lit(0))
     passed = pairs.where("gate.pass")
-    signals = F.struct(*[v.alias(n) for n, v in _signals(idf).items()])
+    trained = "w" in pairs.schema["row"].dataType.names
+    signals = F.struct(*[v.alias(n) for n, v in _signals(trained).items()])
     return computed_once(passed, *passed.columns, signals.alias("signals"), affinity.alias("affinity")).withColumn("cheap", dec.blend({n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")}))
 
 
@@ -88,7 +106,7 @@ def finalists(scored: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
     return ranked.withColumn("batch", F.ceil(F.col("rank") / config.enrich).cast("int"))
 
 
-def judged(final: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), idf: Column | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
+def judged(final: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), weights: DataFrame | None = None, tax: Taxonomy = DEFAULT) -> DataFrame:
     """Finalists with full evidence and their reason of rejection; a later batch counts only if all earlier ones were rejected.
 
     ``details``: (platform, id, title, color, description, attributes, countryOfOrigin, lab, dhash), anchors under the platform 'anchor'."""
@@ -99,12 +117,13 @@ def judged(final: DataFrame, details: DataFrame | None = None, config: EngineCon
     else:
         c = F.col
         known = computed_once(details, "platform", "id", "lab", "dhash", att.canonical(c("title"), c("color"), c("attributes"), c("description"), c("countryOfOrigin"), tax).alias("attrs"), sim.text_profile(c("description"), tax).alias("text"))
+        known = known.withColumn("w", F.lit(None).cast("map<string,double>")) if weights is None else weighted(known, weights, "text")
         own = known.where("platform = 'anchor'").select(c("id").alias("anchor_id"), F.struct("*").alias("da"))
         theirs = known.select(c("platform").alias("_p"), c("id").alias("_i"), F.struct("*").alias("dc"))
         final = final.join(own, "anchor_id", "left").join(theirs, (c("listing.platform") == c("_p")) & (c("listing.id") == c("_i")), "left").drop("_p", "_i")
         more = F.struct(
             att.agreement(c("da.attrs"), c("dc.attrs")).alias("am"), sim.image_similarity(c("da.lab"), c("dc.lab"), c("da.dhash"), c("dc.dhash")).alias("image"),
-            sim.description_similarity(c("da.text"), c("dc.text"), idf).alias("description"),
+            sim.description_similarity(c("da.text"), c("dc.text"), None if weights is None else weight_in(c("da.w"), c("dc.w"))).alias("description"),
         )
         final = computed_once(final, *[n for n in final.columns if n not in ("da", "dc")], more.alias("more"))
     signals = {n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")} | {"attributes": F.col("more.am.score"), "image": F.col("more.image.score"), "description": F.col("more.description")}
@@ -132,10 +151,15 @@ def rivals(viable: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     return viable.withColumn("n", F.row_number().over(order)).withColumn("tied", tied)
 
 
-def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, scored: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+def barred(pages: DataFrame) -> DataFrame:
+    """(anchor_id, platform) whose every page (anchor_id, platform, blocked) was blocked."""
+    return pages.groupBy("anchor_id", "platform").agg(F.bool_and(F.coalesce("blocked", F.lit(False))).alias("b")).where("b").select("anchor_id", "platform")
+
+
+def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, scored: DataFrame, config: EngineConfig = EngineConfig(), pages: DataFrame | None = None) -> DataFrame:
     """One status for each anchor and platform, in the fixed order of precedence.
 
-    ``platforms``: (platform, blocked); ``searched``: all gated pairs; ``scored``: judged finalists."""
+    ``platforms``: (platform, blocked: on the whole); ``pages``: see ``barred``; ``searched``: all gated pairs; ``scored``: judged finalists."""
     seen = searched.groupBy("anchor_id", F.col("listing.platform").alias("platform")).agg(F.count("*").alias("scanned"), F.count_if("gate.pass").alias("survivors"))
     flat = scored.select(
         "anchor_id", F.col("listing.platform").alias("platform"), F.col("listing.id").alias("id"), F.col("listing.price").alias("price"), F.col("listing.mrp").alias("mrp"), F.col("row.mrp").alias("anchor_mrp"),
@@ -146,7 +170,11 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
         F.count_if("tied").alias("ties"),
         F.max(F.when(F.col("n") == 1, F.struct("id", "price", "mrp", "anchor_mrp", "score", "proven", "conflict"))).alias("best"),
     )
-    rows = anchors.select(F.col("id").alias("anchor_id")).crossJoin(F.broadcast(platforms)).join(seen, ["anchor_id", "platform"], "left").join(best, ["anchor_id", "platform"], "left")
+    each = platforms.agg(F.sort_array(F.collect_list(F.struct("platform", "blocked")))).scalar()  # a handful of rows
+    rows = anchors.select(F.col("id").alias("anchor_id"), each.alias("p")).select("anchor_id", F.inline("p"))
+    if pages is not None:
+        rows = rows.join(barred(pages).withColumn("_barred", F.lit(True)), ["anchor_id", "platform"], "left").withColumn("blocked", F.coalesce("_barred", "blocked")).drop("_barred")
+    rows = rows.join(seen, ["anchor_id", "platform"], "left").join(best, ["anchor_id", "platform"], "left")
     b = F.col("best")
     out = dec.strict_rejection(b["score"], b["anchor_mrp"], b["mrp"], b["proven"], config)
     status = (
@@ -167,18 +195,25 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     )
 
 
-def match(anchors: DataFrame, listings: DataFrame, platforms: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), tax: Taxonomy = DEFAULT) -> DataFrame:
-    """The whole chain, for all anchors at once."""
-    searched = candidates(profiled(anchors, tax), profiled(listings, tax))
-    return decisions(anchors, platforms, searched, judged(finalists(evidence(searched), config), details, config, tax=tax), config)
+def match(
+    anchors: DataFrame, listings: DataFrame, platforms: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), tax: Taxonomy = DEFAULT,
+    pages: DataFrame | None = None, weights: DataFrame | None = None,
+) -> DataFrame:
+    """The whole chain, for all anchors at once. Token weights are trained on the anchors' brands and titles unless they are given."""
+    if weights is None:
+        weights = idf_table(anchors.select(F.concat_ws(" ", F.coalesce("brand", F.lit("")), F.coalesce("title", F.lit(""))).alias("title")), tax=tax)
+    # profiles are costly and small beside the pairs, which are looked at several times; what an executor's loss takes is derived again
+    ready = lambda products: weighted(profiled(products, tax).persist(), weights).persist()
+    searched = candidates(ready(anchors), ready(listings))
+    return decisions(anchors, platforms, searched, judged(finalists(evidence(searched), config), details, config, weights, tax), config, pages)
 
 
 def idf_table(titles: DataFrame, column: str = "title", tax: Taxonomy = DEFAULT) -> DataFrame:
-    """(token, df, idf) over all titles."""
+    """(token, df, idf) over all titles; ``unseen``: the weight of a token that none has."""
     rows = titles.select(F.array_distinct(sim.semantic_tokens(F.col(column), tax)).alias("w"))
-    total = titles.agg(F.count("*").alias("n"))
+    n = titles.agg(F.count("*")).scalar()
     counted = rows.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return counted.join(F.broadcast(total)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return counted.select("token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"), (F.log(n + 1) + 1).alias("unseen"))
 
 
 def cosine_pairs(titles: DataFrame, pairs: DataFrame, weights: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
@@ -192,9 +227,91 @@ def cosine_pairs(titles: DataFrame, pairs: DataFrame, weights: DataFrame, tax: T
     return pairs.join(dots, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left").select("a", "b", F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("na") * F.col("nb"))), F.lit(0.0)).alias("cosine"))
 
 
-def nearest(vectors: DataFrame, queries_: DataFrame, k: int, embed: Callable[[Column, Column], Column] = sim.vector_cosine) -> DataFrame:
-    """The k most similar vectors of another id within the same label, for each query; (vec_id, embedding, label)."""
-    q = queries_.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
-    pairs = q.join(vectors, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(embed(F.col("qe"), F.col("embedding")), 6).alias("cosine"))
+def nearest(vectors: DataFrame, queries_: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k vectors of another id that are most alike (cosine) to each query, among all rows of (vec_id, embedding): exact, no index.
+
+    Queries go out in blocks of ``block`` rows, each a pass over the vectors, which a task multiplies in one product a batch; it keeps
+    k rows for each query, so that only those are shuffled. A null or zero vector is alike to none (0)."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries_.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = -(-asked.count() // block)
+    found = None
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about `block` rows
+        part = _nearest_block(rows, mine, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _unit_rows(column):
+    """Vectors of an Arrow list column as a matrix of unit rows; those of another length than the first, null or zero are zero."""
+    import numpy as np
+
+    lists = column.to_pylist()
+    size = next((len(x) for x in lists if x), 1)
+    m = np.array([[v or 0.0 for v in x] if x is not None and len(x) == size else [0.0] * size for x in lists], float).reshape(len(lists), size)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _nearest_block(rows: DataFrame, asked, k: int) -> DataFrame:
+    import numpy as np
+
+    q, ids = _unit_rows(asked.column("embedding")), np.array(asked.column("vec_id").to_pylist(), np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        best: list[np.ndarray] = [np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # minus cosine, id, query
+
+        def keep(rows: list[np.ndarray]) -> list[np.ndarray]:
+            order = np.lexsort((rows[1], rows[0], rows[2]))
+            rows = [r[order] for r in rows]
+            first = np.r_[True, rows[2][1:] != rows[2][:-1]][: len(order)]
+            start = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
+            return [r[np.arange(len(order)) - start < k] for r in rows]
+
+        for batch in batches:
+            there = np.array([x if x is not None else -1 for x in batch.column("vec_id").to_pylist()], np.int64)
+            v = _unit_rows(batch.column("embedding"))
+            if not len(v) or v.shape[1] != q.shape[1]:
+                continue
+            cosine = np.round(q @ v.T, 6) + 0.0
+            cosine[ids[:, None] == there[None, :]] = -np.inf
+            if len(there) > k:  # ties at the border stay until ids decide
+                border = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+                a, b = np.nonzero((cosine >= border) & np.isfinite(cosine))
+            else:
+                a, b = np.nonzero(np.isfinite(cosine))
+            best = keep([np.concatenate(x) for x in zip(best, (-cosine[a, b], there[b], a), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[2]]), pa.array(best[1]), pa.array(-best[0])], ["query_id", "vec_id", "cosine"])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, cosine double")
+
+
+def similar_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(a, b, title_a, title_b, jaccard): pairs of different normalised titles whose words' Jaccard index is ``least`` or more, by an exact prefix join.
+
+    ``titles``: (id, title). ``a`` and ``b`` are the least ids of their title: equal titles are one class (``title_classes``), so that a
+    title that many products share costs nothing. Words are ordered from the rarest on; two sets that are so alike share one
+    of the first |x| - ceil(least |x|) + 1 words, so only those are joined, and common words hardly ever."""
+    one = title_classes(titles).groupBy("title").agg(F.min("id").alias("id"))
+    sets = one.select("id", "title", F.array_distinct(t.words(F.col("title"))).alias("words")).where(F.size("words") > 0)
+    each = sets.select("id", F.explode("words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("df"))
+    ordered = each.join(often, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
+    n = F.size("o")
+    prefix = ordered.select("id", F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("w")).select("id", "w.word")
+    left, right = prefix.withColumnRenamed("id", "a"), prefix.withColumnRenamed("id", "b")
+    pairs = left.join(right, "word").where("a < b").select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("title").alias(f"title_{x}"), F.col("words").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", t.jaccard(F.col("wa"), F.col("wb")))
+    return both.where(F.col("jaccard") >= least - 1e-12).select("a", "b", "title_a", "title_b", "jaccard")
+
+
+def title_classes(titles: DataFrame) -> DataFrame:
+    """(id, title) with normalised titles."""
+    return titles.select("id", t.normalize(F.col("title")).alias("title"))

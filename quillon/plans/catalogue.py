@@ -283,19 +283,21 @@ def size_labels(spark, sf_dir):
 # ---- similarity
 
 
-def part_pairs(spark, sf_dir) -> DataFrame:
-    """Pairs of parts of one brand and noun, which block the pair join."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.element_at(F.split("p_name", " "), -1).alias("noun"))
-    a = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "p_brand", "noun")
-    return a.join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "p_brand", "noun"), ["p_brand", "noun"]).where("a < b")
+LEAST_ALIKE = 0.33
 
 
-_PAIRS = "pairs AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS na, y.p_name AS nb FROM part x JOIN part y ON x.p_brand = y.p_brand AND string_split(x.p_name, ' ')[-1] = string_split(y.p_name, ' ')[-1] AND x.p_partkey < y.p_partkey)"
+def title_pairs(spark, sf_dir) -> DataFrame:
+    """Pairs of alike names, each by the least part of that name."""
+    return matching.similar_titles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), LEAST_ALIKE)
 
 
-@query(f"WITH {_PAIRS}, w AS (SELECT a, b, {words_sql('na')} AS x, {words_sql('nb')} AS y FROM pairs) SELECT a, b, round(len(list_intersect(list_distinct(x), list_distinct(y))) * 1.0 / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM w")
+_PAIRS = f"""cls AS (SELECT min(p_partkey) AS id, {norm_sql('p_name')} AS s FROM part GROUP BY 2), both_ AS (SELECT x.id AS a, y.id AS b, x.s AS na, y.s AS nb, list_distinct({words_sql('x.s')}) AS wx, list_distinct({words_sql('y.s')}) AS wy FROM cls x JOIN cls y ON x.id < y.id),
+measured AS (SELECT *, len(list_intersect(wx, wy)) * 1.0 / len(list_distinct(list_concat(wx, wy))) AS j FROM both_), pairs AS (SELECT * FROM measured WHERE j >= {LEAST_ALIKE})"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(j, 6) AS jaccard FROM pairs")
 def jaccard_titles(spark, sf_dir):
-    return part_pairs(spark, sf_dir).select("a", "b", F.round(t.jaccard(t.words(F.col("na")), t.words(F.col("nb"))), 6).alias("jaccard"))
+    return title_pairs(spark, sf_dir).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 _SEM = lambda c: f"list_transform(list_filter({words_sql(c)}, lambda w: length(w) > 1 AND w NOT IN {in_sql(vocab.SEMANTIC_STOP)}), lambda w: coalesce({map_sql(DEFAULT.synonyms, 'w')}, w))"
@@ -312,7 +314,7 @@ norm AS (SELECT id, sum(w * w) AS n2 FROM bag GROUP BY id), dot AS (SELECT a, b,
 SELECT a, b, round(coalesce(d / sqrt(p.n2 * q.n2), 0), 6) AS cosine FROM pairs LEFT JOIN dot USING (a, b) LEFT JOIN norm p ON p.id = a LEFT JOIN norm q ON q.id = b""")
 def token_cosine(spark, sf_dir):
     titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
-    return matching.cosine_pairs(titles, part_pairs(spark, sf_dir).select("a", "b"), matching.idf_table(titles)).withColumn("cosine", F.round("cosine", 6))
+    return matching.cosine_pairs(titles, title_pairs(spark, sf_dir).select("a", "b"), matching.idf_table(titles)).withColumn("cosine", F.round("cosine", 6))
 
 
 _TRI = lambda c: f"(SELECT list(substr(' ' || {norm_sql(c)} || ' ', i::INT, 3)) FROM range(1, length({norm_sql(c)}) + 1) r(i))"
@@ -323,12 +325,10 @@ tri AS (SELECT s, k, count(*) AS c FROM (SELECT s, substr(p, i::INT, 3) AS k FRO
 np AS (SELECT DISTINCT na, nb FROM pairs), dot AS (SELECT na, nb, sum(x.c * y.c) AS d FROM np JOIN tri x ON x.s = na JOIN tri y ON y.s = nb AND y.k = x.k GROUP BY 1, 2)
 SELECT a, b, round(coalesce(d / sqrt(p.n2 * q.n2), 0), 6) AS cosine FROM pairs LEFT JOIN dot USING (na, nb) LEFT JOIN norm p ON p.s = na LEFT JOIN norm q ON q.s = nb""")
 def trigram_cosine(spark, sf_dir):
-    pairs = part_pairs(spark, sf_dir)
-    names = pairs.select("na", "nb").distinct().withColumn("cosine", F.round(sim.trigram_cosine(F.col("na"), F.col("nb")), 6))
-    return pairs.join(names, ["na", "nb"]).select("a", "b", "cosine")
+    return title_pairs(spark, sf_dir).select("a", "b", F.round(sim.trigram_cosine(F.col("title_a"), F.col("title_b")), 6).alias("cosine"))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id),
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM p) SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 5""")
 def embedding_cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -547,20 +547,15 @@ def audit_confusion(spark, sf_dir):
     return audit.confusion(d.withColumn("verdict", audit.verdict(F.col("n_chars") > 1500, F.col("quality") == 1)), "lang")
 
 
-@query("SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1")
+CLAIMS = {0: "AUTOMOBILE", 1: "BUILDING", 2: "FURNITURE", 3: "HOUSEHOLD", 4: "MACHINERY"}
+
+
+@query(f"WITH c AS (SELECT c_custkey % 1000 AS code, c_mktsegment AS s FROM customer) SELECT code, array_to_string(list_sort(list(DISTINCT s)), ',') AS segments, count(*) AS n FROM c GROUP BY code HAVING count(DISTINCT s) > 1 OR NOT list_contains(list(s), {map_sql({str(k): v for k, v in CLAIMS.items()}, 'CAST(code % 5 AS VARCHAR)')})")
 def prefix_contradictions(spark, sf_dir):
-    found = audit.contradictions(table(spark, sf_dir, "customer").where("c_acctbal > 9000"), "c_nationkey", "c_mktsegment")
-    return found.select("c_nationkey", F.array_join("values", ",").alias("segments"), "n")
-
-
-@query("""WITH p AS (SELECT p_partkey, p_brand, string_split(p_name, ' ')[-1] AS noun, p_type FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_type = b.p_type AS standard, a.p_type = b.p_type AND x.p_size = y.p_size AS strict
-FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.noun = b.noun AND a.p_partkey < b.p_partkey JOIN part x ON x.p_partkey = a.p_partkey JOIN part y ON y.p_partkey = b.p_partkey""")
-def identity_checklist(spark, sf_dir):
-    facts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    side = lambda n: facts.select(F.col("p_partkey").alias(n), F.col("p_type").alias(f"t{n}"), F.col("p_size").alias(f"s{n}"))
-    pairs = part_pairs(spark, sf_dir).select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    standard = F.col("ta") == F.col("tb")
-    return pairs.select("a", "b", standard.alias("standard"), (standard & (F.col("sa") == F.col("sb"))).alias("strict"))
+    """Codes of customers, whose last digit claims a segment."""
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 1000).alias("code"), "c_mktsegment")
+    found = audit.contradictions(rows, "code", "c_mktsegment", F.try_element_at(t.literal_map(CLAIMS), (F.col("code") % 5).cast("int")))
+    return found.select("code", F.array_join("values", ",").alias("segments"), "n")
 
 
 @query("""WITH r AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
