@@ -45,6 +45,12 @@ def score_verdict(v: Column) -> Column:
     return F.when(v.isNull(), "na").when(v >= 0.85, "best").when(v >= 0.6, "moderate").otherwise("low")
 
 
+def attribute_verdict(value: Column, verdict: Column, is_source: Column) -> Column:
+    """Of an attribute's cell: how the comparison of its field went; the source itself and what has no value aren't judged."""
+    judged = F.when(verdict == "match", "best").when(verdict == "partial", "moderate").when(verdict == "differ", "low").when(verdict == "na", "na").otherwise("moderate")
+    return F.when(is_source | value.isNull(), "na").otherwise(judged)
+
+
 def posture(gap: Column) -> Column:
     return F.when(gap.isNull(), "No competitor data").when(gap > 0, "Undercut").when(gap < 0, "Cheapest").otherwise("Parity")
 

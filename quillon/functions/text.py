@@ -244,6 +244,14 @@ def product_id(s: Column) -> Column:
     return F.upper(F.coalesce(F.when(t.rlike(r"(?i)^[a-z]{2}\d{6,}$"), t), part(r"(?i)/p-([a-z0-9]+)"), part(r"(?i)[?&]productId=([a-z0-9]+)")))
 
 
+def hint_id(platform: Column, url: Column) -> Column:
+    """The product id in a rival's link, by where each platform's links have it; null for anything else."""
+    path = F.try_parse_url(F.trim(url), F.lit("PATH"))
+    part = lambda p: F.nullif(F.regexp_extract(path, p, 1), F.lit(""))
+    # The paths of the platforms' product pages.
+    return F.when(platform == "myntra", part(r"/(\d+)/buy")).when(platform == "ajio", part(r"/p/(\w+)"))
+
+
 def plain(html: Column) -> Column:
     """Text without tags; line breaks and tags are spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", " "), r"<[^>]+>", " "), r"\s+", " "))

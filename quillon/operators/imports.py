@@ -68,3 +68,20 @@ def template(spark, own: str = "https://shop.example/x/p-mp000000000000001", riv
     """An example sheet: a link with a rival's link, a link alone, and a bare id."""
     rows_ = [(1, own, rival, None, "with a rival's link, whose agreement is reported"), (2, own[:-1] + "2", None, None, "a link alone"), (3, "MP000000000000003", None, None, "a bare id")]
     return spark.createDataFrame(rows_, "n int, product string, myntra string, ajio string, note string")
+
+
+#: Filters of a job's rows, by the column and value that they ask for.
+FILTERS = {"failed": ("status", "error"), "unmatched": ("status", "no_match"), "matched": ("status", "matched"), "disagreed": ("agreement", "disagreed")}
+
+
+def filtered(items: DataFrame, name: str = "all") -> DataFrame:
+    """Items of a job by their outcome; an unknown filter keeps all."""
+    if name not in FILTERS:
+        return items
+    column, value = FILTERS[name]
+    return items.where(F.col(column) == value)
+
+
+def finished(items: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """A job's matched and unmatched items with their saved comparison, of which there is one an id; those without one are left out."""
+    return items.where(F.col("status").isin("matched", "no_match")).join(comparisons, "id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions import text as t
 
@@ -41,6 +42,36 @@ def summary(grid: DataFrame) -> DataFrame:
     return g.withColumn("verdict", F.when(F.col("matches") + F.col("mismatches") == 0, "not comparable").when(F.col("major") > 0, "major differences").when(F.col("mismatches") > 0, "minor differences").otherwise("consistent"))
 
 
+def only_on(index: DataFrame) -> DataFrame:
+    """(product_id, size, platform) of sizes that one platform alone has, where several have a chart: gaps of a catalog, no mismatches."""
+    charts = index.groupBy("product_id").agg(F.count_distinct("platform").alias("charts")).where("charts > 1").select("product_id")
+    sizes = index.groupBy("product_id", "size").agg(F.count_distinct("platform").alias("n"), F.min("platform").alias("platform")).where("n = 1")
+    return sizes.join(charts, "product_id", "left_semi").select("product_id", "size", "platform")
+
+
+def flags(grid: DataFrame) -> DataFrame:
+    """Mismatched cells with ``ord``: major ones first, then by the gap, then in the order of the chart."""
+    w = Window.partitionBy("product_id").orderBy((F.col("severity") == "major").desc(), F.col("delta").desc(), "size_rank", "size", "axis_rank", "axis", "basis")
+    return grid.where("status = 'mismatch'").withColumn("ord", F.row_number().over(w))
+
+
+def verdicts(index: DataFrame, grid: DataFrame) -> DataFrame:
+    """Counters of each product and its verdict: single_source, mismatch, minor_variance, consistent or not_comparable."""
+    charts = index.groupBy("product_id").agg(F.count_distinct("platform").alias("charts"))
+    n = lambda c: F.count_if(c)
+    is_ = F.col("status")
+    sums = grid.groupBy("product_id").agg(n(is_.isin("match", "mismatch")).alias("compared"), n(is_ == "match").alias("matched"), n(F.col("severity") == "minor").alias("minor"), n(F.col("severity") == "major").alias("major"))
+    verdict = F.when(F.col("charts") < 2, "single_source").when(F.col("major") > 0, "mismatch").when(F.col("minor") > 0, "minor_variance").when(F.col("compared") > 0, "consistent").otherwise("not_comparable")
+    return charts.join(sums, "product_id").withColumn("verdict", verdict)
+
+
+def unavailable(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """Why a wanted chart (product_id, platform, reason, published) isn't there: its stated reason, else no_table or not_published."""
+    there = index.select("product_id", "platform").distinct()
+    why = F.coalesce("reason", F.when(F.coalesce("published", F.lit(False)), "no_table").otherwise("not_published"))
+    return wanted.join(there, ["product_id", "platform"], "left_anti").select("product_id", "platform", why.alias("reason"))
+
+
 def size_stock(variants: DataFrame) -> DataFrame:
     """Stock by size of (product_id, pos, size, available, stock): any available, numbers summed, in order of first sight."""
     return variants.groupBy("product_id", "size").agg(F.bool_or("available").alias("available"), F.sum("stock").alias("stock"), F.min("pos").alias("pos"))

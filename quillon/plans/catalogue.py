@@ -429,15 +429,27 @@ def status_precedence(spark, sf_dir):
     return matching.match(anchors, listings, platforms).select("anchor_id", "platform", "status", "rejectedBy", "listing_id")
 
 
-FABRICS = [(i, s) for i, s in enumerate(["98% Cotton, 2% Elastane", "Pure Cotton", "Single Jersey, 100% Cotton", "Cotton Blend", "60 % polyester 40% viscose", "wool and silk", "", None, "5% Spandex 95% Nylon"])]
-FABRIC_FACTS = [(0, "cotton", 98.0, True, "slight stretch"), (1, "cotton", 100.0, False, "non stretch"), (2, "cotton", 100.0, False, "non stretch"), (3, "cotton", None, True, "non stretch"), (4, "polyester", 60.0, True, "non stretch"),
-                (5, "wool", None, True, "non stretch"), (6, None, None, None, None), (7, None, None, None, None), (8, "nylon", 95.0, True, "stretchable")]
+_FABRIC = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN (78 + p_size % 22) || '% Cotton, ' || (22 - p_size % 22) || '% Elastane' WHEN 1 THEN 'Pure Wool' WHEN 2 THEN 'Cotton Blend'
+  WHEN 3 THEN (30 + p_size % 45) || ' % polyester ' || (70 - p_size % 45) || '.5% viscose' WHEN 4 THEN 'Single Jersey, 100% ' || p_type ELSE p_name || ' in silk and linen' END AS s FROM part"""
+_SHARE = r"([0-9]{1,3}(?:\.[0-9]+)?)\s*%\s*([a-z]+)"
 
 
-@query("WITH " + values_sql("v", "i, material, pct, blend, stretch", FABRIC_FACTS) + " SELECT i, material, CAST(pct AS DOUBLE) AS pct, blend, stretch FROM v")
+@query(rf"""WITH s AS ({_FABRIC}), low AS (SELECT id, lower(s) AS s FROM s), fibre AS (SELECT unnest({list(vocab.FIBRES)}) AS f, generate_subscripts({list(vocab.FIBRES)}, 1) AS ford),
+said AS (SELECT id, CAST(unnest(regexp_extract_all(s, '{_SHARE}', 1)) AS DOUBLE) AS pct, unnest(regexp_extract_all(s, '{_SHARE}', 2)) AS w FROM low),
+pair AS (SELECT id, pct, arg_min(f, ford) AS f FROM said JOIN fibre ON starts_with(w, f[1:5]) GROUP BY id, pct, w), exact AS (SELECT id, arg_max(f, pct) AS material, max(pct) AS pct, count(*) > 1 AS blend, max(pct) FILTER (f IN ('elastane', 'spandex', 'lycra')) AS elastic FROM pair GROUP BY id),
+named AS (SELECT id, arg_min(f, ford) AS material, CASE WHEN any_value(regexp_matches(s, '\bpure\b|\b100\b') AND NOT regexp_matches(s, '\bblend(ed)?\b')) THEN 100.0 END AS pct, any_value(regexp_matches(s, '\bblend(ed)?\b')) OR count(*) > 1 AS blend FROM low JOIN fibre ON regexp_matches(s, '\b' || f || '\b') GROUP BY id)
+SELECT low.id, coalesce(e.material, n.material) AS material, CASE WHEN e.id IS NULL THEN n.pct ELSE e.pct END AS pct, coalesce(e.blend, n.blend) AS blend,
+  CASE WHEN elastic >= 3 THEN 'stretchable' WHEN elastic < 3 THEN 'slight stretch' WHEN e.id IS NOT NULL OR n.id IS NOT NULL THEN 'non stretch' END AS stretch FROM low LEFT JOIN exact e ON e.id = low.id LEFT JOIN named n ON n.id = low.id""")
 def fabric_parse(spark, sf_dir):
-    d = spark.createDataFrame(FABRICS, "i int, s string").withColumn("f", att.fabric(F.col("s")))
-    return d.select("i", F.col("f.primary").alias("material"), F.get("f.composition", F.lit(0))["pct"].alias("pct"), F.col("f.blend").alias("blend"), att.stretch(F.col("f"), F.col("s")).alias("stretch"))
+    size, text = F.col("p_size"), lambda c: c.cast("string")
+    made = (
+        F.when(F.col("p_partkey") % 6 == 0, F.concat(text(78 + size % 22), F.lit("% Cotton, "), text(22 - size % 22), F.lit("% Elastane")))
+        .when(F.col("p_partkey") % 6 == 1, "Pure Wool").when(F.col("p_partkey") % 6 == 2, "Cotton Blend")
+        .when(F.col("p_partkey") % 6 == 3, F.concat(text(30 + size % 45), F.lit(" % polyester "), text(70 - size % 45), F.lit(".5% viscose")))
+        .when(F.col("p_partkey") % 6 == 4, F.concat(F.lit("Single Jersey, 100% "), "p_type")).otherwise(F.concat("p_name", F.lit(" in silk and linen")))
+    )
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("s")).withColumn("f", att.fabric(F.col("s")))
+    return d.select("id", F.col("f.primary").alias("material"), F.get("f.composition", F.lit(0))["pct"].alias("pct"), F.col("f.blend").alias("blend"), att.stretch(F.col("f"), F.col("s")).alias("stretch"))
 
 
 # ---- size charts: parts as products, two suppliers' lines as charts
@@ -454,12 +466,21 @@ def sizechart_cells(spark, sf_dir):
     return sizechart.cells(sizechart.indexed(rows)).select("product_id", "size", "n", "delta", "status", "severity")
 
 
-AXIS_FACTS = [("1. ACROSS SHOULDER", "Shoulder", "garment"), ("to fit waist", "Waist", "body"), ("Chest (in)", "Chest", "garment"), ("hip_width", "Hip Width", "garment"), ("", None, None), ("To Fit Hips (cm)", "Hip", "body")]
+RAW_AXES = ("ACROSS SHOULDER", "to fit waist", "Chest", "hip_width", "To Fit  Hips", "bottom-hem", "", "FootLength", "sleeve length", "odd Name of it")
+_AXIS_NAMES = {a: n for n, spelled in t.AXES.items() for a in spelled}
 
 
-@query("WITH " + values_sql("v", "raw, axis, basis", AXIS_FACTS) + " SELECT * FROM v")
+@query(rf"""WITH r AS (SELECT DISTINCT CASE l_quantity % 3 WHEN 0 THEN '' WHEN 1 THEN l_linenumber || '. ' ELSE ' ' || l_linenumber || ')' END || {list(RAW_AXES)}[l_suppkey % 10 + 1] || CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' (in)' ELSE '(CMS)' END AS raw
+  FROM (SELECT CAST(l_quantity AS INT) AS l_quantity, l_linenumber, l_suppkey, l_orderkey FROM lineitem)),
+n AS (SELECT raw, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s*\d+\s*[.)]\s*', ''), '\((in|inch|inches|cm|cms)\)', '', 'gi'), '[_-]+', ' ', 'g'), '\s+', ' ', 'g'))) AS s FROM r)
+SELECT raw, CASE WHEN s <> '' THEN coalesce({map_sql(_AXIS_NAMES, 's')}, array_to_string(list_transform(string_split(s, ' '), lambda w: upper(w[1]) || w[2:]), ' ')) END AS axis, CASE WHEN s <> '' THEN CASE WHEN regexp_matches(s, '^to fit\b') THEN 'body' ELSE 'garment' END END AS basis FROM n""")
 def chart_axes(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, *_ in AXIS_FACTS], "raw string").select("raw", t.chart_axis(F.col("raw")).alias("x")).select("raw", "x.axis", "x.basis")
+    """Headings of charts put together from line items."""
+    q, k, line = F.col("l_quantity").cast("int") % 3, F.col("l_orderkey") % 3, F.col("l_linenumber").cast("string")
+    ordinal = F.when(q == 0, "").when(q == 1, F.concat(line, F.lit(". "))).otherwise(F.concat(F.lit(" "), line, F.lit(")")))
+    unit = F.when(k == 0, "").when(k == 1, " (in)").otherwise("(CMS)")
+    raw = F.concat(ordinal, F.element_at(t.literal_array(RAW_AXES), (F.col("l_suppkey") % 10 + 1).cast("int")), unit)
+    return table(spark, sf_dir, "lineitem").select(raw.alias("raw")).distinct().select("raw", t.chart_axis(F.col("raw")).alias("x")).select("raw", "x.axis", "x.basis")
 
 
 # ---- imports over conversations: turns are cells

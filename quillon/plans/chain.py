@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as t
 from quillon.functions import vocab
 from quillon.functions.vocab import DEFAULT, EngineConfig
-from quillon.operators import audit, matching
+from quillon.operators import audit, imports, matching, sizechart
 from quillon.plans.catalogue import case_sql, in_sql, map_sql, norm_sql, query, table, words_sql
 
 #: An overlay of garments for the names of parts; they have no fit and no code, and two colours.
@@ -134,3 +135,67 @@ def gender_leaks(spark, sf_dir):
     of = lambda n: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(n), F.when(F.col("p_size") % 4 < 3, F.element_at(F.array(*map(F.lit, GENDERS[:3])), (F.col("p_size") % 4 + 1).cast("int"))).alias(f"{n}_gender"))
     won = decided(spark, sf_dir).where("status = 'matched'").withColumn("listing", F.floor(F.col("listing_id") / 10))
     return audit.gender_leaks(won.join(of("anchor").withColumnRenamed("anchor", "anchor_id"), "anchor_id").join(of("listing"), "listing"))
+
+
+# ---- size charts over line items, whole products at a time
+
+_CHART = """WITH c AS (SELECT l_partkey AS product_id, l_suppkey % 2 AS platform, l_linenumber AS size, l_quantity + 20 AS lo, l_quantity + 20 + (l_orderkey % 3) AS hi, row_number() OVER (PARTITION BY l_partkey, l_suppkey % 2, l_linenumber ORDER BY l_orderkey, l_suppkey, l_quantity) AS rn FROM lineitem WHERE l_linenumber > 4),
+f AS (SELECT * FROM c WHERE rn = 1), g AS (SELECT product_id, size, count(*) AS n, round(greatest(0, max(lo) - min(hi)), 2) AS d, min(platform) AS platform FROM f GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN n > 1 AND d >= 1 THEN 'major' WHEN n > 1 AND d > 0.4 THEN 'minor' END AS severity FROM g), charts AS (SELECT product_id, count(DISTINCT platform) AS charts FROM f GROUP BY 1)
+"""
+
+
+def chart_index(spark, sf_dir) -> DataFrame:
+    """The larger sizes only, so that some products have a size on one platform alone."""
+    c, none = F.col, F.lit(None).cast("double")
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber > 4").select(
+        c("l_partkey").alias("product_id"), (c("l_suppkey") % 2).cast("string").alias("platform"), F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("pos"), c("l_linenumber").cast("string").alias("size"), F.lit("Waist").alias("raw_axis"), F.lit(None).cast("string").alias("basis"),
+        *[none.alias(n) for n in ("inch", "cm", "cm_lo", "cm_hi")], (c("l_quantity") + 20).alias("inch_lo"), (c("l_quantity") + 20 + c("l_orderkey") % 3).alias("inch_hi"))
+    return sizechart.indexed(rows)
+
+
+@query(_CHART + """, s AS (SELECT product_id, count(*) FILTER (n > 1) AS compared, count(*) FILTER (n > 1 AND severity IS NULL) AS matched, count(*) FILTER (severity = 'minor') AS minor, count(*) FILTER (severity = 'major') AS major FROM k GROUP BY 1)
+SELECT product_id, charts, compared, matched, minor, major, CASE WHEN charts < 2 THEN 'single_source' WHEN major > 0 THEN 'mismatch' WHEN minor > 0 THEN 'minor_variance' WHEN compared > 0 THEN 'consistent' ELSE 'not_comparable' END AS verdict FROM s JOIN charts USING (product_id)""")
+def sizechart_verdicts(spark, sf_dir):
+    index = chart_index(spark, sf_dir)
+    return sizechart.verdicts(index, sizechart.cells(index))
+
+
+@query(_CHART + "SELECT product_id, CAST(size AS VARCHAR) AS size, CAST(platform AS VARCHAR) AS platform FROM g JOIN charts USING (product_id) WHERE n = 1 AND charts > 1")
+def sizechart_only_on(spark, sf_dir):
+    return sizechart.only_on(chart_index(spark, sf_dir))
+
+
+@query(_CHART + "SELECT product_id, CAST(size AS VARCHAR) AS size, d AS delta, severity, CAST(row_number() OVER (PARTITION BY product_id ORDER BY severity, d DESC, size) AS INTEGER) AS ord FROM k WHERE severity IS NOT NULL")
+def sizechart_flags(spark, sf_dir):
+    return sizechart.flags(sizechart.cells(chart_index(spark, sf_dir))).select("product_id", "size", "delta", "severity", "ord")
+
+
+@query(_CHART + """, w AS (SELECT p_partkey AS product_id, v.platform, CASE WHEN p_size % 5 = 0 THEN 'blocked' END AS reason, p_size % 2 = 0 AS published FROM part CROSS JOIN (VALUES (0), (1)) v(platform))
+SELECT product_id, CAST(platform AS VARCHAR) AS platform, coalesce(reason, CASE WHEN published THEN 'no_table' ELSE 'not_published' END) AS reason FROM w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.product_id = w.product_id AND f.platform = w.platform)""")
+def sizechart_unavailable(spark, sf_dir):
+    each = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("platform")
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), each, F.when(F.col("p_size") % 5 == 0, "blocked").alias("reason"), (F.col("p_size") % 2 == 0).alias("published"))
+    return sizechart.unavailable(wanted, chart_index(spark, sf_dir))
+
+
+# ---- import jobs over conversations and events
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'myntra' WHEN 1 THEN 'ajio' ELSE 'other' END AS platform,
+  CASE turn % 3 WHEN 0 THEN '/shirts/' || role || '/' || conv_id || CASE WHEN conv_id % 4 > 0 THEN '/buy' ELSE '' END ELSE '/' || role || '/p/' || conv_id || '_x?c=/p/0' END AS link FROM conversations)
+SELECT conv_id, turn, CASE platform WHEN 'myntra' THEN nullif(regexp_extract(string_split(link, '?')[1], '/(\d+)/buy', 1), '') WHEN 'ajio' THEN nullif(regexp_extract(string_split(link, '?')[1], '/p/(\w+)', 1), '') END AS hint FROM u""")
+def hint_ids(spark, sf_dir):
+    c, k = F.col, F.col("turn") % 3
+    platform = F.when(k == 0, "myntra").when(k == 1, "ajio").otherwise("other")
+    buy = F.when(c("conv_id") % 4 > 0, "/buy").otherwise("")
+    path = F.when(k == 0, F.concat(F.lit("/shirts/"), "role", F.lit("/"), c("conv_id").cast("string"), buy)).otherwise(F.concat(F.lit("/"), "role", F.lit("/p/"), c("conv_id").cast("string"), F.lit("_x?c=/p/0")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.hint_id(platform, F.concat(F.lit("https://shop.example"), path)).alias("hint"))
+
+
+@query("""WITH i AS (SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'matched' WHEN 'error' THEN 'error' WHEN 'view' THEN 'no_match' ELSE 'ambiguous' END AS status FROM events)
+SELECT id, status, l_quantity AS quantity FROM i JOIN (SELECT l_orderkey AS id, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1) USING (id) WHERE status IN ('matched', 'no_match')""")
+def finished_items(spark, sf_dir):
+    e = F.col("event_type")
+    items = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(e == "purchase", "matched").when(e == "error", "error").when(e == "view", "no_match").otherwise("ambiguous").alias("status"))
+    return imports.finished(items, table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("quantity")))
