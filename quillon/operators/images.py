@@ -11,10 +11,17 @@ from quillon.functions import similarity as sim
 from quillon.functions import text as t
 from quillon.functions.vocab import DEFAULT, Taxonomy
 
-# Boxes (left, top, right, bottom) as shares of an image, by region.
-BOXES = {"top": (0.30, 0.25, 0.70, 0.60), "bottom": (0.32, 0.45, 0.68, 0.85), "footwear": (0.20, 0.35, 0.80, 0.80), "object": (0.22, 0.22, 0.78, 0.78)}
+# Where products are in a picture, as (top, bottom, left, right) shares of it, by region: the box and a wider one.
+BOXES = {
+    "top": ((0.42, 0.78, 0.36, 0.64), (0.40, 0.85, 0.28, 0.72)),
+    "bottom": ((0.55, 0.86, 0.38, 0.62), (0.48, 0.92, 0.30, 0.70)),
+    "footwear": ((0.35, 0.85, 0.20, 0.80), (0.25, 0.95, 0.10, 0.90)),
+    "object": ((0.30, 0.75, 0.28, 0.72), (0.18, 0.88, 0.15, 0.85)),
+}
+WHOLE = (0.1, 0.9, 0.1, 0.9)
 BACKDROP = 16.0
-LEAST_PIXELS = 12
+#: Fewer pixels than these lead to the wider box, to the whole picture, and to no colour.
+NARROW, WIDE, LEAST_PIXELS = 40, 20, 12
 
 
 def region(garment: Column, tax: Taxonomy = DEFAULT) -> Column:
@@ -22,21 +29,41 @@ def region(garment: Column, tax: Taxonomy = DEFAULT) -> Column:
     return F.coalesce(F.try_element_at(t.literal_map(tax.regions), garment), F.lit("object"))
 
 
+def _border(of: str) -> Column:
+    """How wide the border is, of a side of the picture."""
+    return F.greatest(F.lit(2), F.round(F.col(of) * 0.06))
+
+
 def colours(pixels: DataFrame, where: str = "object") -> DataFrame:
-    """(image_id, rgb, lab, sampled, dominant): the mean of the fullest 4-bit bin of pixels that differ from the border's median."""
+    """(image_id, rgb, lab, sampled, dominant): the mean of the fullest 4-bit bin (the first seen of several) of the pixels that differ from the border.
+
+    The border's colour is the upper median of each channel. All three boxes are counted in one aggregation by image and bin."""
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     p = pixels.join(size, "image_id")
-    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
-    back = p.where(edge).groupBy("image_id").agg(*[F.percentile_approx(c, 0.5).alias(f"b{c}") for c in "rgb"])
-    left, top, right, bottom = BOXES[where]
-    inside = (F.col("x") >= F.floor(F.col("w") * left)) & (F.col("x") < F.ceil(F.col("w") * right)) & (F.col("y") >= F.floor(F.col("h") * top)) & (F.col("y") < F.ceil(F.col("h") * bottom))
-    own = p.where(inside).join(back, "image_id")
-    off = sim.delta_e(sim.lab(F.col("r"), F.col("g"), F.col("b")), sim.lab(F.col("br"), F.col("bg"), F.col("bb")))
+    at_edge = lambda c, of: (F.col(c) < _border(of)) | (F.col(c) >= F.col(of) - _border(of))
+    edge = at_edge("x", "w") | at_edge("y", "h")
+    upper = lambda c: F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))  # noqa: E731  (of a border, which is short)
+    back = p.where(edge).groupBy("image_id").agg(*[upper(c).alias(f"b{c}") for c in "rgb"])
+    own = p.join(back, "image_id")
+    off = F.sqrt(F.aggregate(F.zip_with(sim.lab(F.col("r"), F.col("g"), F.col("b")), sim.lab(F.col("br"), F.col("bg"), F.col("bb")), lambda x, y: F.pow(x - y, 2)), F.lit(0.0), lambda s, v: s + v))
     bins = F.shiftright("r", 4) * 256 + F.shiftright("g", 4) * 16 + F.shiftright("b", 4)
-    binned = own.where(off >= BACKDROP).groupBy("image_id", bins.alias("bin")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
-    best = binned.groupBy("image_id").agg(F.max_by(F.struct("n", "r", "g", "b"), F.struct("n", -F.col("bin"))).alias("d"), F.sum("n").alias("sampled")).where(F.col("sampled") >= LEAST_PIXELS)
-    rgb = [F.round(F.col(f"d.{c}")).cast("int") for c in "rgb"]
-    return best.select("image_id", F.array(*rgb).alias("rgb"), sim.lab(*rgb).alias("lab"), "sampled", F.col("d.n").alias("dominant"))
+
+    def inside(box) -> Column:
+        top, bottom, left, right = box
+        within = lambda c, of, lo, hi: (F.col(c) >= F.floor(F.col(of) * lo)) & (F.col(c) < F.floor(F.col(of) * hi))
+        return within("y", "h", top, bottom) & within("x", "w", left, right)
+
+    boxes = {"narrow": inside(BOXES[where][0]), "wide": inside(BOXES[where][1]), "whole": inside(WHOLE)}
+    counts = [x for n, i in boxes.items() for x in (F.count_if(i).alias(f"{n}_n"), F.min(F.when(i, F.struct("y", "x"))).alias(f"{n}_at"), *[F.avg(F.when(i, F.col(c))).alias(f"{n}_{c}") for c in "rgb"])]
+    binned = own.where(off >= BACKDROP).groupBy("image_id", bins.alias("bin")).agg(*counts)
+    best = binned.groupBy("image_id").agg(*[x for n in boxes for x in (
+        F.sum(f"{n}_n").alias(f"{n}_sampled"), F.min_by(F.struct(*[F.col(f"{n}_{c}").alias(c) for c in ("n", *"rgb")]), F.when(F.col(f"{n}_n") > 0, F.struct(-F.col(f"{n}_n"), f"{n}_at"))).alias(n)
+    )])
+    pick = lambda n: F.struct(F.col(f"{n}_sampled").alias("sampled"), F.col(n).alias("d"))
+    first = F.when((F.col("narrow_sampled") < NARROW) & (F.col("wide_sampled") > 0), pick("wide")).otherwise(pick("narrow"))
+    chosen = best.select("image_id", first.alias("s"), pick("whole").alias("all")).select("image_id", F.when(F.col("s.sampled") < WIDE, F.col("all")).otherwise(F.col("s")).alias("s")).where(F.col("s.sampled") >= LEAST_PIXELS)
+    rgb = [F.floor(F.col(f"s.d.{c}") + 0.5).cast("int") for c in "rgb"]
+    return chosen.select("image_id", F.array(*rgb).alias("rgb"), sim.lab(*rgb).alias("lab"), F.col("s.sampled").alias("sampled"), F.col("s.d.n").alias("dominant"))
 
 
 def difference_hash(grey: DataFrame) -> DataFrame:

@@ -54,8 +54,12 @@ def test_breaker_and_queue(spark):
 
 def test_image_colours(spark):
     rows = [(1, x, y, *((200, 30, 40) if 5 <= x < 15 and 5 <= y < 15 else (250, 250, 250))) for x in range(20) for y in range(20)] + [(2, x, y, 9, 9, 9) for x in range(10) for y in range(10)]
-    got = images.colours(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")).collect()
-    assert [(r["image_id"], r["rgb"], r["dominant"], r["sampled"]) for r in got] == [(1, [200, 30, 40], 100, 100)]
+    # a few pixels in the middle: the boxes widen; half of a large one beside the narrow box: the wide one is taken; too few: no colour
+    rows += [(3, x, y, *((0, 0, 90 + x % 2) if 8 <= x < 12 and 8 <= y < 12 else (250, 250, 250))) for x in range(20) for y in range(20)]
+    rows += [(4, x, y, *((10, 90, 10) if 3 <= x < 7 and 3 <= y < 17 else (250, 250, 250))) for x in range(20) for y in range(20)]
+    rows += [(5, x, y, *((10, 90, 10) if x == 10 and 5 <= y < 15 else (250, 250, 250))) for x in range(20) for y in range(20)]
+    got = images.colours(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")).orderBy("image_id").collect()
+    assert [(r["image_id"], r["rgb"], r["dominant"], r["sampled"]) for r in got] == [(1, [200, 30, 40], 81, 81), (3, [0, 0, 91], 16, 16), (4, [10, 90, 10], 56, 56)]
     assert spark.range(1).select(images.region(F.lit("jeans")), images.region(F.lit(None).cast("string"))).first() == ("bottom", "object")
 
 
