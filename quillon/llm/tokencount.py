@@ -33,6 +33,9 @@ CACHE_WORDS = 400_000
 #: What the vocabulary's own file says; `load` refuses one that says something else.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# Unassigned code points that are letters to the regular expressions here and not to the library's.
+NO_LETTERS = [block + x for block in (0x32000, 0x3D000, 0x3E000, 0x3F000) for x in (0x808, 0x85C, 0x988)]
+
 
 class Vocabulary:
     """Merges as sorted pair keys, and symbols of bytes inside and at the end of a pre-token."""
@@ -65,9 +68,8 @@ class Vocabulary:
         special = [t["content"] for t in data["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(SPLIT)
-        # a few unassigned code points are letters to the regular expressions here and not to the library's
-        odd = "".join(c for c in map(chr, range(0x30000, 0x40000)) if unicodedata.category(c) == "Cn" and regex.match(r"\p{L}", c))
-        self.odd = re.compile(f"[{odd}]") if odd else None
+        odd = "".join(map(chr, NO_LETTERS))
+        self.odd = re.compile(f"[{odd[0]}-{odd[-1]}]")
         self.split_odd = regex.compile("(?V1)" + SPLIT.replace(r"[\p{L}]", rf"[\p{{L}}--[{odd}]]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{N}}[\p{{L}}--[{odd}]]]"))
         self.cache: dict[str, int] = {}
 
@@ -122,7 +124,7 @@ class Vocabulary:
                 by = split
                 if not piece.isascii():
                     piece = unicodedata.normalize("NFC", piece)
-                    if self.odd and self.odd.search(piece):
+                    if self.odd.search(piece):
                         by = self.split_odd.findall
                 found += by(lower(piece))
             parts.append((specials, found))
