@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, lm, neardup, packing, pii, quality, tokencount, toxicity, warc
+from quillon.llm import chat, decontaminate, interaction, lm, neardup, negatives, packing, pii, quality, secrets, tokencount, toxicity, warc
 from quillon.llm.common import table
 from quillon.llm.vocabularies import vocabulary_path
 
@@ -63,7 +63,28 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_neardup, op3_chat_format, op4_warc_derivatives, op5_toxicity, op6_quality_rules, op6_ablation, op7_packing, op8_decontaminate, op9_personal_data, op10_lm_score)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh label is moved on by one first, so that near rows of other labels exist."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner; documents have no repositories, so each is one."""
+    return secrets.report(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_token_counts, op2_minhash_neardup, op3_chat_format, op4_warc_derivatives, op5_toxicity, op6_quality_rules, op6_ablation),
+        *(op7_packing, op8_decontaminate, op9_personal_data, op10_lm_score, op11_hard_negatives, op12_secret_scan, op13_filter_interaction),
+    )
+}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -116,7 +137,67 @@ SELECT page_id, record_type, record_id, refers_to, pd AS source_payload_digest,
   'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Date: {warc.UNDATED}' || nl || 'WARC-Refers-To: ' || refers_to || nl || target
   || 'WARC-Block-Digest: sha256:' || sha256(data) || nl || 'Content-Type: ' || media || nl || 'Content-Length: ' || strlen(data) || nl || nl || data AS record FROM r"""
 
+_NEGATIVES = r"""
+WITH g AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT id, label, list_transform(e, lambda x: floor(256 * x::DOUBLE)) AS v FROM g),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 10"""
+
+_PLACEHOLDERS = "|".join(secrets.PLACEHOLDERS)
+_FOUND = "list_transform(range(1, len({m}) + 1), lambda i: {{'start': len(array_to_string(({g})[:i], '')) + len(array_to_string(({m})[:i - 1], '')), 'value': ({m})[i]}})"
+
+
+def _matches(pattern: str) -> str:
+    """SQL of the matches of a pattern in ``t`` with their places: what lies between them tells where they are."""
+    return _FOUND.format(g=f"string_split_regex(t, '{pattern}')", m=f"regexp_extract_all(t, '{pattern}')")
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+_SECRETS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, doc_id, owner, unnest([(0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'run')]) AS k, unnest([
+  {_matches(_ASSIGN + "[A-Za-z0-9+/_.=-]+")}, {_matches("AKIA[A-Z0-9]{14,}")}, {_matches("[0-9a-f]{16,}")}, {_matches("[A-Za-z0-9+/_-]{16,}")}]) AS f FROM d),
+x AS (SELECT r, doc_id, owner, k[1] AS place, k[2] AS kind, unnest(f) AS f FROM m),
+y AS (SELECT r, doc_id, owner, place, kind, f.start AS a, f.start + length(f.value) AS b, CASE WHEN place = 0 THEN regexp_replace(f.value, '^{_ASSIGN}', '') ELSE f.value END AS v FROM x),
+w AS (SELECT * FROM y WHERE place > 0 OR length(v) >= 12),
+c AS (SELECT *, length(v) - length(regexp_replace(v, '[0-9]', '', 'g')) >= 2 AND length(v) - length(regexp_replace(v, '[A-Za-z]', '', 'g')) >= 2 AS key FROM w
+  WHERE place < 3 OR NOT EXISTS (SELECT 1 FROM w o WHERE o.r = w.r AND o.place < 3 AND o.a < w.b AND w.a < o.b)),
+l AS (SELECT *, key AND len(list_distinct(string_split(v, ''))) >= 8 AND NOT regexp_matches(lower(v), '{_PLACEHOLDERS}') AS looks FROM c WHERE place < 3 OR key),
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') || '/' || owner) AS repos FROM l GROUP BY v),
+z AS (SELECT l.*, looks AND owners <= 3 AS live, owners, repos FROM l JOIN o USING (v)),
+j AS (SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (place < 3) AS base,
+  string_agg(replace(kind, 'run', 'live') || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (place < 3 OR live) AS spans,
+  count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, count(*) FILTER (live) AS n_live,
+  count(*) FILTER (looks AND NOT live) AS n_copied, max(repos) FILTER (live) AS live_repos, max(owners) FILTER (live) AS live_owners FROM z GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(live_repos, 0) AS live_repos, coalesce(live_owners, 0) AS live_owners
+FROM d LEFT JOIN j USING (r)"""
+
+_INTERACTION = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM c a, c b, c, c d, c e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS this, filter_order[:step - 1] AS before FROM o, range(1, 6) r(step)),
+e AS (SELECT h.*, filter_order, step, this, contains(fails, this) AS fail, fails <> '' AND regexp_matches(before, '[' || CASE WHEN fails = '' THEN '-' ELSE fails END || ']') AS gone FROM h, s),
+g AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, this, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant,
+  sum(n) FILTER (fails = this) AS unique_fails, sum(good) FILTER (fail AND NOT gone) AS good_lost, sum(toxic) FILTER (fail AND NOT gone) AS toxic_lost FROM e GROUP BY part, filter_order, step, this)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, this) AS BIGINT) AS shapley FROM g"""
+
 ORACLES = {
+    "op11_hard_negatives": _NEGATIVES,
+    "op12_secret_scan": _SECRETS,
+    "op13_filter_interaction": _INTERACTION,
     "op4_warc_derivatives": _WARC,
     "op3_chat_format": r"""
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
