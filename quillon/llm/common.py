@@ -43,7 +43,7 @@ def residue(id_col: str, mod: int) -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``. Where that is unset, as in tests: a temporary one in local mode, an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (shared or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")).rstrip("/")
 
@@ -52,13 +52,18 @@ def scratch_dir(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, and lost executors don't lose it."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path: lineage ends here, and lost executors don't lose it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table of ``stored``."""
+    return stored(df, name)[0]
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -74,5 +79,7 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 def passing(spark: SparkSession):
     """Deletes at its end the scratch tables written inside; what was made of them must have been written or collected by then."""
     before = len(_tables)
-    yield
-    discard(spark, _tables[before:])
+    try:
+        yield
+    finally:
+        discard(spark, _tables[before:])

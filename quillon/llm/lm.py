@@ -1,17 +1,19 @@
-"""Scoring texts by an n-gram model whose counts lie in a log-frequency Bloom filter.
-
-1. Texts are written once with a chunk number. Tasks count the distinct words of chunks of training texts and deal them
-   over hash parts as packed sorted arrays; each part sums its own. Nothing is a row for each token.
-2. Words with the highest counts, ``MOST_HELD`` at most, are broadcast with their exact counts.
-3. Each chunk, of whatever texts, deals its distinct bigrams and the words that aren't held over hash parts in the same
-   way, with their counts in training texts. A part sums them and sends each chunk the counts of those it has asked for;
-   so every token gets its count, whatever the size of the corpus, and no broadcast grows with it.
-4. Bigram counts are quantised to levels (thresholds grow by ``BASE``) and each bigram is put into the
-   filter once for each level that it reaches; so probing level after level, until one is
-   missing, gives the count back. Each part builds and probes its own segment of the filter, with ``BITS`` bits for each
-   entry. Every bigram of the training texts is in it. Counts of words are exact.
-5. P(word | before) = WEIGHT * count(before word) / count(before) + (1 - WEIGHT) * P(word); a word's own probability is
-   (c + 0.5) / (N + 0.5 (V + 1)).
+"""Scoring texts by a trigram model whose counts lie in a log-frequency Bloom filter, broadcast to the workers.
+
+1. Tasks count the distinct words, bigrams and trigrams of chunks of training texts and deal them over hash parts as packed sorted arrays.
+   Nothing is a row for each token.
+2. Each part sums its own. Counts of words stay exact. Counts of bigrams and trigrams are quantised to levels (thresholds grow by
+   ``BASE``), and every n-gram is put once for each level that it reaches into the part's segment of the filter, with ``BITS`` bits for each entry. Every
+   n-gram of the training texts is in it. The segments are built once and written as a table.
+3. The segments are broadcast in passes of at most ``PASS_BYTES``, trigrams first and words last. In each pass, tasks probe the segments at hand for
+   the n-grams of their texts, level after level until one is missing, which gives the count back. What earlier passes found goes along with
+   the texts as a byte for each token; the last pass makes the scores. Where the filter fits one pass, nothing is written in between.
+   Scores don't depend on the number of passes.
+4. P1 = (c + 0.5) / (N + 0.5 (V + 1)). P2 = WEIGHT * count(before word) / count(before) + (1 - WEIGHT) * P1, and P3 likewise from trigrams and P2.
+   Where the words before are unknown, and for trigrams at the start of a text, the shorter one stands alone.
+
+A pass reads all texts, and the filter has about 0.7 bytes for each byte of compressed text: the passes' number grows with the corpus,
+so ``PASS_BYTES`` is to be as large as workers can hold.
 
 Training texts: those whose crc32(id as text) mod 5 isn't 1. Tokens: words in lower case (A-Z), then one end.
 
@@ -22,38 +24,36 @@ its own and scored whole.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import residue, text_of, written
+from quillon.llm.common import discard, residue, stored, text_of, written
 from quillon.llm.shingles import LOWER, STEP, mix, word_hashes
 from quillon.llm.tokencount import column_chunks
 
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 BASE = 1.5
 BITS = 12
-PROBES = 6
+PROBES = 8
 WEIGHT = 0.3
 END = np.uint64(0x51ED270B7A3F4C15)
-WORDS, PAIRS = 0, 1
-KEY_BITS = 44  # of a bigram
-MOST_HELD = 3_000_000
+WORDS, PAIRS, TRIPLES = 0, 1, 2
+KEY_BITS = 44  # of bigrams and trigrams
+PASS_BYTES = 192 << 20
 
 
-def levels(least: int, most: int = 1 << 40) -> np.ndarray:
-    """Thresholds of the quantised counts from ``least`` on."""
-    out = [least]
+def levels(most: int = 1 << 40) -> np.ndarray:
+    """Thresholds of the quantised counts."""
+    out = [1]
     while out[-1] < most:
         out.append(max(out[-1] + 1, int(out[-1] * BASE)))
     return np.array(out, np.int64)
 
 
-def level_values(least: int) -> np.ndarray:
+def level_values() -> np.ndarray:
     """What a count of each level is taken for; 0 for none."""
-    t = levels(least)
+    t = levels()
     return np.r_[0.0, np.sqrt(t[:-1] * (t[1:] - 1.0))]
 
 
@@ -71,12 +71,17 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, many
 
 
-def pair_hashes(tokens: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of (token before, token); before the first stands the end. And the hashes of the tokens before."""
+def gram_hashes(tokens: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each token with the one before and with the two before; before the first stands the end."""
+    first = np.cumsum(many) - many
     before = np.r_[END, tokens[:-1]][: len(tokens)]
-    before[np.cumsum(many) - many] = END
+    before[first] = END
+    earlier = np.r_[END, before[:-1]][: len(tokens)]
+    earlier[first] = END
     with np.errstate(over="ignore"):
-        return mix(before * np.uint64(3) + mix(tokens + STEP)) >> np.uint64(64 - KEY_BITS), before
+        pair = mix(before * np.uint64(3) + mix(tokens + STEP))
+        triple = mix(earlier * np.uint64(5) + mix(pair + STEP))
+    return pair >> np.uint64(64 - KEY_BITS), triple >> np.uint64(64 - KEY_BITS)
 
 
 def part_of(h: np.ndarray, parts: int, kind: int = PAIRS) -> np.ndarray:
@@ -103,35 +108,14 @@ def large(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-def chunked(texts: DataFrame) -> DataFrame:
-    """Texts with the number of their chunk and whether they are training texts. Numbers are drawn, so this is to be written before use."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            column = batch.column("text")
-            for a, b in column_chunks(column, CHUNK):
-                chunk = int.from_bytes(os.urandom(8), "little") >> 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "train", "text"))], ["chunk", "doc_id", "train", "text"])
-
-    return texts.select("doc_id", (residue("doc_id", 5) != 1).alias("train"), "text").mapInArrow(run, "chunk long, doc_id long, train boolean, text string")
-
-
-def runs(chunk: np.ndarray) -> list[tuple[int, int]]:
-    """From where to where the same chunk goes on."""
-    at = [*np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)]).tolist(), len(chunk)]
-    return list(zip(at, at[1:], strict=False))
-
-
 def dealt(keys: np.ndarray, counts: np.ndarray, parts: int, kind: int) -> list[tuple]:
     """(kind, part, n, keys, counts) of sorted keys."""
     at = np.searchsorted(part_of(keys, parts, kind), np.arange(parts + 1)).tolist()
     return [(kind, p, j - i, packed(keys[i:j]), small(counts[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
 
 
-def count_chunks(chunks: DataFrame, parts: int) -> DataFrame:
-    """Distinct words of every chunk of training texts, by part."""
+def counted(texts: DataFrame, parts: int) -> DataFrame:
+    """Distinct words, bigrams and trigrams of every chunk of texts, by part."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,143 +123,79 @@ def count_chunks(chunks: DataFrame, parts: int) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for a, b in column_chunks(batch.column("text"), CHUNK):
-                tokens, _ = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
-                rows = dealt(*np.unique(tokens, return_counts=True), parts, WORDS)
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["kind", "part", "n", "keys", "counts"])
+                tokens, many = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
+                for kind, keys in zip((WORDS, PAIRS, TRIPLES), (tokens, *gram_hashes(tokens, many)), strict=True):
+                    rows = dealt(*np.unique(keys, return_counts=True), parts, kind)
+                    for i in range(0, len(rows), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["kind", "part", "n", "keys", "counts"])
 
-    return chunks.where("train").select("text").mapInArrow(run, "kind int, part int, n long, keys binary, counts binary")
+    return texts.select("text").mapInArrow(run, "kind int, part int, n long, keys binary, counts binary")
 
 
-def sum_parts(rows: DataFrame) -> DataFrame:
-    """``kind, part, n, keys, counts`` summed; ``total``; ``least``: for each power of two, how many keys have such a count."""
+def segments(rows: DataFrame, bits_each: int = BITS) -> DataFrame:
+    """A row for each kind and part: ``n`` distinct keys, ``total`` counts, ``keys`` and ``counts`` of words, ``bits`` of n-grams, ``bytes`` of all."""
 
     def run(group):
         import pyarrow as pa
 
-        n = group.column("n").to_pylist()
+        kind, n = group.column("kind")[0].as_py(), group.column("n").to_pylist()
         every = np.concatenate([unpacked(x, k) for x, k in zip(group.column("keys").to_pylist(), n, strict=True)])
         given = np.concatenate([large(x, k) for x, k in zip(group.column("counts").to_pylist(), n, strict=True)])
         order = np.argsort(every, kind="stable")
         every, given = every[order], given[order]
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         keys, counts = every[first], np.add.reduceat(given, first)
-        least = [int((counts >= 1 << k).sum()) for k in range(40)]
-        row = [[group.column("kind")[0].as_py()], [group.column("part")[0].as_py()], [len(keys)], [packed(keys)], [small(counts)], [int(counts.sum())], [least]]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-        return pa.table([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["kind", "part", "n", "keys", "counts", "total", "least"])
-
-    return rows.groupBy("kind", "part").applyInArrow(run, "kind int, part int, n long, keys binary, counts binary, total long, least array<long>")
-
-
-def asked(chunks: DataFrame, parts: int, held, words_too: bool) -> DataFrame:
-    """Distinct bigrams of every chunk, and with ``words_too`` its words that aren't held, with their counts in its training texts, by part."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            for a, b in runs(chunk):
-                tokens, many = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
-                train = np.repeat(batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False), many)
-                rows = []
-                for kind, all_keys in ((PAIRS, pair_hashes(tokens, many)[0]), *([(WORDS, tokens)] if words_too else [])):
-                    keys, where = np.unique(all_keys, return_inverse=True)
-                    counts = np.bincount(where[train], minlength=len(keys))
-                    if kind == WORDS:
-                        other = ~located(keys, held.value[0])[0]
-                        keys, counts = keys[other], counts[other]
-                    rows += [(int(chunk[a]), *r) for r in dealt(keys, counts, parts, kind)]
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["chunk", "kind", "part", "n", "keys", "counts"])
-
-    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk long, kind int, part int, n long, keys binary, counts binary")
+        bits = None if kind == WORDS else segment(keys, counts, bits_each).tobytes()
+        data = (packed(keys), small(counts), None, 12 * len(keys)) if kind == WORDS else (None, None, bits, len(bits))
+        row = (kind, group.column("part")[0].as_py(), len(keys), int(counts.sum()), *data)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["kind", "part", "n", "total", "keys", "counts", "bits", "bytes"])
 
+    return rows.groupBy("kind", "part").applyInArrow(run, "kind int, part int, n long, total long, keys binary, counts binary, bits binary, bytes long")
 
-def answered(requests: DataFrame) -> DataFrame:
-    """For each chunk and part the levels of the chunk's bigrams, or counts of its words, in the order of their hashes."""
-
-    def run(group):
-        import pyarrow as pa
 
-        kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
-        n = group.column("n").to_pylist()
-        every = np.concatenate([unpacked(x, k) for x, k in zip(group.column("keys").to_pylist(), n, strict=True)])
-        given = np.concatenate([large(x, k) for x, k in zip(group.column("counts").to_pylist(), n, strict=True)])
-        keys, where = np.unique(every, return_inverse=True)
-        counts = np.bincount(where, given).astype(np.int64)
-        if kind == PAIRS:
-            seen = counts > 0
-            counts = Filter({0: segment(keys[seen], counts[seen], 1).tobytes()}, 1, 1).levels(keys)
-        counts = counts[where]
-        first = np.cumsum(n) - n
-        own: dict[int, list] = {}
-        for c, i, k in zip(group.column("chunk").to_pylist(), first.tolist(), n, strict=True):
-            own.setdefault(c, []).append(slice(i, i + k))
-        rows = []
-        for c, places in own.items():
-            got = counts[places[0]]
-            if len(places) > 1:  # the chunk was read in pieces
-                got = np.concatenate([counts[p] for p in places])[np.unique(np.concatenate([every[p] for p in places]), return_index=True)[1]]
-            rows.append((c, kind, part, len(got), small(got)))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "kind", "part", "n", "counts"])
-
-    return requests.groupBy("kind", "part").applyInArrow(run, "chunk long, kind int, part int, n long, counts binary")
-
-
-def located(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are among the sorted known ones, and where."""
-    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-    return (known[at] == keys if len(known) else np.zeros(len(keys), bool)), at
-
-
-def addresses(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+def addresses(keys: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
     """Bits (a row for each probe) of keys at a level, in a segment of ``size`` bits."""
     with np.errstate(over="ignore"):
-        one = mix(keys + np.asarray(level, np.uint64) * STEP)
+        one = mix(keys + np.uint64(level) * STEP)
         two = mix(one + STEP) | np.uint64(1)
         k = np.arange(PROBES, dtype=np.uint64)[:, None]
         return (((one + k * two) >> np.uint64(8)) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+def segment(keys: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> np.ndarray:
     """A part's segment of the filter, as bytes."""
-    keep = counts >= least
-    keys, many = keys[keep], np.searchsorted(levels(least), counts[keep], "right")
-    size = segment_bits(int(many.sum()))
+    many = np.searchsorted(levels(), counts, "right")
+    size = max(64, -(-int(many.sum()) * bits_each // 8) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(many.max(initial=0)) + 1):
         bits[addresses(keys[many >= level], level, size).ravel()] = True
     return np.packbits(bits, bitorder="little")
 
 
-def segment_bits(entries: int) -> int:
-    """Bits of a segment: a multiple of 8."""
-    return max(64, -(-entries * BITS // 8) * 8)
-
-
 class Filter:
-    """Segments one after another, each with its size in bits."""
+    """The segments of some parts, one after another."""
 
-    def __init__(self, parts: dict[int, bytes], n_parts: int, least: int, kind: int = PAIRS):
-        held = [np.frombuffer(parts.get(p, bytes(8)), np.uint8) for p in range(n_parts)]
-        self.size = np.array([8 * len(x) for x in held], np.int64)
+    def __init__(self, held: dict[int, bytes], parts: int):
+        data = [np.frombuffer(held.get(p, b""), np.uint8) for p in range(parts)]
+        self.size = np.array([8 * len(x) for x in data], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.bytes = np.concatenate(held)
-        self.parts, self.kind, self.values = n_parts, kind, level_values(least)
+        self.bytes = np.concatenate([*data, np.zeros(0, np.uint8)])
+        self.parts = parts
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the segment of each key is here."""
+        return self.size[part_of(keys, self.parts)] > 0
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of keys, by probing one after another."""
-        out = np.zeros(len(keys), np.int64)
-        part = part_of(keys, self.parts, self.kind)
-        live = np.arange(len(keys))
-        while len(live) and (level := int(out[live[0]]) + 1) < len(self.values):
-            at = addresses(keys[live], level, self.size[part[live]])
+        """Levels of keys, by probing one after another; 0 where the segment isn't here."""
+        out = np.zeros(len(keys), np.uint8)
+        part = part_of(keys, self.parts)
+        live, level = np.flatnonzero(self.size[part] > 0), 0
+        while len(live):
+            level += 1
             ok = np.ones(len(live), bool)
-            for row in at:
+            for row in addresses(keys[live], level, self.size[part[live]]):
                 still = np.flatnonzero(ok)
                 spot = row[still] + self.first[part[live[still]]]
                 ok[still] = (self.bytes[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
@@ -283,75 +203,122 @@ class Filter:
             out[live] = level
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of keys."""
-        return self.values[self.levels(keys)]
-
 
-def _unpacked_words(summed: DataFrame, low: int) -> DataFrame:
-    """``word, c`` with counts from ``low`` on."""
+class Model:
+    """What a pass broadcasts: words with their exact counts, and segments of bigrams and trigrams."""
+
+    def __init__(self, rows, parts: int):
+        of = lambda k: {r["part"]: r for r in rows if r["kind"] == k}
+        words = sorted(of(WORDS).items())
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(unpacked(r["keys"], r["n"]) for _, r in words)])
+        self.counts = np.concatenate([np.zeros(0, np.uint32), *(large(r["counts"], r["n"]).astype(np.uint32) for _, r in words)])
+        self.grams = [Filter({p: r["bits"] for p, r in of(k).items()}, parts) for k in (PAIRS, TRIPLES)]
+
+    def probed(self, tokens: np.ndarray, many: np.ndarray, before: list[np.ndarray | None]) -> list[np.ndarray | None]:
+        """(counts of words, levels of bigrams, levels of trigrams) of all tokens as far as they are known now; null: no pass had any."""
+        words, *grams = before
+        if len(self.words):
+            distinct, number = np.unique(tokens, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+            found = np.where(self.words[at] == distinct, self.counts[at], 0).astype(np.int64)[number]
+            words = found if words is None else words + found
+        for k, (held, keys) in enumerate(zip(self.grams, gram_hashes(tokens, many), strict=True)):
+            if len(held.bytes):
+                distinct, number = np.unique(keys, return_inverse=True)
+                found = held.levels(distinct)[number]
+                grams[k] = found if grams[k] is None else grams[k] + found
+        return [words, *grams]
+
+
+def token_scores(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, many: np.ndarray, log_total: float) -> np.ndarray:
+    """log10 of each token's probability, from the counts of words and the levels of n-grams."""
+    first, values = np.cumsum(many) - many, level_values()
+    p = (words + 0.5) / 10.0**log_total
+    ended = np.cumsum(many) - 1
+    context = np.r_[0, words[:-1]][: len(words)]
+    context[first] = words[ended]  # each text has one end, which stands before it
+    pair = values[pairs]
+    deeper = np.r_[0.0, pair[:-1]][: len(pair)]
+    deeper[first] = 0
+    for count, whole in ((pair, context.astype(float)), (values[triples], deeper)):
+        p = np.where(whole > 0, WEIGHT * np.minimum(count, whole) / np.maximum(whole, 1e-9) + (1 - WEIGHT) * p, p)
+    return np.log10(p)
+
+
+#: What a pass knows of a row's tokens: counts of words (8 bytes each), levels of bigrams and trigrams (1 byte each).
+KNOWN = (("words", np.int64), ("pairs", np.uint8), ("triples", np.uint8))
+ROWS = "doc_id long, train boolean, text string, words binary, pairs binary, triples binary"
+SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def passed(rows: DataFrame, model, log_total: float, last: bool) -> DataFrame:
+    """Rows with what this pass's part of the model (a broadcast) knows, or after the last pass their scores."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for n, k, c in zip(batch.column("n").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = unpacked(k, n), large(c, n)
-                keep = counts >= low
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["word", "c"])
-
-    return summed.select("n", "keys", "counts").mapInArrow(run, "word long, c long")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_held: int = MOST_HELD) -> DataFrame:
-    """A row for each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+            for a, b in column_chunks(batch.column("text"), CHUNK):
+                some = batch.slice(a, b - a)
+                tokens, many = token_hashes(some.column("text").to_pylist())
+                before = [None if some.column(c).null_count else np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in KNOWN]
+                known = model.value.probed(tokens, many, before)
+                first = np.cumsum(many) - many
+                if not last:
+                    cut = lambda x, kind: pa.nulls(len(many), pa.binary()) if x is None else pa.array([x[i : i + n].astype(kind).tobytes() for i, n in zip(first.tolist(), many.tolist(), strict=True)], pa.binary())
+                    states = [cut(x, kind) for x, (_, kind) in zip(known, KNOWN, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "train", "text")), *states], ["doc_id", "train", "text", *(c for c, _ in KNOWN)])
+                    continue
+                words, pairs, triples = (np.zeros(len(tokens), kind) if x is None else x for x, (_, kind) in zip(known, KNOWN, strict=True))
+                total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+                base = total(np.log10(words + 0.5)) - many * log_total
+                columns = [many, total((words > 0).astype(np.int64)), base, total(token_scores(words, pairs, triples, many, log_total))]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("train"), *map(pa.array, columns)], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows.mapInArrow(run, SCORES if last else ROWS)
+
+
+def passes(sizes: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """(kind, part) of each pass, from (kind, part, bytes): trigrams first, words last, ``most`` bytes a pass or one part."""
+    out, held = [[]], 0
+    for kind, part, size in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        if out[-1] and held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append((kind, part))
+        held += size
+    return out
+
+
+def trained(texts: DataFrame, parts: int, bits_each: int = BITS) -> DataFrame:
+    """The table of segments of some texts, written."""
+    return written(segments(counted(texts, parts), bits_each), "segments")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, bits_each: int = BITS) -> DataFrame:
+    """A row for each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``most``: bytes a pass, ``PASS_BYTES`` by default."""
     spark = docs.sparkSession
     parts = max(12, 2 * docs.rdd.getNumPartitions())
-    chunks = written(chunked(text_of(docs, id_col, text_col)), "chunks")
-    words = written(sum_parts(count_chunks(chunks, parts)), "counts")
+    none = [F.lit(None).cast("binary").alias(c) for c, _ in KNOWN]
+    rows = text_of(docs, id_col, text_col).select("doc_id", (residue("doc_id", 5) != 1).alias("train"), "text", *none)
+    table = trained(rows.where("train"), parts, bits_each)
+    words = table.where(F.col("kind") == WORDS)
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sizes = [r["n"] for r in words.select(F.posexplode("least").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()]
-    low = next((1 << k for k, m in enumerate(sizes) if m <= most_held), 1)
-    held = _unpacked_words(words, low).toArrow()  # most_held rows at most
-    keys, counts = held.column("word").to_numpy().view(np.uint64), held.column("c").to_numpy().astype(np.uint32)
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((keys[order], counts[order]))
     log_total = float(np.log10(n + 0.5 * (v + 1)))
-
-    def run(texts, answers):
-        import pyarrow as pa
-
-        known, exact = model.value
-        answers = answers.sort_by("part")
-
-        def sent(kind: int, many: int) -> np.ndarray:
-            got = [large(x, k) for q, k, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "counts")), strict=True) if q == kind]
-            out = np.concatenate([np.zeros(0, np.int64), *got])
-            if len(out) != many:
-                raise ValueError(f"{len(out)} counts for {many} keys of kind {kind}")
-            return out
-
-        tokens, many = token_hashes(texts.column("text").to_pylist())
-        first = np.cumsum(many) - many
-        distinct, number = np.unique(tokens, return_inverse=True)
-        found, at = located(distinct, known)
-        c = np.where(found, exact[at].astype(np.int64) if len(known) else 0, 0)
-        if low > 1:
-            c[~found] = sent(WORDS, int((~found).sum()))
-        own = (c + 0.5) / 10.0**log_total
-        end = int(np.searchsorted(distinct, END))
-        pair, where = np.unique(pair_hashes(tokens, many)[0], return_inverse=True)
-        joint = level_values(1)[sent(PAIRS, len(pair))][where]
-        before = np.r_[end, number[:-1]]
-        before[first] = end  # each training text has one
-        whole = np.maximum(c[before], 1)
-        p = WEIGHT * np.minimum(joint, whole) / whole + (1 - WEIGHT) * own[number]
-        total = lambda x: np.add.reduceat(x, first)
-        base = total(np.log10(c + 0.5)[number]) - many * log_total
-        columns = [texts.column("doc_id"), texts.column("train"), pa.array(many), pa.array(total((c > 0).astype(np.int64)[number])), pa.array(base), pa.array(total(np.log10(p)))]
-        return pa.table(columns, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
-
-    answers = answered(asked(chunks, parts, model, low > 1))
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    plan = passes([tuple(r) for r in table.select("kind", "part", "bytes").collect()], most or PASS_BYTES)
+    path = None
+    for i, held in enumerate(plan):
+        mine = F.lit(False)
+        for kind in {k for k, _ in held}:
+            of = [p for k, p in held if k == kind]
+            mine |= (F.col("kind") == kind) & F.col("part").between(min(of), max(of))  # parts of a pass follow one another
+        found = table.where(mine).select("kind", "part", "n", "keys", "counts", "bits").toArrow().to_pylist()
+        model = spark.sparkContext.broadcast(Model(found, parts))
+        del found
+        rows = passed(rows, model, log_total, i == len(plan) - 1)
+        if i < len(plan) - 1:
+            rows, new = stored(rows, "pass")
+            model.destroy()
+            discard(spark, [path] if path else [])
+            path = new
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
