@@ -5,15 +5,15 @@
 2. Each part sums its own. Counts of words stay exact. Counts of bigrams and trigrams are quantised to levels (thresholds grow by
    ``BASE``), and every n-gram is put once for each level that it reaches into the part's segment of the filter, with ``BITS`` bits for each entry. Every
    n-gram of the training texts is in it. The segments are built once and written as a table.
-3. The segments are broadcast in passes of at most ``PASS_BYTES``, trigrams first and words last. In each pass, tasks probe the segments at hand for
-   the n-grams of their texts, level after level until one is missing, which gives the count back. What earlier passes found goes along with
-   the texts as a byte for each token; the last pass makes the scores. Where the filter fits one pass, nothing is written in between.
-   Scores don't depend on the number of passes.
+3. The segments are broadcast in pieces of at most ``PIECE_BYTES``, trigrams first and words last. Tasks hold one piece at a time and probe it for
+   the n-grams of their texts, level after level until one is missing, which gives the count back. Pieces lie on the workers' disks, so they
+   go out in passes of ``PASS_BYTES``: what earlier passes found goes along with the texts as a byte for each token, and the last pass makes
+   the scores. Where the filter fits one pass, nothing is written in between. Scores don't depend on pieces and passes.
 4. P1 = (c + 0.5) / (N + 0.5 (V + 1)). P2 = WEIGHT * count(before word) / count(before) + (1 - WEIGHT) * P1, and P3 likewise from trigrams and P2.
    Where the words before are unknown, and for trigrams at the start of a text, the shorter one stands alone.
 
-A pass reads all texts, and the filter has about 0.7 bytes for each byte of compressed text: the passes' number grows with the corpus,
-so ``PASS_BYTES`` is to be as large as workers can hold.
+A pass reads all texts, and the filter has about half a byte for each byte of compressed text: the number of passes grows with the corpus,
+so ``PASS_BYTES`` is to be as large as the workers' disks allow.
 
 Training texts: those whose crc32(id as text) mod 5 isn't 1. Tokens: words in lower case (A-Z), then one end.
 
@@ -32,15 +32,19 @@ from quillon.llm.common import discard, residue, stored, text_of, written
 from quillon.llm.shingles import LOWER, STEP, mix, word_hashes
 from quillon.llm.tokencount import column_chunks
 
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 BASE = 1.5
-BITS = 12
-PROBES = 8
+BITS = 10
+PROBES = 7
 WEIGHT = 0.3
 END = np.uint64(0x51ED270B7A3F4C15)
 WORDS, PAIRS, TRIPLES = 0, 1, 2
-KEY_BITS = 44  # of bigrams and trigrams
-PASS_BYTES = 192 << 20
+#: Of the hashes of n-grams inside a part: there are more parts for more texts, so collisions stay at about one in 10,000.
+PART_BITS = 34
+PIECE_BYTES = 64 << 20
+PASS_BYTES = 4 << 30
+#: Keys that are probed at once.
+PROBED = 1 << 16
 
 
 def levels(most: int = 1 << 40) -> np.ndarray:
@@ -71,8 +75,13 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, many
 
 
-def gram_hashes(tokens: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each token with the one before and with the two before; before the first stands the end."""
+def key_bits(parts: int) -> int:
+    """Bits of the hashes of n-grams."""
+    return min(64, PART_BITS + (parts - 1).bit_length())
+
+
+def gram_hashes(tokens: np.ndarray, many: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``bits`` bits of each token with the one before and with the two before; before the first stands the end."""
     first = np.cumsum(many) - many
     before = np.r_[END, tokens[:-1]][: len(tokens)]
     before[first] = END
@@ -81,22 +90,35 @@ def gram_hashes(tokens: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.nd
     with np.errstate(over="ignore"):
         pair = mix(before * np.uint64(3) + mix(tokens + STEP))
         triple = mix(earlier * np.uint64(5) + mix(pair + STEP))
-    return pair >> np.uint64(64 - KEY_BITS), triple >> np.uint64(64 - KEY_BITS)
+    return pair >> np.uint64(64 - bits), triple >> np.uint64(64 - bits)
 
 
-def part_of(h: np.ndarray, parts: int, kind: int = PAIRS) -> np.ndarray:
-    """The part of each hash; parts are ranges, so that sorted hashes are sorted by part as well."""
-    return ((h >> np.uint64((64 if kind == WORDS else KEY_BITS) - 24)).astype(np.int64) * parts) >> 24
+def part_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """The part of each hash of so many bits; parts are ranges, so that sorted hashes are sorted by part as well."""
+    return ((h >> np.uint64(bits - 24)).astype(np.int64) * parts) >> 24
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of 4 bytes each where that is enough."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return (steps.astype(np.uint32) if len(steps) and steps.max() < 1 << 32 else steps).tobytes()
+    """Sorted keys as differences of 3, 4 or 8 bytes each, whichever is enough; the first key in 8 bytes."""
+    steps = np.diff(keys)
+    most = int(steps.max(initial=0))
+    if most < 1 << 24:
+        data = np.ascontiguousarray(steps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    else:
+        data = steps.astype("<u4" if most < 1 << 32 else "<u8")
+    return keys[:1].astype("<u8").tobytes() + data.tobytes()
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.uint64).astype(np.uint64), dtype=np.uint64)
+    raw = np.frombuffer(data, np.uint8, offset=8)
+    size = len(raw) // max(1, n - 1)
+    if size == 3:
+        steps = np.zeros((n - 1, 4), np.uint8)
+        steps[:, :3] = raw.reshape(-1, 3)
+        steps = steps.view("<u4").ravel()
+    else:
+        steps = raw.view("<u8" if size == 8 else "<u4")
+    return np.cumsum(np.r_[np.frombuffer(data, "<u8", 1), steps.astype(np.uint64)], dtype=np.uint64)
 
 
 def small(counts: np.ndarray) -> bytes:
@@ -110,7 +132,7 @@ def large(data: bytes, n: int) -> np.ndarray:
 
 def dealt(keys: np.ndarray, counts: np.ndarray, parts: int, kind: int) -> list[tuple]:
     """(kind, part, n, keys, counts) of sorted keys."""
-    at = np.searchsorted(part_of(keys, parts, kind), np.arange(parts + 1)).tolist()
+    at = np.searchsorted(part_of(keys, parts, 64 if kind == WORDS else key_bits(parts)), np.arange(parts + 1)).tolist()
     return [(kind, p, j - i, packed(keys[i:j]), small(counts[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
 
 
@@ -124,7 +146,7 @@ def counted(texts: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for a, b in column_chunks(batch.column("text"), CHUNK):
                 tokens, many = token_hashes(batch.column("text").slice(a, b - a).to_pylist())
-                for kind, keys in zip((WORDS, PAIRS, TRIPLES), (tokens, *gram_hashes(tokens, many)), strict=True):
+                for kind, keys in zip((WORDS, PAIRS, TRIPLES), (tokens, *gram_hashes(tokens, many, key_bits(parts))), strict=True):
                     rows = dealt(*np.unique(keys, return_counts=True), parts, kind)
                     for i in range(0, len(rows), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], ["kind", "part", "n", "keys", "counts"])
@@ -183,14 +205,12 @@ class Filter:
         self.bytes = np.concatenate([*data, np.zeros(0, np.uint8)])
         self.parts = parts
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the segment of each key is here."""
-        return self.size[part_of(keys, self.parts)] > 0
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels of keys, by probing one after another; 0 where the segment isn't here."""
+        if len(keys) > PROBED:
+            return np.concatenate([self.levels(keys[i : i + PROBED]) for i in range(0, len(keys), PROBED)])
         out = np.zeros(len(keys), np.uint8)
-        part = part_of(keys, self.parts)
+        part = part_of(keys, self.parts, key_bits(self.parts))
         live, level = np.flatnonzero(self.size[part] > 0), 0
         while len(live):
             level += 1
@@ -204,30 +224,37 @@ class Filter:
         return out
 
 
-class Model:
-    """What a pass broadcasts: words with their exact counts, and segments of bigrams and trigrams."""
+class Piece:
+    """What is broadcast at once: words with their exact counts, and segments of bigrams and trigrams."""
 
-    def __init__(self, rows, parts: int):
+    def __init__(self, rows: list[dict], parts: int):
         of = lambda k: {r["part"]: r for r in rows if r["kind"] == k}
-        words = sorted(of(WORDS).items())
-        self.words = np.concatenate([np.zeros(0, np.uint64), *(unpacked(r["keys"], r["n"]) for _, r in words)])
-        self.counts = np.concatenate([np.zeros(0, np.uint32), *(large(r["counts"], r["n"]).astype(np.uint32) for _, r in words)])
+        words = [r for _, r in sorted(of(WORDS).items())]  # parts are ranges of hashes
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(unpacked(r["keys"], r["n"]) for r in words)])
+        self.counts = np.concatenate([np.zeros(0, np.uint32), *(large(r["counts"], r["n"]).astype(np.uint32) for r in words)])
         self.grams = [Filter({p: r["bits"] for p, r in of(k).items()}, parts) for k in (PAIRS, TRIPLES)]
 
-    def probed(self, tokens: np.ndarray, many: np.ndarray, before: list[np.ndarray | None]) -> list[np.ndarray | None]:
-        """(counts of words, levels of bigrams, levels of trigrams) of all tokens as far as they are known now; null: no pass had any."""
-        words, *grams = before
-        if len(self.words):
-            distinct, number = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-            found = np.where(self.words[at] == distinct, self.counts[at], 0).astype(np.int64)[number]
-            words = found if words is None else words + found
-        for k, (held, keys) in enumerate(zip(self.grams, gram_hashes(tokens, many), strict=True)):
+    def word_counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+
+
+def probed(pieces: list, tokens: np.ndarray, many: np.ndarray, parts: int) -> list[np.ndarray]:
+    """(counts of words, levels of bigrams, levels of trigrams) of all tokens as far as the given pieces (broadcasts) know them."""
+    keys = [np.unique(k, return_inverse=True) for k in (tokens, *gram_hashes(tokens, many, key_bits(parts)))]
+    keys = [(k, place.astype(np.int32)) for k, place in keys]
+    found = [np.zeros(len(k), kind) for (k, _), (_, kind) in zip(keys, KNOWN, strict=True)]
+    for piece in pieces:
+        here = piece.value
+        found[0] += here.word_counts(keys[0][0])
+        for n, held in enumerate(here.grams, 1):
             if len(held.bytes):
-                distinct, number = np.unique(keys, return_inverse=True)
-                found = held.levels(distinct)[number]
-                grams[k] = found if grams[k] is None else grams[k] + found
-        return [words, *grams]
+                found[n] += held.levels(keys[n][0])
+        del here
+        vars(piece).pop("_value", None)  # one piece at a time: the next use reads it from the worker's disk again
+    return [x[place] for x, (_, place) in zip(found, keys, strict=True)]
 
 
 def token_scores(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, many: np.ndarray, log_total: float) -> np.ndarray:
@@ -251,8 +278,8 @@ ROWS = "doc_id long, train boolean, text string, words binary, pairs binary, tri
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def passed(rows: DataFrame, model, log_total: float, last: bool) -> DataFrame:
-    """Rows with what this pass's part of the model (a broadcast) knows, or after the last pass their scores."""
+def passed(rows: DataFrame, pieces: list, parts: int, log_total: float, last: bool) -> DataFrame:
+    """Rows with what this pass's pieces know, or after the last pass their scores."""
 
     def run(batches):
         import pyarrow as pa
@@ -261,15 +288,16 @@ def passed(rows: DataFrame, model, log_total: float, last: bool) -> DataFrame:
             for a, b in column_chunks(batch.column("text"), CHUNK):
                 some = batch.slice(a, b - a)
                 tokens, many = token_hashes(some.column("text").to_pylist())
-                before = [None if some.column(c).null_count else np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in KNOWN]
-                known = model.value.probed(tokens, many, before)
+                known = probed(pieces, tokens, many, parts)
+                for i, (c, kind) in enumerate(KNOWN):
+                    if not some.column(c).null_count:  # an earlier pass has been here
+                        known[i] = known[i] + np.frombuffer(b"".join(some.column(c).to_pylist()), kind)
                 first = np.cumsum(many) - many
                 if not last:
-                    cut = lambda x, kind: pa.nulls(len(many), pa.binary()) if x is None else pa.array([x[i : i + n].astype(kind).tobytes() for i, n in zip(first.tolist(), many.tolist(), strict=True)], pa.binary())
-                    states = [cut(x, kind) for x, (_, kind) in zip(known, KNOWN, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "train", "text")), *states], ["doc_id", "train", "text", *(c for c, _ in KNOWN)])
+                    states = [[x[i : i + n].tobytes() for i, n in zip(first.tolist(), many.tolist(), strict=True)] for x in known]
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "train", "text")), *(pa.array(x, pa.binary()) for x in states)], ["doc_id", "train", "text", *(c for c, _ in KNOWN)])
                     continue
-                words, pairs, triples = (np.zeros(len(tokens), kind) if x is None else x for x, (_, kind) in zip(known, KNOWN, strict=True))
+                words, pairs, triples = known
                 total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
                 base = total(np.log10(words + 0.5)) - many * log_total
                 columns = [many, total((words > 0).astype(np.int64)), base, total(token_scores(words, pairs, triples, many, log_total))]
@@ -278,8 +306,8 @@ def passed(rows: DataFrame, model, log_total: float, last: bool) -> DataFrame:
     return rows.mapInArrow(run, SCORES if last else ROWS)
 
 
-def passes(sizes: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int]]]:
-    """(kind, part) of each pass, from (kind, part, bytes): trigrams first, words last, ``most`` bytes a pass or one part."""
+def pieces_of(sizes: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """(kind, part) of each piece, from (kind, part, bytes): trigrams first, words last, ``most`` bytes a piece or one part."""
     out, held = [[]], 0
     for kind, part, size in sorted(sizes, key=lambda x: (-x[0], x[1])):
         if out[-1] and held + size > most:
@@ -295,8 +323,8 @@ def trained(texts: DataFrame, parts: int, bits_each: int = BITS) -> DataFrame:
     return written(segments(counted(texts, parts), bits_each), "segments")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, bits_each: int = BITS) -> DataFrame:
-    """A row for each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``most``: bytes a pass, ``PASS_BYTES`` by default."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE_BYTES, most: int = PASS_BYTES, bits_each: int = BITS) -> DataFrame:
+    """A row for each row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``piece``, ``most``: bytes of a piece and of a pass."""
     spark = docs.sparkSession
     parts = max(12, 2 * docs.rdd.getNumPartitions())
     none = [F.lit(None).cast("binary").alias(c) for c, _ in KNOWN]
@@ -305,20 +333,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     words = table.where(F.col("kind") == WORDS)
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     log_total = float(np.log10(n + 0.5 * (v + 1)))
-    plan = passes([tuple(r) for r in table.select("kind", "part", "bytes").collect()], most or PASS_BYTES)
-    path = None
-    for i, held in enumerate(plan):
-        mine = F.lit(False)
-        for kind in {k for k, _ in held}:
-            of = [p for k, p in held if k == kind]
-            mine |= (F.col("kind") == kind) & F.col("part").between(min(of), max(of))  # parts of a pass follow one another
-        found = table.where(mine).select("kind", "part", "n", "keys", "counts", "bits").toArrow().to_pylist()
-        model = spark.sparkContext.broadcast(Model(found, parts))
-        del found
-        rows = passed(rows, model, log_total, i == len(plan) - 1)
-        if i < len(plan) - 1:
+    plan = pieces_of([tuple(r) for r in table.select("kind", "part", "bytes").collect()], piece)
+    a_pass, path = max(1, most // piece), None
+    for i in range(0, len(plan), a_pass):
+        sent = [spark.sparkContext.broadcast(_piece(table, held, parts)) for held in plan[i : i + a_pass]]
+        last = i + a_pass >= len(plan)
+        rows = passed(rows, sent, parts, log_total, last)
+        if not last:
             rows, new = stored(rows, "pass")
-            model.destroy()
+            for b in sent:
+                b.destroy()
             discard(spark, [path] if path else [])
             path = new
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _piece(table: DataFrame, held: list[tuple[int, int]], parts: int) -> Piece:
+    """Read a piece of the filter to the driver, ``PIECE_BYTES`` at most."""
+    mine = F.lit(False)
+    for kind in {k for k, _ in held}:
+        of = [p for k, p in held if k == kind]
+        mine |= (F.col("kind") == kind) & F.col("part").between(min(of), max(of))  # parts of a piece follow one another
+    return Piece(table.where(mine).select("kind", "part", "n", "keys", "counts", "bits").toArrow().to_pylist(), parts)
