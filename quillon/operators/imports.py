@@ -12,10 +12,18 @@ HOSTS = {"myntra": r"(^|\.)myntra\.com", "ajio": r"(^|\.)ajio\.com", "nykaa": r"
 
 
 def rows(cells: DataFrame, hosts: dict[str, str] = HOSTS) -> DataFrame:
-    """(sheet, row, id, hints) of cells (sheet, row, col, text): the first valid id and the first link for each rival."""
-    kind = t.host_kind(F.when(F.col("text").rlike("(?i)^https?://"), F.col("text")), hosts)
-    d = cells.withColumn("kind", kind).withColumn("pid", F.when(kind.isNull(), t.product_id(F.col("text"))))
-    g = d.groupBy("sheet", "row").agg(F.min_by("pid", F.when(F.col("pid").isNotNull(), F.col("col"))).alias("id"), *[F.min_by(F.when(F.col("kind") == h, F.col("text")), F.when(F.col("kind") == h, F.col("col"))).alias(h) for h in hosts])
+    """(sheet, row, id, hints) of cells (sheet, row, col, text): the first valid id and the first link for each rival.
+
+    An id counts in a link or where it stands alone, not inside a note. With a column ``ord``, as the workbook source has it, a cell may hold
+    several texts."""
+    text = F.trim("text")
+    kind = t.host_kind(F.when(text.rlike("(?i)^https?://"), text), hosts)
+    trusted = text.rlike(r"(?i)^https?:") | text.rlike(r"(?i)^[a-z]{2}\d{6,}$")
+    d = cells.withColumn("kind", kind).withColumn("pid", F.when(kind.isNull() & trusted, t.product_id(text)))
+    place = F.struct("col", "ord") if "ord" in cells.columns else F.col("col")
+    first = lambda value, ok: F.min_by(value, F.when(ok, place))
+    hints = [first(F.when(F.col("kind") == h, text), F.col("kind") == h).alias(h) for h in hosts]
+    g = d.groupBy("sheet", "row").agg(first("pid", F.col("pid").isNotNull()).alias("id"), *hints)
     return g.where("id is not null")
 
 
@@ -30,7 +38,7 @@ def agreement(item_hints: DataFrame) -> DataFrame:
     """(job_id, id, agreement) of (hint, found) pairs: any disagreement wins; null without a pair to compare."""
     same = F.when(F.col("hint").isNotNull() & F.col("found").isNotNull(), F.col("hint") == F.col("found"))
     g = item_hints.groupBy("job_id", "id").agg(F.bool_and(same).alias("ok"))
-    return g.select("job_id", "id", F.when(F.col("ok"), "agree").when(~F.col("ok"), "disagree").alias("agreement"))
+    return g.select("job_id", "id", F.when(F.col("ok"), "agreed").when(~F.col("ok"), "disagreed").alias("agreement"))
 
 
 def progress(job_items: DataFrame) -> DataFrame:

@@ -497,7 +497,7 @@ def import_dedupe(spark, sf_dir):
     return imports.items(imports.rows(cells)).select("id", "row", F.size("source_rows").cast("long").alias("n_rows"), "myntra", "ajio")
 
 
-@query("""SELECT conv_id AS id, CASE WHEN bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'agree' WHEN NOT bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'disagree' END AS agreement FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS id, CASE WHEN bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'agreed' WHEN NOT bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'disagreed' END AS agreement FROM conversations GROUP BY conv_id""")
 def hint_agreement(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.lit("j").alias("job_id"), F.col("conv_id").alias("id"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("found"), F.lit("user").alias("hint"))
     return imports.agreement(c).select("id", "agreement")

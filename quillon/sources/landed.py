@@ -28,6 +28,36 @@ def write_comparisons(rows: DataFrame, path: str, fingerprint: str) -> None:
     rows.withColumn("fingerprint", F.lit(fingerprint)).write.mode("append").partitionBy("fingerprint").parquet(path)
 
 
+#: A stored comparison.
+STORED = (
+    "anchor struct<id:string,brand:string,title:string,price:double,mrp:double>, competitors array<struct<platform:string,id:string,status:string,score:double,price:double,mrp:double,matchType:string,reason:string>>,"
+    " matchedAt string, fingerprint string"
+)
+
+
+def _scanned_first(stored: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of (key, raw) in the order of their keys, read; ``why``: what is wrong with a row. Only keys are sorted, each task keeps
+    ``limit`` of them at most."""
+    keys = stored.select("key").orderBy("key").limit(limit)
+    rows = keys.join(stored, "key")
+    j = F.from_json("raw", STORED)
+    why = F.when(F.col("raw").isNull(), "missing").when(F.try_parse_json("raw").isNull(), "corrupt").when(F.coalesce(j["anchor"]["id"], F.lit("")) == "", "nameless")
+    return rows.select("key", why.alias("why"), j.alias("j"))
+
+
+def hydrated(stored: DataFrame, limit: int = 5000) -> DataFrame:
+    """Stored comparisons (key, raw JSON) in the order of their keys: of the first ``limit`` keys those whose text is whole and names its anchor.
+
+    Keys are distinct. Missing and corrupt rows count toward the limit, as they are found only when they are read."""
+    return _scanned_first(stored, limit).where("why is null").select("key", "j.*")
+
+
+def hydration(stored: DataFrame, limit: int = 5000) -> DataFrame:
+    """How many keys ``hydrated`` has looked at, and how many of them it skipped, by reason."""
+    rows = _scanned_first(stored, limit)
+    return rows.agg(F.count("*").alias("keys"), *[F.count_if(F.coalesce(F.col("why") == w, F.lit(False))).alias(w) for w in ("missing", "corrupt", "nameless")])
+
+
 def listing(rows: DataFrame) -> DataFrame:
     """Raw listings (id, brand, title, price, mrp, discount, sizes as text, image, url) with one shape: absolute links, list
     price no less than known, discount from the prices, else the given one up to 100."""
