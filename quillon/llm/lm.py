@@ -32,7 +32,7 @@ from quillon.llm.common import discard, residue, stored, text_of, written
 from quillon.llm.shingles import LOWER, STEP, mix, word_hashes
 from quillon.llm.tokencount import column_chunks
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BASE = 1.5
 BITS = 10
 PROBES = 7
@@ -41,7 +41,7 @@ END = np.uint64(0x51ED270B7A3F4C15)
 WORDS, PAIRS, TRIPLES = 0, 1, 2
 #: Of the hashes of n-grams inside a part: there are more parts for more texts, so collisions stay at about one in 10,000.
 PART_BITS = 34
-PIECE_BYTES = 64 << 20
+PIECE_BYTES = 32 << 20
 PASS_BYTES = 4 << 30
 #: Keys that are probed at once.
 PROBED = 1 << 16
