@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as t
@@ -48,6 +48,41 @@ def progress(job_items: DataFrame) -> DataFrame:
     return g.select("job_id", "total", "done", "matched", "errors", F.round(F.try_divide(F.col("done") * 100.0, F.col("total")), 1).alias("percent"), F.round(F.col("mean") * (F.col("total") - F.col("done")), 3).alias("eta_seconds"))
 
 
+def outcome(statuses: Column, problem: Column) -> Column:
+    """What a job counts an item as, of its decisions' statuses: matched if any platform is, failed if the item itself could not be read or found."""
+    return F.when(problem.isNotNull(), "error").when(F.array_contains(statuses, "matched"), "matched").otherwise("no_match")
+
+
+def jobs(items: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """Each job of (job_id, state, status, at): its items by state and outcome, and its own status.
+
+    ``cancelled``: (job_id). A job is running while an item is, queued while items are pending, and done behind its last one."""
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    state, status = F.col("state"), F.col("status")
+    g = items.groupBy("job_id").agg(
+        F.count("*").alias("total"), n(state == "pending", "pending"), n(state == "running", "running"), n(state == "done", "done"), n(status == "matched", "matched"), n(status == "no_match", "no_match"),
+        n(status == "error", "failed"), F.min("at").alias("created_at"), F.max("at").alias("changed_at"),
+    )
+    gone = F.lit(False)
+    if cancelled is not None:
+        g = g.join(cancelled.select("job_id").distinct().withColumn("_gone", F.lit(True)), "job_id", "left")
+        gone = F.coalesce("_gone", F.lit(False))
+    left = F.col("pending") + F.col("running") > 0
+    named = F.when(gone & left, "cancelled").when(F.col("running") > 0, "running").when(F.col("pending") > 0, "queued").otherwise("done")
+    return g.withColumn("job_status", named).drop("_gone")
+
+
+def restarted(items: DataFrame) -> DataFrame:
+    """Items after a restart: what was running is pending again; what is done stays done."""
+    return items.withColumn("state", F.when(F.col("state") == "running", "pending").otherwise(F.col("state")))
+
+
+def job_list(summaries: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest jobs without their items, with ``pending`` and the number of all jobs. ``limit`` is the list's length."""
+    all_ = summaries.agg(F.count("*").alias("jobs"))
+    return summaries.orderBy(F.col("created_at").desc(), "job_id").limit(limit).crossJoin(F.broadcast(all_))
+
+
 def parsed_csv(lines: DataFrame) -> DataFrame:
     """(row, cells) of (row, line): quoted commas and doubled quotes; blank lines are none."""
     cell = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'

@@ -31,6 +31,27 @@ def saved(comparisons: DataFrame, as_of: Column, ttl_hours: float) -> DataFrame:
     return g.withColumn("age_hours", F.round(age, 4)).withColumn("fresh", (age >= 0) & (age < ttl_hours))
 
 
+def listed(comparisons: DataFrame, products: DataFrame, as_of: Column, ttl_hours: float, query: str = "", fresh_only: bool = False) -> DataFrame:
+    """Saved reports as the list shows them: brand and title, the best rival's platform, score and tier, matches, age, what is left of their
+    life, and whether the product is of the catalog or came as a link.
+
+    ``comparisons``: see ``saved``, with matchType; ``products``: (id, brand, title, source)."""
+    from quillon.operators.position import search
+
+    ok = F.col("status") == "matched"
+    order = F.when(ok, F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "platform"))
+    best = F.max_by(F.when(ok, F.struct("platform", "score", "matchType")), order)
+    g = comparisons.groupBy("anchor_id").agg(F.count_if(ok).alias("matched"), best.alias("b"), F.min(F.when(ok, F.col("price"))).alias("cheapest"), F.max("matched_at").alias("matched_at"))
+    hours = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
+    g = g.withColumn("hours", hours).join(products.withColumnRenamed("id", "anchor_id"), "anchor_id", "left")
+    out = g.select(
+        F.col("anchor_id").alias("id"), "brand", "title", F.coalesce("b.matchType", F.lit("NO MATCH")).alias("matchType"), F.col("b.score").alias("confidence"), F.col("b.platform").alias("bestPlatform"), "matched", "cheapest", "matched_at",
+        F.round("hours", 1).alias("age_hours"), ((F.col("hours") >= 0) & (F.col("hours") < ttl_hours)).alias("fresh"), F.greatest(F.lit(0.0), F.round(F.lit(ttl_hours) - F.col("hours"), 1)).alias("expires_in_hours"), F.coalesce("source", F.lit("link")).alias("source"),
+    )
+    found = search(out.withColumn("_id", F.col("id").cast("string")), query, "brand", "title", "_id").drop("_id") if query else out
+    return found.where("fresh") if fresh_only else found
+
+
 def colour_verdict(delta_e: Column) -> Column:
     """Of a colour distance between two images."""
     return F.when(delta_e.isNull(), "na").when(delta_e <= 15, "best").when(delta_e <= 26, "moderate").otherwise("low")

@@ -26,7 +26,10 @@ def work_queue(requests: DataFrame, attempts: DataFrame, key: str, most_tries: i
     return left.select(key, "wanted", F.coalesce("tries", F.lit(0)).alias("tries")).orderBy(F.col("wanted").desc(), key)
 
 
-def resumed(jobs: DataFrame) -> DataFrame:
-    """Jobs after a restart: what was running is queued again, with its number of items still to do."""
-    state = F.when(F.col("state") == "running", "queued").otherwise(F.col("state"))
-    return jobs.withColumn("state", state)
+def resumed(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """Jobs (job_id, state) after a restart: one that was running or cancelled and has pending or running items (job_id, state) is queued again, with ``pending``, its
+    number of items still to do; finished ones stay."""
+    left = items.where(F.col("state").isin("pending", "running")).groupBy("job_id").agg(F.count("*").alias("pending"))
+    todo = F.coalesce("pending", F.lit(0))
+    state = F.when((todo > 0) & F.col("state").isin("running", "cancelled"), "queued").otherwise(F.col("state"))
+    return jobs.join(left, "job_id", "left").withColumns({"state": state, "pending": todo})
