@@ -16,12 +16,17 @@ from quillon.functions import vocab
 from quillon.functions.vocab import DEFAULT, Taxonomy
 
 
+def _sql(x: str | int | float) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
+    """One expression for the driver, however many entries there are."""
+    return F.expr("map(" + ", ".join(_sql(x) for x in chain.from_iterable(values.items())) + ")")
 
 
 def literal_array(values: Iterable) -> Column:
-    return F.array(*[F.lit(x) for x in values])
+    return F.expr("array(" + ", ".join(map(_sql, values)) + ")")
 
 
 def normalize(s: Column) -> Column:

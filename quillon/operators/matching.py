@@ -1,12 +1,15 @@
 """Candidate retrieval, gates, evidence, ranking and decisions over whole catalogs.
 
-Two shuffles are inherent: by blocking key and by (anchor, platform). Gates come before detail joins,
-so that costly evidence is computed for finalists only. Ties have an explicit order throughout.
+Two shuffles are inherent: by blocking key and by (anchor, platform). Pairs carry ids and what is compared field by field, a few short texts; titles are
+compared once for each pair of different titles that occurs. Gates come before detail joins, so that costly evidence is computed
+for finalists only. Ties have an explicit order throughout. Profiles and pairs are stored once (``sources.shared``): several steps read them, and a lost executor
+takes nothing away.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,25 +19,32 @@ from quillon.functions import attributes as att
 from quillon.functions import decision as dec
 from quillon.functions import similarity as sim
 from quillon.functions import text as t
-from quillon.functions.plan import computed_once
+from quillon.functions.plan import computed_once, made_once
 from quillon.functions.vocab import DEFAULT, EngineConfig, Taxonomy
+from quillon.sources.shared import settled
 
 
-def profiled(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
-    """Products with ``f``, all that pairs are compared by, derived once a product: its canonical brand, gender, garment,
-    fit, colour family and words, model codes, title profile and search keys."""
-    c, given = F.col, [F.col(f"`{n}`") for n in products.columns]
-    # in steps: what a later step uses several times is a column by then
-    one = computed_once(products, F.struct(*given).alias("p"), t.normalize(c("title")).alias("title"), t.brand(c("brand"), tax).alias("brand"), t.strip_brand(c("title"), c("brand")).alias("bare"), t.distinctive(c("title"), c("brand")).alias("extra"))
-    said = F.coalesce(c("p.gender"), t.gender(F.concat_ws(" ", "brand", "title")))
+def _steps(tax: Taxonomy) -> tuple[list[Column], list[Column], list[Column]]:
+    """The columns of the three steps of a profile: what a later step uses several times is a column by then."""
+    c = F.col
+    one = [t.normalize(c("title")).alias("title"), t.brand(c("brand"), tax).alias("brand"), t.strip_brand(c("title"), c("brand")).alias("bare"), t.distinctive(c("title"), c("brand")).alias("extra")]
     facts = {
-        "gender": said, "garment": t.garment(c("bare"), c("p.articleType"), tax), "fit": t.fit(c("title"), tax), "pattern": t.pattern(c("title")), "family": F.coalesce(t.colour_family(c("p.color"), tax), t.colour_family(c("title"), tax)),
-        "colour": t.last_colour_word(c("p.color")), "any_colour": t.last_colour_word(c("p.color"), c("title")), "strong": t.strong_codes(c("title")), "weak": t.weak_codes(c("title")), "profile": sim.text_profile(c("title"), tax),
+        "gender": F.coalesce(c("p.gender"), t.gender(F.concat_ws(" ", "brand", "title"))), "garment": t.garment(c("bare"), c("p.articleType"), tax), "fit": t.fit(c("title"), tax), "pattern": t.pattern(c("title")),
+        "family": F.coalesce(t.colour_family(c("p.color"), tax), t.colour_family(c("title"), tax)), "colour": t.last_colour_word(c("p.color")), "any_colour": t.last_colour_word(c("p.color"), c("title")),
+        "strong": t.strong_codes(c("title")), "weak": t.weak_codes(c("title")), "profile": sim.text_profile(c("title"), tax),
     }
-    two = computed_once(one, "p", "brand", "extra", *[v.alias(n) for n, v in facts.items()])
+    two = [c("p"), c("brand"), c("extra"), c("title").alias("name"), *[v.alias(n) for n, v in facts.items()]]
     shared, specific = t.queries(c("brand"), c("gender"), c("garment"), c("colour"), c("pattern"), c("extra"))
-    f = F.struct("brand", *[n for n in facts if n != "profile"], c("profile").alias("title"), shared.alias("shared"), specific.alias("specific"))
-    return computed_once(two, "p.*", f.alias("f"))
+    f = F.struct("brand", c("name"), *[n for n in facts if n != "profile"], c("profile").alias("title"), shared.alias("shared"), specific.alias("specific"))
+    return one, two, [c("p.*"), f.alias("f")]
+
+
+def profiled(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """Products with ``f``, all that pairs are compared by, derived once a product: its canonical brand, gender, garment,
+    fit, colour family and words, model codes, title profile and search keys."""
+    one, two, three = made_once(("profile", repr(tax)), lambda: _steps(tax))
+    given = F.struct(*[F.col(f"`{n}`") for n in products.columns]).alias("p")
+    return computed_once(computed_once(computed_once(products, given, *one), *two), *three)
 
 
 def weighted(rows: DataFrame, weights: DataFrame, at: str = "f.title", into: str = "w") -> DataFrame:
@@ -53,12 +63,23 @@ def weight_in(x: Column, y: Column) -> Callable[[Column], Column]:
     return lambda token: F.coalesce(F.try_element_at(x, token), F.try_element_at(y, token), F.lit(1.0))
 
 
+#: What is compared of a pair field by field.
+COMPARED = ("brand", "name", "gender", "garment", "fit", "family", "colour", "any_colour", "strong", "weak")
+
+
+def _thin(*fields: str) -> Column:
+    """The named fields of a profiled row and those of its profile that are compared."""
+    return F.struct(*fields, F.struct(*[F.col(f"f.{n}").alias(n) for n in COMPARED]).alias("f"))
+
+
 def blocked(anchors: DataFrame, listings: DataFrame, key: str = "shared") -> DataFrame:
-    """(anchor_id, row, listing, query_ord) of profiled products that share a search key of a kind, the first one kept."""
-    keys = lambda df: df.select(F.struct("*").alias("row"), F.posexplode(f"f.{key}").alias("query_ord", "key"))
-    pairs = keys(anchors).join(keys(listings).select(F.col("row").alias("listing"), "key"), "key").select(F.col("row.id").alias("anchor_id"), "row", "listing", "query_ord")
-    first = Window.partitionBy("anchor_id", "listing.platform", "listing.id").orderBy("query_ord", "listing.rank_in_query")
-    return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    """(anchor_id, platform, listing_id, row, listing, query_ord) of profiled products that share a search key of a kind, once a pair: by the first key
+    of the anchor, then by the listing's rank. ``row`` and ``listing`` are thin. Large keys are split by Spark's skew join."""
+    keys = lambda df, name, *fields: df.select(_thin("id", "mrp", *fields).alias(name), F.posexplode(f"f.{key}").alias("query_ord", "key"))
+    theirs = keys(listings, "listing", "platform", "price", "rank_in_query").drop("query_ord")
+    pairs = keys(anchors, "row").join(theirs, "key").select(F.col("row.id").alias("anchor_id"), F.col("listing.platform").alias("platform"), F.col("listing.id").alias("listing_id"), "row", "listing", "query_ord")
+    first = F.min_by(F.struct("row", "listing", "query_ord"), F.struct("query_ord", "listing.rank_in_query")).alias("p")
+    return pairs.groupBy("anchor_id", "platform", "listing_id").agg(first).select("anchor_id", "platform", "listing_id", "p.*")
 
 
 def gates(a: Column, c: Column) -> Column:
@@ -76,26 +97,42 @@ def gates(a: Column, c: Column) -> Column:
 
 def candidates(anchors: DataFrame, listings: DataFrame) -> DataFrame:
     """Gated pairs of profiled products; anchors without a survivor are searched again by their specific keys."""
-    gated = lambda pairs: computed_once(pairs, *pairs.columns, gates(F.col("row.f"), F.col("listing.f")).alias("gate"))
-    shared = gated(blocked(anchors, listings))
-    settled = shared.where("gate.pass").select(F.col("anchor_id").alias("id")).distinct()
-    return shared.unionByName(gated(blocked(anchors.join(settled, "id", "left_anti"), listings, "specific")))
+    gated = lambda pairs: computed_once(pairs, *pairs.columns, made_once(("gates",), lambda: gates(F.col("row.f"), F.col("listing.f")).alias("gate")))
+    shared = settled(gated(blocked(anchors, listings)), "pairs")
+    done = shared.where("gate.pass").select(F.col("anchor_id").alias("id")).distinct()
+    return shared.unionByName(gated(blocked(anchors.join(done, "id", "left_anti"), listings, "specific")))
 
 
-def _signals(trained: bool) -> dict[str, Column]:
+def title_classes_of(weights: DataFrame, *products: DataFrame) -> DataFrame:
+    """(name, title, w): the different normalised titles of profiled products, with their profiles and the weights of their tokens, stored."""
+    names = [p.select(F.col("f.name").alias("name"), F.col("f.title").alias("title")) for p in products]
+    return settled(weighted(reduce(DataFrame.unionByName, names).dropDuplicates(["name"]), weights, "title"), "titles")
+
+
+def title_scores(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(own, other, title) for each pair of different titles that occurs among the pairs."""
+    one = pairs.select(F.col("row.f.name").alias("own"), F.col("listing.f.name").alias("other")).distinct()
+    side = lambda name, of: titles.select(F.col("name").alias(name), F.struct("title", "w").alias(of))
+    both = one.join(side("own", "a"), "own").join(side("other", "b"), "other")
+    score = made_once(("title",), lambda: sim.title_similarity(F.col("a.title"), F.col("b.title"), weight_in(F.col("a.w"), F.col("b.w"))).alias("title"))
+    return both.select("own", "other", score)
+
+
+def _signals() -> Column:
     a, c = F.col("row"), F.col("listing")
     x, y = a["f"], c["f"]
-    idf = weight_in(a["w"], c["w"]) if trained else None
-    return {"mrp": dec.mrp_evidence(a["mrp"], c["mrp"]), "title": sim.title_similarity(x["title"], y["title"], idf), "model": t.code_score(x["strong"], y["strong"], x["weak"], y["weak"]), "brand": F.col("gate.brand")}
+    affinity = F.coalesce((x["colour"] == y["any_colour"]).cast("int"), F.lit(0))
+    model = t.code_score(x["strong"], y["strong"], x["weak"], y["weak"])
+    return F.struct(dec.mrp_evidence(a["mrp"], c["mrp"]).alias("mrp"), F.col("title"), model.alias("model"), F.col("gate.brand"), affinity.alias("affinity"))
 
 
-def evidence(pairs: DataFrame) -> DataFrame:
-    """Surviving pairs with the cheap score: list price, title, model codes and brand; titles by the weights that ``weighted`` added, if it did."""
-    affinity = F.coalesce((F.col("row.f.colour") == F.col("listing.f.any_colour")).cast("int"), F.lit(0))
+def evidence(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """Surviving pairs with the cheap score: list price, title, model codes and brand. ``titles``: see ``title_classes_of``."""
     passed = pairs.where("gate.pass")
-    trained = "w" in pairs.schema["row"].dataType.names
-    signals = F.struct(*[v.alias(n) for n, v in _signals(trained).items()])
-    return computed_once(passed, *passed.columns, signals.alias("signals"), affinity.alias("affinity")).withColumn("cheap", dec.blend({n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")}))
+    alike = title_scores(passed, titles)
+    named = passed.join(alike, (F.col("row.f.name") == F.col("own")) & (F.col("listing.f.name") == F.col("other")))
+    scored = computed_once(named, "anchor_id", "query_ord", "gate", "row", "listing", made_once(("signals",), _signals).alias("signals")).withColumn("affinity", F.col("signals.affinity"))
+    return scored.withColumn("cheap", dec.blend({n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")}))
 
 
 def finalists(scored: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -160,7 +197,7 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     """One status for each anchor and platform, in the fixed order of precedence.
 
     ``platforms``: (platform, blocked: on the whole); ``pages``: see ``barred``; ``searched``: all gated pairs; ``scored``: judged finalists."""
-    seen = searched.groupBy("anchor_id", F.col("listing.platform").alias("platform")).agg(F.count("*").alias("scanned"), F.count_if("gate.pass").alias("survivors"))
+    seen = searched.groupBy("anchor_id", "platform").agg(F.count("*").alias("scanned"), F.count_if("gate.pass").alias("survivors"))
     flat = scored.select(
         "anchor_id", F.col("listing.platform").alias("platform"), F.col("listing.id").alias("id"), F.col("listing.price").alias("price"), F.col("listing.mrp").alias("mrp"), F.col("row.mrp").alias("anchor_mrp"),
         F.col("full.score").alias("score"), F.col("more.image.score").alias("image"), "rank", "rejected", "proven", F.col("gate.colorConflict").alias("conflict"),
@@ -195,17 +232,35 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     )
 
 
+def ready(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """Products with their profile, stored. They are dealt out first: a profile costs more than a shuffle of its product, however few files there are."""
+    tasks = max(products.sparkSession.sparkContext.defaultParallelism, products.rdd.getNumPartitions())
+    return settled(profiled(products.repartition(tasks, "id"), tax), "profiles")
+
+
+def title_weights(anchors: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
+    """Token weights trained on brands and titles."""
+    return idf_table(anchors.select(F.concat_ws(" ", F.coalesce("brand", F.lit("")), F.coalesce("title", F.lit(""))).alias("title")), tax=tax)
+
+
+def decide(
+    anchors: DataFrame, listings: DataFrame, platforms: DataFrame, weights: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), tax: Taxonomy = DEFAULT,
+    pages: DataFrame | None = None,
+) -> DataFrame:
+    """The chain over products that are ready, with given token weights."""
+    searched = settled(candidates(anchors, listings), "candidates")
+    titles = title_classes_of(weights, anchors, listings)
+    scored = settled(judged(finalists(evidence(searched, titles), config), details, config, weights, tax), "judged")
+    return decisions(anchors, platforms, searched, scored, config, pages)
+
+
 def match(
     anchors: DataFrame, listings: DataFrame, platforms: DataFrame, details: DataFrame | None = None, config: EngineConfig = EngineConfig(), tax: Taxonomy = DEFAULT,
     pages: DataFrame | None = None, weights: DataFrame | None = None,
 ) -> DataFrame:
     """The whole chain, for all anchors at once. Token weights are trained on the anchors' brands and titles unless they are given."""
-    if weights is None:
-        weights = idf_table(anchors.select(F.concat_ws(" ", F.coalesce("brand", F.lit("")), F.coalesce("title", F.lit(""))).alias("title")), tax=tax)
-    # profiles are costly and small beside the pairs, which are looked at several times; what an executor's loss takes is derived again
-    ready = lambda products: weighted(profiled(products, tax).persist(), weights).persist()
-    searched = candidates(ready(anchors), ready(listings))
-    return decisions(anchors, platforms, searched, judged(finalists(evidence(searched), config), details, config, weights, tax), config, pages)
+    weights = title_weights(anchors, tax) if weights is None else weights
+    return decide(ready(anchors, tax), ready(listings, tax), platforms, weights, details, config, tax, pages)
 
 
 def idf_table(titles: DataFrame, column: str = "title", tax: Taxonomy = DEFAULT) -> DataFrame:

@@ -178,20 +178,23 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 
 _TYPES = {"price": "double", "mrp": "double"}
-_RULES = {"negative price": c("price") >= 0, "price above mrp": c("price") <= c("mrp")}
+
+
+def _rules() -> dict:
+    return {"negative price": c("price") >= 0, "price above mrp": c("price") <= c("mrp")}
 
 
 @query(_BAD + "SELECT id, CASE WHEN z % 10 <> 7 THEN p - 5 END AS price, p AS mrp FROM r WHERE problem IS NULL")
 def typed_rows(spark, sf_dir):
-    return isolation.kept(isolation.read(_raw(spark, sf_dir), _TYPES, _RULES))
+    return isolation.kept(isolation.read(_raw(spark, sf_dir), _TYPES, _rules()))
 
 
 @query(_BAD + """SELECT id AS anchor_id, v.platform, CASE WHEN problem IS NULL THEN 'matched' ELSE 'error' END AS status, problem AS reason FROM r, (VALUES ('p0'), ('p1')) v(platform)""")
 def row_errors(spark, sf_dir):
     """Decisions of whole rows, and an error with its reason on each platform for every row that could not be read."""
     raw, platforms = _raw(spark, sf_dir), spark.createDataFrame([("p0",), ("p1",)], "platform string")
-    good = isolation.kept(isolation.read(raw, _TYPES, _RULES)).select(c("id").alias("anchor_id")).crossJoin(F.broadcast(platforms)).withColumn("status", lit("matched"))
-    return isolation.with_errors(good, isolation.quarantine(raw, _TYPES, _RULES), platforms).select("anchor_id", "platform", "status", "reason")
+    good = isolation.kept(isolation.read(raw, _TYPES, _rules())).select(c("id").alias("anchor_id")).crossJoin(F.broadcast(platforms)).withColumn("status", lit("matched"))
+    return isolation.with_errors(good, isolation.quarantine(raw, _TYPES, _rules()), platforms).select("anchor_id", "platform", "status", "reason")
 
 
 # ---- imports and reports
