@@ -63,23 +63,30 @@ def weight_in(x: Column, y: Column) -> Callable[[Column], Column]:
     return lambda token: F.coalesce(F.try_element_at(x, token), F.try_element_at(y, token), F.lit(1.0))
 
 
+#: What gates look at.
+GATED = ("brand", "gender", "garment", "fit", "family")
 #: What is compared of a pair field by field.
 COMPARED = ("brand", "name", "gender", "garment", "fit", "family", "colour", "any_colour", "strong", "weak")
 
 
 def _thin(*fields: str) -> Column:
-    """The named fields of a profiled row and those of its profile that are compared."""
-    return F.struct(*fields, F.struct(*[F.col(f"f.{n}").alias(n) for n in COMPARED]).alias("f"))
+    """The named fields of a profiled row and those of its profile that are compared; ``kind``: what gates look at, as one text."""
+    kind = F.to_json(F.struct(*[F.col(f"f.{n}").alias(n) for n in GATED])).alias("kind")
+    return F.struct(*fields, F.struct(*[F.col(f"f.{n}").alias(n) for n in COMPARED], kind).alias("f"))
 
 
 def blocked(anchors: DataFrame, listings: DataFrame, key: str = "shared") -> DataFrame:
     """(anchor_id, platform, listing_id, row, listing, query_ord) of profiled products that share a search key of a kind, once a pair: by the first key
-    of the anchor, then by the listing's rank. ``row`` and ``listing`` are thin. Large keys are split by Spark's skew join."""
-    keys = lambda df, name, *fields: df.select(_thin("id", "mrp", *fields).alias(name), F.posexplode(f"f.{key}").alias("query_ord", "key"))
-    theirs = keys(listings, "listing", "platform", "price", "rank_in_query").drop("query_ord")
-    pairs = keys(anchors, "row").join(theirs, "key").select(F.col("row.id").alias("anchor_id"), F.col("listing.platform").alias("platform"), F.col("listing.id").alias("listing_id"), "row", "listing", "query_ord")
-    first = F.min_by(F.struct("row", "listing", "query_ord"), F.struct("query_ord", "listing.rank_in_query")).alias("p")
-    return pairs.groupBy("anchor_id", "platform", "listing_id").agg(first).select("anchor_id", "platform", "listing_id", "p.*")
+    of the anchor that the listing has. That is told from the pair alone, so pairs are never sorted or shuffled to find their copies. ``row`` and
+    ``listing`` are thin; of listings with one id on a platform the best ranked counts. Large keys are split by Spark's skew join."""
+    keys, c = F.col(f"f.{key}").alias("keys"), F.col
+    own = anchors.select(_thin("id", "mrp").alias("row"), keys).select("row", "keys", F.posexplode("keys").alias("query_ord", "key"))
+    theirs = listings.select(_thin("platform", "id", "price", "mrp", "rank_in_query").alias("listing"), keys)
+    theirs = theirs.groupBy(c("listing.platform").alias("platform"), c("listing.id").alias("listing_id")).agg(F.min_by(F.struct("listing", "keys"), "listing.rank_in_query").alias("l"))
+    theirs = theirs.select("platform", "listing_id", c("l.listing").alias("listing"), c("l.keys").alias("other_keys"), F.explode("l.keys").alias("key"))
+    earlier = F.slice("keys", F.lit(1), c("query_ord"))
+    pairs = own.join(theirs, "key").where(~F.arrays_overlap(earlier, c("other_keys")))
+    return pairs.select(c("row.id").alias("anchor_id"), "platform", "listing_id", "row", "listing", "query_ord")
 
 
 def gates(a: Column, c: Column) -> Column:
@@ -95,9 +102,18 @@ def gates(a: Column, c: Column) -> Column:
     )
 
 
+def gated(pairs: DataFrame) -> DataFrame:
+    """Pairs with their ``gate``, which is computed once for each two classes of products that meet."""
+    classed = pairs.withColumns({"_a": F.col("row.f.kind"), "_b": F.col("listing.f.kind")})
+    kind = "struct<" + ",".join(f"{n}:string" for n in GATED) + ">"
+    read = lambda c: F.from_json(c, kind)
+    met = classed.select("_a", "_b").distinct().select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), read("_a").alias("a"), read("_b").alias("b"))
+    told = computed_once(met, "_x", "_y", made_once(("gates",), lambda: gates(F.col("a"), F.col("b")).alias("gate")))
+    return classed.join(told, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))).drop("_a", "_b", "_x", "_y")
+
+
 def candidates(anchors: DataFrame, listings: DataFrame) -> DataFrame:
     """Gated pairs of profiled products; anchors without a survivor are searched again by their specific keys."""
-    gated = lambda pairs: computed_once(pairs, *pairs.columns, made_once(("gates",), lambda: gates(F.col("row.f"), F.col("listing.f")).alias("gate")))
     shared = settled(gated(blocked(anchors, listings)), "pairs")
     done = shared.where("gate.pass").select(F.col("anchor_id").alias("id")).distinct()
     return shared.unionByName(gated(blocked(anchors.join(done, "id", "left_anti"), listings, "specific")))
@@ -232,10 +248,17 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     )
 
 
+#: What a profile is made of.
+GIVEN = ("brand", "title", "color", "gender", "articleType")
+
+
 def ready(products: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
-    """Products with their profile, stored. They are dealt out first: a profile costs more than a shuffle of its product, however few files there are."""
+    """Products with their profile, stored. Profiles are derived once for products that give them the same, and dealt out first: a profile costs more than
+    a shuffle of what it is made of, however few files there are."""
     tasks = max(products.sparkSession.sparkContext.defaultParallelism, products.rdd.getNumPartitions())
-    return settled(profiled(products.repartition(tasks, "id"), tax), "profiles")
+    one = settled(profiled(products.select(*GIVEN).distinct().repartition(tasks), tax), "profiles").withColumnsRenamed({n: f"_{n}" for n in GIVEN})
+    same = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in GIVEN))
+    return settled(products.join(one, same).drop(*[f"_{n}" for n in GIVEN]), "products")
 
 
 def title_weights(anchors: DataFrame, tax: Taxonomy = DEFAULT) -> DataFrame:
