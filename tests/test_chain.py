@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillon.operators import audit, matching
+from quillon.plans import chain
 
 
 def test_nearest_against_all_rows(spark):
@@ -71,3 +72,46 @@ def test_contradictions_of_a_claim(spark):
     claim = F.when(F.col("code").startswith("M"), "men")
     assert {r["code"] for r in audit.contradictions(rows, "code", "gender", claim).collect()} == {"M2", "M3"}
     assert {r["code"] for r in audit.contradictions(rows, "code", "gender").collect()} == {"M3"}
+
+
+ANCHORS = [
+    ("A1", "Levis", "Men 541 Athletic Tapered Jeans", "Blue", 1899.0, 1310.0, "men", None), ("A2", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1500.0, None, None),
+    ("A3", "Puma", "Women Regular Running Shoes", "Red", 4999.0, 3000.0, None, None), ("A4", "Zara", "Women Floral Dress", "Green", 2999.0, 2500.0, None, None), ("A5", "Nike", "Men Graphic Tee", "White", 999.0, 800.0, None, None),
+]
+LISTINGS = [
+    ("L1", "p0", "Levi's", "Men 541 Athletic Tapered Fit Jeans", "Blue", 1899.0, 1250.0, "men", None, 0, 0), ("L2", "p0", "Levis", "Men 511 Slim Jeans", "Blue", 1899.0, 1100.0, "men", None, 0, 1),
+    ("L1b", "p1", "Levis", "Men 541 Athletic Tapered Jeans", "Brown", 1899.0, 1250.0, "men", None, 0, 0), ("L3", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1450.0, "men", None, 0, 0),
+    ("L4", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1700.0, "men", None, 0, 1), ("L5", "p1", "Nike", "Men Solid Polo T-shirt", "Black", 2200.0, 1700.0, "men", None, 0, 1),
+    ("L6", "p0", "Puma", "Women Slim Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L7", "p1", "Puma", "Women Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L8", "p0", "Nike", "Men Graphic Tee", "White", 1010.0, 700.0, "men", None, 0, 0),
+]
+DECIDED = [
+    ("A1", "p0", "matched", None, "L1"), ("A1", "p1", "color_mismatch", None, None), ("A2", "p0", "ambiguous", None, None), ("A2", "p1", "no_match", "mrp_mismatch", None), ("A3", "p0", "no_match", "hard_gate", None),
+    ("A3", "p1", "matched", None, "L7"), ("A4", "p0", "no_results", None, None), ("A4", "p1", "no_results", None, None), ("A5", "p0", "matched", None, "L8"), ("A5", "p1", "no_results", None, None),
+    *[(f"A{i}", "p2", "blocked", None, None) for i in range(1, 6)],
+]
+_PRODUCT = "id string, {p}brand string, title string, color string, mrp double, price double, gender string, articleType string"
+
+
+def test_status_precedence(spark):
+    """Literal products for every status and reason, in the order of precedence."""
+    anchors = spark.createDataFrame(ANCHORS, _PRODUCT.format(p=""))
+    listings = spark.createDataFrame(LISTINGS, _PRODUCT.format(p="platform string, ") + ", query_ord int, rank_in_query int")
+    platforms = spark.createDataFrame([("p0", False), ("p1", False), ("p2", True)], "platform string, blocked boolean")
+    got = matching.match(anchors, listings, platforms).select("anchor_id", "platform", "status", "rejectedBy", "listing_id").collect()
+    assert {tuple(r) for r in got} == set(DECIDED)
+
+
+def test_statuses_of_the_chain_over_parts(spark):
+    """The derived listings reach these statuses, so the SQL of ``match_parts`` is held against all of them."""
+    got = chain.decided(spark, "/root/testdata/sf0.01").select("status", "rejectedBy").distinct().collect()
+    assert {r["status"] for r in got} >= {"matched", "ambiguous", "blocked", "no_results", "color_mismatch", "no_match"}
+    assert {r["rejectedBy"] for r in got if r["status"] == "no_match"} >= {"mrp_mismatch"}
+
+
+def test_pairs_meet_once_by_their_first_key(spark):
+    f = lambda *keys: F.struct(F.array(*map(F.lit, keys)).alias("shared"), *[F.lit("x").alias(n) for n in matching.COMPARED])
+    own = spark.range(1).select(F.col("id"), F.lit(1.0).alias("mrp"), f("k1", "k2", "k3").alias("f"))
+    theirs = spark.range(1).select(F.lit("p").alias("platform"), F.lit(7).alias("id"), F.lit(1.0).alias("price"), F.lit(1.0).alias("mrp"), F.lit(5).alias("rank_in_query"), f("k3", "k2").alias("f"))
+    theirs = theirs.unionByName(theirs.withColumns({"rank_in_query": F.lit(2), "price": F.lit(9.0)})).unionByName(theirs.withColumn("id", F.lit(8)))
+    got = matching.blocked(own, theirs).select("listing_id", "query_ord", "listing.price").orderBy("listing_id").collect()
+    assert [tuple(r) for r in got] == [(7, 1, 9.0), (8, 1, 1.0)]

@@ -1,4 +1,4 @@
-"""Export rows and filters, chart payloads, breakers and queues."""
+"""Export rows and filters, chart payloads."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from quillon.functions import decision as dec
 from quillon.functions import text as t
 from quillon.operators import exports, images, imports, reports, sizechart
 from quillon.sources import charts, landed
-from quillon.streaming import pacing
 
 ANCHOR = "id string, brand string, title string, category string, gender string, price double, fresh boolean"
 DECISION = "anchor_id string, platform string, status string, price double, score double, matchType string, sizes array<string>"
@@ -43,15 +42,6 @@ def test_chart_payloads_meet_on_one_grid(spark):
     assert [(r["axis"], r["n"], r["status"], r["severity"], r["delta"]) for r in grid] == [("Chest", 3, "mismatch", "major", 3.0)]
 
 
-def test_breaker_and_queue(spark):
-    events = spark.createDataFrame([("h", float(at), slow) for at, slow in ((0, False), (10, True), (20, False), (309, False), (311, False), (320, False))], "host string, at double, slow boolean")
-    got = [r["circuit"] for r in pacing.breaker(events, "host", "at", F.col("slow")).orderBy("at").collect()]
-    assert got == ["closed", "closed", "open", "open", "probe", "closed"]
-    wanted = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("d",)], "k string")
-    tried = spark.createDataFrame([("a", True), ("c", False), ("c", False), ("c", False), ("d", False)], "k string, ok boolean")
-    assert [(r["k"], r["wanted"], r["tries"]) for r in pacing.work_queue(wanted, tried, "k").collect()] == [("b", 2, 0), ("d", 1, 1)]
-
-
 def test_image_colours(spark):
     rows = [(1, x, y, *((200, 30, 40) if 5 <= x < 15 and 5 <= y < 15 else (250, 250, 250))) for x in range(20) for y in range(20)] + [(2, x, y, 9, 9, 9) for x in range(10) for y in range(10)]
     # a few pixels in the middle: the boxes widen; half of a large one beside the narrow box: the wide one is taken; too few: no colour

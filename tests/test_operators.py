@@ -107,18 +107,6 @@ def test_pairs_map(spark):
     assert d.select(landed.pairs_map(F.col("p"))).first()[0] == {"a": "2"}
 
 
-def test_token_bucket_follows_the_plain_one(spark):
-    rows = [(f"k{i % 3}", float(i * i % 97), i % 7 != 0) for i in range(200)]
-    got = {r["key"]: (r["n"], r["allowed"], r["waits"], round(r["waited"], 6)) for r in state.token_buckets(spark.createDataFrame(rows, "key string, at double, ok boolean")).collect()}
-    want = {}
-    for k in ("k0", "k1", "k2"):
-        b = state.Bucket()
-        for _, at, ok in sorted(r for r in rows if r[0] == k):
-            b.step(at, ok)
-        want[k] = (b.n, b.allowed, b.waits, round(b.waited, 6))
-    assert got == want and sum(x[2] for x in got.values()) > 0
-
-
 def test_recents_expire_and_stream_equals_batch(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1)
     rows = [("a", t0), ("b", t0 + datetime.timedelta(hours=1)), ("a", t0 + datetime.timedelta(hours=2)), ("c", t0 - datetime.timedelta(hours=49))]
