@@ -231,15 +231,26 @@ def counted(texts: DataFrame, patterns: DataFrame) -> DataFrame | None:
     return written(occurrences(texts, hopeful, n), "totals") if n else None
 
 
-def bootstrap(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All known values: those of seeds and those that trusted patterns lead to."""
+def is_hidden(value: Column, hide: int) -> Column:
+    """Whether a seed is hidden where one in ``hide`` is."""
+    return F.pmod(F.xxhash64(value), F.lit(hide)) == 0
+
+
+def bootstrap(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id", hide: int = 0) -> DataFrame:
+    """All known values: those of seeds and those that trusted patterns lead to.
+
+    ``hide``: one in so many seeds is not known at first and counts half for its patterns' confidence, as nothing tells yet whether it is one; see ``recall``."""
     rows = scan.select(F.explode("instances").alias("x")).select("x.value", "x.patterns", "x.seed")
-    seeds = written(rows.where("seed").select("value").distinct(), "seeds")
+    every = written(rows.where("seed").select("value").distinct(), "seeds")
+    seeds = every.where(~is_hidden(F.col("value"), hide)) if hide else every
     edges = written(rows.select("value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count("*").alias("n")), "edges")
     texts = text_of(docs, id_col, text_col)
     known, totals, before = seeds, None, 0
     for _ in range(rounds):
         hits = edges.join(known, "value").groupBy("pattern").agg(F.sum("n").alias("known"), F.count("*").alias("v")).where(F.col("v") >= MIN_VALUES)
+        if hide:
+            unsure = edges.join(every.join(known, "value", "left_anti"), "value").groupBy("pattern").agg((F.sum("n") / 2).alias("unsure"))
+            hits = hits.join(unsure, "pattern", "left").select("pattern", (F.col("known") + F.coalesce("unsure", F.lit(0))).alias("known"), "v")
         hits = written(hits, "hits")
         more = counted(texts, hits if totals is None else hits.join(totals, "pattern", "left_anti"))
         totals = more if totals is None else totals if more is None else totals.unionByName(more)
@@ -258,6 +269,19 @@ def bootstrap(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS, text_col:
     return known
 
 
+def recall(docs: DataFrame, hide: int = 2, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What bootstrapping is worth: one in ``hide`` seeds is hidden by a hash of its value, and found again only if patterns that the other seeds
+    induce lead to it. A row for each kind: ``kind, hidden, recovered`` distinct values; ``beyond``: values found that are no seeds of any kind (kind ``other``)."""
+    scan = written(scanned(docs, id_col, text_col), "scan")
+    known = bootstrap(docs, scan, rounds, text_col, id_col, hide).distinct().withColumn("found", F.lit(True))
+    seeds = scan.select(F.explode("instances").alias("x")).where("x.seed").select("x.value").distinct().withColumn("seed", F.lit(True))
+    digits = _digits(F.col("value"))
+    kind = F.when(F.col("value").contains("@"), "email").when(F.col("value").startswith("+"), "phone").when(F.col("value").rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(F.col("value").rlike(r"^[0-9\x20-]+$") & (F.char_length(digits) <= 19), "card").otherwise(SECRET)
+    both = seeds.join(known, "value", "full").select("value", F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("found", F.lit(False)).alias("found"))
+    rows = both.select(F.when(F.col("seed"), kind).otherwise(OTHER).alias("kind"), "seed", "found", (F.col("seed") & is_hidden(F.col("value"), hide)).alias("hidden"))
+    return rows.groupBy("kind").agg(F.count_if("hidden").alias("hidden"), F.count_if(F.col("hidden") & F.col("found")).alias("recovered"), F.count_if(~F.col("seed")).alias("beyond"))
+
+
 def find(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``key``, ``base`` and ``added`` spans."""
     scan = written(scanned(docs, id_col, text_col), "scan")

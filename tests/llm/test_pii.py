@@ -124,3 +124,16 @@ def test_redaction_keeps_the_rest(spark):
 def test_empty(spark):
     assert pii.report(pii.find(docs(spark, []))).count() == 0
     assert pii.redact(docs(spark, [])).count() == 0
+
+
+def test_hidden_seeds_are_recovered_by_their_contexts(spark):
+    """Half of the seeds are hidden; contexts of the others must lead to them, and to nothing else."""
+    got = {r["kind"]: r for r in pii.recall(table(spark, "/root/testdata/sf0.1", "documents")).collect()}
+    secrets = got["secret"]
+    assert secrets["hidden"] >= 40 and secrets["recovered"] >= 0.9 * secrets["hidden"]
+    assert "other" not in got or got["other"]["beyond"] <= 2
+    assert all(r["recovered"] <= r["hidden"] for r in got.values())
+    words = "some words of no use here"
+    few = [(i, f"{words} my phone: +1 (974) 555-3{i}16 and {words}") for i in range(16)] + [(50 + i, f"{words} user{i}@mail.example {words}{i}") for i in range(8)]
+    got = {r["kind"]: (r["hidden"], r["recovered"]) for r in pii.recall(docs(spark, few)).collect()}
+    assert got["phone"][0] == got["phone"][1] > 3
