@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import decision as dec
+from quillon.functions import text as t
 
 
 def cells(columns: DataFrame, numbers: dict[str, str]) -> DataFrame:
@@ -74,3 +75,85 @@ def summary(market: DataFrame, own: str) -> DataFrame:
         .otherwise("No rival price: nothing to compare")
     )
     return market.withColumn("action", text)
+
+
+# ---- the decision in words
+
+
+def size_flag(major: Column, minor: Column, compared: Column, verdict: Column, first_flag: Column) -> Column:
+    """(severity, label, detail) at the head of a report: how the size charts of its platforms agree. Null where nothing was compared, which never
+    means that they agree."""
+    n = F.when(major > 0, major).otherwise(minor)
+    text = F.concat(n.cast("string"), F.when(n > 1, F.lit(" measurements differ")).otherwise(F.lit(" measurement differs")), F.coalesce(F.concat(F.lit(" — "), first_flag), F.lit(".")))
+    flag = lambda severity, label, detail: F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label"), detail.alias("detail"))
+    agree = flag("none", "Size charts match", F.concat(compared.cast("string"), F.lit(" measurements agree across platforms.")))
+    differ = F.when(major > 0, flag("major", "Size chart differs", text)).when(minor > 0, flag("minor", "Size chart varies slightly", text))
+    return F.coalesce(differ, F.when((verdict == "consistent") & (compared > 0), agree))
+
+
+def decision(anchors: DataFrame, columns: DataFrame, own: str) -> DataFrame:
+    """Each anchor's decision in words: best match, posture, action, insights in their order, and the header's reason.
+
+    ``anchors``: (anchor_id, price, images, size_insight: a sentence on its size charts or null); ``columns``: (anchor_id, ord, label, status, score, price, images,
+    matchType, why, differences), one for each rival. ``own``: the own platform's name. Of rivals with one score or price the first by ``ord`` counts.
+    Sentences are fixed values."""
+    c = F.col
+    hit = (c("status") == "matched") & c("score").isNotNull()
+    said = (
+        F.when(c("status") == "matched", F.lit(None).cast("string"))
+        .when(c("status") == "blocked", F.concat("label", F.lit(" data is not available for this product.")))
+        .when(c("status") == "ambiguous", F.concat("label", F.lit(" has several near-identical listings at different prices — the exact SKU cannot be proven from public data. Verify manually.")))
+        .when(c("status") == "color_mismatch", F.concat("label", F.lit(" has a same-style listing in a different colourway — not treated as a match.")))
+        .otherwise(F.concat(F.lit("No confident "), "label", F.lit(" match was found for this product.")))
+    )
+    rival = F.struct("ord", "label", "score", "price", "images", "matchType", "why", "differences")
+    per = columns.withColumns({"said": said, "hit": hit}).groupBy("anchor_id").agg(
+        F.max_by(rival, F.when(c("hit"), F.struct("score", -c("ord")))).alias("best"),
+        F.min_by(rival, F.when(c("hit") & c("price").isNotNull(), F.struct("price", "ord"))).alias("cheapest"),
+        F.sort_array(F.collect_list(F.when(c("said").isNotNull(), F.struct("ord", "said")))).alias("others"),
+        F.sort_array(F.collect_list(F.when(c("hit"), F.struct(-c("score"), "ord", "label", "images")))).alias("hits"),
+    )  # a handful of rivals
+    rows = anchors.join(per, "anchor_id", "left").withColumn("gap", c("price") - c("cheapest.price"))
+    gap, name = t.rupees(F.abs("gap")), c("cheapest.label")
+    posture = F.when(c("gap") > 0, "undercut").when(c("gap") < 0, "winning").when(c("gap") == 0, "parity").otherwise("unknown")
+    action = (
+        F.when(c("gap") > 0, F.concat(name, F.lit(" is "), gap, F.lit(" cheaper — review pricing or promotion on this SKU.")))
+        .when(c("gap") < 0, F.concat(F.lit(f"{own} holds the best price by "), gap, F.lit(" — safe to promote as a price win.")))
+        .when(c("gap") == 0, "Priced at parity — differentiate on delivery, offers or content quality.")
+        .otherwise("Insufficient competitor data for a pricing recommendation.")
+    )
+    money = (
+        F.when(c("gap") > 0, F.concat(name, F.lit(f" undercuts {own} by "), gap, F.lit(" on the same item.")))
+        .when(c("gap") < 0, F.concat(F.lit(f"{own} is "), gap, F.lit(" cheaper than the closest competitor.")))
+        .when(c("gap") == 0, "Price parity with the closest competitor.")
+    )
+    closest = F.concat("best.label", F.lit(" is the closest match ("), F.floor(c("best.score") * 100 + 0.5).cast("string"), F.lit("% overall similarity)."))
+    mine = F.coalesce(c("images"), F.lit(0))
+    richer = F.get(F.filter("hits", lambda h: F.coalesce(h["images"], F.lit(0)) > mine), F.lit(0))
+    content = F.concat(richer["label"], F.lit(" shows "), richer["images"].cast("string"), F.lit(f" images vs {own}'s "), mine.cast("string"), F.lit(" — richer content."))
+    others = F.coalesce(F.transform("others", lambda o: o["said"]), F.array().cast("array<string>"))
+    insights = F.array_compact(F.concat(F.array(closest), others, F.array(money, c("size_insight"), content)))
+    why, differences = F.array_join(F.slice("best.why", 1, 3), ", "), F.array_join(F.slice("best.differences", 1, 2), "; ")
+    found = F.concat_ws(" ", F.coalesce(F.nullif(why, F.lit("")), F.lit("Matched on core attributes")), F.when(differences != "", F.concat(F.lit("Differences: "), differences, F.lit("."))))
+    reason = F.when(c("best").isNull(), "No competitor listing cleared the matching gates for this product.").otherwise(found)
+    return rows.select(
+        "anchor_id", c("best.label").alias("bestMatch"), F.coalesce("best.matchType", F.lit("NO MATCH")).alias("matchType"), c("best.score").alias("confidence"), posture.alias("posture"), action.alias("action"), insights.alias("insights"), reason.alias("matchReason")
+    )
+
+
+def anchor_error(id_: Column, reason: Column, own: str) -> Column:
+    """Why a product could not be found, in words."""
+    return F.when(reason == "not_found", F.concat(F.lit(f"{own} has no product with id "), id_, F.lit("."))).when(reason.isNotNull(), F.concat(F.lit("Could not read "), id_, F.lit(f" from {own} ("), reason, F.lit(").")))
+
+
+def split(rows: DataFrame) -> DataFrame:
+    """How all products (matched, gap) split: ``cheapest``, ``parity``, ``undercut`` and ``unmatched``; what is matched and neither cheaper nor dearer is at parity."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    g = rows.agg(F.count("*").alias("total"), n(F.col("matched")).alias("matched"), n(F.col("matched") & (F.col("gap") < 0)).alias("cheapest"), n(F.col("matched") & (F.col("gap") > 0)).alias("undercut"))
+    return g.select("total", "cheapest", F.greatest(F.lit(0), F.col("matched") - F.col("cheapest") - F.col("undercut")).alias("parity"), "undercut", F.greatest(F.lit(0), F.col("total") - F.col("matched")).alias("unmatched"))
+
+
+def savings(prices: DataFrame) -> DataFrame:
+    """(anchor_id, dearest, savings) of (anchor_id, price): the longest bar and what the cheapest offer saves against it, nothing with one price."""
+    g = prices.groupBy("anchor_id").agg(F.max("price").alias("dearest"), F.min("price").alias("_least"), F.count("price").alias("_n"))
+    return g.select("anchor_id", F.coalesce("dearest", F.lit(0.0)).alias("dearest"), F.when(F.col("_n") > 1, F.col("dearest") - F.col("_least")).otherwise(F.lit(0.0)).alias("savings"))

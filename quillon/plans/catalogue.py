@@ -6,7 +6,7 @@ state, documents, pages and embeddings the texts and vectors. What has no table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import attributes as att
@@ -52,6 +52,16 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 
+def picked_sql(values: list, column: str) -> str:
+    """The value at a column's place, modulo their number."""
+    shown = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in values)
+    return f"([{shown}])[{column} % {len(values)} + 1]"
+
+
+def picked(values: list, column: str) -> Column:
+    return F.element_at(F.array(*[F.lit(x).cast("string") for x in values]), (F.col(column) % len(values) + 1).cast("int"))
+
+
 def case_sql(rules, column: str) -> str:
     """The first rule that matches a normalised column."""
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{n}'" for n, p in rules) + " END"
@@ -213,11 +223,16 @@ BRANDS = [(i, a, b) for i, (a, b) in enumerate([("Levis", "Levi's"), ("US Polo A
 _B = lambda c: f"coalesce({map_sql(vocab.BRAND_ALIASES, norm_sql(c))}, {norm_sql(c)})"
 
 
-@query("WITH " + values_sql("v", "i, a, b", BRANDS) + f""", n AS (SELECT i, {_B('a')} AS x, {_B('b')} AS y FROM v),
+_LEFT, _RIGHT = [a for _, a, _ in BRANDS], [b for *_, b in BRANDS]
+
+
+@query(f"WITH v AS (SELECT p_partkey AS i, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE {picked_sql(_LEFT, 'p_partkey')} END AS a, {picked_sql(_RIGHT, 'p_size')} AS b FROM part)" + f""", n AS (SELECT i, {_B('a')} AS x, {_B('b')} AS y FROM v),
 j AS (SELECT *, len(list_intersect(string_split(x, ' '), string_split(y, ' '))) * 1.0 / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) AS j FROM n)
 SELECT i, round(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN j >= 0.5 THEN 0.6 + j * 0.2 ELSE j * 0.4 END, 6) AS score FROM j""")
 def brand_score_pairs(spark, sf_dir):
-    return spark.createDataFrame(BRANDS, "i int, a string, b string").select("i", F.round(t.brand_score(F.col("a"), F.col("b")), 6).alias("score"))
+    brands = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(picked(_LEFT, "p_partkey"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), brands.alias("a"), picked(_RIGHT, "p_size").alias("b"))
+    return rows.select("i", F.round(t.brand_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 _FAMILY = {**{c: c for c in vocab.BASE_COLOURS}, **DEFAULT.colour_family}
@@ -241,7 +256,16 @@ def garment_overlay(spark, sf_dir):
 TITLES = [(i, s) for i, s in enumerate([
     "Levis Men 541 Athletic Tapered Jeans", "Sparx SM9085 Running Shoes Size 9", "Solid Polo T-Shirt 100% Cotton", "Women Floral Print A-Line Dress XL", "WH-CH520 Headphones 30w 200gm", "Boys Blue Striped Half Sleeve Tee",
     "Kids Unisex Navy Hooded Sweatshirt 2xl", "Slim Fit Mid Rise Stone Washed Jeans with Five Pockets", "Formal Spread Collar Shirt Button Closure", "Comfort Fit Boot Cut Trousers", "", None, "Girls Party Sandals 32b 140 144", "Ripped Acid Wash Denim Jacket zip"])]
-_V = "WITH " + values_sql("v", "i, s0", TITLES) + f", n AS (SELECT i, {norm_sql('s0')} AS s FROM v) "
+_TITLES = [x for _, x in TITLES]
+_V = f"WITH v AS (SELECT p_partkey AS i, {picked_sql(_TITLES, 'p_partkey')} || ' ' || p_name AS s0 FROM part)" + f", n AS (SELECT i, {norm_sql('s0')} AS s FROM v) "
+
+
+
+def titled_parts(spark, sf_dir) -> DataFrame:
+    """(i, s): titles of the fixed list, one for each part, with the part's name."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.concat(picked(_TITLES, "p_partkey"), F.lit(" "), "p_name").alias("s"))
+
+
 _LONG = "list_filter(string_split(s, ' '), lambda w: length(w) BETWEEN 3 AND 12)"
 
 
@@ -250,34 +274,41 @@ _LONG = "list_filter(string_split(s, ' '), lambda w: length(w) BETWEEN 3 AND 12)
 def model_codes(spark, sf_dir):
     s = F.col("s")
     show = lambda c: F.array_join(F.array_sort(c), ",")
-    return spark.createDataFrame(TITLES, "i int, s string").select("i", show(t.strong_codes(s)).alias("strong"), show(t.weak_codes(s)).alias("weak"))
+    return titled_parts(spark, sf_dir).select("i", show(t.strong_codes(s)).alias("strong"), show(t.weak_codes(s)).alias("weak"))
 
 
 @query(_V + f"SELECT i, {case_sql(vocab.GENDERS, 's')} AS gender, {case_sql(vocab.GARMENTS, 's')} AS garment, {case_sql([(c, rf'\b{c}\b') for c in vocab.COLOUR_WORDS], 's')} AS colour, {case_sql(vocab.FADES, 's')} AS fade, {case_sql(vocab.DISTRESS, 's')} AS distress, {case_sql(vocab.RISES, 's')} AS rise, {case_sql(vocab.SLEEVES, 's')} AS sleeve, {case_sql(vocab.CLOSURES, 's')} AS closure, {case_sql(vocab.OCCASIONS, 's')} AS occasion, CASE WHEN regexp_matches(s, '\\bpolo\\b') OR (regexp_matches(s, '\\bcollar\\b') AND NOT regexp_matches(s, '\\bcollar\\b.*\\bround\\b')) THEN 'polo collar' ELSE {case_sql(vocab.NECKS[1:], 's')} END AS neck FROM n")
 def classify_titles(spark, sf_dir):
     s = F.col("s")
     rules = {"fade": vocab.FADES, "distress": vocab.DISTRESS, "rise": vocab.RISES, "sleeve": vocab.SLEEVES, "closure": vocab.CLOSURES, "occasion": vocab.OCCASIONS, "neck": vocab.NECKS}
-    return spark.createDataFrame(TITLES, "i int, s string").select("i", t.gender(s).alias("gender"), t.garment(s).alias("garment"), t.colour_word(s).alias("colour"), *[t.first_rule(s, r).alias(n) for n, r in rules.items()])
+    return titled_parts(spark, sf_dir).select("i", t.gender(s).alias("gender"), t.garment(s).alias("garment"), t.colour_word(s).alias("colour"), *[t.first_rule(s, r).alias(n) for n, r in rules.items()])
 
 
 _AXES = [(g, *x) for g, x in vocab.GENDER_AXES.items()] + [(None, None, None)]
 
 
-@query("WITH " + values_sql("g", "name, sex, age", _AXES) + """ SELECT a.name AS anchor_gender, c.name AS cand_gender, coalesce(a.sex = 'any' OR c.sex = 'any' OR a.sex = c.sex, true) AND coalesce(a.age = 'any' OR c.age = 'any' OR a.age = c.age, true) AS ok FROM g a, g c""")
+_NAMES = [g for g, *_ in _AXES]
+
+
+@query("WITH " + values_sql("g", "name, sex, age", _AXES) + f""", p AS (SELECT p_partkey, {picked_sql(_NAMES, 'p_partkey')} AS anchor_gender, {picked_sql(_NAMES, 'p_size')} AS cand_gender FROM part)
+SELECT p_partkey, anchor_gender, cand_gender, coalesce(a.sex = 'any' OR c.sex = 'any' OR a.sex = c.sex, true) AND coalesce(a.age = 'any' OR c.age = 'any' OR a.age = c.age, true) AS ok FROM p LEFT JOIN g a ON a.name = anchor_gender LEFT JOIN g c ON c.name = cand_gender""")
 def gender_matrix(spark, sf_dir):
-    names = [g for g, *_ in _AXES]
-    pairs = spark.createDataFrame([(a, c) for a in names for c in names], "anchor_gender string, cand_gender string")
+    pairs = table(spark, sf_dir, "part").select("p_partkey", picked(_NAMES, "p_partkey").alias("anchor_gender"), picked(_NAMES, "p_size").alias("cand_gender"))
     return pairs.withColumn("ok", t.gender_compatible(F.col("anchor_gender"), F.col("cand_gender")))
 
 
 SIZES = [(i, s) for i, s in enumerate([" xl ", "2XL", "XXXL", "xxl", "Free", "32", "os", "a label that is too long", "", None, "10.5", "4XL"])]
 
 
-@query("WITH " + values_sql("v", "i, s", SIZES) + f""", e AS (SELECT i, s, upper(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS x, upper(regexp_replace(coalesce(s, ''), '\\s+', '', 'g')) AS c FROM v)
+_SIZES = [x for _, x in SIZES]
+
+
+@query(f"WITH v AS (SELECT p_partkey AS i, CASE WHEN p_size % 4 = 0 THEN ' ' || p_size ELSE {picked_sql(_SIZES, 'p_partkey')} END AS s FROM part)" + f""", e AS (SELECT i, s, upper(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS x, upper(regexp_replace(coalesce(s, ''), '\\s+', '', 'g')) AS c FROM v)
 SELECT i, CASE WHEN length(x) BETWEEN 1 AND 12 THEN coalesce({map_sql(t.EXPORT_ALIASES, 'x')}, x) END AS export_size,
   CASE WHEN c = '' THEN NULL WHEN c IN ('FREE', 'FREESIZE', 'ONESIZE', 'OS') THEN 'FREE' WHEN regexp_matches(c, '^X{{2,}}L$') THEN (length(c) - 1) || 'XL' ELSE c END AS chart_size FROM e""")
 def size_labels(spark, sf_dir):
-    return spark.createDataFrame(SIZES, "i int, s string").select("i", t.export_size(F.col("s")).alias("export_size"), t.chart_size(F.col("s")).alias("chart_size"))
+    label = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(picked(_SIZES, "p_partkey"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), label.alias("s")).select("i", t.export_size(F.col("s")).alias("export_size"), t.chart_size(F.col("s")).alias("chart_size"))
 
 
 # ---- similarity
@@ -335,7 +366,8 @@ def embedding_cosine_topk(spark, sf_dir):
     return matching.nearest(e, e.where("vec_id % 20 = 0"), 5)
 
 
-COLOURS = [(0, 12, 200, 37, 10, 190, 40), (1, 0, 0, 0, 255, 255, 255), (2, 255, 127, 0, 250, 200, 10), (3, 3, 3, 3, 4, 3, 2)]
+#: Two colours of a part, of its key and size.
+_RGB = {"r1": "p_partkey % 256", "g1": "p_size * 5 % 256", "b1": "p_partkey * 7 % 256", "r2": "p_size * 3 % 256", "g2": "p_partkey * 11 % 256", "b2": "(p_partkey + p_size) % 256"}
 _LIN = lambda c: f"CASE WHEN {c} / 255.0 > 0.04045 THEN pow(({c} / 255.0 + 0.055) / 1.055, 2.4) ELSE {c} / 255.0 / 12.92 END"
 _FN = lambda v: f"CASE WHEN {v} > 0.008856 THEN cbrt({v}) ELSE 7.787 * {v} + 16 / 116.0 END"
 
@@ -346,10 +378,10 @@ def _lab_sql(n: str) -> str:
     return f"116 * {y} - 16 AS l{n}, 500 * ({x} - {y}) AS a{n}, 200 * ({y} - {z}) AS b{n}_"
 
 
-@query("WITH " + values_sql("v", "i, r1, g1, b1, r2, g2, b2", COLOURS) + f", l AS (SELECT i, {_lab_sql('1')}, {_lab_sql('2')} FROM v) SELECT i, round(sqrt(pow(l1 - l2, 2) + pow(a1 - a2, 2) + pow(b1_ - b2_, 2)), 1) AS delta_e FROM l")
+@query("WITH v AS (SELECT p_partkey AS i, " + ", ".join(f"{x} AS {n}" for n, x in _RGB.items()) + f" FROM part), l AS (SELECT i, {_lab_sql('1')}, {_lab_sql('2')} FROM v) SELECT i, round(sqrt(pow(l1 - l2, 2) + pow(a1 - a2, 2) + pow(b1_ - b2_, 2)), 1) AS delta_e FROM l")
 def colour_distance(spark, sf_dir):
     c = [F.col(x) for x in ("r1", "g1", "b1", "r2", "g2", "b2")]
-    return spark.createDataFrame(COLOURS, "i int, r1 int, g1 int, b1 int, r2 int, g2 int, b2 int").select("i", sim.delta_e(sim.lab(*c[:3]), sim.lab(*c[3:])).alias("delta_e"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), *[F.expr(x).cast("int").alias(n) for n, x in _RGB.items()]).select("i", sim.delta_e(sim.lab(*c[:3]), sim.lab(*c[3:])).alias("delta_e"))
 
 
 # ---- evidence and decisions
@@ -403,32 +435,6 @@ def ambiguity_rivals(spark, sf_dir):
     return matching.rivals(viable).groupBy("anchor_id", "platform").agg(F.count_if("tied").alias("ties"))
 
 
-ANCHORS = [
-    ("A1", "Levis", "Men 541 Athletic Tapered Jeans", "Blue", 1899.0, 1310.0, "men", None), ("A2", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1500.0, None, None),
-    ("A3", "Puma", "Women Regular Running Shoes", "Red", 4999.0, 3000.0, None, None), ("A4", "Zara", "Women Floral Dress", "Green", 2999.0, 2500.0, None, None), ("A5", "Nike", "Men Graphic Tee", "White", 999.0, 800.0, None, None),
-]
-LISTINGS = [
-    ("L1", "p0", "Levi's", "Men 541 Athletic Tapered Fit Jeans", "Blue", 1899.0, 1250.0, "men", None, 0, 0), ("L2", "p0", "Levis", "Men 511 Slim Jeans", "Blue", 1899.0, 1100.0, "men", None, 0, 1),
-    ("L1b", "p1", "Levis", "Men 541 Athletic Tapered Jeans", "Brown", 1899.0, 1250.0, "men", None, 0, 0), ("L3", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1450.0, "men", None, 0, 0),
-    ("L4", "p0", "Nike", "Men Solid Polo T-shirt", "Black", 1999.0, 1700.0, "men", None, 0, 1), ("L5", "p1", "Nike", "Men Solid Polo T-shirt", "Black", 2200.0, 1700.0, "men", None, 0, 1),
-    ("L6", "p0", "Puma", "Women Slim Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L7", "p1", "Puma", "Women Running Shoes", "Red", 4999.0, 2900.0, "women", None, 0, 0), ("L8", "p0", "Nike", "Men Graphic Tee", "White", 1010.0, 700.0, "men", None, 0, 0),
-]
-DECIDED = [
-    ("A1", "p0", "matched", None, "L1"), ("A1", "p1", "color_mismatch", None, None), ("A2", "p0", "ambiguous", None, None), ("A2", "p1", "no_match", "mrp_mismatch", None), ("A3", "p0", "no_match", "hard_gate", None),
-    ("A3", "p1", "matched", None, "L7"), ("A4", "p0", "no_results", None, None), ("A4", "p1", "no_results", None, None), ("A5", "p0", "matched", None, "L8"), ("A5", "p1", "no_results", None, None),
-    *[(f"A{i}", "p2", "blocked", None, None) for i in range(1, 6)],
-]
-_PRODUCT = "id string, {p}brand string, title string, color string, mrp double, price double, gender string, articleType string"
-
-
-@query("WITH " + values_sql("v", "anchor_id, platform, status, rejectedBy, listing_id", DECIDED) + " SELECT * FROM v")
-def status_precedence(spark, sf_dir):
-    anchors = spark.createDataFrame(ANCHORS, _PRODUCT.format(p=""))
-    listings = spark.createDataFrame(LISTINGS, _PRODUCT.format(p="platform string, ") + ", query_ord int, rank_in_query int")
-    platforms = spark.createDataFrame([("p0", False), ("p1", False), ("p2", True)], "platform string, blocked boolean")
-    return matching.match(anchors, listings, platforms).select("anchor_id", "platform", "status", "rejectedBy", "listing_id")
-
-
 _FABRIC = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN (78 + p_size % 22) || '% Cotton, ' || (22 - p_size % 22) || '% Elastane' WHEN 1 THEN 'Pure Wool' WHEN 2 THEN 'Cotton Blend'
   WHEN 3 THEN (30 + p_size % 45) || ' % polyester ' || (70 - p_size % 45) || '.5% viscose' WHEN 4 THEN 'Single Jersey, 100% ' || p_type ELSE p_name || ' in silk and linen' END AS s FROM part"""
 _SHARE = r"([0-9]{1,3}(?:\.[0-9]+)?)\s*%\s*([a-z]+)"
@@ -534,10 +540,16 @@ def latest_upsert(spark, sf_dir):
     return last.where("event_type <> 'signup'").select("user_id", "event_id", "event_type")
 
 
-@query()
+@query("""SELECT user_id AS key, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS "window", count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_share,
+  CASE WHEN count(*) > 1 THEN round((max(epoch(ts)) - min(epoch(ts))) / (count(*) - 1), 3) END AS mean_gap, CAST(greatest(0, count(*) - 2) AS BIGINT) AS over FROM events GROUP BY 1, 2""")
 def token_bucket(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("ts").cast("timestamp").cast("double") / 600).alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return state.token_buckets(e)
+    """The load of each user and day: what a budget of two requests a day would have held back."""
+    return pacing.load(paced(spark, sf_dir), 86400, 2)
+
+
+def paced(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") != "error").alias("ok"))
 
 
 @query(f"""WITH c AS (SELECT user_id AS anchor_id, CAST(event_id % 2 AS VARCHAR) AS platform, event_type = 'purchase' AS ok, value, ts FROM events),
@@ -599,17 +611,17 @@ def catalog_summaries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").join(last, "p_partkey", "left").select("p_partkey", F.col("last").isNotNull().alias("compared"), "last")
 
 
-@query("""WITH e AS (SELECT user_id, epoch(ts) AS t, event_type = 'error' AS slow, event_id FROM events), w AS (SELECT *, max(CASE WHEN slow THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM e)
-SELECT event_id, CASE WHEN t < last + 7200 THEN 'open' WHEN last IS NOT NULL AND (prev < last + 7200 OR prev = last) THEN 'probe' ELSE 'closed' END AS circuit FROM w""")
+@query("""WITH w AS (SELECT user_id AS key, CAST(floor(epoch(ts) / 7200) AS BIGINT) AS w, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2)
+SELECT a.key, a.w AS "window", a.requests, a.errors, CASE WHEN coalesce(b.errors, 0) > 0 THEN 'open' WHEN a.errors > 0 THEN 'tripped' ELSE 'closed' END AS circuit FROM w a LEFT JOIN w b ON b.key = a.key AND b.w = a.w - 1""")
 def circuit_breaker(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") == "error").alias("slow"))
-    return pacing.breaker(e, "user_id", "at", F.col("slow"), 7200).select("event_id", "circuit")
+    """Each user's windows of two hours: open behind one with errors."""
+    return pacing.circuits(paced(spark, sf_dir), 7200, 1)
 
 
-@query("""WITH w AS (SELECT l_partkey AS k, count(*) AS wanted FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), t AS (SELECT l_partkey AS k, count(*) AS tries, bool_or(l_quantity > 48) AS done FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1)
-SELECT k, wanted, coalesce(tries, 0) AS tries FROM w LEFT JOIN t USING (k) WHERE NOT coalesce(done, false) AND coalesce(tries, 0) < 3""")
+@query("""WITH w AS (SELECT l_partkey AS k, count(*) AS wanted FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), t AS (SELECT l_partkey AS k, count(*) AS tries, bool_or(l_quantity > 48) AS done, max(epoch(l_shipdate)) AS last FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1)
+SELECT k, wanted, coalesce(tries, 0) AS tries, last + 60 * pow(2, tries - 1) AS not_before FROM w LEFT JOIN t USING (k) WHERE NOT coalesce(done, false) AND coalesce(tries, 0) < 3""")
 def work_queue(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumns({"k": F.col("l_partkey"), "at": F.col("l_shipdate").cast("timestamp").cast("double")})
     tried = rows.where("l_returnflag = 'R' and l_linestatus = 'F'").withColumn("ok", F.col("l_quantity") > 48)
     return pacing.work_queue(rows.where("l_returnflag <> 'R'"), tried, "k")
 
@@ -621,8 +633,11 @@ def size_facets(spark, sf_dir):
     return position.size_facet(table(spark, sf_dir, "part").join(sizes, "p_partkey"), "sizes", F.col("p_brand") != "Brand#2")
 
 
-@query("""WITH v AS (SELECT r.i * 10 + s.j AS id, r.i AS x, s.j AS y FROM range(9) r(i), range(8) s(j)), p AS (SELECT x, y, (x * 37 + y * 91) % 256 AS v FROM v), d AS (SELECT a.x, a.y, a.v > b.v AS bit FROM p a JOIN p b ON b.x = a.x + 1 AND b.y = a.y)
-SELECT 1 AS image_id, bit_or(CASE WHEN bit THEN CASE WHEN y * 8 + x = 0 THEN -9223372036854775808 ELSE 1::BIGINT << CAST(63 - (y * 8 + x) AS INT) END ELSE 0 END) AS dhash FROM d""")
+@query("""WITH v AS (SELECT p_partkey AS image_id, r.i AS x, s.j AS y, (r.i * 37 + s.j * 91 + p_partkey * 13 + r.i * s.j * p_size) % 256 AS v FROM part, range(9) r(i), range(8) s(j)),
+d AS (SELECT a.image_id, a.x, a.y, a.v > b.v AS bit FROM v a JOIN v b ON b.image_id = a.image_id AND b.x = a.x + 1 AND b.y = a.y)
+SELECT image_id, bit_or(CASE WHEN bit THEN CASE WHEN y * 8 + x = 0 THEN -9223372036854775808 ELSE 1::BIGINT << CAST(63 - (y * 8 + x) AS INT) END ELSE 0 END) AS dhash FROM d GROUP BY image_id""")
 def difference_hash(spark, sf_dir):
-    grey = spark.range(72).select(F.lit(1).alias("image_id"), (F.col("id") % 9).alias("x"), F.floor(F.col("id") / 9).alias("y"))
-    return images.difference_hash(grey.withColumn("v", (F.col("x") * 37 + F.col("y") * 91) % 256))
+    """Of a picture of each part."""
+    pixels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(71))).alias("i"))
+    grey = pixels.select("image_id", "p_size", (F.col("i") % 9).alias("x"), F.floor(F.col("i") / 9).alias("y"))
+    return images.difference_hash(grey.withColumn("v", (F.col("x") * 37 + F.col("y") * 91 + F.col("image_id") * 13 + F.col("x") * F.col("y") * F.col("p_size")) % 256))

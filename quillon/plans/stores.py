@@ -248,3 +248,75 @@ SELECT id, title, number, (SELECT count(*) FROM l) AS total FROM n WHERE number
 def report_page(spark, sf_dir):
     """The third page of reports, the newest first."""
     return ordered.page(_report_list(spark, sf_dir), [c("matched_at").desc(), "id"], 3, 24).select("id", "title", "number", "total")
+
+
+# ---- decisions in words
+
+_STATUSES = ["matched", "matched", "blocked", "ambiguous", "color_mismatch", "no_match"]
+_COLUMNS = """WITH p AS (SELECT *, p_retailprice::BIGINT::DOUBLE AS own FROM part), c AS (SELECT p_partkey AS anchor_id, own, p_size AS z, v.o, 'P' || v.o AS label,
+  (['matched', 'matched', 'blocked', 'ambiguous', 'color_mismatch', 'no_match'])[(p_size + v.o * p_partkey) % 6 + 1] AS status, CASE WHEN p_size % 9 > 0 THEN round(((p_partkey * (v.o + 1)) % 40 + 60) / 100, 2) END AS score,
+  CASE WHEN p_size % 8 > 0 THEN own + (p_partkey * (v.o + 2)) % 7 - 3 END AS price, (p_partkey + v.o) % 5 AS images FROM p, (VALUES (0), (1)) v(o)),
+h AS (SELECT *, status = 'matched' AND score IS NOT NULL AS hit FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, o) AS rn FROM h WHERE hit), q AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY price, o) AS rn FROM h WHERE hit AND price IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, o) AS rn FROM h WHERE hit AND images > z % 4),
+s AS (SELECT anchor_id, string_agg(CASE status WHEN 'blocked' THEN label || ' data is not available for this product.' WHEN 'ambiguous' THEN label || ' has several near-identical listings at different prices — the exact SKU cannot be proven from public data. Verify manually.'
+  WHEN 'color_mismatch' THEN label || ' has a same-style listing in a different colourway — not treated as a match.' ELSE 'No confident ' || label || ' match was found for this product.' END, '|' ORDER BY o) AS said FROM h WHERE status <> 'matched' GROUP BY 1),
+j AS (SELECT p.p_partkey AS anchor_id, p.own, p.p_size AS z, b.label AS best, b.score, b.o AS bo, q.label AS cheap, p.own - q.price AS gap, said, r.label AS rich, r.images AS shown FROM p LEFT JOIN b ON b.anchor_id = p_partkey AND b.rn = 1 LEFT JOIN q ON q.anchor_id = p_partkey AND q.rn = 1
+  LEFT JOIN s ON s.anchor_id = p_partkey LEFT JOIN r ON r.anchor_id = p_partkey AND r.rn = 1)
+"""
+
+
+@query(_COLUMNS + """SELECT anchor_id, best AS "bestMatch", CASE WHEN best IS NULL THEN 'NO MATCH' WHEN score >= 0.85 THEN 'EXACT MATCH' ELSE 'CLOSE MATCH' END AS "matchType", score AS confidence,
+  CASE WHEN gap > 0 THEN 'undercut' WHEN gap < 0 THEN 'winning' WHEN gap = 0 THEN 'parity' ELSE 'unknown' END AS posture,
+  CASE WHEN gap > 0 THEN cheap || ' is ₹' || gap::BIGINT || ' cheaper — review pricing or promotion on this SKU.' WHEN gap < 0 THEN 'Own holds the best price by ₹' || (-gap)::BIGINT || ' — safe to promote as a price win.'
+    WHEN gap = 0 THEN 'Priced at parity — differentiate on delivery, offers or content quality.' ELSE 'Insufficient competitor data for a pricing recommendation.' END AS action,
+  concat_ws('|', best || ' is the closest match (' || round(score * 100)::BIGINT || '% overall similarity).', said, CASE WHEN gap > 0 THEN cheap || ' undercuts Own by ₹' || gap::BIGINT || ' on the same item.' WHEN gap < 0 THEN 'Own is ₹' || (-gap)::BIGINT || ' cheaper than the closest competitor.'
+    WHEN gap = 0 THEN 'Price parity with the closest competitor.' END, CASE WHEN z % 7 = 0 THEN 'Size charts agree.' END, rich || ' shows ' || shown || ' images vs Own''s ' || (z % 4) || ' — richer content.') AS insights,
+  CASE WHEN best IS NULL THEN 'No competitor listing cleared the matching gates for this product.' WHEN z % 3 = 0 THEN 'Brand matches, Exact MRP match' || CASE WHEN z % 2 = 0 THEN ' Differences: d1; d2.' ELSE '' END ELSE 'Matched on core attributes' || CASE WHEN z % 2 = 0 THEN ' Differences: d1; d2.' ELSE '' END END AS "matchReason" FROM j""")
+def report_decisions(spark, sf_dir):
+    """What each report says at its head and in its summary."""
+    z, i, o = c("p_size"), c("p_partkey"), c("ord")
+    rows = table(spark, sf_dir, "part").withColumn("own", F.round("p_retailprice"))
+    each = rows.select("*", F.explode(F.array(lit(0), lit(1))).alias("ord"))
+    status = F.element_at(F.array(*map(lit, _STATUSES)), ((z + o * i) % 6 + 1).cast("int"))
+    score = F.when(z % 9 > 0, F.round(((i * (o + 1)) % 40 + 60) / 100, 2))
+    texts = lambda ok, *x: F.when(ok, F.array(*map(lit, x))).otherwise(F.array().cast("array<string>"))
+    columns = each.select(
+        i.alias("anchor_id"), "ord", F.concat(lit("P"), o.cast("string")).alias("label"), status.alias("status"), score.alias("score"), F.when(z % 8 > 0, c("own") + (i * (o + 2)) % 7 - 3).alias("price"), ((i + o) % 5).alias("images"),
+        F.when(score >= 0.85, "EXACT MATCH").otherwise("CLOSE MATCH").alias("matchType"), texts(z % 3 == 0, "Brand matches", "Exact MRP match").alias("why"), texts(z % 2 == 0, "d1", "d2", "d3").alias("differences"),
+    )
+    anchors = rows.select(i.alias("anchor_id"), c("own").alias("price"), (z % 4).alias("images"), F.when(z % 7 == 0, "Size charts agree.").alias("size_insight"))
+    return reports.decision(anchors, columns, "Own").withColumn("insights", F.array_join("insights", "|"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, p_size % 4 AS major, p_size % 3 AS minor, p_size AS compared, p_size % 5 > 0 AS ok, CASE WHEN p_size % 2 = 0 THEN 'M: chest' END AS flag FROM part), n AS (SELECT *, CASE WHEN major > 0 THEN major ELSE minor END AS n FROM v)
+SELECT id, CASE WHEN major > 0 THEN 'major' WHEN minor > 0 THEN 'minor' WHEN ok AND compared > 0 THEN 'none' END AS severity, CASE WHEN major > 0 THEN 'Size chart differs' WHEN minor > 0 THEN 'Size chart varies slightly' WHEN ok AND compared > 0 THEN 'Size charts match' END AS label,
+  CASE WHEN n > 0 THEN n || CASE WHEN n > 1 THEN ' measurements differ' ELSE ' measurement differs' END || coalesce(' — ' || flag, '.') WHEN ok AND compared > 0 THEN compared || ' measurements agree across platforms.' END AS detail FROM n""")
+def size_flags_of_reports(spark, sf_dir):
+    z = c("p_size")
+    verdict = F.when(z % 5 > 0, "consistent").otherwise("not_comparable")
+    flag = reports.size_flag(z % 4, z % 3, z, verdict, F.when(z % 2 == 0, "M: chest"))
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), flag.alias("f")).select("id", "f.*")
+
+
+@query("""WITH p AS (SELECT l_partkey AS id, l_suppkey % 2 AS k, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2) SELECT id AS anchor_id, max(price) AS dearest, CASE WHEN count(*) > 1 THEN max(price) - min(price) ELSE 0 END AS savings FROM p GROUP BY 1""")
+def report_savings(spark, sf_dir):
+    prices = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("anchor_id"), (c("l_suppkey") % 2).alias("k")).agg(F.max("l_extendedprice").alias("price"))
+    return reports.savings(prices)
+
+
+@query("""WITH m AS (SELECT p_partkey, p_size % 5 > 0 AS matched, p_size % 7 - 3 AS gap FROM part) SELECT count(*) AS total, count(*) FILTER (matched AND gap < 0) AS cheapest, count(*) FILTER (matched AND gap = 0) AS parity, count(*) FILTER (matched AND gap > 0) AS undercut, count(*) FILTER (NOT matched) AS unmatched FROM m""")
+def split_meter(spark, sf_dir):
+    return reports.split(table(spark, sf_dir, "part").select((c("p_size") % 5 > 0).alias("matched"), (c("p_size") % 7 - 3).alias("gap")))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Own has no product with id ' || p_partkey || '.' WHEN 1 THEN 'Could not read ' || p_partkey || ' from Own (blocked).' END AS message,
+  CASE WHEN p_size % 4 = 0 THEN 'na' WHEN p_size % 6 = 0 THEN 'na' ELSE (['best', 'moderate', 'low', 'na', 'moderate'])[p_partkey % 5 + 1] END AS verdict FROM part""")
+def report_texts(spark, sf_dir):
+    """Messages for products that could not be found, and verdicts of attribute cells."""
+    from quillon.functions import decision as dec
+
+    z, i = c("p_size"), c("p_partkey")
+    reason = F.when(z % 3 == 0, "not_found").when(z % 3 == 1, "blocked")
+    compared = F.element_at(F.array(*[lit(x).cast("string") for x in ("match", "partial", "differ", "na", None)]), (i % 5 + 1).cast("int"))
+    verdict = dec.attribute_verdict(F.when(z % 6 > 0, c("p_type")), compared, z % 4 == 0)
+    return table(spark, sf_dir, "part").select(i.alias("id"), reports.anchor_error(i.cast("string"), reason, "Own").alias("message"), verdict.alias("verdict"))
