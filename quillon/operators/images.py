@@ -34,8 +34,8 @@ def _border(of: str) -> Column:
     return F.greatest(F.lit(2), F.round(F.col(of) * 0.06))
 
 
-def colours(pixels: DataFrame, where: str = "object") -> DataFrame:
-    """(image_id, rgb, lab, sampled, dominant): the mean of the fullest 4-bit bin (the first seen of several) of the pixels that differ from the border.
+def colours(pixels: DataFrame, where: str | None = "object") -> DataFrame:
+    """``where``: the region, or null if each pixel has its picture's in a column ``region``. (image_id, rgb, lab, sampled, dominant): the mean of the fullest 4-bit bin (the first seen of several) of the pixels that differ from the border.
 
     The border's colour is the upper median of each channel. All three boxes are counted in one aggregation by image and bin."""
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
@@ -48,12 +48,15 @@ def colours(pixels: DataFrame, where: str = "object") -> DataFrame:
     off = F.sqrt(F.aggregate(F.zip_with(sim.lab(F.col("r"), F.col("g"), F.col("b")), sim.lab(F.col("br"), F.col("bg"), F.col("bb")), lambda x, y: F.pow(x - y, 2)), F.lit(0.0), lambda s, v: s + v))
     bins = F.shiftright("r", 4) * 256 + F.shiftright("g", 4) * 16 + F.shiftright("b", 4)
 
-    def inside(box) -> Column:
-        top, bottom, left, right = box
+    def inside(*boxes: tuple) -> Column:
+        """Of a region's box: one box, or one for each region in their order."""
+        bound = lambda i: F.lit(boxes[0][i]) if len(boxes) == 1 else F.coalesce(*[F.when(F.col("region") == n, F.lit(b[i])) for n, b in zip(BOXES, boxes, strict=True)])
+        top, bottom, left, right = map(bound, range(4))
         within = lambda c, of, lo, hi: (F.col(c) >= F.floor(F.col(of) * lo)) & (F.col(c) < F.floor(F.col(of) * hi))
         return within("y", "h", top, bottom) & within("x", "w", left, right)
 
-    boxes = {"narrow": inside(BOXES[where][0]), "wide": inside(BOXES[where][1]), "whole": inside(WHOLE)}
+    of = [BOXES[where]] if where else list(BOXES.values())
+    boxes = {"narrow": inside(*[b[0] for b in of]), "wide": inside(*[b[1] for b in of]), "whole": inside(WHOLE)}
     counts = [x for n, i in boxes.items() for x in (F.count_if(i).alias(f"{n}_n"), F.min(F.when(i, F.struct("y", "x"))).alias(f"{n}_at"), *[F.avg(F.when(i, F.col(c))).alias(f"{n}_{c}") for c in "rgb"])]
     binned = own.where(off >= BACKDROP).groupBy("image_id", bins.alias("bin")).agg(*counts)
     best = binned.groupBy("image_id").agg(*[x for n in boxes for x in (
@@ -71,3 +74,23 @@ def difference_hash(grey: DataFrame) -> DataFrame:
     right = grey.select("image_id", (F.col("x") - 1).alias("x"), "y", F.col("v").alias("next"))
     bit = F.when(F.col("v") > F.col("next"), F.expr("shiftleft(1L, cast(63 - (y * 8 + x) as int))")).otherwise(F.lit(0).cast("long"))
     return grey.join(right, ["image_id", "x", "y"]).groupBy("image_id").agg(F.bit_or(bit).alias("dhash"))
+
+
+def signatures(requests: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Requests (region, url, whatever else) with the ``image`` that was read for them, its ``rgb``, ``lab``, ``sampled`` and ``dominant``: computed once for each
+    different region and link, however many products show it. The small rendition of a link counts where it has landed, else the link itself;
+    where neither has, or no product stands out, the rest is null.
+
+    ``pixels``: (url, x, y, r, g, b) of all landed pictures."""
+    link = F.when(F.col("url").startswith("//"), F.concat(F.lit("https:"), F.col("url"))).otherwise(F.col("url"))
+    asked = requests.withColumn("_link", link)
+    keys = asked.where("_link is not null and region is not null").select("region", "_link").distinct()
+    landed = lambda name: pixels.select(F.col("url").alias(name)).distinct()
+    small = t.small_rendition(F.col("_link"))
+    chosen = keys.withColumn("_small", small).join(landed("_s"), F.col("_small") == F.col("_s"), "left").join(landed("_o"), F.col("_link") == F.col("_o"), "left")
+    chosen = chosen.select("region", "_link", F.coalesce("_s", "_o").alias("image")).where("image is not null")
+    named = chosen.select("region", "image", F.concat_ws("|", "region", "image").alias("image_id"))
+    seen = pixels.withColumnRenamed("url", "image").join(named.distinct(), "image")
+    found = colours(seen, None).join(named.distinct(), "image_id").drop("image_id")
+    known = chosen.join(found, ["region", "image"], "left").withColumnRenamed("region", "_region").withColumnRenamed("_link", "_key")
+    return asked.join(known, (F.col("region") == F.col("_region")) & (F.col("_link") == F.col("_key")), "left").drop("_link", "_key", "_region")

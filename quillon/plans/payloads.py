@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.catalogue import query, table
-from quillon.operators import imports
+from quillon.operators import images, imports
 from quillon.sources import charts, landed, mappers, shared, sheets
 
 c, lit = F.col, F.lit
@@ -313,3 +313,23 @@ def sheet_texts(spark, sf_dir):
     path = shared.fresh(spark, "sheets")
     sheets.write(sheet_cells(spark, sf_dir), path)
     return sheets.cells(spark, path).drop("file")
+
+
+# ---- signatures of pictures that many products share
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 50 AS k FROM part), s AS (SELECT *, k % 3 = 0 AS small, k % 5 > 0 AS large FROM p)
+SELECT p_partkey, CASE WHEN small THEN 's' WHEN large THEN 'l' END AS rendition, CASE WHEN small OR large THEN k || ',' || CASE WHEN small THEN 10 ELSE 60 END || ',20' END AS rgb FROM s""")
+def image_signatures(spark, sf_dir):
+    """Fifty pictures of all parts, each in a small and a large rendition, some of which have not landed."""
+    k = c("p_partkey") % 50
+    at = lambda size: F.concat(lit(f"//img.example/{size}/"), k.cast("string"), lit(".jpg"))
+    large, small = "437Wx649H", "158Wx198H"
+    region = F.element_at(F.array(lit("top"), lit("bottom"), lit("object")), (c("p_size") % 3 + 1).cast("int"))
+    requests = table(spark, sf_dir, "part").select("p_partkey", region.alias("region"), at(large).alias("url"))
+    pictures = table(spark, sf_dir, "part").select(k.alias("k"), F.explode(F.array(F.struct(F.concat(lit("https:"), at(small)).alias("url"), lit(10).alias("g"), (k % 3 == 0).alias("ok")), F.struct(F.concat(lit("https:"), at(large)).alias("url"), lit(60).alias("g"), (k % 5 > 0).alias("ok")))).alias("i")).where("i.ok").distinct()
+    xy = pictures.select("k", "i.*", F.explode(F.sequence(lit(0), lit(399))).alias("n")).withColumns({"x": (c("n") % 20).cast("int"), "y": F.floor(c("n") / 20).cast("int")})
+    inner = c("x").between(2, 17) & c("y").between(2, 17)
+    colour = lambda v: F.when(inner, v).otherwise(250).cast("int")
+    found = images.signatures(requests, xy.select("url", "x", "y", colour(c("k")).alias("r"), colour(c("g")).alias("g"), colour(lit(20)).alias("b")))
+    return found.select("p_partkey", F.when(c("image").contains(small), "s").when(c("image").isNotNull(), "l").alias("rendition"), F.array_join("rgb", ",").alias("rgb"))

@@ -1,29 +1,42 @@
-"""More state: circuit breakers and work queues, over ordered events."""
+"""What requests, errors and retries come to, by key and time: aggregates of landed events, not a replay of them.
+
+A key with very many events is summed by window before it is shuffled; windows meet the ones before them in an equi-join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def breaker(events: DataFrame, key: str, at: str, timed_out: Column, open_seconds: float = 300) -> DataFrame:
-    """Each request of (key, at in seconds) as ``closed``, ``open`` (within some time of the last timeout) or ``probe`` (the first one after it)."""
-    w = Window.partitionBy(key).orderBy(at)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(timed_out, F.col(at))).over(before)
-    previous = F.lag(at).over(w)
-    is_open = F.coalesce(F.col(at) < last + open_seconds, F.lit(False))
-    probing = last.isNotNull() & ~is_open & ((previous < last + open_seconds) | (previous == last))
-    return events.withColumn("circuit", F.when(is_open, "open").when(F.coalesce(probing, F.lit(False)), "probe").otherwise("closed"))
+def _windows(events: DataFrame, seconds: float) -> DataFrame:
+    """(key, window, requests, errors, first, last) of (key, at in seconds, ok); a null ``ok`` is fine."""
+    w = F.floor(F.col("at") / seconds).alias("window")
+    return events.groupBy("key", w).agg(F.count("*").alias("requests"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+def load(events: DataFrame, seconds: float, budget: int) -> DataFrame:
+    """Each key's windows: requests, errors and their share, the mean gap between requests, and ``over``: how many are beyond a budget."""
+    c = F.col
+    gap = F.when(c("requests") > 1, F.round((c("last") - c("first")) / (c("requests") - 1), 3))
+    over = F.greatest(F.lit(0), c("requests") - budget)
+    return _windows(events, seconds).select("key", "window", "requests", "errors", F.round(c("errors") / c("requests"), 6).alias("error_share"), gap.alias("mean_gap"), over.alias("over"))
+
+
+def circuits(events: DataFrame, seconds: float, least: int) -> DataFrame:
+    """Each key's windows as ``open`` (the window before had ``least`` errors), ``tripped`` (this one has) or ``closed``."""
+    now = _windows(events, seconds)
+    before = now.where(F.col("errors") >= least).select("key", (F.col("window") + 1).alias("window"), F.lit(True).alias("_open"))
+    state = F.when(F.col("_open"), "open").when(F.col("errors") >= least, "tripped").otherwise("closed")
+    return now.join(before, ["key", "window"], "left").select("key", "window", "requests", "errors", state.alias("circuit"))
 
 
-def work_queue(requests: DataFrame, attempts: DataFrame, key: str, most_tries: int = 3) -> DataFrame:
-    """Keys still to be fetched, most wanted first: (key, wanted, tries) of requests, less those done or tried too often."""
+def work_queue(requests: DataFrame, attempts: DataFrame, key: str, most_tries: int = 3, backoff: float = 60) -> DataFrame:
+    """Keys still to be fetched: (key, wanted, tries, not_before) of requests, less those done or tried too often. ``attempts``: (key, ok, at in seconds);
+    after each failure the wait doubles; a key that was never tried has none."""
     wanted = requests.groupBy(key).agg(F.count("*").alias("wanted"))
-    tried = attempts.groupBy(key).agg(F.count("*").alias("tries"), F.max("ok").alias("done"))
+    tried = attempts.groupBy(key).agg(F.count("*").alias("tries"), F.max("ok").alias("done"), F.max("at").alias("last"))
     left = wanted.join(tried, key, "left").where(~F.coalesce("done", F.lit(False)) & (F.coalesce("tries", F.lit(0)) < most_tries))
-    return left.select(key, "wanted", F.coalesce("tries", F.lit(0)).alias("tries")).orderBy(F.col("wanted").desc(), key)
+    return left.select(key, "wanted", F.coalesce("tries", F.lit(0)).alias("tries"), (F.col("last") + backoff * F.pow(F.lit(2.0), F.col("tries") - 1)).alias("not_before"))
 
 
 def resumed(jobs: DataFrame, items: DataFrame) -> DataFrame:

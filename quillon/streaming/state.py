@@ -1,9 +1,7 @@
-"""State over time: freshness, recents, upserts, token buckets and breakers, for batches and streams alike."""
+"""State over time: freshness, recents and upserts, for batches and streams alike."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,71 +32,6 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-BUCKET = "key string, n long, allowed long, waits long, waited double, tokens double, factor double"
-
-
-class Bucket:
-    """A token bucket with refill, penalty and recovery; times in seconds."""
-
-    def __init__(self, rate: float = 2.0, burst: float = 4.0, penalty: float = 300.0):
-        self.rate, self.burst, self.penalty = rate, burst, penalty
-        self.tokens, self.last, self.until, self.factor = burst, None, 0.0, 1.0
-        self.n = self.allowed = self.waits = 0
-        self.waited = 0.0
-
-    def step(self, at: float, ok: bool) -> None:
-        """A request at a time, and whether its answer was clean."""
-        rate = self.rate * (0.5 if at < self.until else self.factor)
-        if self.last is not None:
-            self.tokens = min(self.burst, self.tokens + max(0.0, at - self.last) * rate)
-        self.last, self.n = at, self.n + 1
-        if self.tokens < 1:
-            self.waits += 1
-            self.waited += (1 - self.tokens) / rate
-            self.tokens = 0.0
-        else:
-            self.tokens -= 1
-            self.allowed += 1
-        if not ok:
-            self.until, self.factor = at + self.penalty, max(0.25, self.factor * 0.5)
-        elif self.factor < 1 and at > self.until:
-            self.factor = min(1.0, self.factor * 1.15)
-
-
-def token_buckets(events: DataFrame, **settings: float) -> DataFrame:
-    """Final bucket of each key over (key, at in seconds, ok). Rows are sorted by key inside partitions and run through one
-    bucket at a time, so that a key with very many events needs no more memory than others."""
-
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        key, bucket = None, None
-        done: list[tuple] = []
-        close = lambda: done.append((key, bucket.n, bucket.allowed, bucket.waits, bucket.waited, bucket.tokens, bucket.factor))
-
-        def flush():
-            columns = list(zip(*done, strict=True)) or [()] * 7
-            kinds = (pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 3)
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in BUCKET.split(", ")])
-            done.clear()
-            return out
-
-        for batch in batches:
-            for k, at, ok in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "ok")), strict=True):
-                if bucket is None or k != key:
-                    if bucket is not None:
-                        close()
-                    key, bucket = k, Bucket(**settings)
-                bucket.step(at, ok)
-            yield flush()
-        if bucket is not None:
-            close()
-        yield flush()
-
-    ordered = events.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at"), F.coalesce("ok", F.lit(True)).alias("ok")).repartition("key").sortWithinPartitions("key", "at", "ok")
-    return ordered.mapInArrow(run, BUCKET)
-
-
 def recent_stream(events: DataFrame, delay: str = "10 minutes", key: str = "id", at: str = "searchedAt") -> DataFrame:
     """Streaming recency: each key's last time so far. Emit with output mode 'update' or 'complete'."""
     return events.withWatermark(at, delay).groupBy(key).agg(F.max(at).alias(at))
