@@ -66,7 +66,8 @@ def unescape_role(role: Column) -> Column:
 def segments(conversations: DataFrame, template: Template = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each conversation: ``segments`` (text, loss) in order, ``n_breaks`` and ``valid``."""
     null_safe = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), null_safe(role_col).alias("role"), null_safe(text_col).alias("text")).alias("t"))
+    rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"),
+        F.struct(F.col(turn_col).cast("long").alias("turn"), null_safe(role_col).alias("role"), null_safe(text_col).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     allowed = [F.lit(f"{a}\x00{b}") for a, after in template.follows.items() for b in after]
     step = lambda t, i: F.concat(F.coalesce(F.get("turns", i - 1)["role"], F.lit(START)), F.lit("\x00"), t["role"])

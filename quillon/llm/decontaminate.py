@@ -241,7 +241,8 @@ class Passages:
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The regions of each document that hold passages of an item: ``start`` and ``end`` are code points of the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")

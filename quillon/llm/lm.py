@@ -295,7 +295,8 @@ def passed(rows: DataFrame, pieces: list, parts: int, log_total: float, last: bo
                 first = np.cumsum(many) - many
                 if not last:
                     states = [[x[i : i + n].tobytes() for i, n in zip(first.tolist(), many.tolist(), strict=True)] for x in known]
-                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "train", "text")), *(pa.array(x, pa.binary()) for x in states)], ["doc_id", "train", "text", *(c for c, _ in KNOWN)])
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "train", "text")), *(pa.array(x, pa.binary()) for x in states)],
+                        ["doc_id", "train", "text", *(c for c, _ in KNOWN)])
                     continue
                 words, pairs, triples = known
                 total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731

@@ -115,7 +115,8 @@ def base_found(text: Column) -> Column:
 
     def part(place: int, kind: str, pattern: str) -> Column:
         ok = F.filter(located(text, pattern), lambda x: _valid(kind, x["value"]))
-        found = F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["whole"].alias("whole")))
+        found = F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"),
+            x["value"].alias("value"), x["before"].alias("before"), x["whole"].alias("whole")))
         return F.when(needs[kind], found).otherwise(_none(SPAN[:-2] + ",value:string,before:string,whole:boolean>>"))
 
     return F.array_sort(F.concat(*[part(i, k, p) for i, (k, p) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))]))
@@ -276,7 +277,8 @@ def recall(docs: DataFrame, hide: int = 2, rounds: int = ROUNDS, id_col: str = "
     known = bootstrap(docs, scan, rounds, text_col, id_col, hide).distinct().withColumn("found", F.lit(True))
     seeds = scan.select(F.explode("instances").alias("x")).where("x.seed").select("x.value").distinct().withColumn("seed", F.lit(True))
     digits = _digits(F.col("value"))
-    kind = F.when(F.col("value").contains("@"), "email").when(F.col("value").startswith("+"), "phone").when(F.col("value").rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(F.col("value").rlike(r"^[0-9\x20-]+$") & (F.char_length(digits) <= 19), "card").otherwise(SECRET)
+    kind = F.when(F.col("value").contains("@"), "email").when(F.col("value").startswith("+"), "phone").when(F.col("value").rlike(r"^[0-9]+(\.[0-9]+){3}$"),
+        "ip").when(F.col("value").rlike(r"^[0-9\x20-]+$") & (F.char_length(digits) <= 19), "card").otherwise(SECRET)
     both = seeds.join(known, "value", "full").select("value", F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("found", F.lit(False)).alias("found"))
     rows = both.select(F.when(F.col("seed"), kind).otherwise(OTHER).alias("kind"), "seed", "found", (F.col("seed") & is_hidden(F.col("value"), hide)).alias("hidden"))
     return rows.groupBy("kind").agg(F.count_if("hidden").alias("hidden"), F.count_if(F.col("hidden") & F.col("found")).alias("recovered"), F.count_if(~F.col("seed")).alias("beyond"))
@@ -296,7 +298,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col
 def report(found: DataFrame) -> DataFrame:
     """Counts of base spans, the digest of them and all spans as text; ``n_secret``, ``n_other``: counts of the added ones."""
     count = lambda kind, of="base": F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), count(SECRET, "added"), count(OTHER, "added"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"),
+        shown(F.array_sort(F.concat("base", "added"))).alias("spans"), count(SECRET, "added"), count(OTHER, "added"))
 
 
 def redact(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,7 +77,8 @@ def _repeat_words(windows: Column) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id`` and the measurements that the rules are made of; with ``carry`` the whole row as ``row``."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")] if carry else []))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *([F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")] if carry else []))
     d = d.withColumn("w", words(c("text"))).withColumn("l", F.filter(F.split(c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     d = d.withColumn("g", F.transform(F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))))

@@ -89,7 +89,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
         import pyarrow as pa
 
         digest = lambda v: hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]
-        kinds = (pa.list_(pa.struct([("start", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash", pa.binary()), ("looks", pa.bool_()), ("base", pa.bool_())])))
+        kinds = (pa.list_(pa.struct([("start", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])),
+            pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash", pa.binary()), ("looks", pa.bool_()), ("base", pa.bool_())])))
         for batch in batches:
             drawn = int.from_bytes(os.urandom(8), "little") >> 1
             bases, founds = [], []
@@ -128,7 +129,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     # copied values, which may be in a third of all rows, are not in this join
     at = candidates(scan).where("looks").select("batch", "i", "hash", "start", "end", "base").join(live, "hash")
     span = F.struct("start", F.lit(len(KINDS)).alias("place"), F.lit(LIVE).alias("kind"), "end")
-    mine = at.groupBy("batch", "i").agg(F.collect_list(F.when(~F.col("base"), span)).alias("added"), F.count("*").alias("live"), F.max("repos").alias("live_repos"), F.max("owners").alias("live_owners"))
+    mine = at.groupBy("batch", "i").agg(F.collect_list(F.when(~F.col("base"), span)).alias("added"), F.count("*").alias("live"),
+        F.max("repos").alias("live_repos"), F.max("owners").alias("live_owners"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     looks = F.size(F.filter("found", lambda x: x["looks"])).cast("long")
     none = F.from_json(F.lit("[]"), "array<struct<start:int,place:int,kind:string,end:int>>")
@@ -146,4 +148,5 @@ def report(found: DataFrame) -> DataFrame:
     """Counts of base spans, the digest of them and all spans as text, and what ownership says."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = shown(F.array_sort(F.concat("base", "added"))).alias("spans")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"), spans, F.col("live").alias("n_live"), F.col("copied").alias("n_copied"), "live_repos", "live_owners")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.col("base")), 256).alias("base_sha256"), spans, F.col("live").alias("n_live"),
+        F.col("copied").alias("n_copied"), "live_repos", "live_owners")

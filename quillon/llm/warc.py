@@ -186,7 +186,8 @@ def describe(block: bytes, stated_digest: str) -> dict:
         text, charset = decoded(plain, stated[1] if stated else "")
         if media in HTML_TYPES:
             text, title, links = text_of_html(text)
-    return {"status": status, "http": [{"name": k, "value": v} for k, v in headers], "text": text, "title": title, "links": links, "charset": charset, "digest_check": digest_check(stated_digest, (stored,) if stored is body else (stored, body))}
+    return {"status": status, "http": [{"name": k, "value": v} for k, v in headers], "text": text, "title": title, "links": links, "charset": charset,
+        "digest_check": digest_check(stated_digest, (stored,) if stored is body else (stored, body))}
 
 
 DESCRIBED = f"status string, http {HEADERS}, text string, title string, links array<string>, charset string, digest_check string"
@@ -234,16 +235,19 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.withColumn("record_id", identifier(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("key").cast("string"), F.lit("")), "payload_digest", "target_uri")))
     headers = _headers(
         ("WARC-Type", "response"), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", warc_date), ("WARC-Target-URI", _target(F.col("target_uri"))),
-        ("WARC-Payload-Digest", F.col("payload_digest")), ("WARC-Block-Digest", digest(F.col("block"))), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", F.octet_length("block").cast("string")),
+        ("WARC-Payload-Digest", F.col("payload_digest")), ("WARC-Block-Digest", digest(F.col("block"))),
+        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", F.octet_length("block").cast("string")),
     )
-    return rows.select(F.col("key").alias(id_col), F.lit("response").alias("record_type"), "record_id", F.lit(None).cast("string").alias("refers_to"), "target_uri", F.lit(warc_date).alias("warc_date"), headers.alias("headers"), "block")
+    return rows.select(F.col("key").alias(id_col), F.lit("response").alias("record_type"), "record_id", F.lit(None).cast("string").alias("refers_to"),
+        "target_uri", F.lit(warc_date).alias("warc_date"), headers.alias("headers"), "block")
 
 
 def described(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The responses among ``records`` with what their blocks hold, blocks left out."""
     names = ["record_id", "target_uri", "warc_date", "headers"]
     kept = [F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep)]
-    rows = records.where(F.col("record_type") == "response").select(*kept, "record_id", "target_uri", "warc_date", "headers", F.coalesce(header("WARC-Payload-Digest"), F.lit("")).alias("stated"), F.coalesce("block", F.lit(b"")).alias("block"))
+    rows = records.where(F.col("record_type") == "response").select(*kept, "record_id", "target_uri", "warc_date", "headers",
+        F.coalesce(header("WARC-Payload-Digest"), F.lit("")).alias("stated"), F.coalesce("block", F.lit(b"")).alias("block"))
     passed = [f"kept_{i}" for i in range(len(keep))] + names
     kinds = {x.name: x.dataType.simpleString() for x in rows.schema}
 
@@ -251,7 +255,8 @@ def described(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         import pyarrow as pa
 
         label = pa.struct([("name", pa.string()), ("value", pa.string())])
-        shape = pa.struct([("status", pa.string()), ("http", pa.list_(label)), ("text", pa.string()), ("title", pa.string()), ("links", pa.list_(pa.string())), ("charset", pa.string()), ("digest_check", pa.string())])
+        shape = pa.struct([("status", pa.string()), ("http", pa.list_(label)), ("text", pa.string()), ("title", pa.string()), ("links", pa.list_(pa.string())),
+            ("charset", pa.string()), ("digest_check", pa.string())])
         for batch in batches:
             found = pa.array([describe(b.as_py(), s.as_py()) for b, s in zip(batch.column("block"), batch.column("stated"), strict=True)], shape)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), *found.flatten()], [*passed, *(x.name for x in shape)])
@@ -269,7 +274,8 @@ def derive(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lines = lambda prefix, name: F.array_join(F.transform(name, lambda x: F.concat(F.lit(prefix), one_line(x["name"]), F.lit(": "), one_line(x["value"]), F.lit(LINE))), "")
     optional = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", line(name, value)).otherwise("")
     fields = F.concat(
-        lines("Source-", "headers"), optional("HTTP-Status", F.col("status")), lines("HTTP-Header-", "http"), line("Payload-Digest-Check", F.col("digest_check")), optional("Charset", F.col("charset")),
+        lines("Source-", "headers"), optional("HTTP-Status", F.col("status")), lines("HTTP-Header-", "http"),
+        line("Payload-Digest-Check", F.col("digest_check")), optional("Charset", F.col("charset")),
         optional("Title", F.col("title")), optional("Conversion-Record-ID", F.col("conversion_id")), F.array_join(F.transform("links", lambda x: line("Outlink", x)), ""),
     )
 
@@ -279,9 +285,11 @@ def derive(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             ("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", F.col("warc_date")), ("WARC-Refers-To", F.col("record_id")), ("WARC-Target-URI", _target(F.col("target_uri"))),
             ("WARC-Block-Digest", digest(data)), ("Content-Type", media), ("Content-Length", F.octet_length(data).cast("string")),
         )
-        return F.struct(F.lit(kind).alias("record_type"), own_id.alias("record_id"), F.col("record_id").alias("refers_to"), F.col("target_uri"), F.col("warc_date"), headers.alias("headers"), data.alias("block"))
+        return F.struct(F.lit(kind).alias("record_type"), own_id.alias("record_id"), F.col("record_id").alias("refers_to"), F.col("target_uri"),
+            F.col("warc_date"), headers.alias("headers"), data.alias("block"))
 
-    both = F.filter(F.array(record("metadata", "application/warc-fields", F.col("metadata_id"), F.col("fields")), record("conversion", "text/plain; charset=utf-8", F.col("conversion_id"), F.col("text"))), lambda r: r["record_id"].isNotNull())
+    both = F.filter(F.array(record("metadata", "application/warc-fields", F.col("metadata_id"), F.col("fields")),
+        record("conversion", "text/plain; charset=utf-8", F.col("conversion_id"), F.col("text"))), lambda r: r["record_id"].isNotNull())
     rows = rows.withColumn("fields", fields)
     named = [F.col(f"kept_{i}").alias(k) for i, k in enumerate(keep)]
     return rows.select(*named, header("WARC-Payload-Digest").alias("source_payload_digest"), "digest_check", F.inline(both))
