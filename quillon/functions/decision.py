@@ -76,7 +76,8 @@ def strict_rejection(score: Column, mrp_a: Column, mrp_b: Column, proven: Column
     return out.when(gap > most, "mrp_mismatch").when(score < config.strict_score, "below_strict_tier") if config.strict else out
 
 
-def all_or_nothing(brand: Column, gender_ok: Column, garment_ok: Column, mrp_ok: Column, fit_ok: Column, fit_same: Column, pattern_ok: Column, pattern_same: Column, title: Column, colour_same: Column) -> Column:
+def all_or_nothing(brand: Column, gender_ok: Column, garment_ok: Column, mrp_ok: Column, fit_ok: Column, fit_same: Column, pattern_ok: Column,
+    pattern_same: Column, title: Column, colour_same: Column) -> Column:
     """(score, ditto) of the older scorer: a candidate is the same product only if every check holds; others keep 0.4 of the score.
 
     ``garment_ok`` needs both sides known; ``*_same`` and ``colour_same`` are null where a side is unknown."""

@@ -52,7 +52,8 @@ def pooled(decided: DataFrame, pool: DataFrame) -> DataFrame:
     own = pool.groupBy("anchor_id", "platform", "id").agg(F.bool_or("strict").alias("strict"), F.bool_or("standard").alias("standard"))
     found = own.join(decided.select("anchor_id", "platform", "listing_id"), ["anchor_id", "platform"], "left")
     mine = F.col("id") == F.col("listing_id")
-    sums = found.groupBy("anchor_id", "platform").agg(F.count("*").alias("pool_size"), *[x for n in ("strict", "standard") for x in (F.count_if(n).alias(f"n_{n}"), F.bool_or(mine & F.col(n)).alias(f"is_{n}"))])
+    sums = found.groupBy("anchor_id", "platform").agg(F.count("*").alias("pool_size"),
+        *[x for n in ("strict", "standard") for x in (F.count_if(n).alias(f"n_{n}"), F.bool_or(mine & F.col(n)).alias(f"is_{n}"))])
     rows = decided.join(sums, ["anchor_id", "platform"], "left")
     hit = F.col("status") == "matched"
 

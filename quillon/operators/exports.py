@@ -53,7 +53,8 @@ class Filters:
     def conditions(self) -> dict[str, Column]:
         """Conditions by name on export rows; null groups count as 'unclassified' or 'unspecified'."""
         c, out = F.col, {}
-        for name, column, wanted, unknown in (("brands", "brand", self.brands, "unspecified"), ("categories", "category", self.categories, "unclassified"), ("genders", "gender", self.genders, "unspecified")):
+        for name, column, wanted, unknown in (("brands", "brand", self.brands, "unspecified"), ("categories", "category", self.categories, "unclassified"),
+            ("genders", "gender", self.genders, "unspecified")):
             if wanted:
                 out[name] = F.coalesce(c(column), F.lit(unknown)).isin(*wanted)
         if self.sizes:
@@ -95,7 +96,8 @@ def explanation(brand: Column, mrp: Column, title: Column, compared: Column, agr
     """(why, differences) of a decision, each at most three."""
     why = F.array_compact(F.array(
         F.when(brand >= 0.99, "Identical brand").when(brand >= 0.8, "Brand matches"), F.when(mrp == 1, "Exact MRP match").when(mrp >= 0.55, "Near-identical MRP"),
-        F.when(attributes >= 0.85, F.concat(F.lit("Specifications agree ("), agreed.cast("string"), F.lit("/"), compared.cast("string"), F.lit(")"))).when(attributes >= 0.6, "Most specifications agree"),
+        F.when(attributes >= 0.85, F.concat(F.lit("Specifications agree ("), agreed.cast("string"), F.lit("/"), compared.cast("string"),
+        F.lit(")"))).when(attributes >= 0.6, "Most specifications agree"),
         F.when(title >= 0.7, "Highly similar titles")))
     differences = F.array_compact(F.array(F.when(brand < 0.8, "Brand is different"), F.when(mrp < 0.55, "MRP differs materially")))
     return F.struct(F.slice(why, 1, 3).alias("why"), F.slice(differences, 1, 3).alias("differences"))

@@ -57,14 +57,16 @@ def colours(pixels: DataFrame, where: str | None = "object") -> DataFrame:
 
     of = [BOXES[where]] if where else list(BOXES.values())
     boxes = {"narrow": inside(*[b[0] for b in of]), "wide": inside(*[b[1] for b in of]), "whole": inside(WHOLE)}
-    counts = [x for n, i in boxes.items() for x in (F.count_if(i).alias(f"{n}_n"), F.min(F.when(i, F.struct("y", "x"))).alias(f"{n}_at"), *[F.avg(F.when(i, F.col(c))).alias(f"{n}_{c}") for c in "rgb"])]
+    counts = [x for n, i in boxes.items() for x in (F.count_if(i).alias(f"{n}_n"), F.min(F.when(i, F.struct("y", "x"))).alias(f"{n}_at"),
+        *[F.avg(F.when(i, F.col(c))).alias(f"{n}_{c}") for c in "rgb"])]
     binned = own.where(off >= BACKDROP).groupBy("image_id", bins.alias("bin")).agg(*counts)
     best = binned.groupBy("image_id").agg(*[x for n in boxes for x in (
         F.sum(f"{n}_n").alias(f"{n}_sampled"), F.min_by(F.struct(*[F.col(f"{n}_{c}").alias(c) for c in ("n", *"rgb")]), F.when(F.col(f"{n}_n") > 0, F.struct(-F.col(f"{n}_n"), f"{n}_at"))).alias(n)
     )])
     pick = lambda n: F.struct(F.col(f"{n}_sampled").alias("sampled"), F.col(n).alias("d"))
     first = F.when((F.col("narrow_sampled") < NARROW) & (F.col("wide_sampled") > 0), pick("wide")).otherwise(pick("narrow"))
-    chosen = best.select("image_id", first.alias("s"), pick("whole").alias("all")).select("image_id", F.when(F.col("s.sampled") < WIDE, F.col("all")).otherwise(F.col("s")).alias("s")).where(F.col("s.sampled") >= LEAST_PIXELS)
+    chosen = best.select("image_id", first.alias("s"), pick("whole").alias("all")).select("image_id",
+        F.when(F.col("s.sampled") < WIDE, F.col("all")).otherwise(F.col("s")).alias("s")).where(F.col("s.sampled") >= LEAST_PIXELS)
     rgb = [F.floor(F.col(f"s.d.{c}") + 0.5).cast("int") for c in "rgb"]
     return chosen.select("image_id", F.array(*rgb).alias("rgb"), sim.lab(*rgb).alias("lab"), F.col("s.sampled").alias("sampled"), F.col("s.d.n").alias("dominant"))
 

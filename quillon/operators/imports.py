@@ -44,8 +44,10 @@ def agreement(item_hints: DataFrame) -> DataFrame:
 def progress(job_items: DataFrame) -> DataFrame:
     """Counters, percentage and time to go of each job (job_id, state, status, seconds)."""
     done = F.count_if(F.col("state") == "done")
-    g = job_items.groupBy("job_id").agg(F.count("*").alias("total"), done.alias("done"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "error").alias("errors"), F.avg(F.when(F.col("state") == "done", F.col("seconds"))).alias("mean"))
-    return g.select("job_id", "total", "done", "matched", "errors", F.round(F.try_divide(F.col("done") * 100.0, F.col("total")), 1).alias("percent"), F.round(F.col("mean") * (F.col("total") - F.col("done")), 3).alias("eta_seconds"))
+    g = job_items.groupBy("job_id").agg(F.count("*").alias("total"), done.alias("done"), F.count_if(F.col("status") == "matched").alias("matched"),
+        F.count_if(F.col("status") == "error").alias("errors"), F.avg(F.when(F.col("state") == "done", F.col("seconds"))).alias("mean"))
+    return g.select("job_id", "total", "done", "matched", "errors", F.round(F.try_divide(F.col("done") * 100.0, F.col("total")), 1).alias("percent"),
+        F.round(F.col("mean") * (F.col("total") - F.col("done")), 3).alias("eta_seconds"))
 
 
 def outcome(statuses: Column, problem: Column) -> Column:
@@ -60,7 +62,8 @@ def jobs(items: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
     n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
     state, status = F.col("state"), F.col("status")
     g = items.groupBy("job_id").agg(
-        F.count("*").alias("total"), n(state == "pending", "pending"), n(state == "running", "running"), n(state == "done", "done"), n(status == "matched", "matched"), n(status == "no_match", "no_match"),
+        F.count("*").alias("total"), n(state == "pending", "pending"), n(state == "running", "running"), n(state == "done", "done"),
+        n(status == "matched", "matched"), n(status == "no_match", "no_match"),
         n(status == "error", "failed"), F.min("at").alias("created_at"), F.max("at").alias("changed_at"),
     )
     gone = F.lit(False)

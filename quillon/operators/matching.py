@@ -29,8 +29,10 @@ def _steps(tax: Taxonomy) -> tuple[list[Column], list[Column], list[Column]]:
     c = F.col
     one = [t.normalize(c("title")).alias("title"), t.brand(c("brand"), tax).alias("brand"), t.strip_brand(c("title"), c("brand")).alias("bare"), t.distinctive(c("title"), c("brand")).alias("extra")]
     facts = {
-        "gender": F.coalesce(c("p.gender"), t.gender(F.concat_ws(" ", "brand", "title"))), "garment": t.garment(c("bare"), c("p.articleType"), tax), "fit": t.fit(c("title"), tax), "pattern": t.pattern(c("title")),
-        "family": F.coalesce(t.colour_family(c("p.color"), tax), t.colour_family(c("title"), tax)), "colour": t.last_colour_word(c("p.color")), "any_colour": t.last_colour_word(c("p.color"), c("title")),
+        "gender": F.coalesce(c("p.gender"), t.gender(F.concat_ws(" ", "brand", "title"))), "garment": t.garment(c("bare"), c("p.articleType"), tax),
+        "fit": t.fit(c("title"), tax), "pattern": t.pattern(c("title")),
+        "family": F.coalesce(t.colour_family(c("p.color"), tax), t.colour_family(c("title"), tax)), "colour": t.last_colour_word(c("p.color")),
+        "any_colour": t.last_colour_word(c("p.color"), c("title")),
         "strong": t.strong_codes(c("title")), "weak": t.weak_codes(c("title")), "profile": sim.text_profile(c("title"), tax),
     }
     two = [c("p"), c("brand"), c("extra"), c("title").alias("name"), *[v.alias(n) for n, v in facts.items()]]
@@ -169,7 +171,8 @@ def judged(final: DataFrame, details: DataFrame | None = None, config: EngineCon
         final = final.withColumn("more", F.lit(None).cast(none))
     else:
         c = F.col
-        known = computed_once(details, "platform", "id", "lab", "dhash", att.canonical(c("title"), c("color"), c("attributes"), c("description"), c("countryOfOrigin"), tax).alias("attrs"), sim.text_profile(c("description"), tax).alias("text"))
+        known = computed_once(details, "platform", "id", "lab", "dhash",
+            att.canonical(c("title"), c("color"), c("attributes"), c("description"), c("countryOfOrigin"), tax).alias("attrs"), sim.text_profile(c("description"), tax).alias("text"))
         known = known.withColumn("w", F.lit(None).cast("map<string,double>")) if weights is None else weighted(known, weights, "text")
         own = known.where("platform = 'anchor'").select(c("id").alias("anchor_id"), F.struct("*").alias("da"))
         theirs = known.select(c("platform").alias("_p"), c("id").alias("_i"), F.struct("*").alias("dc"))
@@ -179,10 +182,13 @@ def judged(final: DataFrame, details: DataFrame | None = None, config: EngineCon
             sim.description_similarity(c("da.text"), c("dc.text"), None if weights is None else weight_in(c("da.w"), c("dc.w"))).alias("description"),
         )
         final = computed_once(final, *[n for n in final.columns if n not in ("da", "dc")], more.alias("more"))
-    signals = {n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")} | {"attributes": F.col("more.am.score"), "image": F.col("more.image.score"), "description": F.col("more.description")}
-    out = dec.rejection(F.col("gate.colorMulti"), F.col("more.image.deltaE"), F.col("more.image.rejected"), F.col("gate.colorAgree"), F.col("gate.colorConflict"), t.code_conflict(x["strong"], y["strong"]), config)
+    signals = {n: F.col(f"signals.{n}") for n in ("mrp", "title", "model", "brand")} | {"attributes": F.col("more.am.score"),
+        "image": F.col("more.image.score"), "description": F.col("more.description")}
+    out = dec.rejection(F.col("gate.colorMulti"), F.col("more.image.deltaE"), F.col("more.image.rejected"), F.col("gate.colorAgree"),
+        F.col("gate.colorConflict"), t.code_conflict(x["strong"], y["strong"]), config)
     shared = F.arrays_overlap(F.array_union(x["strong"], x["weak"]), F.array_union(y["strong"], y["weak"]))
-    full = computed_once(final, *final.columns, dec.blend(signals, {"attributes": dec.attribute_scale(F.col("more.am.compared"))}).alias("full"), out.alias("rejected"), (F.col("gate.colorAgree") & shared).alias("proven"))
+    full = computed_once(final, *final.columns, dec.blend(signals, {"attributes": dec.attribute_scale(F.col("more.am.compared"))}).alias("full"),
+        out.alias("rejected"), (F.col("gate.colorAgree") & shared).alias("proven"))
     return batches(full)
 
 
@@ -200,7 +206,8 @@ def rivals(viable: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     best = lambda c: F.first(c).over(order)
     price = F.try_divide(F.abs(F.col("price") - best("price")), F.greatest(F.col("price"), best("price")))
     beaten = F.coalesce(best("image") - F.col("image") > config.image_dominance, F.lit(False))
-    tied = (F.coalesce(best("score"), F.lit(0.0)) - F.coalesce("score", F.lit(0.0)) <= config.ambiguity_delta) & (F.col("id") != best("id")) & F.coalesce(price > config.price_tie, F.lit(False)) & ~beaten
+    tied = (F.coalesce(best("score"), F.lit(0.0)) - F.coalesce("score",
+        F.lit(0.0)) <= config.ambiguity_delta) & (F.col("id") != best("id")) & F.coalesce(price > config.price_tie, F.lit(False)) & ~beaten
     return viable.withColumn("n", F.row_number().over(order)).withColumn("tied", tied)
 
 
@@ -215,7 +222,8 @@ def decisions(anchors: DataFrame, platforms: DataFrame, searched: DataFrame, sco
     ``platforms``: (platform, blocked: on the whole); ``pages``: see ``barred``; ``searched``: all gated pairs; ``scored``: judged finalists."""
     seen = searched.groupBy("anchor_id", "platform").agg(F.count("*").alias("scanned"), F.count_if("gate.pass").alias("survivors"))
     flat = scored.select(
-        "anchor_id", F.col("listing.platform").alias("platform"), F.col("listing.id").alias("id"), F.col("listing.price").alias("price"), F.col("listing.mrp").alias("mrp"), F.col("row.mrp").alias("anchor_mrp"),
+        "anchor_id", F.col("listing.platform").alias("platform"), F.col("listing.id").alias("id"), F.col("listing.price").alias("price"),
+        F.col("listing.mrp").alias("mrp"), F.col("row.mrp").alias("anchor_mrp"),
         F.col("full.score").alias("score"), F.col("more.image.score").alias("image"), "rank", "rejected", "proven", F.col("gate.colorConflict").alias("conflict"),
     )
     viable = rivals(flat.where("rejected is null"), config)
@@ -302,7 +310,8 @@ def cosine_pairs(titles: DataFrame, pairs: DataFrame, weights: DataFrame, tax: T
     left, right = (vectors.select(F.col("id").alias(n), "token", F.col("w").alias(f"w{n}")) for n in ("a", "b"))
     dots = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     na, nb = (norms.select(F.col("id").alias(n), F.col("n2").alias(f"n{n}")) for n in ("a", "b"))
-    return pairs.join(dots, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left").select("a", "b", F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("na") * F.col("nb"))), F.lit(0.0)).alias("cosine"))
+    return pairs.join(dots, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left").select("a", "b",
+        F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("na") * F.col("nb"))), F.lit(0.0)).alias("cosine"))
 
 
 def nearest(vectors: DataFrame, queries_: DataFrame, k: int, block: int = 4096) -> DataFrame:

@@ -55,7 +55,8 @@ def breakdown(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
 def tally(rows: DataFrame) -> DataFrame:
     """How often each platform is cheapest and dearest; platforms that are never cheapest are left out."""
     count = lambda c, name: rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("platform")).agg(F.count("*").alias(name))
-    return count("cheapest", "times_cheapest").join(count("dearest", "times_dearest"), "platform", "left").select("platform", "times_cheapest", F.coalesce("times_dearest", F.lit(0)).alias("times_dearest"))
+    return count("cheapest", "times_cheapest").join(count("dearest", "times_dearest"), "platform", "left").select("platform", "times_cheapest",
+        F.coalesce("times_dearest", F.lit(0)).alias("times_dearest"))
 
 
 def search(rows: DataFrame, query: str, *columns: str) -> DataFrame:

@@ -27,7 +27,9 @@ def cells(columns: DataFrame, numbers: dict[str, str]) -> DataFrame:
 def saved(comparisons: DataFrame, as_of: Column, ttl_hours: float) -> DataFrame:
     """For each anchor's (anchor_id, platform, status, price, score, matched_at): best platform, matches, age and freshness."""
     ok = F.col("status") == "matched"
-    g = comparisons.groupBy("anchor_id").agg(F.count_if(ok).alias("matched"), F.max_by(F.when(ok, F.col("platform")), F.when(ok, F.struct("score", "platform"))).alias("best_platform"), F.min(F.when(ok, F.col("price"))).alias("best_price"), F.max("matched_at").alias("matched_at"))
+    g = comparisons.groupBy("anchor_id").agg(F.count_if(ok).alias("matched"),
+        F.max_by(F.when(ok, F.col("platform")), F.when(ok, F.struct("score", "platform"))).alias("best_platform"),
+        F.min(F.when(ok, F.col("price"))).alias("best_price"), F.max("matched_at").alias("matched_at"))
     age = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
     return g.withColumn("age_hours", F.round(age, 4)).withColumn("fresh", (age >= 0) & (age < ttl_hours))
 
@@ -46,8 +48,10 @@ def listed(comparisons: DataFrame, products: DataFrame, as_of: Column, ttl_hours
     hours = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
     g = g.withColumn("hours", hours).join(products.withColumnRenamed("id", "anchor_id"), "anchor_id", "left")
     out = g.select(
-        F.col("anchor_id").alias("id"), "brand", "title", F.coalesce("b.matchType", F.lit("NO MATCH")).alias("matchType"), F.col("b.score").alias("confidence"), F.col("b.platform").alias("bestPlatform"), "matched", "cheapest", "matched_at",
-        F.round("hours", 1).alias("age_hours"), ((F.col("hours") >= 0) & (F.col("hours") < ttl_hours)).alias("fresh"), F.greatest(F.lit(0.0), F.round(F.lit(ttl_hours) - F.col("hours"), 1)).alias("expires_in_hours"), F.coalesce("source", F.lit("link")).alias("source"),
+        F.col("anchor_id").alias("id"), "brand", "title", F.coalesce("b.matchType", F.lit("NO MATCH")).alias("matchType"),
+        F.col("b.score").alias("confidence"), F.col("b.platform").alias("bestPlatform"), "matched", "cheapest", "matched_at",
+        F.round("hours", 1).alias("age_hours"), ((F.col("hours") >= 0) & (F.col("hours") < ttl_hours)).alias("fresh"),
+        F.greatest(F.lit(0.0), F.round(F.lit(ttl_hours) - F.col("hours"), 1)).alias("expires_in_hours"), F.coalesce("source", F.lit("link")).alias("source"),
     )
     found = search(out.withColumn("_id", F.col("id").cast("string")), query, "brand", "title", "_id").drop("_id") if query else out
     return found.where("fresh") if fresh_only else found
@@ -137,20 +141,24 @@ def decision(anchors: DataFrame, columns: DataFrame, own: str) -> DataFrame:
     found = F.concat_ws(" ", F.coalesce(F.nullif(why, F.lit("")), F.lit("Matched on core attributes")), F.when(differences != "", F.concat(F.lit("Differences: "), differences, F.lit("."))))
     reason = F.when(c("best").isNull(), "No competitor listing cleared the matching gates for this product.").otherwise(found)
     return rows.select(
-        "anchor_id", c("best.label").alias("bestMatch"), F.coalesce("best.matchType", F.lit("NO MATCH")).alias("matchType"), c("best.score").alias("confidence"), posture.alias("posture"), action.alias("action"), insights.alias("insights"), reason.alias("matchReason")
+        "anchor_id", c("best.label").alias("bestMatch"), F.coalesce("best.matchType", F.lit("NO MATCH")).alias("matchType"),
+        c("best.score").alias("confidence"), posture.alias("posture"), action.alias("action"), insights.alias("insights"), reason.alias("matchReason")
     )
 
 
 def anchor_error(id_: Column, reason: Column, own: str) -> Column:
     """Why a product could not be found, in words."""
-    return F.when(reason == "not_found", F.concat(F.lit(f"{own} has no product with id "), id_, F.lit("."))).when(reason.isNotNull(), F.concat(F.lit("Could not read "), id_, F.lit(f" from {own} ("), reason, F.lit(").")))
+    return F.when(reason == "not_found", F.concat(F.lit(f"{own} has no product with id "), id_, F.lit("."))).when(reason.isNotNull(),
+        F.concat(F.lit("Could not read "), id_, F.lit(f" from {own} ("), reason, F.lit(").")))
 
 
 def split(rows: DataFrame) -> DataFrame:
     """How all products (matched, gap) split: ``cheapest``, ``parity``, ``undercut`` and ``unmatched``; what is matched and neither cheaper nor dearer is at parity."""
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    g = rows.agg(F.count("*").alias("total"), n(F.col("matched")).alias("matched"), n(F.col("matched") & (F.col("gap") < 0)).alias("cheapest"), n(F.col("matched") & (F.col("gap") > 0)).alias("undercut"))
-    return g.select("total", "cheapest", F.greatest(F.lit(0), F.col("matched") - F.col("cheapest") - F.col("undercut")).alias("parity"), "undercut", F.greatest(F.lit(0), F.col("total") - F.col("matched")).alias("unmatched"))
+    g = rows.agg(F.count("*").alias("total"), n(F.col("matched")).alias("matched"), n(F.col("matched") & (F.col("gap") < 0)).alias("cheapest"),
+        n(F.col("matched") & (F.col("gap") > 0)).alias("undercut"))
+    return g.select("total", "cheapest", F.greatest(F.lit(0), F.col("matched") - F.col("cheapest") - F.col("undercut")).alias("parity"), "undercut",
+        F.greatest(F.lit(0), F.col("total") - F.col("matched")).alias("unmatched"))
 
 
 def savings(prices: DataFrame) -> DataFrame:

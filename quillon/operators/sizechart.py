@@ -16,7 +16,8 @@ def indexed(charts: DataFrame) -> DataFrame:
     axis = t.chart_axis(F.col("raw_axis"), F.col("basis"))
     to_inch = lambda inch, cm: F.coalesce(inch, cm / 2.54)
     middle = to_inch(F.col("inch"), F.col("cm"))
-    rows = charts.select("product_id", "platform", "pos", t.chart_size(F.col("size")).alias("size"), axis.alias("a"), middle.alias("inch"), F.coalesce(to_inch(F.col("inch_lo"), F.col("cm_lo")), middle).alias("lo"), F.coalesce(to_inch(F.col("inch_hi"), F.col("cm_hi")), middle).alias("hi"))
+    rows = charts.select("product_id", "platform", "pos", t.chart_size(F.col("size")).alias("size"), axis.alias("a"), middle.alias("inch"),
+        F.coalesce(to_inch(F.col("inch_lo"), F.col("cm_lo")), middle).alias("lo"), F.coalesce(to_inch(F.col("inch_hi"), F.col("cm_hi")), middle).alias("hi"))
     rows = rows.where("size is not null and a is not null and lo is not null").withColumn("inch", F.coalesce("inch", (F.col("lo") + F.col("hi")) / 2))
     first = rows.groupBy("product_id", "platform", "size", "a.axis", "a.basis").agg(F.min_by(F.struct("lo", "hi", "inch"), "pos").alias("v"))
     return first.select("product_id", "platform", "size", "axis", "basis", "v.lo", "v.hi", "v.inch")
@@ -25,11 +26,13 @@ def indexed(charts: DataFrame) -> DataFrame:
 def cells(index: DataFrame) -> DataFrame:
     """A verdict for every (product, size, axis, basis): the gap between the platforms' intervals."""
     g = index.groupBy("product_id", "size", "axis", "basis").agg(
-        F.count("*").alias("n"), (F.max("lo") - F.min("hi")).alias("d"), F.min_by("platform", F.struct("inch", "platform")).alias("low"), F.max_by("platform", F.struct("inch", "platform")).alias("high"))
+        F.count("*").alias("n"), (F.max("lo") - F.min("hi")).alias("d"), F.min_by("platform", F.struct("inch", "platform")).alias("low"),
+        F.max_by("platform", F.struct("inch", "platform")).alias("high"))
     delta = F.greatest(F.lit(0.0), F.col("d"))
     off = (F.col("n") > 1) & (delta > MATCH_INCHES)
     return g.select(
-        "product_id", "size", "axis", "basis", "n", F.when(F.col("n") > 1, F.round(delta, 2)).alias("delta"), F.when(F.col("n") == 1, "single").when(off, "mismatch").otherwise("match").alias("status"),
+        "product_id", "size", "axis", "basis", "n", F.when(F.col("n") > 1, F.round(delta, 2)).alias("delta"),
+        F.when(F.col("n") == 1, "single").when(off, "mismatch").otherwise("match").alias("status"),
         F.when(off, F.when(delta >= MAJOR_INCHES, "major").otherwise("minor")).alias("severity"), F.when(off, F.col("low")).alias("low"), F.when(off, F.col("high")).alias("high"),
         t.size_rank(F.col("size")).alias("size_rank"), t.axis_order(F.col("axis")).alias("axis_rank"),
     )
@@ -38,8 +41,10 @@ def cells(index: DataFrame) -> DataFrame:
 def summary(grid: DataFrame) -> DataFrame:
     """Counters and the overall verdict of each product."""
     is_ = lambda s: F.count_if(F.col("status") == s)
-    g = grid.groupBy("product_id").agg(is_("match").alias("matches"), is_("mismatch").alias("mismatches"), is_("single").alias("singles"), F.count_if(F.col("severity") == "major").alias("major"), F.max("delta").alias("worst"))
-    return g.withColumn("verdict", F.when(F.col("matches") + F.col("mismatches") == 0, "not comparable").when(F.col("major") > 0, "major differences").when(F.col("mismatches") > 0, "minor differences").otherwise("consistent"))
+    g = grid.groupBy("product_id").agg(is_("match").alias("matches"), is_("mismatch").alias("mismatches"), is_("single").alias("singles"),
+        F.count_if(F.col("severity") == "major").alias("major"), F.max("delta").alias("worst"))
+    return g.withColumn("verdict", F.when(F.col("matches") + F.col("mismatches") == 0, "not comparable").when(F.col("major") > 0,
+        "major differences").when(F.col("mismatches") > 0, "minor differences").otherwise("consistent"))
 
 
 def only_on(index: DataFrame) -> DataFrame:
@@ -60,8 +65,10 @@ def verdicts(index: DataFrame, grid: DataFrame) -> DataFrame:
     charts = index.groupBy("product_id").agg(F.count_distinct("platform").alias("charts"))
     n = lambda c: F.count_if(c)
     is_ = F.col("status")
-    sums = grid.groupBy("product_id").agg(n(is_.isin("match", "mismatch")).alias("compared"), n(is_ == "match").alias("matched"), n(F.col("severity") == "minor").alias("minor"), n(F.col("severity") == "major").alias("major"))
-    verdict = F.when(F.col("charts") < 2, "single_source").when(F.col("major") > 0, "mismatch").when(F.col("minor") > 0, "minor_variance").when(F.col("compared") > 0, "consistent").otherwise("not_comparable")
+    sums = grid.groupBy("product_id").agg(n(is_.isin("match", "mismatch")).alias("compared"), n(is_ == "match").alias("matched"),
+        n(F.col("severity") == "minor").alias("minor"), n(F.col("severity") == "major").alias("major"))
+    verdict = F.when(F.col("charts") < 2, "single_source").when(F.col("major") > 0, "mismatch").when(F.col("minor") > 0,
+        "minor_variance").when(F.col("compared") > 0, "consistent").otherwise("not_comparable")
     return charts.join(sums, "product_id").withColumn("verdict", verdict)
 
 

@@ -95,7 +95,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.groupBy("l_partkey").agg(*[F.max_by(F.when(F.col("platform") == p, F.col("l_discount")), F.when(F.col("platform") == p, newest)).alias(f"d{p}") for p in (0, 1)])
     p = table(spark, sf_dir, "part").join(found, F.col("p_partkey") == F.col("l_partkey"), "left")
     price = lambda off: F.round(F.col("p_retailprice") * (1 - off))
-    return p.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice", F.round(F.col("p_retailprice") * (1 - (F.col("p_size") % 11) / 100)).alias(OWN), price(F.col("d0")).alias("rival_0"), price(F.col("d1")).alias("rival_1"))
+    return p.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+        F.round(F.col("p_retailprice") * (1 - (F.col("p_size") % 11) / 100)).alias(OWN), price(F.col("d0")).alias("rival_0"), price(F.col("d1")).alias("rival_1"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,8 @@ positions AS (SELECT *, own_price - best_rival AS gap, CASE WHEN rival_0 = best_
 
 @query(POSITIONS + "SELECT p_partkey, p_brand, own_price, rival_0, rival_1, gap, gap_pct, position, cheapest, dearest, cheapest_rival, spread, price_index FROM positions")
 def position_gap(spark, sf_dir):
-    return positions(spark, sf_dir).select("p_partkey", "p_brand", OWN, *RIVALS, "gap", "gap_pct", "position", "cheapest", "dearest", "cheapest_rival", "spread", "price_index").orderBy(F.col("gap").desc_nulls_last(), "p_partkey")
+    return positions(spark, sf_dir).select("p_partkey", "p_brand", OWN, *RIVALS, "gap", "gap_pct", "position", "cheapest", "dearest", "cheapest_rival",
+        "spread", "price_index").orderBy(F.col("gap").desc_nulls_last(), "p_partkey")
 
 
 @query(POSITIONS + """SELECT count(*) AS products, count(gap) AS compared, count(*) FILTER (position = 'Undercut') AS undercut, count(*) FILTER (position = 'Cheapest') AS winning,
@@ -219,7 +221,8 @@ def page_fields(spark, sf_dir):
     return landed.page_fields(table(spark, sf_dir, "pages")).select("page_id", "host", "query", "title")
 
 
-BRANDS = [(i, a, b) for i, (a, b) in enumerate([("Levis", "Levi's"), ("US Polo Assn", "U.S. Polo Assn."), ("Nike", "Nike Sport"), ("Polo Assn U S", "U.S. Polo Assn."), ("Van Heusen", "Heusen Van"), ("", "Nike"), (None, "Nike"), ("Puma", "Adidas Originals"), ("red tape", "tape red co")])]
+BRANDS = [(i, a, b) for i, (a, b) in enumerate([("Levis", "Levi's"), ("US Polo Assn", "U.S. Polo Assn."), ("Nike", "Nike Sport"),
+    ("Polo Assn U S", "U.S. Polo Assn."), ("Van Heusen", "Heusen Van"), ("", "Nike"), (None, "Nike"), ("Puma", "Adidas Originals"), ("red tape", "tape red co")])]
 _B = lambda c: f"coalesce({map_sql(vocab.BRAND_ALIASES, norm_sql(c))}, {norm_sql(c)})"
 
 
@@ -254,8 +257,10 @@ def garment_overlay(spark, sf_dir):
 
 
 TITLES = [(i, s) for i, s in enumerate([
-    "Levis Men 541 Athletic Tapered Jeans", "Sparx SM9085 Running Shoes Size 9", "Solid Polo T-Shirt 100% Cotton", "Women Floral Print A-Line Dress XL", "WH-CH520 Headphones 30w 200gm", "Boys Blue Striped Half Sleeve Tee",
-    "Kids Unisex Navy Hooded Sweatshirt 2xl", "Slim Fit Mid Rise Stone Washed Jeans with Five Pockets", "Formal Spread Collar Shirt Button Closure", "Comfort Fit Boot Cut Trousers", "", None, "Girls Party Sandals 32b 140 144", "Ripped Acid Wash Denim Jacket zip"])]
+    "Levis Men 541 Athletic Tapered Jeans", "Sparx SM9085 Running Shoes Size 9", "Solid Polo T-Shirt 100% Cotton", "Women Floral Print A-Line Dress XL",
+    "WH-CH520 Headphones 30w 200gm", "Boys Blue Striped Half Sleeve Tee",
+    "Kids Unisex Navy Hooded Sweatshirt 2xl", "Slim Fit Mid Rise Stone Washed Jeans with Five Pockets", "Formal Spread Collar Shirt Button Closure",
+    "Comfort Fit Boot Cut Trousers", "", None, "Girls Party Sandals 32b 140 144", "Ripped Acid Wash Denim Jacket zip"])]
 _TITLES = [x for _, x in TITLES]
 _V = f"WITH v AS (SELECT p_partkey AS i, {picked_sql(_TITLES, 'p_partkey')} || ' ' || p_name AS s0 FROM part)" + f", n AS (SELECT i, {norm_sql('s0')} AS s FROM v) "
 
@@ -281,7 +286,8 @@ def model_codes(spark, sf_dir):
 def classify_titles(spark, sf_dir):
     s = F.col("s")
     rules = {"fade": vocab.FADES, "distress": vocab.DISTRESS, "rise": vocab.RISES, "sleeve": vocab.SLEEVES, "closure": vocab.CLOSURES, "occasion": vocab.OCCASIONS, "neck": vocab.NECKS}
-    return titled_parts(spark, sf_dir).select("i", t.gender(s).alias("gender"), t.garment(s).alias("garment"), t.colour_word(s).alias("colour"), *[t.first_rule(s, r).alias(n) for n, r in rules.items()])
+    return titled_parts(spark, sf_dir).select("i", t.gender(s).alias("gender"), t.garment(s).alias("garment"), t.colour_word(s).alias("colour"),
+        *[t.first_rule(s, r).alias(n) for n, r in rules.items()])
 
 
 _AXES = [(g, *x) for g, x in vocab.GENDER_AXES.items()] + [(None, None, None)]
@@ -308,7 +314,8 @@ SELECT i, CASE WHEN length(x) BETWEEN 1 AND 12 THEN coalesce({map_sql(t.EXPORT_A
   CASE WHEN c = '' THEN NULL WHEN c IN ('FREE', 'FREESIZE', 'ONESIZE', 'OS') THEN 'FREE' WHEN regexp_matches(c, '^X{{2,}}L$') THEN (length(c) - 1) || 'XL' ELSE c END AS chart_size FROM e""")
 def size_labels(spark, sf_dir):
     label = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise(picked(_SIZES, "p_partkey"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), label.alias("s")).select("i", t.export_size(F.col("s")).alias("export_size"), t.chart_size(F.col("s")).alias("chart_size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), label.alias("s")).select("i", t.export_size(F.col("s")).alias("export_size"),
+        t.chart_size(F.col("s")).alias("chart_size"))
 
 
 # ---- similarity
@@ -374,14 +381,17 @@ _FN = lambda v: f"CASE WHEN {v} > 0.008856 THEN cbrt({v}) ELSE 7.787 * {v} + 16
 
 def _lab_sql(n: str) -> str:
     lin = [f"({_LIN(f'{c}{n}')})" for c in "rgb"]
-    x, y, z = (f"({_FN(f'(({a} * {lin[0]} + {b} * {lin[1]} + {c} * {lin[2]}) / {w})')})" for (a, b, c), w in zip(((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505)), (0.95047, 1.0, 1.08883), strict=True))
+    x, y, z = (f"({_FN(f'(({a} * {lin[0]} + {b} * {lin[1]} + {c} * {lin[2]}) / {w})')})" for (a, b, c),
+        w in zip(((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505)), (0.95047, 1.0, 1.08883), strict=True))
     return f"116 * {y} - 16 AS l{n}, 500 * ({x} - {y}) AS a{n}, 200 * ({y} - {z}) AS b{n}_"
 
 
-@query("WITH v AS (SELECT p_partkey AS i, " + ", ".join(f"{x} AS {n}" for n, x in _RGB.items()) + f" FROM part), l AS (SELECT i, {_lab_sql('1')}, {_lab_sql('2')} FROM v) SELECT i, round(sqrt(pow(l1 - l2, 2) + pow(a1 - a2, 2) + pow(b1_ - b2_, 2)), 1) AS delta_e FROM l")
+@query("WITH v AS (SELECT p_partkey AS i, " + ", ".join(f"{x} AS {n}" for n,
+    x in _RGB.items()) + f" FROM part), l AS (SELECT i, {_lab_sql('1')}, {_lab_sql('2')} FROM v) SELECT i, round(sqrt(pow(l1 - l2, 2) + pow(a1 - a2, 2) + pow(b1_ - b2_, 2)), 1) AS delta_e FROM l")
 def colour_distance(spark, sf_dir):
     c = [F.col(x) for x in ("r1", "g1", "b1", "r2", "g2", "b2")]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), *[F.expr(x).cast("int").alias(n) for n, x in _RGB.items()]).select("i", sim.delta_e(sim.lab(*c[:3]), sim.lab(*c[3:])).alias("delta_e"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), *[F.expr(x).cast("int").alias(n) for n, x in _RGB.items()]).select("i",
+        sim.delta_e(sim.lab(*c[:3]), sim.lab(*c[3:])).alias("delta_e"))
 
 
 # ---- evidence and decisions
@@ -400,7 +410,8 @@ def mrp_evidence(spark, sf_dir):
 _SIGNALS = {"mrp": ("l_tax", 3), "attributes": ("l_discount", 4), "title": ("l_tax", 5), "model": ("l_discount", 2), "brand": ("l_tax", 7)}
 
 
-@query("WITH v AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {k} <> 0 THEN least(1, {c} * 10) END AS {n}" for n, (c, k) in _SIGNALS.items()) + ", l_quantity FROM lineitem), w AS (SELECT *, "
+@query("WITH v AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % {k} <> 0 THEN least(1, {c} * 10) END AS {n}" for n,
+    (c, k) in _SIGNALS.items()) + ", l_quantity FROM lineitem), w AS (SELECT *, "
        + " + ".join(f"CASE WHEN {n} IS NOT NULL THEN {vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 10 / 5)' if n == 'attributes' else ''} ELSE 0 END" for n in _SIGNALS) + " AS den, "
        + " + ".join(f"coalesce({n} * ({vocab.SIGNAL_WEIGHTS[n]}::DOUBLE{' * least(1, l_quantity / 10 / 5)' if n == 'attributes' else ''}), 0)" for n in _SIGNALS) + " AS num FROM v) SELECT l_orderkey, l_linenumber, round(CASE WHEN den > 0 THEN num / den END, 4) AS score, round(den, 3) AS coverage FROM w")
 def blend_renormalised(spark, sf_dir):
@@ -416,7 +427,9 @@ _SCORED = "s AS (SELECT l_partkey AS anchor_id, l_suppkey % 2 AS platform, l_ord
 def _scored(spark, sf_dir) -> DataFrame:
     from pyspark.sql.window import Window
 
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("anchor_id"), (F.col("l_suppkey") % 2).alias("platform"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("price"), F.round(1 - F.col("l_discount") * 4 - F.col("l_tax") / 2, 4).alias("score"), "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("anchor_id"), (F.col("l_suppkey") % 2).alias("platform"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("price"),
+        F.round(1 - F.col("l_discount") * 4 - F.col("l_tax") / 2, 4).alias("score"), "l_quantity")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_id", "platform").orderBy(F.col("score").desc(), "id", "price")))
 
 
@@ -455,7 +468,8 @@ def fabric_parse(spark, sf_dir):
         .when(F.col("p_partkey") % 6 == 4, F.concat(F.lit("Single Jersey, 100% "), "p_type")).otherwise(F.concat("p_name", F.lit(" in silk and linen")))
     )
     d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("s")).withColumn("f", att.fabric(F.col("s")))
-    return d.select("id", F.col("f.primary").alias("material"), F.get("f.composition", F.lit(0))["pct"].alias("pct"), F.col("f.blend").alias("blend"), att.stretch(F.col("f"), F.col("s")).alias("stretch"))
+    return d.select("id", F.col("f.primary").alias("material"), F.get("f.composition", F.lit(0))["pct"].alias("pct"), F.col("f.blend").alias("blend"),
+        att.stretch(F.col("f"), F.col("s")).alias("stretch"))
 
 
 # ---- size charts: parts as products, two suppliers' lines as charts
@@ -467,8 +481,11 @@ SELECT product_id, CAST(size AS VARCHAR) AS size, n, CASE WHEN n > 1 THEN round(
 def sizechart_cells(spark, sf_dir):
     c = F.col
     rows = table(spark, sf_dir, "lineitem").select(
-        c("l_partkey").alias("product_id"), (c("l_suppkey") % 2).cast("string").alias("platform"), F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("pos"), c("l_linenumber").cast("string").alias("size"), F.lit("1. To Fit Chest (in)").alias("raw_axis"), F.lit(None).cast("string").alias("basis"),
-        *[F.lit(None).cast("double").alias(n) for n in ("inch", "cm", "cm_lo", "cm_hi")], (c("l_quantity") + 20).alias("inch_lo"), (c("l_quantity") + 20 + c("l_orderkey") % 3).alias("inch_hi"))
+        c("l_partkey").alias("product_id"), (c("l_suppkey") % 2).cast("string").alias("platform"),
+        F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("pos"), c("l_linenumber").cast("string").alias("size"),
+        F.lit("1. To Fit Chest (in)").alias("raw_axis"), F.lit(None).cast("string").alias("basis"),
+        *[F.lit(None).cast("double").alias(n) for n in ("inch", "cm", "cm_lo", "cm_hi")], (c("l_quantity") + 20).alias("inch_lo"),
+        (c("l_quantity") + 20 + c("l_orderkey") % 3).alias("inch_hi"))
     return sizechart.cells(sizechart.indexed(rows)).select("product_id", "size", "n", "delta", "status", "severity")
 
 
@@ -499,13 +516,16 @@ def import_dedupe(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     pid = F.concat(F.lit("mp"), F.lpad((F.col("conv_id") % 50).cast("string"), 6, "0"))
     link = F.when(F.col("role") == "assistant", F.concat(F.lit("https://www.myntra.com/"), "role", F.lit("/"), "turn")).when(F.col("role") == "system", F.concat(F.lit("http://ajio.com/x/"), "turn"))
-    cells = c.select(F.lit("S").alias("sheet"), F.col("conv_id").alias("row"), (F.col("turn") + 1).cast("int").alias("col"), link.alias("text")).unionByName(c.select("conv_id").distinct().select(F.lit("S").alias("sheet"), F.col("conv_id").alias("row"), F.lit(0).alias("col"), F.concat(F.lit("https://shop.example/x/p-"), pid).alias("text")))
+    cells = c.select(F.lit("S").alias("sheet"), F.col("conv_id").alias("row"), (F.col("turn") + 1).cast("int").alias("col"),
+        link.alias("text")).unionByName(c.select("conv_id").distinct().select(F.lit("S").alias("sheet"), F.col("conv_id").alias("row"), F.lit(0).alias("col"),
+        F.concat(F.lit("https://shop.example/x/p-"), pid).alias("text")))
     return imports.items(imports.rows(cells)).select("id", "row", F.size("source_rows").cast("long").alias("n_rows"), "myntra", "ajio")
 
 
 @query("""SELECT conv_id AS id, CASE WHEN bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'agreed' WHEN NOT bool_and(role = 'user') FILTER (turn % 3 <> 0) THEN 'disagreed' END AS agreement FROM conversations GROUP BY conv_id""")
 def hint_agreement(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.lit("j").alias("job_id"), F.col("conv_id").alias("id"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("found"), F.lit("user").alias("hint"))
+    c = table(spark, sf_dir, "conversations").select(F.lit("j").alias("job_id"), F.col("conv_id").alias("id"),
+        F.when(F.col("turn") % 3 != 0, F.col("role")).alias("found"), F.lit("user").alias("hint"))
     return imports.agreement(c).select("id", "agreement")
 
 
@@ -514,7 +534,9 @@ SELECT job_id, count(*) AS total, count(*) FILTER (fin) AS done, count(*) FILTER
   round((avg(value) FILTER (fin)) * (count(*) - count(*) FILTER (fin)), 3) AS eta_seconds FROM j GROUP BY job_id""")
 def job_progress(spark, sf_dir):
     e = F.col("event_type")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.when(e.isin("purchase", "view", "error"), "done").otherwise("queued").alias("state"), F.when(e == "purchase", "matched").when(e == "error", "error").alias("status"), F.col("value").alias("seconds"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"),
+        F.when(e.isin("purchase", "view", "error"), "done").otherwise("queued").alias("state"),
+        F.when(e == "purchase", "matched").when(e == "error", "error").alias("status"), F.col("value").alias("seconds"))
     return imports.progress(rows)
 
 
@@ -557,7 +579,8 @@ g AS (SELECT anchor_id, count(*) FILTER (ok) AS matched, min(value) FILTER (ok)
 SELECT g.anchor_id, matched, best_platform, best_price, round(epoch(TIMESTAMP '{AS_OF}' - matched_at) / 3600, 2) AS age_hours, matched_at <= TIMESTAMP '{AS_OF}' AND matched_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS fresh FROM g LEFT JOIN b ON b.anchor_id = g.anchor_id AND rn = 1""")
 def saved_reports(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    c = e.select(F.col("user_id").alias("anchor_id"), (F.col("event_id") % 2).cast("string").alias("platform"), F.when(F.col("event_type") == "purchase", "matched").otherwise("no_match").alias("status"), F.col("value").alias("price"), F.col("value").alias("score"), F.col("ts").alias("matched_at"))
+    c = e.select(F.col("user_id").alias("anchor_id"), (F.col("event_id") % 2).cast("string").alias("platform"),
+        F.when(F.col("event_type") == "purchase", "matched").otherwise("no_match").alias("status"), F.col("value").alias("price"), F.col("value").alias("score"), F.col("ts").alias("matched_at"))
     return reports.saved(c, F.lit(AS_OF).cast("timestamp"), 24).select("anchor_id", "matched", "best_platform", "best_price", F.round("age_hours", 2).alias("age_hours"), "fresh")
 
 
@@ -566,7 +589,8 @@ l AS (SELECT anchor_id, platform, unnest(['price', 'lines', 'score']) AS label,
 SELECT anchor_id, platform, label, value, CASE label WHEN 'price' THEN CASE WHEN value = lo AND lo <> hi THEN 'best' WHEN value = hi AND lo <> hi THEN 'low' ELSE 'moderate' END
   WHEN 'lines' THEN CASE WHEN n < 2 THEN 'na' WHEN lo = hi THEN 'moderate' WHEN value = hi THEN 'best' ELSE 'low' END ELSE CASE WHEN value >= 0.85 THEN 'best' WHEN value >= 0.6 THEN 'moderate' ELSE 'low' END END AS verdict FROM w""")
 def report_cells(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("anchor_id"), (F.col("l_suppkey") % 2).alias("platform")).agg(F.max("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines"), (F.max("l_discount") * 10).alias("score"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("anchor_id"),
+        (F.col("l_suppkey") % 2).alias("platform")).agg(F.max("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines"), (F.max("l_discount") * 10).alias("score"))
     return reports.cells(c, {"price": "price", "lines": "count", "score": "score"}).select("anchor_id", "platform", "label", "value", "verdict")
 
 

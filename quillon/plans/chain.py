@@ -28,7 +28,8 @@ DEARER = "CASE brand WHEN 'Brand#5' THEN 1.3D WHEN 'Brand#9' THEN 1.08D ELSE 1.0
 def anchors(spark, sf_dir) -> DataFrame:
     none = F.lit(None).cast("string")
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), none.alias("color"), F.col("p_retailprice").alias("mrp"), none.alias("gender"), none.alias("articleType")
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), none.alias("color"),
+        F.col("p_retailprice").alias("mrp"), none.alias("gender"), none.alias("articleType")
     )
 
 
@@ -144,7 +145,8 @@ _GENDER = lambda c: f"CASE {c} % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'women' WHEN 2
 @query(_CHAIN + f", g AS (SELECT platform, {_GENDER('a.p_size')} AS x, {_GENDER('b.p_size')} AS y FROM decided JOIN part a ON a.p_partkey = anchor_id JOIN part b ON b.p_partkey = listing_id // 10) SELECT platform, count(*) AS checked, count(*) FILTER (x <> y AND x <> 'unisex' AND y <> 'unisex') AS leaks FROM g GROUP BY 1")
 def gender_leaks(spark, sf_dir):
     """Genders by the size of a part, which the chain doesn't know, so that there are leaks to find."""
-    of = lambda n: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(n), F.when(F.col("p_size") % 4 < 3, F.element_at(F.array(*map(F.lit, GENDERS[:3])), (F.col("p_size") % 4 + 1).cast("int"))).alias(f"{n}_gender"))
+    of = lambda n: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(n),
+        F.when(F.col("p_size") % 4 < 3, F.element_at(F.array(*map(F.lit, GENDERS[:3])), (F.col("p_size") % 4 + 1).cast("int"))).alias(f"{n}_gender"))
     won = decided(spark, sf_dir).where("status = 'matched'").withColumn("listing", F.floor(F.col("listing_id") / 10))
     return audit.gender_leaks(won.join(of("anchor").withColumnRenamed("anchor", "anchor_id"), "anchor_id").join(of("listing"), "listing"))
 
@@ -161,7 +163,8 @@ def chart_index(spark, sf_dir) -> DataFrame:
     """The larger sizes only, so that some products have a size on one platform alone."""
     c, none = F.col, F.lit(None).cast("double")
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber > 4").select(
-        c("l_partkey").alias("product_id"), (c("l_suppkey") % 2).cast("string").alias("platform"), F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("pos"), c("l_linenumber").cast("string").alias("size"), F.lit("Waist").alias("raw_axis"), F.lit(None).cast("string").alias("basis"),
+        c("l_partkey").alias("product_id"), (c("l_suppkey") % 2).cast("string").alias("platform"),
+        F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("pos"), c("l_linenumber").cast("string").alias("size"), F.lit("Waist").alias("raw_axis"), F.lit(None).cast("string").alias("basis"),
         *[none.alias(n) for n in ("inch", "cm", "cm_lo", "cm_hi")], (c("l_quantity") + 20).alias("inch_lo"), (c("l_quantity") + 20 + c("l_orderkey") % 3).alias("inch_hi"))
     return sizechart.indexed(rows)
 
@@ -187,7 +190,8 @@ def sizechart_flags(spark, sf_dir):
 SELECT product_id, CAST(platform AS VARCHAR) AS platform, coalesce(reason, CASE WHEN published THEN 'no_table' ELSE 'not_published' END) AS reason FROM w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.product_id = w.product_id AND f.platform = w.platform)""")
 def sizechart_unavailable(spark, sf_dir):
     each = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("platform")
-    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), each, F.when(F.col("p_size") % 5 == 0, "blocked").alias("reason"), (F.col("p_size") % 2 == 0).alias("published"))
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), each, F.when(F.col("p_size") % 5 == 0, "blocked").alias("reason"),
+        (F.col("p_size") % 2 == 0).alias("published"))
     return sizechart.unavailable(wanted, chart_index(spark, sf_dir))
 
 
@@ -201,7 +205,8 @@ def hint_ids(spark, sf_dir):
     c, k = F.col, F.col("turn") % 3
     platform = F.when(k == 0, "myntra").when(k == 1, "ajio").otherwise("other")
     buy = F.when(c("conv_id") % 4 > 0, "/buy").otherwise("")
-    path = F.when(k == 0, F.concat(F.lit("/shirts/"), "role", F.lit("/"), c("conv_id").cast("string"), buy)).otherwise(F.concat(F.lit("/"), "role", F.lit("/p/"), c("conv_id").cast("string"), F.lit("_x?c=/p/0")))
+    path = F.when(k == 0, F.concat(F.lit("/shirts/"), "role", F.lit("/"), c("conv_id").cast("string"), buy)).otherwise(F.concat(F.lit("/"), "role",
+        F.lit("/p/"), c("conv_id").cast("string"), F.lit("_x?c=/p/0")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.hint_id(platform, F.concat(F.lit("https://shop.example"), path)).alias("hint"))
 
 
@@ -209,5 +214,6 @@ def hint_ids(spark, sf_dir):
 SELECT id, status, l_quantity AS quantity FROM i JOIN (SELECT l_orderkey AS id, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1) USING (id) WHERE status IN ('matched', 'no_match')""")
 def finished_items(spark, sf_dir):
     e = F.col("event_type")
-    items = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(e == "purchase", "matched").when(e == "error", "error").when(e == "view", "no_match").otherwise("ambiguous").alias("status"))
+    items = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"),
+        F.when(e == "purchase", "matched").when(e == "error", "error").when(e == "view", "no_match").otherwise("ambiguous").alias("status"))
     return imports.finished(items, table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("quantity")))

@@ -35,12 +35,15 @@ def body(*fields: Column) -> Column:
 
 
 def _listing_a() -> list[Column]:
-    price = F.struct(if_("p_partkey % 7 > 0", F.struct((c("p_retailprice") - c("p_size")).alias("doubleValue"), if_("p_size % 2 = 0", "EUR").alias("currencyIso"))).alias("sellingPrice"), if_("p_partkey % 5 > 0", F.struct(c("p_retailprice").alias("doubleValue"))).alias("mrpPrice"))
+    price = F.struct(if_("p_partkey % 7 > 0", F.struct((c("p_retailprice") - c("p_size")).alias("doubleValue"),
+        if_("p_size % 2 = 0", "EUR").alias("currencyIso"))).alias("sellingPrice"), if_("p_partkey % 5 > 0", F.struct(c("p_retailprice").alias("doubleValue"))).alias("mrpPrice"))
     levels = F.array(F.create_map(lit("L1"), c("p_type")), F.create_map(lit("L2"), lit("old"), lit("L3"), if_("p_size % 3 > 0", "third")), F.create_map(lit("L2"), c("p_brand")))
     return [
-        if_("p_partkey % 17 > 0", F.concat(lit("MP"), "k")).alias("productId"), F.concat(lit(" "), "p_brand").alias("brandname"), F.concat("p_name", lit("  ")).alias("productname"), if_("p_size % 4 > 0", F.substring_index("p_name", " ", 1)).alias("productColor"),
+        if_("p_partkey % 17 > 0", F.concat(lit("MP"), "k")).alias("productId"), F.concat(lit(" "), "p_brand").alias("brandname"),
+        F.concat("p_name", lit("  ")).alias("productname"), if_("p_size % 4 > 0", F.substring_index("p_name", " ", 1)).alias("productColor"),
         price.alias("price"), levels.alias("categoryHierarchy"), if_("p_size % 6 > 0", F.when(c("p_size") % 5 == 0, "").otherwise(c("p_size").cast("string"))).alias("discountPercent"),
-        F.when(c("p_size") % 2 == 0, F.concat(lit("//img.example/"), "k")).otherwise(F.concat(lit("https://img.example/"), "k")).alias("imageURL"), if_("p_size % 9 > 0", F.concat(lit("/p-"), "k")).alias("webURL"),
+        F.when(c("p_size") % 2 == 0, F.concat(lit("//img.example/"), "k")).otherwise(F.concat(lit("https://img.example/"), "k")).alias("imageURL"),
+        if_("p_size % 9 > 0", F.concat(lit("/p-"), "k")).alias("webURL"),
     ]
 
 
@@ -61,17 +64,21 @@ SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, p_name AS title, CASE
   CASE WHEN p_size % 4 > 0 THEN 'S:true:' || p_size || ',M:false:-' ELSE '' END AS inventory, 'red:1,blue:2' AS colours FROM p""")
 def listings_rival_b(spark, sf_dir):
     fields = [
-        c("p_partkey").alias("productId"), c("p_brand").alias("brand"), F.concat(lit(" "), "p_name").alias("productName"), if_("p_size % 2 = 0", "Men").alias("gender"), if_("p_partkey % 6 > 0", c("p_retailprice")).alias("mrp"),
-        if_("p_partkey % 8 > 0", c("p_retailprice") - 10 * c("p_size")).alias("price"), (c("p_size") * 4).alias("discount"), if_("p_size % 3 = 0", "s").alias("searchImage"), if_("p_size % 3 < 2", F.array(F.struct(lit("i").alias("src")))).alias("images"),
+        c("p_partkey").alias("productId"), c("p_brand").alias("brand"), F.concat(lit(" "), "p_name").alias("productName"),
+        if_("p_size % 2 = 0", "Men").alias("gender"), if_("p_partkey % 6 > 0", c("p_retailprice")).alias("mrp"),
+        if_("p_partkey % 8 > 0", c("p_retailprice") - 10 * c("p_size")).alias("price"), (c("p_size") * 4).alias("discount"),
+        if_("p_size % 3 = 0", "s").alias("searchImage"), if_("p_size % 3 < 2", F.array(F.struct(lit("i").alias("src")))).alias("images"),
         F.concat(lit("x/"), "k").alias("landingPageUrl"), if_("p_size % 5 > 0", F.concat(lit(" S , ,"), c("p_size").cast("string"))).alias("sizes"),
-        if_("p_size % 4 > 0", F.array(F.struct(lit("S").alias("label"), lit(True).alias("available"), c("p_size").alias("inventory")), F.struct(lit("M").alias("label"), lit(None).cast("boolean").alias("available"), lit(None).cast("int").alias("inventory")))).alias("inventoryInfo"),
+        if_("p_size % 4 > 0", F.array(F.struct(lit("S").alias("label"), lit(True).alias("available"), c("p_size").alias("inventory")),
+        F.struct(lit("M").alias("label"), lit(None).cast("boolean").alias("available"), lit(None).cast("int").alias("inventory")))).alias("inventoryInfo"),
         structs(("color", "colour", "styleId"), ("red", None, "1"), ("", "blue", "2"), (None, "", "3")).alias("colourVariants"),
     ]
     found = mappers.listings_b(parts(spark, sf_dir).select(body(*fields).alias("body")))
     shown = lambda items, one: F.array_join(F.transform(items, one), ",")
     inventory = shown("inventory", lambda i: F.concat_ws(":", i["size"], i["available"].cast("string"), F.coalesce(i["count"].cast("string"), lit("-"))))
     colours = shown("colourVariants", lambda v: F.concat_ws(":", v["color"], v["id"]))
-    return found.select("id", "brand", "title", "gender", "mrp", "price", "discountPercent", "image", "url", F.array_join("sizes", ",").alias("sizes"), inventory.alias("inventory"), colours.alias("colours"))
+    return found.select("id", "brand", "title", "gender", "mrp", "price", "discountPercent", "image", "url", F.array_join("sizes", ",").alias("sizes"),
+        inventory.alias("inventory"), colours.alias("colours"))
 
 
 _SEGMENT = ["Men", "Women", "Boys", "Girls Western", "Unisex", "Home", None]
@@ -84,10 +91,14 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'c' || p_partkey ELSE CAST(p_partkey AS
 def listings_rival_c(spark, sf_dir):
     group = F.concat("k", lit("99_"), F.replace("p_name", lit(" "), lit("_")))
     fields = [
-        if_("p_partkey % 3 = 0", F.concat(lit("c"), "k")).alias("code"), c("k").alias("id"), if_("p_size % 2 = 0", c("p_brand")).alias("brandName"), c("p_name").alias("name"), if_("p_size % 3 = 2", "given").alias("color"),
-        F.when(c("p_size") % 3 == 1, F.concat(lit("/x/p/"), group)).otherwise(F.concat(lit("/x/p/"), "k")).alias("url"), F.element_at(F.array(*map(lit, _SEGMENT)), (c("p_partkey") % 7 + 1).cast("int")).alias("segmentName"), c("p_type").alias("brickNameText"),
-        F.struct(c("p_retailprice").alias("value")).alias("wasPriceData"), if_("p_size % 4 > 0", F.struct((c("p_retailprice") - 5).alias("value"))).alias("price"), F.struct((c("p_retailprice") - 7).alias("value")).alias("offerPrice"),
-        F.concat(c("p_size").cast("string"), lit("% off")).alias("discountPercent"), (c("p_retailprice") / 1000).alias("averageRating"), structs(("sizeValue", "value"), ("M", None), ("", c("p_size").cast("string"))).alias("sizeOptions"),
+        if_("p_partkey % 3 = 0", F.concat(lit("c"), "k")).alias("code"), c("k").alias("id"), if_("p_size % 2 = 0", c("p_brand")).alias("brandName"),
+        c("p_name").alias("name"), if_("p_size % 3 = 2", "given").alias("color"),
+        F.when(c("p_size") % 3 == 1, F.concat(lit("/x/p/"), group)).otherwise(F.concat(lit("/x/p/"), "k")).alias("url"),
+        F.element_at(F.array(*map(lit, _SEGMENT)), (c("p_partkey") % 7 + 1).cast("int")).alias("segmentName"), c("p_type").alias("brickNameText"),
+        F.struct(c("p_retailprice").alias("value")).alias("wasPriceData"),
+        if_("p_size % 4 > 0", F.struct((c("p_retailprice") - 5).alias("value"))).alias("price"), F.struct((c("p_retailprice") - 7).alias("value")).alias("offerPrice"),
+        F.concat(c("p_size").cast("string"), lit("% off")).alias("discountPercent"), (c("p_retailprice") / 1000).alias("averageRating"),
+        structs(("sizeValue", "value"), ("M", None), ("", c("p_size").cast("string"))).alias("sizeOptions"),
         F.struct(c("p_brand").alias("brandName"), if_("p_size % 3 = 0", group).alias("colorGroup")).alias("fnlColorVariantData"),
     ]
     found = mappers.listings_c(parts(spark, sf_dir).select(body(*fields).alias("body")))
@@ -119,12 +130,14 @@ def _detail_a() -> list[Column]:
     money = lambda x: F.struct(x.alias("doubleValue"))
     pair = lambda k, v: F.struct(lit(k).alias("key"), v.alias("value"))
     return [
-        if_("p_size % 10 > 0", c("p_name")).alias("productName"), if_("p_size % 20 > 0", F.concat(lit("t "), "p_name")).alias("productTitle"), c("p_brand").alias("brandName"), money(c("p_retailprice") - c("p_size")).alias("winningSellerPrice"), if_("p_size % 3 > 0", money(c("p_retailprice"))).alias("mrpPrice"),
+        if_("p_size % 10 > 0", c("p_name")).alias("productName"), if_("p_size % 20 > 0", F.concat(lit("t "), "p_name")).alias("productTitle"),
+        c("p_brand").alias("brandName"), money(c("p_retailprice") - c("p_size")).alias("winningSellerPrice"), if_("p_size % 3 > 0", money(c("p_retailprice"))).alias("mrpPrice"),
         if_("p_size % 4 = 0", F.concat(lit("Rs "), c("p_size").cast("string"), lit("% off"))).alias("discount"), F.when(c("p_size") % 5 == 0, zoomed).otherwise(views).alias("galleryImagesList"),
         structs(("category_id", "category_name"), (c("p_type"), ""), ("", "Top"), (c("p_brand"), c("p_type"))).alias("categoryHierarchy"), if_("p_size % 2 = 0", "Women").alias("gender"),
         if_("p_size % 3 = 1", c("p_name")).alias("productDescription"), lit("note").alias("styleNote"), F.array(pair("Fit", lit("old")), pair("Fit", c("p_type")), pair("", lit("x"))).alias("details"),
         structs(("knowMoreItemV2",), ("Free delivery",), (if_("p_size % 2 = 1", "Easy returns"),)).alias("knowMoreV2"), if_("p_size % 3 > 0", "policy").alias("returnPolicy"),
-        F.array(F.struct(if_("p_size % 7 = 0", "d").alias("description"), lit("o").alias("title"))).alias("potentialPromotions"), F.array(F.struct(F.when(c("p_size") % 8 == 0, "Video 1").otherwise("x").alias("key"))).alias("imageGalleryAttributes"),
+        F.array(F.struct(if_("p_size % 7 = 0", "d").alias("description"), lit("o").alias("title"))).alias("potentialPromotions"),
+        F.array(F.struct(F.when(c("p_size") % 8 == 0, "Video 1").otherwise("x").alias("key"))).alias("imageGalleryAttributes"),
         (c("p_size") % 6 > 0).alias("allOOStock"), (c("p_size") % 4).alias("winningSellerAvailableStock"), lit("seller").alias("winningSellerName"),
     ]
 
@@ -144,9 +157,13 @@ def _detail_b() -> list[Column]:
     album = lambda *images: F.struct(F.array(*images).alias("images"))
     return [
         F.create_map(lit("Fit"), c("p_type"), lit("Neck"), F.when(c("p_size") % 2 == 0, " na ").otherwise("round"), lit("Wash"), lit("")).alias("articleAttributes"),
-        F.array(said("style_note", lit("a<br/>b")), said("description", if_("p_size % 3 = 0", F.concat(lit("<p>"), "p_name", lit("</p>"))))).alias("descriptors"), F.array(said("Other", lit("no")), said("Product Details", c("p_type"))).alias("productDetails"),
-        F.struct(F.array(album(link(None, "//i/"), link("https://s", "x")), album(link(None, "//i/"))).alias("albums")).alias("media"), F.struct(lit("Men").alias("gender"), lit("Apparel").alias("masterCategory"), c("p_type").alias("articleType")).alias("analytics"),
-        F.struct(if_("p_size % 4 = 0", 14).alias("returnPeriod"), F.array(lit("Cash"), lit("Return in 7")).alias("descriptors")).alias("serviceability"), F.struct(F.when(c("p_size") % 5 == 0, True).otherwise(False).alias("outOfStock")).alias("flags"),
+        F.array(said("style_note", lit("a<br/>b")),
+        said("description", if_("p_size % 3 = 0", F.concat(lit("<p>"), "p_name", lit("</p>"))))).alias("descriptors"),
+        F.array(said("Other", lit("no")), said("Product Details", c("p_type"))).alias("productDetails"),
+        F.struct(F.array(album(link(None, "//i/"), link("https://s", "x")), album(link(None, "//i/"))).alias("albums")).alias("media"),
+        F.struct(lit("Men").alias("gender"), lit("Apparel").alias("masterCategory"), c("p_type").alias("articleType")).alias("analytics"),
+        F.struct(if_("p_size % 4 = 0", 14).alias("returnPeriod"), F.array(lit("Cash"), lit("Return in 7")).alias("descriptors")).alias("serviceability"),
+        F.struct(F.when(c("p_size") % 5 == 0, True).otherwise(False).alias("outOfStock")).alias("flags"),
         F.struct((c("p_retailprice") / 300).alias("averageRating"), F.struct((c("p_size") % 3).alias("reviewsCount")).alias("reviewInfo")).alias("ratings"),
     ]
 
@@ -157,7 +174,8 @@ def _detail_c() -> list[Column]:
     return [
         if_("p_size % 3 = 0", c("p_name")).alias("description"), F.array(feature("Fit", c("p_type"), lit(""), lit("Slim")), feature("Additional Information", lit("more"))).alias("featureData"),
         F.array(F.struct(F.array(feature("Country of Origin", lit("India")), feature("Empty", lit("")), feature("Fit", lit("last"))).alias("features"))).alias("classifications"),
-        structs(("format", "url"), (F.when(c("p_size") % 2 == 0, "product").otherwise("zoom"), "u1"), ("zoom", "u2")).alias("images"), F.struct(F.when(c("p_size") % 4 == 0, "outOfStock").otherwise("inStock").alias("stockLevelStatus")).alias("stock"),
+        structs(("format", "url"), (F.when(c("p_size") % 2 == 0, "product").otherwise("zoom"), "u1"), ("zoom", "u2")).alias("images"),
+        F.struct(F.when(c("p_size") % 4 == 0, "outOfStock").otherwise("inStock").alias("stockLevelStatus")).alias("stock"),
     ]
 
 
@@ -185,7 +203,8 @@ def details_union(spark, sf_dir):
     """Details of three retailers in one table."""
     found = mappers.details(**detail_pages(spark, sf_dir))
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    keep = ["platform", "id", "available", "reason", "description", pairs.alias("attributes"), "bulletPoints", F.array_join("categoryPath", ">").alias("path"), "countryOfOrigin", "returnPolicy", F.array_join("offers", ",").alias("offers")]
+    keep = ["platform", "id", "available", "reason", "description", pairs.alias("attributes"), "bulletPoints", F.array_join("categoryPath", ">").alias("path"),
+        "countryOfOrigin", "returnPolicy", F.array_join("offers", ",").alias("offers")]
     return found.select(*keep, F.array_join("images", ",").alias("images"), "videoAvailable", "inStock", "seller", "rating", "reviewCount")
 
 
@@ -198,7 +217,8 @@ def _guide_a() -> list[Column]:
     n = c("p_size").cast("string")
     worn = lambda axis, value, unit: (axis, value, unit, None, None, None, None)
     chest = F.concat(n, lit(" - "), (c("p_size") + 2).cast("string"))
-    clothes = structs(names, worn("2.CHEST", chest, "INCH"), worn("1) across shoulder", n, "CMS"), worn("2.CHEST", (c("p_size") * 2).cast("string"), "CMS"), worn("Sleeve", "n/a", "INCH"), worn("2.CHEST", F.concat(lit("9"), n), "inches"))
+    clothes = structs(names, worn("2.CHEST", chest, "INCH"), worn("1) across shoulder", n, "CMS"), worn("2.CHEST", (c("p_size") * 2).cast("string"), "CMS"),
+        worn("Sleeve", "n/a", "INCH"), worn("2.CHEST", F.concat(lit("9"), n), "inches"))
     shoes = structs(names, (None, None, "CMS", " 7 ", "8", "", n), (None, None, "Inches", "8", None, "42", "none"), (None, None, None, "", "9", None, "4"))
     group = lambda size, entries: F.struct(lit(size).cast("string").alias("dimensionSize"), entries.alias("dimensionList"))
     both = F.array(group("M", clothes), group("L", structs(names, worn("Sleeve", "x", "INCH"))))
@@ -208,7 +228,8 @@ def _guide_a() -> list[Column]:
 def _guide_b() -> list[Column]:
     names = ("name", "value", "minValue", "maxValue", "unit", "measurementType", "type")
     n = lambda k=0: (c("p_size") + k).cast("string")
-    measures = structs(names, (" Chest ", "old", "1", "1", "In", "GARMENT", None), ("Chest", n(), n(-1), n(3), "Inches", "Body", None), ("Waist", None, n(5), n(7), "cm", None, "BODY"), ("Hip", "x", None, None, "cm", None, None))
+    measures = structs(names, (" Chest ", "old", "1", "1", "In", "GARMENT", None), ("Chest", n(), n(-1), n(3), "Inches", "Body", None),
+        ("Waist", None, n(5), n(7), "cm", None, "BODY"), ("Hip", "x", None, None, "cm", None, None))
     size = lambda label, ok, m, scales: F.struct(lit(label).alias("label"), ok.alias("available"), m.alias("measurements"), scales.alias("allSizesList"))
     scales = structs(("scaleCode", "sizeValue"), ("uk_size", "7"), ("us_size", n()), ("brand_size", "40"))
     return [F.array(size("M", c("p_size") % 2 == 0, measures, F.when(c("p_size") % 3 == 0, scales)), size("L", lit(None).cast("boolean"), F.slice(measures, 4, 1), scales)).alias("sizes")]
@@ -217,8 +238,10 @@ def _guide_b() -> list[Column]:
 def _guide_c() -> list[Column]:
     names = ("attributeName", "attributeValue", "convertedAttributeValue")
     n = c("p_size").cast("string")
-    attributes = structs(names, ("Brand Size", "B1", None), ("Universal Size Format", "x", None), ("Chest_attribute", n, (c("p_size") * 2.5).cast("string")), ("Length_Attribute", "none", F.concat(n, lit("-99"))), ("Neck_attribute", "", None))
-    chart = F.struct(F.when(c("p_size") % 2 == 0, "Body Measurement").otherwise("Garment Measurement").alias("measurementType"), F.array(F.struct(lit("S").alias("sizeName"), attributes.alias("sizeChartAttributes"))).alias("brickBrandSizes"))
+    attributes = structs(names, ("Brand Size", "B1", None), ("Universal Size Format", "x", None), ("Chest_attribute", n, (c("p_size") * 2.5).cast("string")),
+        ("Length_Attribute", "none", F.concat(n, lit("-99"))), ("Neck_attribute", "", None))
+    chart = F.struct(F.when(c("p_size") % 2 == 0, "Body Measurement").otherwise("Garment Measurement").alias("measurementType"),
+        F.array(F.struct(lit("S").alias("sizeName"), attributes.alias("sizeChartAttributes"))).alias("brickBrandSizes"))
     inner = F.to_json(F.struct(F.array(chart).alias("sizechart")))
     return [F.struct(F.when(c("p_size") % 7 == 0, "no chart").otherwise(inner).alias("sizeGuideDesktop")).alias("fnlColorVariantData")]
 
@@ -288,7 +311,8 @@ def sheet_cells(spark, sf_dir) -> DataFrame:
     link = F.concat(lit("https://shop.example/x-y/p-"), F.lower(pid))
     cell = lambda col, text, to=None: F.struct(lit(col).alias("col"), text.cast("string").alias("text"), (lit(None) if to is None else to).cast("string").alias("link"))
     product = F.when(c("p_size") % 3 == 0, cell(2, pid)).when(c("p_size") % 3 == 1, cell(2, F.concat(F.substring(link, 1, 20), lit("…")), link)).otherwise(cell(2, link))
-    cells = F.array(cell(1, c("p_partkey")), product, cell(3, if_("p_partkey % 11 = 0", F.concat(lit("https://www.myntra.com/a/b/"), "k", lit("/buy")))), cell(28, F.concat(lit("see <p-1> & "), c("p_name"))), cell(29, if_("p_size % 2 = 0", "www.ajio.com")))
+    cells = F.array(cell(1, c("p_partkey")), product, cell(3, if_("p_partkey % 11 = 0", F.concat(lit("https://www.myntra.com/a/b/"), "k", lit("/buy")))),
+        cell(28, F.concat(lit("see <p-1> & "), c("p_name"))), cell(29, if_("p_size % 2 = 0", "www.ajio.com")))
     rows = parts(spark, sf_dir).select(F.concat(lit("Sheet "), (c("p_partkey") % 4).cast("string")).alias("sheet"), row.alias("row"), F.explode(cells).alias("c"))
     return rows.select("sheet", "row", "c.*").where("text is not null or link is not null")
 
@@ -327,7 +351,9 @@ def image_signatures(spark, sf_dir):
     large, small = "437Wx649H", "158Wx198H"
     region = F.element_at(F.array(lit("top"), lit("bottom"), lit("object")), (c("p_size") % 3 + 1).cast("int"))
     requests = table(spark, sf_dir, "part").select("p_partkey", region.alias("region"), at(large).alias("url"))
-    pictures = table(spark, sf_dir, "part").select(k.alias("k"), F.explode(F.array(F.struct(F.concat(lit("https:"), at(small)).alias("url"), lit(10).alias("g"), (k % 3 == 0).alias("ok")), F.struct(F.concat(lit("https:"), at(large)).alias("url"), lit(60).alias("g"), (k % 5 > 0).alias("ok")))).alias("i")).where("i.ok").distinct()
+    pictures = table(spark, sf_dir, "part").select(k.alias("k"),
+        F.explode(F.array(F.struct(F.concat(lit("https:"), at(small)).alias("url"), lit(10).alias("g"), (k % 3 == 0).alias("ok")),
+        F.struct(F.concat(lit("https:"), at(large)).alias("url"), lit(60).alias("g"), (k % 5 > 0).alias("ok")))).alias("i")).where("i.ok").distinct()
     xy = pictures.select("k", "i.*", F.explode(F.sequence(lit(0), lit(399))).alias("n")).withColumns({"x": (c("n") % 20).cast("int"), "y": F.floor(c("n") / 20).cast("int")})
     inner = c("x").between(2, 17) & c("y").between(2, 17)
     colour = lambda v: F.when(inner, v).otherwise(250).cast("int")

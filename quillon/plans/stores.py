@@ -50,7 +50,8 @@ def job_events(spark, sf_dir) -> DataFrame:
     e = c("event_type")
     state = F.when(e == "view", "pending").when(e == "click", "running").otherwise("done")
     status = F.when(e == "purchase", "matched").when(e == "error", "error").when(e == "signup", "no_match")
-    return table(spark, sf_dir, "events").select(F.floor(c("user_id") / 4).alias("job_id"), c("user_id").alias("item"), state.alias("state"), status.alias("status"), c("ts").alias("at"), "ts", "event_id")
+    return table(spark, sf_dir, "events").select(F.floor(c("user_id") / 4).alias("job_id"), c("user_id").alias("item"), state.alias("state"),
+        status.alias("status"), c("ts").alias("at"), "ts", "event_id")
 
 
 _JOBS = """WITH r AS (SELECT user_id // 4 AS job_id, user_id AS item, event_type AS e, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), i AS (SELECT * FROM r WHERE rn = 1),
@@ -160,7 +161,8 @@ def gathered_catalog(spark, sf_dir):
     """Listings of all terms and pages as a catalog: the first of each id, until 1200 are found."""
     title = F.when(c("l_returnflag") != "A", "t").otherwise(" ")
     pages = table(spark, sf_dir, "lineitem").select(
-        c("l_partkey").alias("id"), (c("l_suppkey") % 5).alias("term"), c("l_orderkey").alias("page"), c("l_linenumber").alias("pos"), "l_suppkey", "l_quantity", title.alias("title"), F.when(c("l_quantity") > 3, c("l_extendedprice")).alias("price")
+        c("l_partkey").alias("id"), (c("l_suppkey") % 5).alias("term"), c("l_orderkey").alias("page"), c("l_linenumber").alias("pos"), "l_suppkey",
+        "l_quantity", title.alias("title"), F.when(c("l_quantity") > 3, c("l_extendedprice")).alias("price")
     )
     return ordered.gathered(pages, ["term", "page", "pos", "l_suppkey", "l_quantity", "price"], 1200).select("id", "term", "page", "pos")
 
@@ -222,7 +224,8 @@ SELECT id, brand, title, "matchType", confidence, "bestPlatform", matched, cheap
 
 def _report_list(spark, sf_dir, **how) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
-        c("user_id").alias("anchor_id"), F.concat(lit("p"), (c("event_id") % 3).cast("string")).alias("platform"), F.when(c("event_type") == "purchase", "matched").otherwise("no_match").alias("status"), c("value").alias("price"), c("value").alias("score"),
+        c("user_id").alias("anchor_id"), F.concat(lit("p"), (c("event_id") % 3).cast("string")).alias("platform"),
+        F.when(c("event_type") == "purchase", "matched").otherwise("no_match").alias("status"), c("value").alias("price"), c("value").alias("score"),
         F.when(c("value") > 20, "EXACT MATCH").otherwise("CLOSE MATCH").alias("matchType"), c("ts").alias("matched_at"),
     )
     products = table(spark, sf_dir, "part").where("p_size % 4 > 0").select(c("p_partkey").alias("id"), c("p_brand").alias("brand"), c("p_name").alias("title"), lit("catalog").alias("source"))
@@ -281,8 +284,10 @@ def report_decisions(spark, sf_dir):
     score = F.when(z % 9 > 0, F.round(((i * (o + 1)) % 40 + 60) / 100, 2))
     texts = lambda ok, *x: F.when(ok, F.array(*map(lit, x))).otherwise(F.array().cast("array<string>"))
     columns = each.select(
-        i.alias("anchor_id"), "ord", F.concat(lit("P"), o.cast("string")).alias("label"), status.alias("status"), score.alias("score"), F.when(z % 8 > 0, c("own") + (i * (o + 2)) % 7 - 3).alias("price"), ((i + o) % 5).alias("images"),
-        F.when(score >= 0.85, "EXACT MATCH").otherwise("CLOSE MATCH").alias("matchType"), texts(z % 3 == 0, "Brand matches", "Exact MRP match").alias("why"), texts(z % 2 == 0, "d1", "d2", "d3").alias("differences"),
+        i.alias("anchor_id"), "ord", F.concat(lit("P"), o.cast("string")).alias("label"), status.alias("status"), score.alias("score"),
+        F.when(z % 8 > 0, c("own") + (i * (o + 2)) % 7 - 3).alias("price"), ((i + o) % 5).alias("images"),
+        F.when(score >= 0.85, "EXACT MATCH").otherwise("CLOSE MATCH").alias("matchType"), texts(z % 3 == 0, "Brand matches", "Exact MRP match").alias("why"),
+        texts(z % 2 == 0, "d1", "d2", "d3").alias("differences"),
     )
     anchors = rows.select(i.alias("anchor_id"), c("own").alias("price"), (z % 4).alias("images"), F.when(z % 7 == 0, "Size charts agree.").alias("size_insight"))
     return reports.decision(anchors, columns, "Own").withColumn("insights", F.array_join("insights", "|"))

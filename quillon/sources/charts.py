@@ -22,7 +22,8 @@ def _long(rows: DataFrame, inch: str | None = None, cm: str | None = None) -> Da
 
 def measured(rows: DataFrame, platform: str) -> DataFrame:
     """Rows for each measure and unit (product_id, ord, axis, unit, size, value): units side by side, axes by their least ordinal."""
-    g = rows.groupBy("product_id", "size", "axis").agg(F.min("ord").alias("pos"), *[F.min_by(F.when(F.col("unit").rlike(p), F.col("value")), F.when(F.col("unit").rlike(p), F.col("ord"))).alias(n) for n, p in (("i", "(?i)^in"), ("c", "(?i)^cm"))])
+    g = rows.groupBy("product_id", "size", "axis").agg(F.min("ord").alias("pos"),
+        *[F.min_by(F.when(F.col("unit").rlike(p), F.col("value")), F.when(F.col("unit").rlike(p), F.col("ord"))).alias(n) for n, p in (("i", "(?i)^in"), ("c", "(?i)^cm"))])
     return _long(g.withColumns({"platform": F.lit(platform), "raw_axis": F.col("axis"), "basis": F.lit(None).cast("string")}), "i", "c")
 
 
@@ -52,7 +53,8 @@ def encoded(rows: DataFrame, platform: str) -> DataFrame:
 SCALES = "struct<uk:string,us:string,euro:string>"
 #: Columns of a chart's row for each size and measure; a size without measures has one row with a null axis.
 CHART = {
-    "product_id": "string", "platform": "string", "pos": "int", "size": "string", "brandSize": "string", "available": "boolean", "scales": SCALES, "raw_axis": "string", "ord": "int", "basis": "string",
+    "product_id": "string", "platform": "string", "pos": "int", "size": "string", "brandSize": "string", "available": "boolean", "scales": SCALES,
+    "raw_axis": "string", "ord": "int", "basis": "string",
     "inch": "double", "inch_lo": "double", "inch_hi": "double", "cm": "double", "cm_lo": "double", "cm_hi": "double",
 }
 GUIDE_A = (
@@ -92,7 +94,8 @@ def guides_a(rows: DataFrame) -> DataFrame:
     name = F.coalesce(c("d.dimension"), F.lit(""))
     axis = F.trim(F.initcap(F.lower(F.regexp_replace(name, r"^\s*\d+\s*[.)]\s*", ""))))
     ordinal = F.coalesce(F.regexp_extract(name, r"^\s*(\d+)", 1).try_cast("int"), F.lit(99))
-    worn = each.where("size <> ''").select("product_id", "pos", "size", "n", F.when(name != "", axis).alias("raw_axis"), F.when(name != "", ordinal).alias("ord"), t.measurement(c("d.dimensionValue")).alias("m"), inches.alias("inches"))
+    worn = each.where("size <> ''").select("product_id", "pos", "size", "n", F.when(name != "", axis).alias("raw_axis"),
+        F.when(name != "", ordinal).alias("ord"), t.measurement(c("d.dimensionValue")).alias("m"), inches.alias("inches"))
     last = lambda on, field: F.max_by(c(f"m.{field}"), F.when(on & c("m").isNotNull(), c("n")))
     folds = [last(on, field).alias(f"{unit}{end}") for unit, on in (("inch", c("inches")), ("cm", ~c("inches"))) for end, field in (("", "value"), ("_lo", "lo"), ("_hi", "hi"))]
     folded = worn.groupBy("product_id", "pos", "size", "raw_axis").agg(F.min("ord").alias("ord"), *folds, F.count("m").alias("known"))
@@ -107,7 +110,8 @@ def guides_a(rows: DataFrame) -> DataFrame:
     shoes = each.where("size = ''").withColumns({"uk": uk, "m": foot}).where("uk <> ''")
     m, some = c("m"), lambda x: F.nullif(F.trim(x), F.lit(""))
     known = lambda x: F.when(m.isNotNull(), F.lit(x))
-    columns = {"size": c("uk"), "brandSize": c("uk"), "scales": _scales(c("uk"), some(c("d.usSize")), some(c("d.euroSize"))), "raw_axis": known(FOOT), "ord": known(1), "basis": known("body")} | _units(m, inches)
+    columns = {"size": c("uk"), "brandSize": c("uk"), "scales": _scales(c("uk"), some(c("d.usSize")), some(c("d.euroSize"))), "raw_axis": known(FOOT),
+        "ord": known(1), "basis": known("body")} | _units(m, inches)
     return shaped.unionByName(_chart(shoes, "a", pos=c("pos") * 1000 + c("n"), **columns))
 
 
@@ -141,11 +145,14 @@ def guides_c(rows: DataFrame) -> DataFrame:
     inner = parsed(rows.withColumn("body", F.get_json_object("body", "$.fnlColorVariantData.sizeGuideDesktop")), GUIDE_C)
     groups = inner.select("product_id", F.posexplode("j.sizechart").alias("g", "chart"))
     basis = F.when(c("chart.measurementType").rlike("(?i)body"), "body").otherwise("garment")
-    sizes = groups.select("product_id", "g", basis.alias("basis"), F.posexplode("chart.brickBrandSizes").alias("n", "s")).withColumn("size", F.trim(F.coalesce("s.sizeName", F.lit("")))).where("size <> ''")
-    named = F.transform("s.sizeChartAttributes", lambda a: F.struct(F.trim(F.regexp_replace(F.coalesce(a["attributeName"], F.lit("")), "(?i)_attribute$", "")).alias("name"), a["attributeValue"].alias("inch"), a["convertedAttributeValue"].alias("cm")))
+    sizes = groups.select("product_id", "g", basis.alias("basis"), F.posexplode("chart.brickBrandSizes").alias("n", "s")).withColumn("size",
+        F.trim(F.coalesce("s.sizeName", F.lit("")))).where("size <> ''")
+    named = F.transform("s.sizeChartAttributes", lambda a: F.struct(F.trim(F.regexp_replace(F.coalesce(a["attributeName"], F.lit("")), "(?i)_attribute$",
+        "")).alias("name"), a["attributeValue"].alias("inch"), a["convertedAttributeValue"].alias("cm")))
     sizes = sizes.withColumn("a", named)
     brand = F.get(F.reverse(F.filter("a", lambda a: a["name"].rlike("(?i)^brand size$"))), F.lit(0))["inch"]
-    each = sizes.select("product_id", (c("g") * 1000 + c("n")).alias("pos"), "size", F.coalesce(F.nullif(F.trim(brand), F.lit("")), "size").alias("brandSize"), "basis", F.posexplode("a").alias("ord", "d"))
+    each = sizes.select("product_id", (c("g") * 1000 + c("n")).alias("pos"), "size", F.coalesce(F.nullif(F.trim(brand), F.lit("")), "size").alias("brandSize"),
+        "basis", F.posexplode("a").alias("ord", "d"))
     each = each.withColumns({"raw_axis": c("d.name"), "i": t.measurement(c("d.inch")), "m": t.measurement(c("d.cm"))})
     each = each.where((c("raw_axis") != "") & ~c("raw_axis").rlike(LABELS) & F.coalesce(c("i.value"), c("m.value")).isNotNull())
     keyed = each.groupBy("product_id", "pos", "size", "brandSize", "basis", "raw_axis").agg(F.max_by(F.struct("i", "m"), "ord").alias("v"), F.min("ord").alias("ord"))

@@ -108,7 +108,8 @@ def page_fields(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, query, title, text) of raw pages: link parts and text without markup."""
     part = lambda p: F.try_parse_url(F.col("url"), F.lit(p))
     body = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
-    return pages.select("page_id", F.lower(part("HOST")).alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), t.plain(body).alias("text"))
+    return pages.select("page_id", F.lower(part("HOST")).alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"),
+        F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), t.plain(body).alias("text"))
 
 
 def resolved(ids: DataFrame, key: str, *sources: DataFrame) -> DataFrame:

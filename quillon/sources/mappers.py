@@ -123,8 +123,10 @@ def parsed(rows: DataFrame, schema: str, body: str = "body") -> DataFrame:
 def _shape(source: str, **columns: Column) -> list[Column]:
     """The columns of a listing in their order, those that a retailer doesn't have as nulls or empty lists."""
     kinds = {
-        "id": "string", "source": "string", "brand": "string", "title": "string", "color": "string", "styleCode": "string", "baseProductId": "string", "mrp": "double", "price": "double", "currency": "string",
-        "discountPercent": "double", "rating": "double", "ratingCount": "bigint", "image": "string", "url": "string", "category": "struct<l1:string,l2:string,l3:string>", "gender": "string", "articleType": "string",
+        "id": "string", "source": "string", "brand": "string", "title": "string", "color": "string", "styleCode": "string", "baseProductId": "string",
+        "mrp": "double", "price": "double", "currency": "string",
+        "discountPercent": "double", "rating": "double", "ratingCount": "bigint", "image": "string", "url": "string",
+        "category": "struct<l1:string,l2:string,l3:string>", "gender": "string", "articleType": "string",
         "sizes": "array<string>", "inventory": "array<struct<size:string,available:boolean,count:bigint>>", "colourVariants": "array<struct<color:string,id:string>>",
     }
     columns["source"] = F.lit(source)
@@ -142,8 +144,10 @@ def listings_a(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     tree = folded(j["categoryHierarchy"])
     price = F.col("j.price.sellingPrice.doubleValue")
     shape = _shape(
-        "a", id=some(j["productId"]), brand=F.trim(F.coalesce(j["brandname"], F.lit(""))), title=F.trim(F.coalesce(j["productname"], F.lit(""))), color=some(j["productColor"]), styleCode=some(j["styleCode"]),
-        baseProductId=some(j["baseProductId"]), mrp=F.coalesce(F.col("j.price.mrpPrice.doubleValue"), price), price=price, currency=F.coalesce(some(F.col("j.price.sellingPrice.currencyIso")), F.lit("INR")),
+        "a", id=some(j["productId"]), brand=F.trim(F.coalesce(j["brandname"], F.lit(""))), title=F.trim(F.coalesce(j["productname"], F.lit(""))),
+        color=some(j["productColor"]), styleCode=some(j["styleCode"]),
+        baseProductId=some(j["baseProductId"]), mrp=F.coalesce(F.col("j.price.mrpPrice.doubleValue"), price), price=price,
+        currency=F.coalesce(some(F.col("j.price.sellingPrice.currencyIso")), F.lit("INR")),
         discountPercent=some(j["discountPercent"]).try_cast("double"), rating=j["averageRating"], ratingCount=j["ratingCount"], image=absolute(j["imageURL"]),
         url=F.concat(F.lit(SITES["a"]), some(j["webURL"])), category=_category(*[F.try_element_at(tree, F.lit(f"L{i}")) for i in (1, 2, 3)]),
     )
@@ -155,12 +159,15 @@ def listings_b(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     j = F.col("j")
     given = F.when(j["discount"] <= 100, j["discount"])
     shape = _shape(
-        "b", id=some(j["productId"]), brand=F.trim(F.coalesce(j["brand"], F.lit(""))), title=F.trim(F.coalesce(j["productName"], F.lit(""))), color=some(j["primaryColour"]), gender=F.lower(some(j["gender"])), articleType=some(j["articleType"]),
-        mrp=j["mrp"], price=j["price"], currency=F.lit("INR"), discountPercent=F.coalesce(percent_off(j["mrp"], j["price"]), given), rating=F.when(j["rating"] > 0, F.round(j["rating"], 2)), ratingCount=j["ratingCount"],
+        "b", id=some(j["productId"]), brand=F.trim(F.coalesce(j["brand"], F.lit(""))), title=F.trim(F.coalesce(j["productName"], F.lit(""))),
+        color=some(j["primaryColour"]), gender=F.lower(some(j["gender"])), articleType=some(j["articleType"]),
+        mrp=j["mrp"], price=j["price"], currency=F.lit("INR"), discountPercent=F.coalesce(percent_off(j["mrp"], j["price"]), given),
+        rating=F.when(j["rating"] > 0, F.round(j["rating"], 2)), ratingCount=j["ratingCount"],
         image=F.coalesce(some(j["searchImage"]), some(F.get(j["images"], F.lit(0))["src"])), url=F.concat(F.lit(SITES["b"]), some(j["landingPageUrl"])),
         sizes=F.filter(F.transform(F.split(F.coalesce(j["sizes"], F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != ""),
         inventory=F.transform(j["inventoryInfo"], lambda i: F.struct(i["label"].alias("size"), F.coalesce(i["available"], F.lit(False)).alias("available"), i["inventory"].alias("count"))),
-        colourVariants=F.filter(F.transform(j["colourVariants"], lambda v: F.struct(F.coalesce(some(v["color"]), some(v["colour"])).alias("color"), v["styleId"].alias("id"))), lambda v: v["color"].isNotNull()),
+        colourVariants=F.filter(F.transform(j["colourVariants"],
+        lambda v: F.struct(F.coalesce(some(v["color"]), some(v["colour"])).alias("color"), v["styleId"].alias("id"))), lambda v: v["color"].isNotNull()),
     )
     return parsed(rows, LISTING_B).where("j.productId <> ''").select(*keep, *shape)
 
@@ -173,8 +180,10 @@ def listings_c(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     shape = _shape(
         "c", id=either("code", "id"), brand=F.trim(F.coalesce(some(j["brandName"]), F.col("j.fnlColorVariantData.brandName"), F.lit(""))), title=F.trim(F.coalesce(j["name"], F.lit(""))),
         color=F.coalesce(colour_of_variant(F.col("j.fnlColorVariantData.colorGroup"), j["url"]), some(j["color"])), gender=gender_of_segment(segment), articleType=brick,
-        category=_category(segment, either("verticalNameText", "verticalName"), brick), mrp=F.coalesce(F.col("j.wasPriceData.value"), j["mrp"]), price=F.coalesce(F.col("j.price.value"), F.col("j.offerPrice.value")), currency=F.lit("INR"),
-        discountPercent=F.regexp_replace(some(j["discountPercent"]), "[^0-9.]", "").try_cast("double"), rating=F.when(j["averageRating"] > 0, F.round(j["averageRating"], 2)), ratingCount=j["totalRatingsCount"],
+        category=_category(segment, either("verticalNameText", "verticalName"), brick), mrp=F.coalesce(F.col("j.wasPriceData.value"), j["mrp"]),
+        price=F.coalesce(F.col("j.price.value"), F.col("j.offerPrice.value")), currency=F.lit("INR"),
+        discountPercent=F.regexp_replace(some(j["discountPercent"]), "[^0-9.]", "").try_cast("double"),
+        rating=F.when(j["averageRating"] > 0, F.round(j["averageRating"], 2)), ratingCount=j["totalRatingsCount"],
         image=F.coalesce(some(j["imageUrl"]), some(F.get(j["images"], F.lit(0))["url"])), url=F.concat(F.lit(SITES["c"]), some(j["url"])),
         sizes=F.filter(F.transform(j["sizeOptions"], lambda s: F.coalesce(some(s["sizeValue"]), some(s["value"]))), lambda s: s.isNotNull()),
     )
@@ -187,10 +196,12 @@ def search_pages(pages: DataFrame, results: str = "searchresult") -> DataFrame:
     j = F.col("j")
     read = parsed(pages, f"{results} array<variant>, pagination struct<totalResults:bigint,totalPages:bigint>")
     blocked = F.col("status") == 403
-    reason = F.when(blocked, "blocked").when(F.coalesce(F.col("status"), F.lit(0)) != 200, F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("?")))).when(j.isNull(), "malformed")
+    reason = F.when(blocked, "blocked").when(F.coalesce(F.col("status"), F.lit(0)) != 200,
+        F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("?")))).when(j.isNull(), "malformed")
     items = F.when(reason.isNull(), j[results])
     total = F.when(reason.isNull(), F.coalesce(F.col("j.pagination.totalResults"), F.size(F.coalesce(items, F.array().cast("array<variant>"))).cast("bigint"))).otherwise(F.lit(0))
-    head = read.select("query", "page", blocked.alias("blocked"), reason.alias("reason"), total.alias("total"), F.when(reason.isNull(), F.col("j.pagination.totalPages")).alias("total_pages"), items.alias("items"))
+    head = read.select("query", "page", blocked.alias("blocked"), reason.alias("reason"), total.alias("total"),
+        F.when(reason.isNull(), F.col("j.pagination.totalPages")).alias("total_pages"), items.alias("items"))
     each = head.select(*[c for c in head.columns if c != "items"], F.posexplode_outer("items").alias("position", "item"))
     return each.withColumn("item", F.to_json("item"))
 
@@ -205,17 +216,22 @@ def anchors_a(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     levels = F.filter(F.transform(j["categoryHierarchy"], lambda c: c["category_id"]), lambda c: some(c).isNotNull())
     shape = _shape(
         "a", id=F.col("id"), brand=F.trim(F.coalesce(j["brandName"], F.lit(""))), title=title, color=some(j["productColor"]), styleCode=some(j["styleCode"]), mrp=mrp, price=price,
-        currency=F.coalesce(some(F.col("j.winningSellerPrice.currencyIso")), F.lit("INR")), discountPercent=discount, rating=j["averageRating"], ratingCount=j["ratingCount"], image=F.get(gallery(j["galleryImagesList"]), F.lit(0)),
-        url=F.concat(F.lit(SITES["a"]), F.coalesce(some(F.col("j.seo.canonicalUrl")), F.concat(F.lit("/p-"), F.lower("id")))), category=_category(*[F.get(levels, F.lit(i)) for i in range(3)]), gender=F.lower(some(j["gender"])),
+        currency=F.coalesce(some(F.col("j.winningSellerPrice.currencyIso")), F.lit("INR")), discountPercent=discount, rating=j["averageRating"],
+        ratingCount=j["ratingCount"], image=F.get(gallery(j["galleryImagesList"]), F.lit(0)),
+        url=F.concat(F.lit(SITES["a"]), F.coalesce(some(F.col("j.seo.canonicalUrl")), F.concat(F.lit("/p-"), F.lower("id")))),
+        category=_category(*[F.get(levels, F.lit(i)) for i in range(3)]), gender=F.lower(some(j["gender"])),
     )
     return parsed(rows, DETAIL_A).where((F.col("id") != "") & (title != "")).select(*keep, *shape)
 
 
 #: Columns of a detail in their order.
 DETAILS = {
-    "platform": "string", "id": "string", "available": "boolean", "reason": "string", "description": "string", "styleNote": "string", "attributes": "map<string,string>", "bulletPoints": "int", "gender": "string",
-    "categoryPath": "array<string>", "countryOfOrigin": "string", "manufacturer": "string", "returnPolicy": "string", "deliveryModes": "array<struct<mode:string,promise:string>>", "offers": "array<string>",
-    "images": "array<string>", "imageCount": "int", "videoAvailable": "boolean", "inStock": "boolean", "seller": "string", "sellerRating": "double", "rating": "double", "ratingCount": "bigint", "reviewCount": "bigint",
+    "platform": "string", "id": "string", "available": "boolean", "reason": "string", "description": "string", "styleNote": "string",
+    "attributes": "map<string,string>", "bulletPoints": "int", "gender": "string",
+    "categoryPath": "array<string>", "countryOfOrigin": "string", "manufacturer": "string", "returnPolicy": "string",
+    "deliveryModes": "array<struct<mode:string,promise:string>>", "offers": "array<string>",
+    "images": "array<string>", "imageCount": "int", "videoAvailable": "boolean", "inStock": "boolean", "seller": "string", "sellerRating": "double",
+    "rating": "double", "ratingCount": "bigint", "reviewCount": "bigint",
 }
 
 
@@ -244,11 +260,16 @@ def details_a(rows: DataFrame) -> DataFrame:
     returns = first(F.transform(j["knowMoreV2"], lambda k: k["knowMoreItemV2"]), lambda x: x.rlike("(?i)return"))
     video = F.exists(j["imageGalleryAttributes"], lambda a: F.coalesce(a["key"].rlike("(?i)video"), F.lit(False)))
     return _detail(
-        rows, "a", DETAIL_A, "blocked", description=F.coalesce(some(j["productDescription"]), some(j["styleNote"])), styleNote=some(j["styleNote"]), attributes=last_wins(F.filter(j["details"], lambda d: d["key"] != "")),
-        bulletPoints=F.size(F.coalesce(j["details"], F.array().cast("array<struct<key:string,value:string>>"))), gender=some(j["gender"]), categoryPath=_texts(j["categoryHierarchy"], lambda c: c["category_name"]), countryOfOrigin=some(F.col("j.mfgDetails.countryOfOrigin")),
-        manufacturer=some(F.get(F.col("j.mfgDetails.manufacturer"), F.lit(0))["value"]), returnPolicy=F.coalesce(returns, some(j["returnPolicy"])), deliveryModes=F.transform(j["deliveryModesATP"], lambda m: F.struct(m["key"].alias("mode"), m["value"].alias("promise"))),
-        offers=_texts(j["potentialPromotions"], lambda o: F.coalesce(some(o["description"]), o["title"])), images=images, imageCount=F.size(images), videoAvailable=F.coalesce(video, F.lit(False)) | some(j["videoUrl"]).isNotNull(),
-        inStock=F.coalesce(j["allOOStock"] == F.lit(False), F.lit(False)) | (F.coalesce(j["winningSellerAvailableStock"], F.lit(0)) > 0), seller=some(j["winningSellerName"]), sellerRating=j["winningSellerRating"],
+        rows, "a", DETAIL_A, "blocked", description=F.coalesce(some(j["productDescription"]), some(j["styleNote"])), styleNote=some(j["styleNote"]),
+        attributes=last_wins(F.filter(j["details"], lambda d: d["key"] != "")),
+        bulletPoints=F.size(F.coalesce(j["details"], F.array().cast("array<struct<key:string,value:string>>"))), gender=some(j["gender"]),
+        categoryPath=_texts(j["categoryHierarchy"], lambda c: c["category_name"]), countryOfOrigin=some(F.col("j.mfgDetails.countryOfOrigin")),
+        manufacturer=some(F.get(F.col("j.mfgDetails.manufacturer"), F.lit(0))["value"]), returnPolicy=F.coalesce(returns, some(j["returnPolicy"])),
+        deliveryModes=F.transform(j["deliveryModesATP"], lambda m: F.struct(m["key"].alias("mode"), m["value"].alias("promise"))),
+        offers=_texts(j["potentialPromotions"], lambda o: F.coalesce(some(o["description"]), o["title"])), images=images, imageCount=F.size(images),
+        videoAvailable=F.coalesce(video, F.lit(False)) | some(j["videoUrl"]).isNotNull(),
+        inStock=F.coalesce(j["allOOStock"] == F.lit(False), F.lit(False)) | (F.coalesce(j["winningSellerAvailableStock"], F.lit(0)) > 0),
+        seller=some(j["winningSellerName"]), sellerRating=j["winningSellerRating"],
         rating=j["averageRating"], ratingCount=j["ratingCount"], reviewCount=j["numberOfReviews"],
     )
 
@@ -259,17 +280,22 @@ def details_b(rows: DataFrame) -> DataFrame:
     said = last_wins(F.transform(F.filter(j["descriptors"], lambda d: d["title"] != ""), lambda d: F.struct(d["title"].alias("key"), t.plain(d["description"]).alias("value"))))
     of = lambda key: some(F.try_element_at(said, F.lit(key)))
     about = t.plain(first(j["productDetails"], lambda p: p["title"].rlike("(?i)product details"))["description"])
-    links = _texts(F.flatten(F.transform(F.col("j.media.albums"), lambda a: F.coalesce(a["images"], F.array().cast("array<struct<secureSrc:string,src:string>>")))), lambda im: F.coalesce(some(im["secureSrc"]), im["src"]))
+    links = _texts(F.flatten(F.transform(F.col("j.media.albums"),
+        lambda a: F.coalesce(a["images"], F.array().cast("array<struct<secureSrc:string,src:string>>")))), lambda im: F.coalesce(some(im["secureSrc"]), im["src"]))
     images = F.array_distinct(links)
     period, service = F.col("j.serviceability.returnPeriod"), F.col("j.serviceability.descriptors")
     returns = F.when(period > 0, F.concat(period.cast("string"), F.lit(" Days Return"))).otherwise(first(service, lambda x: x.rlike("(?i)return")))
     path = F.filter(F.array(F.col("j.analytics.masterCategory"), F.col("j.analytics.subCategory"), F.col("j.analytics.articleType")), lambda c: some(c).isNotNull())
     reviews = F.col("j.ratings.reviewInfo.reviewsCount")
     return _detail(
-        rows, "b", DETAIL_B, "blocked", description=F.coalesce(of("description"), some(about)), styleNote=of("style_note"), attributes=attributes, bulletPoints=F.size(attributes), gender=F.lower(some(F.col("j.analytics.gender"))), categoryPath=path,
-        countryOfOrigin=some(j["countryOfOrigin"]), manufacturer=some(j["manufacturer"]), returnPolicy=returns, deliveryModes=F.transform(service, lambda x: F.struct(F.lit("standard").alias("mode"), x.alias("promise"))),
-        offers=_texts(j["offers"], lambda o: o["title"]), images=images, imageCount=F.size(images), videoAvailable=F.coalesce(F.size(F.col("j.media.videos")) > 0, F.lit(False)), inStock=F.coalesce(F.col("j.flags.outOfStock") == F.lit(False), F.lit(False)),
-        seller=some(F.get(j["sellers"], F.lit(0))["name"]), rating=F.when(F.col("j.ratings.averageRating") > 0, F.round(F.col("j.ratings.averageRating"), 2)), ratingCount=F.col("j.ratings.totalCount"), reviewCount=F.when(reviews > 0, reviews),
+        rows, "b", DETAIL_B, "blocked", description=F.coalesce(of("description"), some(about)), styleNote=of("style_note"), attributes=attributes,
+        bulletPoints=F.size(attributes), gender=F.lower(some(F.col("j.analytics.gender"))), categoryPath=path,
+        countryOfOrigin=some(j["countryOfOrigin"]), manufacturer=some(j["manufacturer"]), returnPolicy=returns,
+        deliveryModes=F.transform(service, lambda x: F.struct(F.lit("standard").alias("mode"), x.alias("promise"))),
+        offers=_texts(j["offers"], lambda o: o["title"]), images=images, imageCount=F.size(images),
+        videoAvailable=F.coalesce(F.size(F.col("j.media.videos")) > 0, F.lit(False)), inStock=F.coalesce(F.col("j.flags.outOfStock") == F.lit(False), F.lit(False)),
+        seller=some(F.get(j["sellers"], F.lit(0))["name"]), rating=F.when(F.col("j.ratings.averageRating") > 0, F.round(F.col("j.ratings.averageRating"), 2)),
+        ratingCount=F.col("j.ratings.totalCount"), reviewCount=F.when(reviews > 0, reviews),
     )
 
 
@@ -294,8 +320,10 @@ def details_c(rows: DataFrame) -> DataFrame:
     shown = F.when(F.size(products) > 0, products).otherwise(j["images"])
     images = _texts(shown, lambda i: i["url"])
     return _detail(
-        rows, "c", DETAIL_C, "akamai-ip-block", description=F.coalesce(some(j["description"]), *map(of, ABOUT)), attributes=known, countryOfOrigin=F.coalesce(some(j["countryOfOrigin"]), of("Country of Origin")), images=images,
-        imageCount=F.coalesce(F.size(shown), F.lit(0)), videoAvailable=F.lit(False), inStock=F.coalesce(F.col("j.stock.stockLevelStatus") != "outOfStock", F.lit(True)), offers=_texts(j["potentialPromotions"], lambda o: F.coalesce(some(o["description"]), o["title"])),
+        rows, "c", DETAIL_C, "akamai-ip-block", description=F.coalesce(some(j["description"]), *map(of, ABOUT)), attributes=known,
+        countryOfOrigin=F.coalesce(some(j["countryOfOrigin"]), of("Country of Origin")), images=images,
+        imageCount=F.coalesce(F.size(shown), F.lit(0)), videoAvailable=F.lit(False),
+        inStock=F.coalesce(F.col("j.stock.stockLevelStatus") != "outOfStock", F.lit(True)), offers=_texts(j["potentialPromotions"], lambda o: F.coalesce(some(o["description"]), o["title"])),
         returnPolicy=some(j["returnPolicy"]), seller=some(j["sellerName"]),
     )
 
