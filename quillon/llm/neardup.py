@@ -11,9 +11,9 @@ confirmed on full sets, and confirmed ones joined into components. There are two
 first around the least id, the second around the member with the most confirmed links, in buckets whose
 members still belong to several components. A centre has met every member and leaves its bucket. Members that are
 still apart could be linked past both centres. So in each bucket that is still open, the members outside its
-largest component are compared on full sets with all others of another component, in blocks of
-some centres and some members inside tasks; only confirmed links leave a task, and a pair is looked at
-in the first bucket that it shares. No cap is needed, and no link is lost.
+largest component are compared with all others of another component, in blocks of centres and members
+that are bounded by their shingles, inside tasks: those that share one of their rarest shingles are compared on full sets. Only
+confirmed links leave a task, and a pair is looked at in the first bucket that it shares. No cap is needed, and no link is lost.
 
 Intermediate tables are Parquet in the shared folder. Hot buckets: their least member and their number are
 partial aggregates, and members meet what belongs to their bucket in a sort-merge join of two tables, whose large partitions
@@ -39,8 +39,8 @@ SHINGLE = 5
 SIMILARITY = 80  # per cent
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Centres and members compared at once.
-BLOCK, SLICE = 64, 512
+#: Shingles of the centres and of the members that are compared at once.
+BLOCK, SLICE = 1 << 18, 1 << 20
 MOST_ROUNDS = 64
 
 
@@ -205,7 +205,7 @@ def _star(met: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of other components that no centre has met, compared in blocks."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    sizes = members.groupBy("bucket", "component").agg(F.sum("n").alias("k"))
     whole = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("k"))
     whole = whole.select("bucket", F.col("top.component").alias("main"), F.ceil(F.col("k") / SLICE).alias("slices"), F.ceil((F.col("k") - F.col("top.k")) / BLOCK).alias("blocks")).where("blocks > 0")
     rows = by_bucket(members, whole)
@@ -242,37 +242,51 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(group, percent: int) -> tuple[list[int], list[int]]:
-    """Pairs of centres and members of a block whose full sets are similar enough."""
+    """Pairs of centres and members of a block whose full sets are similar enough.
+
+    Similar sets share one of their rarest shingles (prefix filter): of ``n`` members of a set, ``n - percent * n / 100 + 1``
+    hold at least one of every set that is alike enough. How rare a shingle is, is counted in the block; any order is right."""
+    out: tuple[list[int], list[int]] = ([], [])
     head = group.column("head").to_numpy()
     if head.all() or not head.any():
-        return [], []
+        return out
     ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
     shingles = group.column("shingles").combine_chunks()
-    values, offset = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+    offset = shingles.offsets.to_numpy().astype(np.int64)
+    values, offset = shingles.values.to_numpy()[offset[0] : offset[-1]], offset - offset[0]
     bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     bucket = group.column("bucket")[0].as_py()
     size = np.diff(offset)
-    rest = np.flatnonzero(~head)
-    span = np.concatenate([np.arange(offset[j], offset[j + 1]) for j in rest])
-    own, at = values[span], np.cumsum(size[rest]) - size[rest]
-    out: tuple[list[int], list[int]] = ([], [])
-    for i in np.flatnonzero(head):
-        same = bands[rest] == bands[i]
-        first = bands[i][same.argmax(1)] == bucket  # the first bucket that both are in
-        close = first & (component[rest] != component[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
-        if not close.any():
+    owner = np.repeat(np.arange(len(ids)), size)
+    known, place, many = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(many, kind="stable")] = np.arange(len(known))
+    ranks = np.sort(owner * len(known) + rank[place]) - owner * len(known)  # each set's, the rarest first
+    early = np.arange(len(ranks)) - offset[owner] < (size - (percent * size + 99) // 100 + 1)[owner]
+    of_head = np.flatnonzero(early & head[owner])
+    of_rest = np.flatnonzero(early & ~head[owner])
+    of_rest = of_rest[np.argsort(ranks[of_rest], kind="stable")]
+    begin, end = (np.searchsorted(ranks[of_rest], ranks[of_head], side=x) for x in ("left", "right"))
+    upto = np.r_[0, np.cumsum(end - begin)]
+    starts = np.flatnonzero(np.r_[True, np.diff(owner[of_head]) != 0])  # where each centre's shingles begin
+    mark = np.zeros(len(known), bool)
+    for i, j in zip(starts, np.r_[starts[1:], len(of_head)], strict=True):
+        if upto[i] == upto[j]:
+            continue
+        c = owner[of_head[i]]
+        rest = np.unique(owner[of_rest[np.concatenate([np.arange(x, y) for x, y in zip(begin[i:j], end[i:j], strict=True) if x < y])]])
+        rest = rest[(component[rest] != component[c]) & (100 * np.minimum(size[rest], size[c]) >= percent * np.maximum(size[rest], size[c]))]
+        rest = rest[bands[c][(bands[rest] == bands[c]).argmax(1)] == bucket]  # others meet in an earlier bucket that both are in
+        if not len(rest):
             continue
-        mine = values[offset[i] : offset[i + 1]]
-        if close.sum() * 4 < len(rest):
-            common = np.zeros(len(rest), np.int64)
-            for j in np.flatnonzero(close):
-                common[j] = np.isin(values[offset[rest[j]] : offset[rest[j] + 1]], mine, assume_unique=True).sum()
-        else:
-            spot = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
-            common = np.add.reduceat((mine[spot] == own).astype(np.int64), at)
-        for j in np.flatnonzero(close & (100 * common >= percent * (size[rest] + size[i] - common))):
-            out[0].append(int(min(ids[i], ids[rest[j]])))
-            out[1].append(int(max(ids[i], ids[rest[j]])))
+        mine = ranks[offset[c] : offset[c + 1]]
+        mark[mine] = True
+        span = np.concatenate([ranks[offset[r] : offset[r + 1]] for r in rest])
+        common = np.add.reduceat(mark[span].astype(np.int64), np.cumsum(size[rest]) - size[rest])
+        mark[mine] = False
+        for r in rest[100 * common >= percent * (size[rest] + size[c] - common)]:
+            out[0].append(int(min(ids[c], ids[r])))
+            out[1].append(int(max(ids[c], ids[r])))
     return out
 
 

@@ -86,13 +86,36 @@ def test_components_against_all_pairs(spark, seed, bases, many, change):
 
 
 def test_blocks_find_links_past_both_centres(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)
-    monkeypatch.setattr(neardup, "SLICE", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 200)
+    monkeypatch.setattr(neardup, "SLICE", 500)
     rows = copies(7, 1, 90, 6)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), shingle=4).collect()}
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("shared,percent", [(120, 80), (135, 80), (60, 50)])
+def test_a_block_gives_the_links_of_all_pairs(shared, percent):
+    """Members of one bucket that share a passage, some of which are alike enough."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(shared)
+    passage = rng.integers(1, 1 << 60, shared)
+    sets = [np.unique(np.r_[rng.permutation(passage)[: shared - rng.integers(0, 12)], rng.integers(1, 1 << 60, rng.integers(1, 45))]) for _ in range(80)]
+    head = np.arange(80) % 3 == 0
+    n = len(sets)
+    group = pa.table({"bucket": np.zeros(n, np.int64), "id": np.arange(n) + 5, "component": np.where(np.arange(n) % 10 == 0, 0, np.arange(n)), "head": head,
+        "bands": [[0, 1]] * n, "shingles": [x.tolist() for x in sets]})
+    got = set(zip(*neardup._compare(group, percent), strict=True))
+    want = set()
+    for i in np.flatnonzero(head):
+        for j in np.flatnonzero(~head):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if group["component"][i] != group["component"][j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want.add((min(i, j) + 5, max(i, j) + 5))
+    assert got == want and want
+    assert neardup._compare(group.set_column(0, "bucket", pa.array([1] * n)), percent) == ([], [])
+
+
 def test_awkward_rows(spark, sf_dir):
     rows = AWKWARD + [(60, "A b"), (61, "a  B"), (62, None)] + [(1000 + r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     got = neardup.near_duplicates(clashing(docs(spark, rows)), shingle=4).collect()
