@@ -244,8 +244,9 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _compare(group, percent: int) -> tuple[list[int], list[int]]:
     """Pairs of centres and members of a block whose full sets are similar enough.
 
-    Similar sets share one of their rarest shingles (prefix filter): of ``n`` members of a set, ``n - percent * n / 100 + 1``
-    hold at least one of every set that is alike enough. How rare a shingle is, is counted in the block; any order is right."""
+    Similar sets share one of their rarest shingles (prefix filter): the first that they share is one of the first
+    ``n - percent * n / 100 + 1`` of either, and of the first ``n - 2 * percent * n / (100 + percent) + 1`` of the smaller one.
+    How rare a shingle is, is counted in the block; any order is right."""
     out: tuple[list[int], list[int]] = ([], [])
     head = group.column("head").to_numpy()
     if head.all() or not head.any():
@@ -262,11 +263,16 @@ def _compare(group, percent: int) -> tuple[list[int], list[int]]:
     rank = np.empty(len(known), np.int64)
     rank[np.argsort(many, kind="stable")] = np.arange(len(known))
     ranks = np.sort(owner * len(known) + rank[place]) - owner * len(known)  # each set's, the rarest first
-    early = np.arange(len(ranks)) - offset[owner] < (size - (percent * size + 99) // 100 + 1)[owner]
-    of_head = np.flatnonzero(early & head[owner])
-    of_rest = np.flatnonzero(early & ~head[owner])
-    of_rest = of_rest[np.argsort(ranks[of_rest], kind="stable")]
-    begin, end = (np.searchsorted(ranks[of_rest], ranks[of_head], side=x) for x in ("left", "right"))
+    at = np.arange(len(ranks)) - offset[owner]
+    long, short = (at < (size + (-percent * k * size) // (100 + percent * (k - 1)) + 1)[owner] for k in (1, 2))
+    of_head = np.flatnonzero(long & head[owner])
+    posted = [x[np.argsort(ranks[x], kind="stable")] for x in (np.flatnonzero(x & ~head[owner]) for x in (long, short))]
+    # a centre's first shingles meet the long beginnings of members, its further ones the short beginnings
+    begin, end = (
+        np.where(short[of_head], np.searchsorted(ranks[posted[0]], ranks[of_head], side=x), len(posted[0]) + np.searchsorted(ranks[posted[1]], ranks[of_head], side=x))
+        for x in ("left", "right")
+    )
+    of_rest = np.concatenate(posted)
     upto = np.r_[0, np.cumsum(end - begin)]
     starts = np.flatnonzero(np.r_[True, np.diff(owner[of_head]) != 0])  # where each centre's shingles begin
     mark = np.zeros(len(known), bool)
