@@ -92,6 +92,56 @@ def rows(anchors: DataFrame, decisions: DataFrame, platforms: list[str]) -> Data
     return market(joined, "price", [f"{p}_price" for p in platforms])
 
 
+#: What a reader of a sheet is told of each status.
+STATUS_LABELS = {
+    "matched": "Matched", "no_match": "No match", "no_results": "Not listed", "blocked": "Blocked — retry",
+    "ambiguous": "Ambiguous — verify", "color_mismatch": "Different colourway", "error": "Error",
+}
+LISTED = ("title", "mrp", "price", "discount", "url")
+
+
+def listed(decisions: DataFrame, platforms: list[str]) -> DataFrame:
+    """``id`` and for each platform its status with label and, where it is matched, match type, confidence and listing.
+
+    One partial aggregation; of several decisions for an anchor and a platform the matched one with the highest score counts. A platform
+    without a decision has the status ``error``. ``matched_count``, ``best_platform`` (highest score, the first platform of equal ones)
+    and its ``confidence`` and ``match_type`` stand beside them."""
+    ok = F.col("status") == "matched"
+    kept = F.struct("status", F.when(ok, F.col("matchType")).alias("match_type"), F.when(ok, F.round("score", 4)).alias("confidence"), *[F.when(ok, F.col(c)).alias(c) for c in LISTED])
+    rank = F.struct(ok, F.coalesce("score", F.lit(-1.0)), "status", *LISTED)
+    per = decisions.groupBy(F.col("anchor_id").alias("id")).agg(*[F.max_by(F.when(F.col("platform") == p, kept), F.when(F.col("platform") == p, rank)).alias(p) for p in platforms])
+    at = lambda p, c: F.col(f"`{p}`.{c}")
+    sure = lambda p: F.coalesce(at(p, "confidence"), F.lit(-1.0))
+    most = F.greatest(*map(sure, platforms)) if len(platforms) > 1 else sure(platforms[0])
+    best = lambda value: F.coalesce(*[F.when((sure(p) == most) & (most >= 0), value(p)) for p in platforms])
+    status = lambda p: F.coalesce(at(p, "status"), F.lit("error"))
+    wide = [c for p in platforms for c in (status(p).alias(f"{p}_status"), F.coalesce(F.try_element_at(t.literal_map(STATUS_LABELS), status(p)), status(p)).alias(f"{p}_status_label"),
+        *[at(p, x).alias(f"{p}_{x}") for x in ("match_type", "confidence", *LISTED)])]
+    count = sum((status(p) == "matched").cast("long") for p in platforms)
+    return per.select("id", *wide, count.alias("matched_count"), best(F.lit).alias("best_platform"), best(lambda p: at(p, "confidence")).alias("confidence"),
+        F.coalesce(best(lambda p: at(p, "match_type")), F.lit("NO MATCH")).alias("match_type"))
+
+
+def whole_rows(anchors: DataFrame, decisions: DataFrame, platforms: list[str], as_of: Column, ttl_hours: float) -> DataFrame:
+    """The whole export row of each anchor (id, price, matched_at and whatever it has else): its listings, position and age.
+
+    Anchors without decisions have ``error`` everywhere; without ``matched_at`` age is null and the row isn't fresh."""
+    from quillon.operators.position import market
+
+    empty = {"matched_count": 0, "match_type": "NO MATCH", **{f"{p}_status": "error" for p in platforms}, **{f"{p}_status_label": STATUS_LABELS["error"] for p in platforms}}
+    joined = anchors.join(listed(decisions, platforms), "id", "left").fillna(empty)
+    age = (as_of.cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")) / 3600
+    joined = joined.withColumns({"age_hours": F.round(age, 1), "fresh": F.coalesce(age <= ttl_hours, F.lit(False))})
+    return market(joined, "price", [f"{p}_price" for p in platforms])
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """How much of an export is matched and fresh: one row; the rate is in per cent, 0 for no rows."""
+    matched = F.count_if(F.col("matched_count") > 0)
+    rate = F.coalesce(F.round(F.try_divide(matched * 100.0, F.count("*")), 1), F.lit(0.0))
+    return rows.agg(F.count("*").alias("products"), matched.alias("matched"), rate.alias("match_rate"), F.count_if("fresh").alias("fresh"))
+
+
 def explanation(brand: Column, mrp: Column, title: Column, compared: Column, agreed: Column, attributes: Column) -> Column:
     """(why, differences) of a decision, each at most three."""
     why = F.array_compact(F.array(

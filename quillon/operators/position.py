@@ -91,6 +91,35 @@ def facets(rows: DataFrame, predicates: dict[str, Column], keys: dict[str, Colum
     return rows.select(F.explode(each).alias("f")).groupBy("f.facet", "f.value").agg(F.count_if("f.ok").alias("n"))
 
 
+def counts(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``name, n``: how many rows each value has; null is a value of its own."""
+    return rows.groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n"))
+
+
+def compared_only(catalog: DataFrame, comparisons: DataFrame, key: str = "id") -> DataFrame:
+    """The products that have a comparison, each once however many there are."""
+    return catalog.join(comparisons.select(key), key, "left_semi")
+
+
+def with_summaries(catalog: DataFrame, comparisons: DataFrame, platforms: list[str], key: str = "id") -> DataFrame:
+    """The catalog with ``comparison`` (matched_count, prices by platform, cheapest platform, matched_at), null where there is none.
+
+    ``comparisons`` has a row for each product with ``{platform}_price`` columns; a missing price is never the cheapest, ties go to the first platform."""
+    prices = [F.col(f"{p}_price") for p in platforms]
+    least = F.least(*prices) if len(prices) > 1 else prices[0]
+    cheapest = F.coalesce(*[F.when(x == least, F.lit(p)) for p, x in zip(platforms, prices, strict=True)])
+    shown = F.struct("matched_count", F.struct(*[x.alias(p) for p, x in zip(platforms, prices, strict=True)]).alias("prices"), cheapest.alias("cheapest"), "matched_at")
+    return catalog.join(comparisons.select(key, shown.alias("comparison")), key, "left")
+
+
+def reachable(rows: DataFrame, predicates: dict[str, Column], price: str, band: str = "price") -> DataFrame:
+    """One row: the least and greatest price under all predicates but the price band's own, and what all of them leave (``n``, ``total_gap``)."""
+    whole = lambda chosen: reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in chosen], F.lit(True))
+    others, every = whole(p for n, p in predicates.items() if n != band), whole(predicates.values())
+    seen = F.when(others, F.col(price))
+    return rows.agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"), F.count_if(every).alias("n"), F.sum(F.when(every, F.col("gap"))).alias("total_gap"))
+
+
 def size_facet(rows: DataFrame, sizes: str, others: Column) -> DataFrame:
     """Counts by size over a column of size arrays, each row once for each of its sizes."""
     each = rows.select(F.explode(F.array_distinct(F.transform(sizes, t.export_size))).alias("size"), others.alias("ok")).where("size is not null")

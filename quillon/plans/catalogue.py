@@ -144,7 +144,7 @@ def top_wins(spark, sf_dir):
 
 @query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand")
 def brand_facets(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"))
+    return position.counts(table(spark, sf_dir, "part"), "p_brand", "brand")
 
 
 _FLAGS = "coalesce(p_brand IN ('Brand#11', 'Brand#23', 'Brand#17'), false) AS b, coalesce(position = 'Undercut', false) AS p, coalesce(gap BETWEEN -40 AND 60, false) AS g"
@@ -191,7 +191,7 @@ def catalog_page(spark, sf_dir):
 @query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '2001-10-01')")
 def compared_only_semi(spark, sf_dir):
     recent = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'2001-10-01'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(recent, "p_partkey", "left_semi")
+    return position.compared_only(table(spark, sf_dir, "part").select("p_partkey"), recent, "p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '2001-10-01')")

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import imports, isolation, ordered, reports
-from quillon.plans.catalogue import AS_OF, query, table
+from quillon.functions import text as t
+from quillon.operators import exports, imports, isolation, ordered, position, reports
+from quillon.plans.catalogue import AS_OF, OWN, POSITIONS, map_sql, positions, query, table
 from quillon.sources import shared, store
 from quillon.streaming import pacing, snapshots
 
@@ -325,3 +326,73 @@ def report_texts(spark, sf_dir):
     compared = F.element_at(F.array(*[lit(x).cast("string") for x in ("match", "partial", "differ", "na", None)]), (i % 5 + 1).cast("int"))
     verdict = dec.attribute_verdict(F.when(z % 6 > 0, c("p_type")), compared, z % 4 == 0)
     return table(spark, sf_dir, "part").select(i.alias("id"), reports.anchor_error(i.cast("string"), reason, "Own").alias("message"), verdict.alias("verdict"))
+
+
+# ---- whole export rows: each part as an anchor, each line item as a decision on one of two platforms
+
+STATUSES = {"1": "matched", "2": "no_match", "3": "matched", "4": "no_results", "5": "blocked", "6": "ambiguous", "7": "color_mismatch"}
+EXPORTS = f"""WITH d AS (SELECT l_partkey AS id, l_suppkey % 2 AS k, {map_sql(STATUSES, 'CAST(l_linenumber AS VARCHAR)')} AS status, round(1 - l_tax - l_discount, 4) AS score,
+  'Line ' || l_linenumber AS title, l_extendedprice AS mrp, round(l_extendedprice / l_quantity) AS price, l_discount AS discount, '/' || l_orderkey || '/' || l_linenumber AS url FROM lineitem),
+r AS (SELECT *, status = 'matched' AS ok, row_number() OVER (PARTITION BY id, k ORDER BY status = 'matched' DESC, score DESC, status DESC, title DESC, mrp DESC, price DESC, discount DESC, url DESC) AS rn FROM d),
+one AS (SELECT id, k, status, {map_sql(exports.STATUS_LABELS, 'status')} AS label, CASE WHEN ok THEN CASE WHEN score >= 0.9 THEN 'EXACT MATCH' ELSE 'CLOSE MATCH' END END AS kind, CASE WHEN ok THEN score END AS confidence,
+  CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN mrp END AS mrp, CASE WHEN ok THEN price END AS price, CASE WHEN ok THEN discount END AS discount, CASE WHEN ok THEN url END AS url FROM r WHERE rn = 1),
+j AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS title, round(p_retailprice) AS price, CASE WHEN p_size % 5 > 0 THEN CAST(p_size AS DOUBLE) END AS age_hours,
+  """ + ", ".join(f"coalesce({p}.status, 'error') AS {p}_status, coalesce({p}.label, 'Error') AS {p}_status_label, {p}.kind AS {p}_match_type, "
+    + ", ".join(f"{p}.{x} AS {p}_{x}" for x in ("confidence", *exports.LISTED)) for p in ("p0", "p1")) + """
+  FROM part LEFT JOIN one p0 ON p0.id = p_partkey AND p0.k = 0 LEFT JOIN one p1 ON p1.id = p_partkey AND p1.k = 1),
+e AS (SELECT *, coalesce(age_hours <= 24, false) AS fresh, CAST((p0_status = 'matched') AS BIGINT) + CAST((p1_status = 'matched') AS BIGINT) AS matched_count,
+  CASE WHEN p0_confidence >= coalesce(p1_confidence, -1) THEN 'p0' WHEN p1_confidence IS NOT NULL THEN 'p1' END AS best_platform,
+  least(p0_price, p1_price) AS best_rival, least(price, p0_price, p1_price) AS lo, greatest(price, p0_price, p1_price) AS hi FROM j)
+"""
+
+
+def decided(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_partkey").alias("anchor_id"), F.concat(lit("p"), (c("l_suppkey") % 2).cast("string")).alias("platform"),
+        F.try_element_at(t.literal_map(STATUSES), c("l_linenumber").cast("string")).alias("status"), F.round(1 - c("l_tax") - c("l_discount"), 4).alias("score"),
+        F.concat(lit("Line "), c("l_linenumber").cast("string")).alias("title"), c("l_extendedprice").alias("mrp"), F.round(c("l_extendedprice") / c("l_quantity")).alias("price"),
+        c("l_discount").alias("discount"), F.concat(lit("/"), c("l_orderkey").cast("string"), lit("/"), c("l_linenumber").cast("string")).alias("url"),
+    )
+    return rows.withColumn("matchType", F.when(c("score") >= 0.9, "EXACT MATCH").otherwise("CLOSE MATCH"))
+
+
+def whole_rows(spark, sf_dir) -> DataFrame:
+    matched_at = F.expr("CASE WHEN p_size % 5 > 0 THEN timestamp'2002-03-04 00:00:00' - make_interval(0, 0, 0, 0, p_size) END")
+    anchors = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_brand").alias("brand"), c("p_name").alias("title"), F.round("p_retailprice").alias("price"), matched_at.alias("matched_at"))
+    return exports.whole_rows(anchors, decided(spark, sf_dir), ["p0", "p1"], F.expr("timestamp'2002-03-04 00:00:00'"), 24.0)
+
+
+@query(EXPORTS + """SELECT e.* EXCLUDE (lo, hi), CASE best_platform WHEN 'p0' THEN p0_confidence ELSE p1_confidence END AS confidence, coalesce(CASE best_platform WHEN 'p0' THEN p0_match_type ELSE p1_match_type END, 'NO MATCH') AS match_type,
+  CASE WHEN p0_price = best_rival THEN 'p0_price' WHEN p1_price = best_rival THEN 'p1_price' END AS cheapest_rival, price - best_rival AS gap, round((price - best_rival) / price * 100, 1) AS gap_pct,
+  CASE WHEN best_rival IS NULL THEN 'No competitor data' WHEN price > best_rival THEN 'Undercut' WHEN price < best_rival THEN 'Cheapest' ELSE 'Parity' END AS position,
+  CASE WHEN lo <> hi THEN CASE lo WHEN price THEN 'price' WHEN p0_price THEN 'p0_price' ELSE 'p1_price' END END AS cheapest, CASE WHEN lo <> hi THEN CASE hi WHEN price THEN 'price' WHEN p0_price THEN 'p0_price' ELSE 'p1_price' END END AS dearest,
+  hi - lo AS spread, round(price / lo * 100, 1) AS price_index FROM e""")
+def export_rows(spark, sf_dir):
+    """The whole row of every part."""
+    return whole_rows(spark, sf_dir).drop("matched_at")
+
+
+@query(EXPORTS + "SELECT count(*) AS products, count(*) FILTER (matched_count > 0) AS matched, round(count(*) FILTER (matched_count > 0) * 100.0 / count(*), 1) AS match_rate, count(*) FILTER (fresh) AS fresh FROM e")
+def export_coverage(spark, sf_dir):
+    return exports.coverage(whole_rows(spark, sf_dir))
+
+
+@query(EXPORTS + """SELECT p_partkey AS id, p_brand AS brand, m.id IS NOT NULL AS compared, CASE WHEN m.id IS NOT NULL THEN e.matched_count END AS matched_count, e.p0_price AS p0, e.p1_price AS p1,
+  CASE WHEN e.p0_price = e.best_rival THEN 'p0' WHEN e.p1_price = e.best_rival THEN 'p1' END AS cheapest, m.at AS matched_at
+FROM part JOIN e ON e.id = p_partkey LEFT JOIN (SELECT l_partkey AS id, max(l_shipdate) AS at FROM lineitem GROUP BY 1) m ON m.id = p_partkey""")
+def catalog_comparisons(spark, sf_dir):
+    """Every part with the summary of its comparison."""
+    at = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("id")).agg(F.max("l_shipdate").alias("matched_at"))
+    found = exports.listed(decided(spark, sf_dir), ["p0", "p1"]).join(at, "id")
+    catalog = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_brand").alias("brand"))
+    s = c("comparison")
+    return position.with_summaries(catalog, found, ["p0", "p1"]).select("id", "brand", s.isNotNull().alias("compared"), s["matched_count"].alias("matched_count"),
+        s["prices"]["p0"].alias("p0"), s["prices"]["p1"].alias("p1"), s["cheapest"].alias("cheapest"), s["matched_at"].alias("matched_at"))
+
+
+@query(POSITIONS + """, f AS (SELECT *, coalesce(p_brand IN ('Brand#11', 'Brand#23', 'Brand#17'), false) AS b, coalesce(position = 'Undercut', false) AS p, coalesce(own_price BETWEEN 950 AND 1300, false) AS g FROM positions)
+SELECT min(own_price) FILTER (b AND p) AS lo, max(own_price) FILTER (b AND p) AS hi, count(*) FILTER (b AND p AND g) AS n, sum(gap) FILTER (b AND p AND g) AS total_gap FROM f""")
+def price_reach(spark, sf_dir):
+    """The price band that the other filters leave, with a preview of what all of them leave."""
+    chosen = {"brand": c("p_brand").isin("Brand#11", "Brand#23", "Brand#17"), "position": c("position") == "Undercut", "price": c(OWN).between(950, 1300)}
+    return position.reachable(positions(spark, sf_dir), chosen, OWN)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import decision as dec
 from quillon.functions import text as t
-from quillon.operators import exports, images, imports, reports, sizechart
+from quillon.operators import exports, images, imports, position, reports, sizechart
 from quillon.sources import charts, landed
 
 ANCHOR = "id string, brand string, title string, category string, gender string, price double, fresh boolean"
@@ -27,6 +27,44 @@ def test_export_rows_and_filters(spark):
     assert ids(low=60.0, high=90.0) == ["c"] and ids(matched="yes", fresh="no") == ["b"] and ids(query="PUMA sho") == ["b"]
 
 
+def test_whole_export_rows(spark):
+    """Several decisions for a platform, none for another, other statuses, equal scores, null prices and ages, empty tables."""
+    anchors = spark.createDataFrame([("a", 100.0, "2024-01-01 00:00:00"), ("b", None, None), ("c", 50.0, "2023-01-01 00:00:00"), ("d", 10.0, None)], "id string, price double, matched_at string")
+    schema = "anchor_id string, platform string, status string, score double, matchType string, title string, mrp double, price double, discount double, url string"
+    decided = spark.createDataFrame(
+        [("a", "p", "matched", 0.8, "CLOSE MATCH", "t", 90.0, 80.0, 11.0, "u"), ("a", "p", "matched", 0.95, "EXACT MATCH", "best", 90.0, 85.0, 5.0, "u"), ("a", "p", "blocked", None, None, None, None, None, None, None),
+         ("a", "q", "matched", 0.95, "EXACT MATCH", "q", 90.0, None, None, None), ("b", "p", "matched", 0.9, "EXACT MATCH", "t", None, 5.0, None, None), ("b", "q", "odd", 1.0, "X", "t", 1.0, 1.0, 1.0, "u"),
+         ("c", "q", "color_mismatch", 0.99, "EXACT MATCH", "t", 1.0, 1.0, 1.0, "u"), (None, "p", "matched", 1.0, "X", "t", 1.0, 1.0, 1.0, "u")], schema)
+    rows = exports.whole_rows(anchors, decided, ["p", "q"], F.expr("timestamp'2024-01-01 12:00:00'"), 24.0)
+    got = {r["id"]: r for r in rows.collect()}
+    assert len(got) == 4
+    a = got["a"]
+    assert (a["p_title"], a["p_price"], a["q_price"], a["best_platform"], a["matched_count"], a["match_type"], a["gap"], a["age_hours"], a["fresh"]) == ("best", 85.0, None, "p", 2, "EXACT MATCH", 15.0, 12.0, True)
+    b = got["b"]
+    assert (b["gap"], b["position"], b["q_status"], b["q_status_label"], b["q_price"], b["age_hours"], b["fresh"]) == (None, "No competitor data", "odd", "odd", None, None, False)
+    assert (got["c"]["p_status"], got["c"]["q_status_label"], got["c"]["match_type"], got["c"]["best_platform"], got["c"]["q_price"]) == ("error", "Different colourway", "NO MATCH", None, None)
+    assert (got["d"]["p_status_label"], got["d"]["matched_count"], got["d"]["confidence"]) == ("Error", 0, None)
+    assert exports.coverage(rows).first().asDict() == {"products": 4, "matched": 2, "match_rate": 50.0, "fresh": 1}
+    assert exports.coverage(rows.where("false")).first().asDict() == {"products": 0, "matched": 0, "match_rate": 0.0, "fresh": 0}
+
+
+def test_catalog_with_comparisons(spark):
+    catalog = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
+    found = spark.createDataFrame([(2, 1, None, 7.0, "x"), (9, 0, 1.0, 1.0, "y")], "id int, matched_count int, p_price double, q_price double, matched_at string")
+    got = position.with_summaries(catalog, found, ["p", "q"]).collect()
+    assert sorted((r["id"] or 0, r["comparison"] and (r["comparison"]["cheapest"], r["comparison"]["prices"]["p"])) for r in got) == [(0, None), (1, None), (2, ("q", None)), (2, ("q", None))]
+    assert [r["id"] for r in position.compared_only(catalog, found.unionByName(found)).collect()] == [2, 2]
+    assert sorted((r["k"] or 0, r["n"]) for r in position.counts(catalog, "id", "k").collect()) == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_reachable_prices(spark):
+    rows = spark.createDataFrame([(5.0, 1.0, "x"), (50.0, 2.0, "x"), (70.0, 4.0, "y"), (None, None, "x"), (9.0, 8.0, None)], "price double, gap double, brand string")
+    chosen = {"brand": F.col("brand") == "x", "price": F.col("price") > 10}
+    assert tuple(position.reachable(rows, chosen, "price").first()) == (5.0, 50.0, 1, 2.0)
+    assert tuple(position.reachable(rows, {}, "price").first()) == (5.0, 70.0, 5, 15.0)
+    assert tuple(position.reachable(rows.where("false"), chosen, "price").first()) == (None, None, 0, None)
+
+
 def test_filters_are_parsed(spark):
     f = exports.Filters.parsed({"brand": ["Nike,Puma", "X"], "position": "odd", "fresh": "yes", "min": "10", "max": "x"})
     assert f.brands == ("Nike", "Puma", "X") and f.position == "all" and f.fresh == "yes" and f.low == 10 and f.high is None
