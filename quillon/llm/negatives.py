@@ -3,16 +3,16 @@
 1. Rows become integer vectors and are cut into blocks of at most ``ROWS`` rows, in the order of their labels, so that most blocks have one
    label alone; a label with a third of all rows lies in many blocks. Blocks of anchors have ``ANCHORS`` rows. Every block is stored
    as chunks of ``DIMS`` dimensions.
-2. Each pair of an anchor block and a row block is a tile. Chunks of anchor blocks go to every group of row blocks that has labels to
-   compare, meet the chunks of the same dimensions there in an equi-join, and each pair of chunks gives a partial tile of int64 scores.
-3. Partial tiles are shuffled by tile and added; the sum is reduced inside its task to the first ``k`` of each anchor, or of
-   each window of an anchor and a positive. Only those leave the task; first ranks of all tiles are a limited window.
+2. Each pair of an anchor block and a row block is a tile. Row blocks are dealt into groups of at most ``HELD`` components; anchor blocks go to every
+   group in a shuffle and meet its blocks there, where their labels leave something to compare. Each pair of chunks of the
+   same dimensions gives a partial tile of int64 scores.
+3. Partial tiles are added where they are made, one tile at a time, and each sum is reduced to the first ``k`` of each anchor, or of
+   each window of an anchor and a positive, over all tiles of the group. Only those leave the task; first ranks of all groups are a limited window.
 4. The first multiplication takes tiles with equal labels and gives the positives, the second takes tiles with different
    labels and the windows of scores that the positives give. So each pair of rows is multiplied once.
 
-Anchors are a stated set of queries; they go in panels of ``PANEL`` anchors, each a job of its own, so that the
-disk that partial tiles take is bounded by panel and rows. No row of scores is ever collected: a task holds one tile
-of 256 by 2048 scores a chunk of dimensions.
+Anchors are a stated set of queries; they go in panels of ``PANEL`` anchors, each a job of its own, which bounds what a task holds: the
+components of a panel and of a group, and one tile of 256 by 2048 scores. No row of scores is ever collected, written or shuffled.
 
 Products are exact: float64 matrices where no sum can leave 2^53, else int64. Components whose squares times the dimensions could leave
 int64 a hundredfold are clamped there (beyond 38 million for 64 dimensions).
@@ -44,8 +44,8 @@ BLOCKS = "block long, chunk int, lo long, hi long, n int, ids binary, labels bin
 #: Components that are held at once to be cut into blocks.
 HELD = 1 << 23
 WINDOWS = "array<struct<place:int,rank:int,score:long>>"
-TILES = f"block long, b_block long, n int, b_n int, ids binary, labels binary, windows {WINDOWS}, b_ids binary, b_labels binary, tile binary"
 FIRSTS = "block long, place int, anchor_id long, of int, id long, score long"
+NAMES = ["block", "place", "anchor_id", "of", "id", "score"]
 NOWHERE = np.iinfo(np.int64).min
 
 
@@ -140,76 +140,121 @@ def firsts(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[keep], col[keep]
 
 
-def partial_tiles(pairs: DataFrame) -> DataFrame:
-    """A partial tile for each pair of chunks; those of the first chunk carry what is known of the rows."""
-    names = ["block", "b_block", "n", "b_n", "ids", "labels", "windows", "b_ids", "b_labels"]
+def blocks_of(table) -> list[dict]:
+    """The blocks of a table of chunks: what is known of their rows, with ``chunks`` in their order."""
+    found: dict[int, dict] = {}
+    for row in table.select(["block", "chunk", "lo", "hi", "n"]).to_pylist():
+        found.setdefault(row["block"], row | {"chunks": {}})
+    for i, (block, chunk) in enumerate(zip(table.column("block").to_pylist(), table.column("chunk").to_pylist(), strict=True)):
+        one = found[block]
+        one["chunks"][chunk] = table.column("data")[i].as_py()
+        if chunk == 0:
+            one |= {c: np.frombuffer(table.column(c)[i].as_py(), np.int64) for c in ("ids", "labels")}
+            one["windows"] = table.column("windows")[i].as_py() if "windows" in table.column_names else None
+    return list(found.values())
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
-                tile = narrow(product(wide(of("data"), of("n")), wide(of("b_data"), of("b_n"))))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in names), pa.array([tile], pa.binary())], [*names, "tile"])
+def meet(a: dict, b: dict, same: bool) -> bool:
+    """Whether two blocks can have rows to compare, by their least and greatest labels."""
+    if same:
+        return a["lo"] <= b["hi"] and b["lo"] <= a["hi"]
+    return not a["lo"] == a["hi"] == b["lo"] == b["hi"]
 
-    return pairs.select(*names, "data", "b_data").mapInArrow(run, TILES)
 
+def tile(a: dict, b: dict) -> np.ndarray:
+    """The scores of two blocks: partial tiles of their chunks, added."""
+    return sum(product(wide(a["chunks"][c], a["n"]), wide(b["chunks"][c], b["n"])) for c in a["chunks"])
 
-def reduced(tiles: DataFrame, same: bool) -> DataFrame:
-    """Partial tiles added, and of each sum the first rows of every anchor: of its own label (``same``), or of other labels inside each of its windows."""
 
-    def run(group):
-        import pyarrow as pa
+class Firsts:
+    """The first ``k`` rows of each of ``n`` anchors over the tiles that have been seen: higher scores first, then smaller ids."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, NOWHERE)
+        self.row, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
-        n = group.column("n")[0].as_py()
-        scores = sum(wide(x.as_py(), n) for x in group.column("tile"))
-        first = next(i for i, x in enumerate(group.column("ids")) if x.is_valid)
-        ids, labels, b_ids, b_labels = (np.frombuffer(group.column(c)[first].as_py(), np.int64) for c in ("ids", "labels", "b_ids", "b_labels"))
-        alike = labels[:, None] == b_labels
-        if same:
-            found = [(0, *firsts(np.where(alike & (ids[:, None] != b_ids), scores, NOWHERE), b_ids, POSITIVES))]
+    def add(self, scores: np.ndarray, fit: np.ndarray, ids: np.ndarray) -> None:
+        fit = fit & (scores >= self.least[:, None])  # equal ones may have smaller ids
+        if np.count_nonzero(fit) > 4 * self.k * len(fit):
+            row, col = firsts(np.where(fit, scores, NOWHERE), ids, self.k)
         else:
+            row, col = np.nonzero(fit)
+        if not len(row):
+            return
+        row, score, ids = np.r_[self.row, row], np.r_[self.score, scores[row, col]], np.r_[self.id, ids[col]]
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        start = np.searchsorted(row, np.arange(len(fit)))
+        place = np.arange(len(row)) - start[row]
+        keep = place < self.k
+        self.row, self.score, self.id = row[keep], score[keep], ids[keep]
+        last = place == self.k - 1
+        self.least[row[last]] = score[last]
+
+
+def reduced(same: bool):
+    """Of a panel's anchor blocks and a group of row blocks: the first rows of every anchor, of its own label (``same``), or of other labels inside each
+    of its windows. One tile is held at a time."""
+
+    def run(asked, held):
+        import pyarrow as pa
+
+        out, others = [], blocks_of(held)
+        for a in blocks_of(asked):
+            n, ids, labels = a["n"], a["ids"], a["labels"]
+            best = [Firsts(n, POSITIVES)] if same else [Firsts(n, NEGATIVES) for _ in range(POSITIVES)]
             low, high = np.ones((2, POSITIVES, n), np.int64)
             high[:] = 0  # a window that holds nothing
-            for w in group.column("windows")[first].as_py():
+            for w in a["windows"] or []:
                 low[w["rank"] - 1, w["place"]], high[w["rank"] - 1, w["place"]] = LEAST * w["score"], MOST * w["score"]
-            other, scaled = ~alike, 100 * scores
-            found = [(k, *firsts(np.where(other & (scaled >= low[k][:, None]) & (scaled <= high[k][:, None]), scores, NOWHERE), b_ids, NEGATIVES)) for k in range(POSITIVES)]
-        of = np.concatenate([np.full(len(r), k, np.int32) for k, r, _ in found])
-        row, col = np.concatenate([r for _, r, _ in found]), np.concatenate([c for *_, c in found])
-        block = np.full(len(row), group.column("block")[0].as_py())
-        columns = [block, row.astype(np.int32), ids[row], of, b_ids[col], scores[row, col]]
-        return pa.table([pa.array(c) for c in columns], ["block", "place", "anchor_id", "of", "id", "score"])
-
-    return tiles.groupBy("block", "b_block").applyInArrow(run, FIRSTS)
+            for b in others:
+                if not meet(a, b, same):
+                    continue
+                scores, alike = tile(a, b), labels[:, None] == b["labels"]
+                if same:
+                    best[0].add(scores, alike & (ids[:, None] != b["ids"]), b["ids"])
+                    continue
+                other, scaled = ~alike, 100 * scores
+                for k, first in enumerate(best):
+                    first.add(scores, other & (scaled >= low[k][:, None]) & (scaled <= high[k][:, None]), b["ids"])
+            for k, first in enumerate(best):
+                of = np.full(len(first.row), k, np.int32)
+                columns = [np.full(len(of), a["block"], np.int64), first.row.astype(np.int32), ids[first.row], of, first.id, first.score]
+                out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.Table.from_batches(out, pa.schema(list(zip(NAMES, kinds, strict=True))))
+
+    return run
 
 
 def ranked(rows: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` rows of each anchor row and window over all tiles, with their ``rank``."""
+    """The first ``k`` rows of each anchor row and window over all groups, with their ``rank``."""
     order = Window.partitionBy("block", "place", "of").orderBy(F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def multiplied(anchors: DataFrame, rows: DataFrame, groups: int, same: bool) -> DataFrame:
-    """Tiles of anchor blocks and row blocks: the former go to each of ``groups`` groups of the latter, and meet there where labels allow."""
-    b = rows.select(F.pmod("block", F.lit(groups)).alias("g"), "chunk", *[F.col(c).alias(f"b_{c}") for c in ("block", "lo", "hi", "n", "ids", "labels", "data")])
+    """Tiles of anchor blocks and row blocks: the former go to each of ``groups`` groups of the latter and meet there, where labels allow.
+
+    The copies of the anchors are dealt by group in a shuffle; they never go through the driver."""
+    b = rows.withColumn("g", F.pmod("block", F.lit(groups)))
     a = anchors.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    if same:
-        meet = (F.col("lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("hi"))
-    else:  # unless both have one label, the same one
-        meet = ~((F.col("lo") == F.col("b_lo")) & (F.col("lo") == F.col("hi")) & (F.col("b_lo") == F.col("b_hi")))
-    return reduced(partial_tiles(a.join(b, ["g", "chunk"]).where(meet)), same)
+    return a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(reduced(same), FIRSTS)
 
 
 def mine(rows: DataFrame, anchor: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", panel: int = PANEL) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``; ``anchor``: which ``id`` is an anchor, by default each hundredth."""
-    given = integers(rows, id_col, vec_col, label_col)
+    dealt_to = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    # read by several jobs, and dear: dealt out first, however few files there are
+    dealt = rows.select(id_col, vec_col, label_col).repartition(dealt_to)
+    given = written(integers(dealt, id_col, vec_col, label_col), "integers")
     asks = F.col("id") % 100 == 0 if anchor is None else anchor
     width, n, n_asks = given.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.count_if(asks)).first()
     b = written(blocked(given, n, ROWS, max(1, width)), "blocks")
     every = written(blocked(given.where(asks), n_asks, ANCHORS, max(1, width)), "anchors")
-    groups, panels = max(1, b.where("chunk = 0").count()), max(1, -(-n_asks // panel))
+    blocks, panels = b.where("chunk = 0").count(), max(1, -(-n_asks // panel))
+    most = max(1, HELD // (ROWS * max(1, width)))  # blocks that a group holds
+    groups = max(1, -(-blocks // most), min(blocks, dealt_to))
     out = None
     for p in range(panels):
         a = every.where(F.pmod("block", F.lit(panels)) == p)

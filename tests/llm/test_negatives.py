@@ -85,3 +85,13 @@ def test_products_are_exact():
         assert negatives.product(a, b).tolist() == want
     for m in (a, b % 100, b % 100_000):
         assert (negatives.wide(negatives.narrow(m), len(m)) == m).all()
+
+
+def test_copies_of_anchors_stay_out_of_the_driver(spark, small_blocks):
+    """They grow with anchors times rows: a broadcast of them would take the driver."""
+    rows = spark.createDataFrame(awkward(), SCHEMA)
+    given = negatives.integers(rows)
+    blocks = negatives.written(negatives.blocked(given, 300, 16, 7), "blocks")
+    anchors = negatives.written(negatives.blocked(given.where("id % 100 = 0"), 4, 4, 7), "anchors").withColumn("windows", F.lit(None).cast(negatives.WINDOWS))
+    plan = negatives.multiplied(anchors, blocks, 8, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
