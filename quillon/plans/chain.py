@@ -121,11 +121,13 @@ def match_tiers(spark, sf_dir):
 
 
 def audited(spark, sf_dir) -> DataFrame:
-    products = prepared(spark, sf_dir)
-    pairs = matching.blocked(*products)
+    """Against a pool of all pairs with a search key in common, by kinds of products."""
+    own, theirs = products = prepared(spark, sf_dir)
+    of, (stands, _, placed) = matching.kinds(own), matching.shelves(theirs, 1)
+    pairs = matching.blocked(matching.of_kinds(own, of), stands)
     same = audit.identity(F.col("row.f"), F.col("listing.f"), F.col("row.mrp"), F.col("listing.mrp"))
-    pool = pairs.select("anchor_id", "platform", F.col("listing_id").alias("id"), same.alias("same")).select("anchor_id", "platform", "id", "same.*")
-    return audit.pooled(decided(spark, sf_dir, products=products), pool)
+    pool = pairs.select("anchor_id", "platform", F.col("listing_id").alias("id"), F.col("listing.n").alias("n"), same.alias("same")).select("anchor_id", "platform", "id", "n", "same.*")
+    return audit.pooled(decided(spark, sf_dir, products=products), pool, (of, placed))
 
 
 @query(_AUDIT + "SELECT * FROM audit")

@@ -115,3 +115,18 @@ def test_pairs_meet_once_by_their_first_key(spark):
     theirs = theirs.unionByName(theirs.withColumns({"rank_in_query": F.lit(2), "price": F.lit(9.0)})).unionByName(theirs.withColumn("id", F.lit(8)))
     got = matching.blocked(own, theirs).select("listing_id", "query_ord", "listing.price").orderBy("listing_id").collect()
     assert [tuple(r) for r in got] == [(7, 1, 9.0), (8, 1, 1.0)]
+
+
+def test_copies_of_products_cost_no_pairs(spark):
+    """Kinds are paired, whatever the number of their copies; each copy gets the decision of its kind, from the best ranked listings."""
+    one = spark.createDataFrame(ANCHORS, _PRODUCT.format(p=""))
+    anchors = spark.range(4).crossJoin(one.drop("id").withColumn("a", F.lit("A"))).select(F.concat("a", "brand", "title", F.col("id").cast("string")).alias("id"), *one.columns[1:])
+    listed = spark.createDataFrame(LISTINGS, _PRODUCT.format(p="platform string, ") + ", query_ord int, rank_in_query int")
+    listings = spark.range(30).withColumnRenamed("id", "k").crossJoin(listed).withColumn("id", F.concat("id", F.lit("-"), F.col("k").cast("string"))).withColumn("rank_in_query", F.col("rank_in_query") + 2 * F.col("k")).drop("k")
+    own, theirs = matching.ready(anchors), matching.ready(listings)
+    of, (stands, members, placed) = matching.kinds(own), matching.shelves(theirs, 10)
+    assert of.select("kind").distinct().count() == 5 and placed.count() == 270
+    assert (stands.count(), stands.agg(F.sum("n")).first()[0]) == (listed.select("platform", "brand", "title", "color", "mrp", "gender").distinct().count(), 270)
+    assert members.agg(F.max(F.size("members"))).first()[0] == 10
+    pairs = matching.candidates(matching.of_kinds(own, of), stands)
+    assert pairs.count() <= 5 * stands.count()
