@@ -25,3 +25,8 @@ def computed_once(df: DataFrame, *cols: Column | str) -> DataFrame:
     """``df.select(*cols)`` behind a generator of one row a row: no filter is pushed through it and no later
     projection merged with it, so costly columns aren't copied into what uses them."""
     return df.select(F.inline(F.array(F.struct(*cols))))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over a few tasks a core: for costly columns, where a small file holds many rows and few tasks would read it."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -4,6 +4,8 @@ Pixels are rows, so a signature is two aggregations by image; decoding files is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,16 @@ def colours(pixels: DataFrame, where: str | None = "object") -> DataFrame:
 
 
 def difference_hash(grey: DataFrame) -> DataFrame:
-    """(image_id, dhash) of 9 x 8 grey rows (image_id, x, y, v): a bit where a pixel is brighter than its right neighbour."""
-    right = grey.select("image_id", (F.col("x") - 1).alias("x"), "y", F.col("v").alias("next"))
-    bit = F.when(F.col("v") > F.col("next"), F.expr("shiftleft(1L, cast(63 - (y * 8 + x) as int))")).otherwise(F.lit(0).cast("long"))
-    return grey.join(right, ["image_id", "x", "y"]).groupBy("image_id").agg(F.bit_or(bit).alias("dhash"))
+    """(image_id, dhash) of 9 x 8 grey rows (image_id, x, y, v): a bit where a pixel is brighter than its right neighbour.
+
+    A line of pixels is one row of partial aggregates, so pixels are neither joined nor broadcast."""
+    x, v = F.col("x"), F.col("v")
+    at = [F.max(F.when(x == i, v)).alias(f"v{i}") for i in range(9)] + [F.min(F.when(x == i, v)).alias(f"n{i}") for i in range(1, 9)]
+    there = F.bit_or(F.when(x.between(0, 8), F.expr("shiftleft(1, cast(x as int))")).otherwise(0)).alias("there")
+    lines = grey.groupBy("image_id", "y").agg(*at, there)
+    bits = [F.when(F.col(f"v{i}") > F.col(f"n{i + 1}"), F.expr(f"shiftleft(1L, cast(63 - (y * 8 + {i}) as int))")).otherwise(F.lit(0).cast("long")) for i in range(8)]
+    both = F.col("there").bitwiseAND(F.shiftright("there", 1)) != 0  # a pixel beside another
+    return lines.where(both).select("image_id", reduce(lambda p, q: p.bitwiseOR(q), bits).alias("bits")).groupBy("image_id").agg(F.bit_or("bits").alias("dhash"))
 
 
 def signatures(requests: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quillon.functions import similarity as sim
 from quillon.functions import text as t
 from quillon.functions.plan import computed_once
 from quillon.functions.vocab import DEFAULT, EngineConfig
+from quillon.operators import images
 
 
 def values(spark, column, *given):
@@ -115,3 +117,18 @@ def test_mrp_and_blend(spark):
 def test_tiers_and_fingerprint(spark):
     assert values(spark, dec.tier, 0.9, 0.8, 0.6, 0.5, None) == ["EXACT MATCH", "CLOSE MATCH", "PARTIAL MATCH", "NO MATCH", "NO MATCH"]
     assert EngineConfig().fingerprint == "v7-s1-m058"
+
+
+def test_difference_hash_joins_nothing(spark):
+    """A small file may hold many pictures: their pixels must not be broadcast."""
+    rng = random.Random(2)
+    rows = [(i, x, y, rng.randrange(5) if rng.random() < 0.95 else None) for i in range(20) for x in range(9) for y in range(8) if rng.random() < 0.9] + [(99, 3, 3, 1)]
+    v = {(i, x, y): z for i, x, y, z in rows}
+    want = {}
+    for i, x, y in v:
+        if (i, x + 1, y) in v:
+            p, q = v[i, x, y], v[i, x + 1, y]
+            want[i] = want.get(i, 0) | (p is not None and q is not None and p > q) << (63 - (y * 8 + x))
+    out = images.difference_hash(spark.createDataFrame(rows, "image_id long, x int, y int, v int"))
+    assert {r["image_id"]: r["dhash"] % (1 << 64) for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
