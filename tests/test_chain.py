@@ -130,3 +130,13 @@ def test_copies_of_products_cost_no_pairs(spark):
     assert members.agg(F.max(F.size("members"))).first()[0] == 10
     pairs = matching.candidates(matching.of_kinds(own, of), stands)
     assert pairs.count() <= 5 * stands.count()
+
+
+def test_nearest_in_slices(spark, monkeypatch):
+    """A task holds the cosines of a slice, and what it keeps is the same."""
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(150)], "vec_id long, embedding array<float>").repartition(2)
+    asked = frame.where("vec_id % 4 = 0")
+    want = sorted(map(tuple, matching.nearest(frame, asked, 4).collect()))
+    monkeypatch.setattr(matching, "SLICE", 7)
+    assert sorted(map(tuple, matching.nearest(frame, asked, 4).collect())) == want
