@@ -110,3 +110,12 @@ def test_files_that_are_no_workbooks(spark, tmp_path):
 def test_an_id_counts_only_where_it_stands_alone(spark):
     cells = spark.createDataFrame([("s", 1, 1, "see /p-mp000001 for more"), ("s", 1, 2, " mp000002 "), ("s", 2, 1, "note mp000003")], "sheet string, row int, col int, text string")
     assert [(r["row"], r["id"]) for r in imports.rows(cells).collect()] == [(1, "MP000002")]
+
+
+def test_long_sheets_are_written_in_parts(spark, tmp_path):
+    """No file holds more than some rows, so no task holds a whole sheet's links."""
+    rows = spark.range(50_000).select(F.lit("S").alias("sheet"), (F.col("id") + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.lit("x").alias("text"), F.concat(F.lit("http://l/"), "id").alias("link"))
+    sheets.write(rows, str(tmp_path / "w"))
+    got = sheets.cells(spark, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.xlsx"))) == 3
+    assert (got.count(), got.select("sheet", "row").distinct().count(), got.where("ord = 0 and text = concat('http://l/', row - 1)").count()) == (100_000, 50_000, 50_000)
