@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.plan import dealt
 from quillon.plans.catalogue import query, table
 from quillon.operators import images, imports
 from quillon.sources import charts, landed, mappers, shared, sheets
@@ -27,7 +28,8 @@ def structs(names: tuple[str, ...], *rows: tuple) -> Column:
 
 
 def parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumn("k", c("p_partkey").cast("string"))
+    """Parts, dealt out: making and reading their payloads costs far more than a shuffle of a few short columns."""
+    return dealt(table(spark, sf_dir, "part")).withColumn("k", c("p_partkey").cast("string"))
 
 
 def body(*fields: Column) -> Column:

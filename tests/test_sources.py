@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import imports
+from quillon.plans import payloads
 from quillon.sources import charts, landed, mappers, sheets
 
 
@@ -119,3 +120,8 @@ def test_long_sheets_are_written_in_parts(spark, tmp_path):
     got = sheets.cells(spark, str(tmp_path / "w"))
     assert len(list((tmp_path / "w").glob("*.xlsx"))) == 3
     assert (got.count(), got.select("sheet", "row").distinct().count(), got.where("ord = 0 and text = concat('http://l/', row - 1)").count()) == (100_000, 50_000, 50_000)
+
+
+def test_parts_are_dealt_out(spark):
+    """A small file is few tasks, and payloads are dear."""
+    assert payloads.parts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
