@@ -10,7 +10,11 @@ from quillon.functions.vocab import EngineConfig
 
 
 def mrp_evidence(a: Column, b: Column) -> Column:
-    x, y = F.round(a), F.round(b)
+    return rounded_evidence(F.round(a), F.round(b))
+
+
+def rounded_evidence(x: Column, y: Column) -> Column:
+    """``mrp_evidence`` of list prices in whole units."""
     gap = F.try_divide(F.abs(x - y), F.greatest(x, y))
     return F.when(x == y, 1.0).when(gap <= 0.02, 0.9).when(gap <= 0.1, 0.55).when(gap <= 0.25, 0.25).when(gap.isNotNull(), 0.0)
 

@@ -13,6 +13,7 @@ from quillon.functions import vocab
 from quillon.functions.vocab import DEFAULT, EngineConfig
 from quillon.operators import audit, imports, matching, sizechart
 from quillon.plans.catalogue import case_sql, in_sql, map_sql, norm_sql, query, table, words_sql
+from quillon.sources.shared import settled
 
 #: An overlay of garments for the names of parts; they have no fit and no code, and two colours.
 NOUNS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
@@ -51,15 +52,15 @@ def pages(spark, sf_dir) -> DataFrame:
     return rows.select("anchor_id", "platform", ((F.col("p_size") % 11 == 3) & ((F.col("platform") == "p1") | (F.col("page") == 0))).alias("blocked"))
 
 
-def prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Anchors and listings with their profiles, stored."""
-    return matching.ready(anchors(spark, sf_dir), OVERLAY), matching.ready(listings(spark, sf_dir), OVERLAY)
+def prepared(spark, sf_dir) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Anchors and listings with their lines and profiles, stored."""
+    return matching.lined(anchors(spark, sf_dir), OVERLAY), matching.lined(listings(spark, sf_dir), OVERLAY)
 
 
-def decided(spark, sf_dir, config: EngineConfig = EngineConfig(), products: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def decided(spark, sf_dir, config: EngineConfig = EngineConfig(), products=None, placed: DataFrame | None = None) -> DataFrame:
     platforms = spark.createDataFrame([("p0", False), ("p1", False)], "platform string, blocked boolean")
     weights = matching.title_weights(anchors(spark, sf_dir), OVERLAY)
-    return matching.decide(*(products or prepared(spark, sf_dir)), platforms, weights, config=config, tax=OVERLAY, pages=pages(spark, sf_dir))
+    return matching.decide(*(products or prepared(spark, sf_dir)), platforms, weights, config=config, tax=OVERLAY, pages=pages(spark, sf_dir), placed=placed)
 
 
 _TOKENS = lambda c: f"list_transform(list_filter({words_sql(c)}, lambda w: length(w) > 1 AND w NOT IN {in_sql(vocab.SEMANTIC_STOP)}), lambda w: coalesce({map_sql(DEFAULT.synonyms, 'w')}, w))"
@@ -121,13 +122,13 @@ def match_tiers(spark, sf_dir):
 
 
 def audited(spark, sf_dir) -> DataFrame:
-    """Against a pool of all pairs with a search key in common, by kinds of products."""
-    own, theirs = products = prepared(spark, sf_dir)
-    of, (stands, _, placed) = matching.kinds(own), matching.shelves(theirs, 1)
-    pairs = matching.blocked(matching.of_kinds(own, of), stands)
-    same = audit.identity(F.col("row.f"), F.col("listing.f"), F.col("row.mrp"), F.col("listing.mrp"))
-    pool = pairs.select("anchor_id", "platform", F.col("listing_id").alias("id"), F.col("listing.n").alias("n"), same.alias("same")).select("anchor_id", "platform", "id", "n", "same.*")
-    return audit.pooled(decided(spark, sf_dir, products=products), pool, (of, placed))
+    """Against a pool of all pairs with a search key in common, by lines of products."""
+    (own, lines), (theirs, others) = products = prepared(spark, sf_dir)
+    placed = matching.shelved(theirs)
+    pairs = matching.blocked(matching.standing(lines), matching.standing(others, placed))
+    pool = pairs.select(F.col("anchor_id").alias("own"), "platform", F.col("listing_id").alias("other"), F.col("listing.n").alias("n"), audit.alike(F.col("row.f"), F.col("listing.f")).alias("same"))
+    pool = settled(pool.select("own", "platform", "other", "n", "same.*"), "pool")
+    return audit.pooled_lines(decided(spark, sf_dir, products=products, placed=placed), pool, own, placed)
 
 
 @query(_AUDIT + "SELECT * FROM audit")

@@ -140,3 +140,65 @@ def test_nearest_in_slices(spark, monkeypatch):
     want = sorted(map(tuple, matching.nearest(frame, asked, 4).collect()))
     monkeypatch.setattr(matching, "SLICE", 7)
     assert sorted(map(tuple, matching.nearest(frame, asked, 4).collect())) == want
+
+
+def test_different_prices_cost_no_pairs(spark, monkeypatch):
+    """Lines of products are paired, whatever the number of their prices; each anchor still gets the listing whose price is nearest, and the best ranked one of those."""
+    anchors = spark.range(30).select(F.concat(F.lit("A"), "id").alias("id"), F.lit("Nike").alias("brand"), F.lit("Men Solid Polo T-shirt").alias("title"), F.lit("Black").alias("color"),
+        (1000.0 + 40 * F.col("id")).alias("mrp"), F.lit("men").alias("gender"), F.lit(None).cast("string").alias("articleType"))
+    listings = spark.range(80).crossJoin(anchors.limit(1).drop("id", "mrp")).select(F.lit("p0").alias("platform"), F.concat(F.lit("L"), "id").alias("id"), "brand", "title", "color",
+        (1000.0 + 40 * (F.col("id") % 40)).alias("mrp"), F.lit(900.0).alias("price"), "gender", "articleType", (100 - F.col("id")).alias("rank_in_query"))
+    paired, whole = [], matching.candidates
+    monkeypatch.setattr(matching, "candidates", lambda a, b: paired.append(whole(a, b)) or paired[-1])
+    got = matching.match(anchors, listings, spark.createDataFrame([("p0", False)], "platform string, blocked boolean")).collect()
+    assert {(r["anchor_id"], r["status"], r["listing_id"]) for r in got} == {(f"A{i}", "matched", f"L{i + 40}") for i in range(30)}
+    assert [p.count() for p in paired] == [1]
+
+
+def test_nearest_prices_against_all_listings(spark):
+    rng = random.Random(8)
+    prices = [None, 1000.0, 1000.4, 1020.0, 1100.0, 990.0, 1250.0, 2000.0, 0.0]
+    rows = [("p", i, 7, 1.0, rng.choice(prices), rng.randint(0, 20)) for i in range(70)]
+    placed = spark.createDataFrame(rows, "platform string, id long, line long, price double, mrp double, rank_in_query int").withColumn("cell", F.round("mrp"))
+    wanted = spark.createDataFrame([("p", 7, c) for c in (1000.0, 1121.0, 0.0, None)], "_p string, other long, cell double")
+
+    def evidence(x, y):
+        if x is None or y is None:
+            return None
+        x, y = round(x), round(y)
+        gap = abs(x - y) / max(x, y) if max(x, y) else 0.0
+        return 1.0 if x == y else 0.9 if gap <= 0.02 else 0.55 if gap <= 0.1 else 0.25 if gap <= 0.25 else 0.0
+
+    for r in matching.nearest_prices(wanted, matching.offered(placed, 4), 4).collect():
+        told = [(evidence(r["cell"], m), rank, i) for _, i, _, _, m, rank in rows]
+        want = [sorted((-e, rank, i) for e, rank, i in told if e is not None)[:4], sorted((rank, i) for e, rank, i in told if e is None)[:4]]
+        got = [(b["less"], b["rank_in_query"], b["id"]) for b in r["best"]]
+        assert [x for x in got if x[0] is not None] == want[0]
+        assert [x[1:] for x in got if x[0] is None][:4] == want[1]
+
+
+def test_near_prices_are_counted_to_the_last_bit(spark):
+    rng = random.Random(7)
+    prices = sorted({x for m in (960.0, 912.0, 100.0, 95.0, 19.99, 1e-3, 12345.67) for x in (m, m * 0.95, m / 0.95, math.nextafter(m * 0.95, 0), math.nextafter(m * 0.95, 1e9), math.nextafter(m / 0.95, 0), math.nextafter(m / 0.95, 1e9))})
+    points = [(own, "p", m, rng.randint(1, 3)) for own in (1, 2) for m in prices] + [(1, "q", 960.0, 5), (1, "p", None, 9)]
+    asked = [(own, m) for own in (1, 2) for m in prices] + [(1, None), (3, 960.0)]
+    got = audit.counted_near(spark.createDataFrame(points, "own long, platform string, mrp double, n long"), spark.createDataFrame(asked, "own long, mrp double")).collect()
+    want = {}
+    for own, m in asked:
+        for p in {p for o, p, _, _ in points if o == own and m is not None}:
+            want[own, p, m] = sum(n for o, q, x, n in points if (o, q) == (own, p) and x is not None and abs(m - x) / max(m, x) <= 0.05)
+    assert {(r["own"], r["platform"], r["mrp"]): r["n"] for r in got} == want
+
+
+def test_pools_of_lines_give_the_verdicts_of_pools_of_products(spark):
+    rng = random.Random(3)
+    anchors = spark.createDataFrame([(i, i % 3, rng.choice([100.0, 100.4, 104.0, 120.0, None])) for i in range(25)], "id long, line long, mrp double")
+    listings = spark.createDataFrame([("p", 100 + i, i % 4, rng.choice([100.0, 99.6, 105.0, 120.0, None])) for i in range(30)], "platform string, id long, line long, mrp double")
+    lines = [(o, "p", x, rng.random() < 0.6, True) for o in range(2) for x in range(3)]
+    counts = listings.groupBy("platform", F.col("line").alias("other")).agg(F.count("*").alias("n"))
+    pool = spark.createDataFrame(lines, "own long, platform string, other long, strict boolean, standard boolean").join(counts, ["platform", "other"])
+    decided = spark.createDataFrame([(i, "p", *rng.choice([("matched", 100 + rng.randint(0, 29)), ("no_match", None), ("blocked", None)])) for i in range(25)], "anchor_id long, platform string, status string, listing_id long")
+    a, c = anchors.select(F.col("id").alias("anchor_id"), F.col("line").alias("own"), F.col("mrp").alias("x")), listings.select("platform", "id", F.col("line").alias("other"), F.col("mrp").alias("y"))
+    each = pool.join(a, "own").join(c, ["platform", "other"]).select("anchor_id", "platform", "id", (F.col("strict") & F.coalesce(F.round("x") == F.round("y"), F.lit(False))).alias("strict"),
+        (F.col("standard") & audit.near(F.col("x"), F.col("y"))).alias("standard"))
+    assert sorted(map(tuple, audit.pooled_lines(decided, pool, anchors, listings).collect())) == sorted(map(tuple, audit.pooled(decided, each).collect()))
